@@ -30,18 +30,29 @@ SPAN = 8
 WINDOW, SIMILAR = 13, 0.8
 #: Benchmark seeds up to which they are broadcast (24 bytes each); beyond, the join shuffles.
 BROADCAST = 2_000_000
-WORD = r"[^\p{L}\p{N}]++"
+#: Marks taken off the ends of words.
+MARKS = ".,;:!?()[]{}<>*_|#~-+=/&%$@^`\""
 
 
 def words(text: str) -> F.Column:
-    """Lower-case runs of letters and digits."""
-    return F.expr(f"array_remove(split(lower(coalesce({text}, '')), r'{WORD}'), '')")
+    """The words of a text, as hashes: parted by white space, marks at their ends taken off, lower case.
+
+    Cutting at a plain space and trimming word by word costs far less than a pattern of letter classes.
+    """
+    spaced = f"replace(replace(replace(coalesce({text}, ''), '\n', ' '), '\t', ' '), '\r', ' ')"
+    plain = f"transform(split({spaced}, ' '), w -> trim(BOTH '{MARKS}' FROM w))"
+    return F.expr(f"transform(filter({plain}, w -> w <> ''), w -> xxhash64(lower(w)))")
 
 
 def seeds(rows: DataFrame) -> DataFrame:
-    """Of rows with ``words`` and other columns: all columns but words, and ``at``, ``seed``, for every position and mask."""
+    """Of rows with ``words`` and other columns: all columns but words, and ``at``, ``seed``, for every position and mask.
+
+    Too few words give no positions; that is said in the sequence, since a filter would be pushed below
+    the words and have them made twice.
+    """
     kept = [c for c in rows.columns if c != "words"]
-    at = rows.where(F.size("words") >= SPAN).select(*kept, "words", F.explode(F.sequence(F.lit(0), F.size("words") - SPAN)).alias("at"))
+    places = F.when(F.size("words") >= SPAN, F.sequence(F.lit(0), F.size("words") - SPAN))
+    at = rows.select(*kept, "words", F.explode(places).alias("at"))
     hashes = [F.xxhash64(F.lit(k), *[F.get("words", F.col("at") + F.lit(p)) for p in mask]) for k, mask in enumerate(MASKS)]
     return at.select(*kept, "at", F.explode(F.array(*hashes)).alias("seed"))
 

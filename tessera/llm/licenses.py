@@ -12,6 +12,8 @@ is one line gives its match as a whole only.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +74,14 @@ Unless required by applicable law or agreed to in writing, software distributed
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "Released under CC0 1.0."),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
 )
 
 
+#: One of these stands in every known text, so that others need no canonical form.
+HINT = r"(?i)licen[cs]e|software"
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
     x = F.regexp_replace(F.lower(text), r"(?m)^[^\p{L}\n]{0,40}(?:copyright\b|\(c\)|©).*$", " ")
@@ -88,16 +94,20 @@ def canonical(text: Column) -> Column:
 def catalogue(spark, known=KNOWN) -> DataFrame:
     """license_id and digest of the known texts."""
     rows = spark.createDataFrame([(k, t) for k, t in known], "license_id string, text string")
-    return rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).dropDuplicates(["digest"])
+    return rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).where(F.col("digest") != F.sha2(F.lit(""), 256)).dropDuplicates(["digest"])
 
 
 def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     """Matches: doc_id, license_id, unit (``text`` or ``line``) and line (its number from 0; null for a text)."""
     digests = catalogue(docs.sparkSession, known)
-    lines = F.split(F.regexp_replace("text", "\r", ""), "\n")
-    whole = F.array(F.struct(F.lit("text").alias("unit"), F.lit(None).cast("int").alias("line"), F.col("text").alias("part")))
-    parts = F.transform(lines, lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("line"), x.alias("part")))
-    rows = docs.where("text is not null").select("doc_id", F.explode(F.when(F.size(lines) > 1, F.concat(whole, parts)).otherwise(whole)).alias("u"))
-    # A canonical form is no longer than its text by more than the spellings add: longer parts than any licence are not ruled out, only shorter than all.
-    keyed = rows.select("doc_id", "u.unit", "u.line", canonical(F.col("u.part")).alias("c")).where("c <> ''").select("doc_id", "unit", "line", F.sha2("c", 256).alias("digest"))
-    return keyed.join(F.broadcast(digests), "digest").select("doc_id", "license_id", "unit", "line")
+    rows = docs.where("text is not null")
+    if all(re.search(HINT, t) for _, t in known):
+        rows = rows.where(F.col("text").rlike(HINT))
+    lines = F.split(F.replace("text", F.lit("\r"), F.lit("")), F.lit("\n"))
+    rows = rows.select("doc_id", F.array(F.col("text")).alias("whole"), lines.alias("lines"))
+    rows = rows.select("doc_id", F.posexplode(F.when(F.size("lines") > 1, F.concat("whole", "lines")).otherwise(F.col("whole"))).alias("n", "part"))
+    if all(re.search(HINT, t) for _, t in known):
+        rows = rows.where(F.col("part").rlike(HINT))
+    keyed = rows.select("doc_id", "n", F.sha2(canonical(F.col("part")), 256).alias("digest"))
+    found = keyed.join(F.broadcast(digests), "digest")
+    return found.select("doc_id", "license_id", F.when(F.col("n") == 0, "text").otherwise("line").alias("unit"), F.when(F.col("n") > 0, F.col("n") - 1).alias("line"))
