@@ -18,7 +18,8 @@ blocks; other columns of the input are not read.
 
 from __future__ import annotations
 
-import heapq
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._common import remove, scratch
+from tessera.llm._words import slices
 
 END = 1
 #: Longest code in bits; raised where a vocabulary needs more.
@@ -35,80 +37,106 @@ LONGEST = 18
 #: Ids between checkpoints; ids in a block, as far as whole documents allow.
 STRIDE, BLOCK = 256, 1 << 17
 #: Words whose ids a worker remembers at a time.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: Code points encoded at a time.
+SLICE = 4_000_000
 
 
 # --- text to ids
 
 
 class Words:
-    """Ids of texts by a tokenizer whose pre-tokenizer drops white space, so that words are encoded apart and remembered.
+    """Ids of texts by a tokenizer whose pre-tokenizer drops white space, so that words can be encoded apart and remembered.
 
-    Words new to a batch go to the library together, parted by spaces, and are told apart by the
+    Texts are cut at ASCII white space. Of a slice of texts only its distinct words are looked up; new ones go to
+    the library, letters alone to its model, the rest through the whole of it, together, told apart by the
     offsets of their tokens. A letters-only word with a full stop or comma after it is put together
     from the ids of both, which the pre-tokenizer parts as well.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.stops = {x: self._alone(x) for x in ".,"}
+        self.model = self.tokenizer.model
+        self.end = np.array([end], np.uint32).tobytes()
+        self.stops = {x: np.array(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids, np.uint32).tobytes() for x in (b".", b",")}
 
-    def _alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         known = self.known
         for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
+            some = [w.decode("utf-8", "replace") for w in words[at : at + 4096]]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             starts = np.cumsum([0] + [len(w) + 1 for w in some])
-            ids = np.array(found.ids, np.uint32)
             where = np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), starts)
-            raw, where = ids.tobytes(), (where * 4).tolist()
-            for w, a, b in zip(some, where, where[1:]):
+            raw, where = np.array(found.ids, np.uint32).tobytes(), (where * 4).tolist()
+            for w, a, b in zip(words[at : at + 4096], where, where[1:]):
                 known[w] = raw[a:b]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def _meet(self, words: list[bytes]) -> None:
+        known, rest, tokenize = self.known, [], self.model.tokenize
+        for w in words:
+            stem = w[:-1] if w[-1:] in self.stops and len(w) > 1 else w
+            if not (stem.isalpha() and stem.isascii()):
+                rest.append(w)
+                continue
+            low = stem.lower()
+            ids = known.get(low)
+            if ids is None:
+                ids = known[low] = np.array([t.id for t in tokenize(low.decode())], np.uint32).tobytes()
+            known[w] = ids + self.stops[w[-1:]] if stem is not w else ids
+        self._learn(rest)
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and where each ends."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        words, sizes = [], []
+        for t in texts:
+            some = t.encode("utf-8", "replace").split()
+            words += some
+            words.append(b"")  # no word is empty: the end
+            sizes.append(len(some) + 1)
+        codes, distinct = pd.factorize(np.array([*words, None], object)[:-1])
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        split = [t.split() for t in texts]
-        new = {w for x in split for w in x if w not in known}
-        stems, parts = set(), {}
-        for w in new:
-            stem = w[:-1] if w[-1] in ".," else w
-            if stem.isascii() and stem.isalpha():
-                low = stem.lower()
-                parts[w] = (low, w[-1] if stem is not w else "")
-                stems.add(low)
-            else:
-                stems.add(w)
-        self._learn([w for w in stems if w not in known])
-        for w, (stem, stop) in parts.items():
-            known[w] = known[stem] + self.stops[stop] if stop else known[stem]
-        return [b"".join(map(known.__getitem__, x)) for x in split]
+        self._meet([w for w in distinct if w not in known and w])
+        raw = [known[w] if w else self.end for w in distinct]
+        count = np.array([len(x) // 4 for x in raw], np.int64)
+        flat, first = np.frombuffer(b"".join(raw), np.uint32), np.cumsum(count) - count
+        each = count[codes]
+        upto = np.cumsum(each)
+        place = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - each - first[codes], each)
+        return flat[place], upto[np.cumsum(sizes) - 1]
+
+
+def _remembered(path: str, end: int) -> Words:
+    """The worker's own Words: the process keeps it from task to task, as a module of its own, since functions come anew with each task."""
+    kept = sys.modules.setdefault("tessera_worker_words", types.ModuleType("tessera_worker_words")).__dict__
+    if (path, end) not in kept:
+        kept[path, end] = Words(path, end)
+    return kept[path, end]
 
 
 def _encode(path: str, bounds: list[int], end: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, tail = Words(path), np.array([end], np.uint32).tobytes()
+        words = _remembered(path, end)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                x = batch.iloc[at : at + 256]
-                ids = [b + tail for b in words.ids([t or "" for t in x["text"]])]
-                known = x["doc_id"].notna()
-                part = np.where(known, np.searchsorted(bounds, x["doc_id"].where(known, 0).astype("int64"), side="right"), 0)
-                yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "part": part, "crc": [zlib.crc32(b) for b in ids], "ids": [_narrow(b) for b in ids]})
+            texts = [t or "" for t in batch["text"]]
+            for a, b in slices([len(t) for t in texts], SLICE):
+                x = batch["doc_id"].iloc[a:b]
+                flat, ends = words.ids(texts[a:b])
+                cuts = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+                raw = memoryview(flat).cast("B")
+                known = x.notna()
+                part = np.where(known, np.searchsorted(bounds, x.where(known, 0).astype("int64"), side="right"), 0)
+                yield pd.DataFrame({"doc_id": x.astype("Int64"), "part": part, "crc": [zlib.crc32(raw[4 * i : 4 * j]) for i, j in cuts], "ids": [_narrow(flat[i:j]) for i, j in cuts]})
 
     return run
 
 
-def _narrow(ids: bytes) -> bytes:
+def _narrow(ids: np.ndarray) -> bytes:
     """Two bytes for each id where that holds them, told by a leading 2."""
-    wide = np.frombuffer(ids, np.uint32)
-    return b"\2" + wide.astype(np.uint16).tobytes() if not len(wide) or wide.max() < 65536 else b"\4" + ids
+    return b"\2" + ids.astype(np.uint16).tobytes() if ids.max() < 65536 else b"\4" + ids.tobytes()
 
 
 def _wide(ids: bytes) -> np.ndarray:
