@@ -33,7 +33,6 @@ K = 20
 SHARD, DEGREE, BEAM, ALPHA = 4096, 32, 64, 1.2
 #: Queries of a block.
 QUERIES = 1024
-#: A shard up to this size is one where the beam covers everything.
 SEED = 7
 
 
@@ -187,6 +186,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHAR
     shards, blocks = max(1, -(-n // shard)), max(1, -(-m // QUERIES))
     path = scratch(spark, "shards")
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    # A number of partitions that is asked for is not made smaller at run time: shards are built side by side.
+    dealt = dealt.repartition(2 * shards, "shard")
     dealt.groupBy("shard").applyInPandas(_index(degree, beam, alpha), "shard int, index binary").write.parquet(path)
     index = spark.read.parquet(path)
     packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(_block, "block int, ids array<long>, vectors binary")
