@@ -39,7 +39,10 @@ CONTRADICTED, EVIDENCE = 0.3, 500
 
 
 def automaton(symbols: list[int], size: int) -> np.ndarray:
-    """The suffix automaton as a table of ``size`` columns: twice the next state, plus 1 where a phrase ends before the symbol."""
+    """The suffix automaton as a table of ``size`` columns: twice the next state, plus 1 where the symbol begins a phrase.
+
+    A symbol that the sample lacks is a phrase of its own and leads back to the start, where any symbol begins one.
+    """
     following, link, length, last = [{}], [-1], [0], 0
     for c in symbols:
         now, p = len(following), last
@@ -70,7 +73,7 @@ def automaton(symbols: list[int], size: int) -> np.ndarray:
     for s, out in enumerate(following):
         for c, to in out.items():
             table[s, c] = 2 * to
-    table[0] = np.where(start > 1, start - 1, 1)  # at the start nothing has to end; an unknown symbol is a phrase
+    table[0] = start
     return table
 
 
@@ -150,7 +153,7 @@ def phrases(model: Model, symbol: np.ndarray, texts: list[str]) -> tuple[np.ndar
     at, length, owner = at[order], length[order], owner[order]
     live = np.searchsorted(-length, -np.arange(BLOCK), side="left")
     state = np.repeat(np.array(model.starts, np.int64)[:, None], len(at), axis=1)
-    count = np.ones(state.shape, np.int32)
+    count = np.zeros(state.shape, np.int32)
     for step in range(BLOCK):
         n = live[step]
         if not n:

@@ -79,7 +79,7 @@ def _spans(kind: str) -> Column:
             'out', concat(a.out, array(named_struct('s', a.at + length(z['0']), 'e', a.at + length(z['0']) + length(z['1']), 'm', z['1']))))),
         a -> a.out)"""
     near = f"lower(substring(t, cast(greatest(x.s - {NEAR}, 0) + 1 as int), cast(x.e - x.s + 2 * {NEAR} as int)))"
-    score = f"round(least(1D, greatest(0D, {base}D + if({near} rlike '{up}', {STEP}D, 0D) - if({near} rlike '{down}', {STEP}D, 0D))), 4)"
+    score = f"round(least(1D, greatest(0D, {base}D + if({near} rlike r'{up}', {STEP}D, 0D) - if({near} rlike r'{down}', {STEP}D, 0D))), 4)"
     spans = f"transform(filter({found}, x -> {CONFIRM[kind]}), x -> named_struct('kind', '{kind}', 'start', x.s, 'end', x.e, 'score', {score}))"
     if kind not in BASE:
         spans = f"filter({spans}, x -> x.score >= {LEAST})"
