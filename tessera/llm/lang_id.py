@@ -35,7 +35,7 @@ BLOCK = 512
 #: Code points that are parsed at a time.
 BATCH = 4_000_000
 #: A document whose label is another language is rejected from this score on.
-CONTRADICTED, EVIDENCE = 0.3, 500
+CONTRADICTED, EVIDENCE = 0.5, 500
 
 
 def automaton(symbols: list[int], size: int) -> np.ndarray:

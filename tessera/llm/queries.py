@@ -81,4 +81,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _canonical_sql(x: str) -> str:
+    x = f"regexp_replace(lower({x}), '(?m)^[^\\p{{L}}\\n]{{0,40}}(?:copyright\\b|\\(c\\)|©).*$', ' ', 'g')"
+    x = f"' ' || regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    for a, b in licenses.SPELLINGS:
+        pad = " " if " " in a.strip() else ""
+        x = f"replace({x}, '{pad}{a}{pad}', '{pad}{b}{pad}')"
+    return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
+
+
+def _license_sql() -> str:
+    known = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in licenses.KNOWN)
+    return f"""WITH k(license_id, t) AS (VALUES {known}), d AS (SELECT DISTINCT license_id, sha256({_canonical_sql("t")}) AS digest FROM k),
+    l AS (SELECT doc_id, text, string_split(replace(text, chr(13), ''), chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+    u AS (SELECT doc_id, 'text' AS unit, NULL::INT AS line, text AS part FROM l UNION ALL
+      SELECT doc_id, 'line', CAST(n - 1 AS INT), lines[n] FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS n FROM l WHERE len(lines) > 1)),
+    c AS (SELECT doc_id, unit, line, {_canonical_sql("part")} AS c FROM u)
+    SELECT doc_id, license_id, unit, line FROM c JOIN d ON sha256(c) = digest WHERE c <> ''"""
+
+
+#: The others need a library's tokenizer or hash, a trained model, offsets of matches or a search: they are tested by brute force.
+ORACLE_SQL: dict[str, str] = {"op10_license_scan": _license_sql()}
