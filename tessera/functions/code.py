@@ -67,7 +67,7 @@ def split_top_level(csv: Column | str) -> Column:
     inner = r"<[^<>]*>"
     nested = r"<(?:[^<>]|<(?:[^<>]|" + inner + r")*>)*>"
     parts = F.regexp_extract_all(_col(csv), F.lit(rf"((?:[^,<>]|{nested})+)"), 1)
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def package_of(fqn: Column | str) -> Column:
