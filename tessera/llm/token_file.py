@@ -37,7 +37,7 @@ LONGEST = 18
 #: Ids between checkpoints; ids in a block, as far as whole documents allow.
 STRIDE, BLOCK = 256, 1 << 17
 #: Words whose ids a worker remembers at a time.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 #: Code points encoded at a time.
 SLICE = 4_000_000
 

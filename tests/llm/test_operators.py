@@ -261,7 +261,7 @@ def test_file_round_trip(spark, name, request):
 
 def test_words_are_encoded_as_whole_texts():
     words = token_file.Words(public_tokenizers.path(queries.TOKENIZER), 1)
-    texts = ["", "a\x1cb c d", "Don't STOP.. it's, a.b <|endoftext|> x<|startoftext|>y", "É́ İstanbul ΣΑΣ 日本語 text,", "1234. 12,5 ,,, ... ."]
+    texts = ["", "a\x1cb c d", "Don't STOP.. it's, a.b <|endoftext|> x<|startoftext|>y", "É́ İstanbul ΣΑΣ 日本語 text,", "1234. 12,5 ,,, ... .", "Über straße, ÇAUXCH!! ñandú. ΌΣΟΣ ǅ ﬁn Å Å n\u0303 한국어 ё.", "ÀÉÎÕÜ ÿ Ź. œuvre, ªº"]
     flat, ends = words.ids(texts)
     for t, a, b in zip(texts, [0, *ends], ends):
         assert flat[a:b].tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids + [1]
