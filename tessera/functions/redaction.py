@@ -54,13 +54,13 @@ def dictionary_spans(text: Column | str, deny: tuple[str, ...], allow: tuple[str
     for term in deny:
         if term in allow:
             continue
-        quoted = "".join(c if c.isalnum() or c == " " else "\\" + c for c in term)
+        marks = [c if c.isalnum() or c == " " else "\\" + c for c in term]
         if words:
-            parts.append(F.transform(spans_of(folded, "DICTIONARY", rf"\b{quoted}\b", confidence), lambda s: s))
+            parts.append(spans_of(folded, "DICTIONARY", rf"\b{''.join(marks)}\b", confidence))
         else:
-            places = F.sequence(F.lit(0), F.greatest(F.length(folded) - len(term), F.lit(0)))
-            hits = F.filter(places, lambda i: F.substring(folded, i + 1, F.lit(len(term))) == term)
-            parts.append(F.when(folded.contains(term), F.transform(hits, lambda i: F.struct(F.lit("DICTIONARY").alias("type"), i.alias("start"), (i + len(term)).alias("end"), F.lit(confidence).alias("confidence")))).otherwise(F.array().cast(SPAN)))
+            # The first letter, where the others follow: places may overlap, and the text is passed once.
+            starts = spans_of(folded, "DICTIONARY", marks[0] + (f"(?={''.join(marks[1:])})" if marks[1:] else ""), confidence)
+            parts.append(F.transform(starts, lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), (s["start"] + len(term)).alias("end"), s["confidence"].alias("confidence"))))
     return F.concat(*parts)
 
 
