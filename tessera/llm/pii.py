@@ -72,15 +72,17 @@ SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 def _spans(kind: str) -> Column:
     pattern, possible, base = KINDS[kind]
     up, down = CONTEXT[kind]
-    cut = f"arrays_zip(split(t, r'{pattern}', -1) as p, regexp_extract_all(t, r'{pattern}', 0) as m)".replace(" as p", "").replace(" as m", "")
+    cut = f"arrays_zip(split(t, r'{pattern}', -1), regexp_extract_all(t, r'{pattern}', 0))"
+    # A match is confirmed where it is found, so that the list holds spans only and not every number of the text.
+    one = "named_struct('s', a.at + length(z['0']), 'e', a.at + length(z['0']) + length(z['1']), 'm', z['1'])"
     found = f"""aggregate({cut},
         named_struct('at', 0L, 'out', cast(array() as array<struct<s:bigint,e:bigint,m:string>>)),
         (a, z) -> if(z['1'] is null, a, named_struct('at', a.at + length(z['0']) + length(z['1']),
-            'out', concat(a.out, array(named_struct('s', a.at + length(z['0']), 'e', a.at + length(z['0']) + length(z['1']), 'm', z['1']))))),
+            'out', concat(a.out, filter(array({one}), x -> {CONFIRM[kind]})))),
         a -> a.out)"""
     near = f"lower(substring(t, cast(greatest(x.s - {NEAR}, 0) + 1 as int), cast(x.e - x.s + 2 * {NEAR} as int)))"
     score = f"round(least(1D, greatest(0D, {base}D + if({near} rlike r'{up}', {STEP}D, 0D) - if({near} rlike r'{down}', {STEP}D, 0D))), 4)"
-    spans = f"transform(filter({found}, x -> {CONFIRM[kind]}), x -> named_struct('kind', '{kind}', 'start', x.s, 'end', x.e, 'score', {score}))"
+    spans = f"transform({found}, x -> named_struct('kind', '{kind}', 'start', x.s, 'end', x.e, 'score', {score}))"
     if kind not in BASE:
         spans = f"filter({spans}, x -> x.score >= {LEAST})"
     return F.expr(f"case when {possible} then {spans} else cast(array() as {SPAN}) end")
