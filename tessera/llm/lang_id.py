@@ -177,7 +177,7 @@ def fit(docs: DataFrame) -> Model:
     first = Window.partitionBy("lang").orderBy("h")
     chosen = rows.select("lang", "h").withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).select("lang", "h").distinct()
     start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
-    found = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "h", F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS)).alias("text")).toPandas()
+    found = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "h", F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS)).alias("text")).distinct().toPandas()
     by, texts = found.sort_values(["lang", "h", "text"]).groupby("lang"), {}
     for lang, x in by:
         texts[lang] = " ".join(dict.fromkeys(x["text"]))[: SAMPLE_ALL // max(1, by.ngroups)]
