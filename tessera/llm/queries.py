@@ -42,9 +42,9 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
-def tokens(docs: DataFrame) -> DataFrame:
+def tokens(docs: DataFrame, remembered: int = token_file.REMEMBERED) -> DataFrame:
     path = scratch(docs.sparkSession, "tokens")
-    token_file.write(docs, path, public_tokenizers.path(TOKENIZER))
+    token_file.write(docs, path, public_tokenizers.path(TOKENIZER), remembered=remembered)
     return token_file.scan(docs.sparkSession, path)
 
 

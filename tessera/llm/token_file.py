@@ -54,10 +54,10 @@ class Words:
     from the ids of both, which the pre-tokenizer parts as well.
     """
 
-    def __init__(self, path: str, end: int):
+    def __init__(self, path: str, end: int, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.remembered = Tokenizer.from_file(path), {}, remembered
         self.model = self.tokenizer.model
         self.end = np.array([end], np.uint32).tobytes()
         self.stops = {x: np.array(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids, np.uint32).tobytes() for x in (b".", b",")}
@@ -89,7 +89,7 @@ class Words:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and where each ends."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known.clear()
         words, sizes = [], []
         for t in texts:
@@ -109,17 +109,17 @@ class Words:
         return flat[place], upto[np.cumsum(sizes) - 1]
 
 
-def _remembered(path: str, end: int) -> Words:
+def _remembered(path: str, end: int, remembered: int) -> Words:
     """The worker's own Words: the process keeps it from task to task, as a module of its own, since functions come anew with each task."""
     kept = sys.modules.setdefault("tessera_worker_words", types.ModuleType("tessera_worker_words")).__dict__
-    if (path, end) not in kept:
-        kept[path, end] = Words(path, end)
-    return kept[path, end]
+    if (path, end, remembered) not in kept:
+        kept[path, end, remembered] = Words(path, end, remembered)
+    return kept[path, end, remembered]
 
 
-def _encode(path: str, bounds: list[int], end: int):
+def _encode(path: str, bounds: list[int], end: int, remembered: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _remembered(path, end)
+        words = _remembered(path, end, remembered)
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             for a, b in slices([len(t) for t in texts], SLICE):
@@ -267,14 +267,14 @@ def read(tables: tuple[np.ndarray, np.ndarray], bits: int, blocks: list[tuple[by
 # --- the file
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, longest: int = LONGEST) -> None:
-    """Write the ids of all ``docs`` to ``path``."""
+def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, longest: int = LONGEST, remembered: int = REMEMBERED) -> None:
+    """Write the ids of all ``docs`` to ``path``; a worker remembers about ``remembered`` words, which changes its speed and memory alone."""
     spark = docs.sparkSession
     shared = scratch(spark, "ids")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = docs.select(F.col("doc_id").cast("long").alias("d")).agg(F.percentile_approx("d", [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.mapInPandas(_encode(tokenizer, sorted(set(cuts)), end), "doc_id long, part int, crc long, ids binary")
+    rows = rows.mapInPandas(_encode(tokenizer, sorted(set(cuts)), end, remembered), "doc_id long, part int, crc long, ids binary")
     rows.repartition(n, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "crc").write.option("compression", "zstd").parquet(shared)
     stored = spark.read.parquet(shared)
     found = stored.select("ids").mapInPandas(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
