@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import decontam, lang_id, mixing, queries, simhash
 from tessera.llm._common import scratch
 
+#: Words a worker remembers: fewer than in a job of its own, since the workers hold what other stages need as well.
+REMEMBERED = 250_000
+
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay."""
@@ -34,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
-    return queries.tokens(docs)
+    return queries.tokens(docs, REMEMBERED)
 
 
 STAGES = [("language_id", languages), ("simhash_dedup", dedup), ("decontamination", clean), ("mixing", mix), ("token_file", tokens)]
