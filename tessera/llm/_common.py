@@ -35,6 +35,17 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand Python no more than ``rows`` rows at a time from here on in this session.
+
+    A batch of whole texts is held off the heap and again by the worker; jobs of several stages need it small.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= rows:
+        spark.conf.set(name, rows)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which outlives executors."""
     shared_dir(df.sparkSession)

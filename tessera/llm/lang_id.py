@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tessera.llm._words import slices
+
 #: The sample: documents of a language at most, code points of a document, and of all languages together.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 200, 2000, 320_000
 LETTERS = 126
 BLOCK = 512
-#: Code points that are parsed at a time.
-BATCH = 4_000_000
+#: Code points that are parsed at a time, alone and among other stages.
+BATCH, SLICE = 4_000_000, 1_000_000
 #: A document whose label is another language is rejected from this score on.
 CONTRADICTED, EVIDENCE = 0.5, 500
 
@@ -232,9 +234,9 @@ def keep_known(docs: DataFrame) -> DataFrame:
         learned = Model.of(sent.value)
         symbol = learned.symbols()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts = [t or "" for t in batch.column("text").to_pylist()]
+            every = [t or "" for t in whole.column("text").to_pylist()]
+            for a, b in slices([len(t) for t in every], SLICE):
+                batch, texts = whole.slice(a, b - a), every[a:b]
                 best, score, _ = _decide(learned, symbol, texts)
                 labels = batch.column("lang").to_pylist()
                 stays = [b != "und" and (lang is None or lang == b or s < CONTRADICTED or len(t) < EVIDENCE) for b, s, lang, t in zip(best, score, labels, texts)]
