@@ -9,19 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontam, lang_id, mixing, queries, simhash
-from tessera.llm._common import scratch
+from tessera.llm._common import scratch, small_batches
 
 #: Words a worker remembers: fewer than in a job of its own, since the workers hold what other stages need as well.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay."""
+    small_batches(spark)
     return lang_id.keep_known(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    small_batches(spark)
     return simhash.deduplicate(docs)
 
 
@@ -37,6 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
+    small_batches(spark)
     return queries.tokens(docs, REMEMBERED)
 
 
