@@ -18,13 +18,17 @@ blocks; other columns of the input are not read.
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +42,10 @@ LONGEST = 18
 STRIDE, BLOCK = 256, 1 << 17
 #: Words whose ids a worker remembers at a time.
 REMEMBERED = 1_000_000
-#: Code points encoded at a time.
-SLICE = 4_000_000
+#: Code points encoded at a time; words whose ids are put in place at a time; different punctuation that is remembered.
+SLICE, GATHER, TAILS = 12_000_000, 1 << 20, 10_000
+#: Latin-1 letters, then ASCII punctuation, but no apostrophe, which may begin a contraction.
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 # --- text to ids
@@ -48,10 +54,11 @@ SLICE = 4_000_000
 class Words:
     """Ids of texts by a tokenizer whose pre-tokenizer drops white space, so that words can be encoded apart and remembered.
 
-    Texts are cut at ASCII white space. Of a slice of texts only its distinct words are looked up; new ones go to
-    the library, letters alone to its model, the rest through the whole of it, together, told apart by the
-    offsets of their tokens. A letters-only word with a full stop or comma after it is put together
-    from the ids of both, which the pre-tokenizer parts as well.
+    Texts are cut at ASCII white space by Arrow, which also numbers the distinct words of a slice; only
+    these become Python objects. New words that are Latin-1 letters with punctuation after them are put together
+    from the ids of both, which the pre-tokenizer parts as well: the letters go to the library's model, in the
+    alphabet of bytes it knows, and the rest is encoded once. Other new words go through the whole of the
+    library, together, told apart by the offsets of their tokens.
     """
 
     def __init__(self, path: str, end: int, remembered: int = REMEMBERED):
@@ -60,53 +67,66 @@ class Words:
         self.tokenizer, self.known, self.remembered = Tokenizer.from_file(path), {}, remembered
         self.model = self.tokenizer.model
         self.end = np.array([end], np.uint32).tobytes()
-        self.stops = {x: np.array(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids, np.uint32).tobytes() for x in (b".", b",")}
+        self.tails = {"": b""}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {c: 256 + k for k, c in enumerate(c for c in range(256) if c not in shown)}
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         known = self.known
         for at in range(0, len(words), 4096):
-            some = [w.decode("utf-8", "replace") for w in words[at : at + 4096]]
+            some = words[at : at + 4096]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             starts = np.cumsum([0] + [len(w) + 1 for w in some])
             where = np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), starts)
             raw, where = np.array(found.ids, np.uint32).tobytes(), (where * 4).tolist()
-            for w, a, b in zip(words[at : at + 4096], where, where[1:]):
+            for w, a, b in zip(some, where, where[1:]):
                 known[w] = raw[a:b]
 
-    def _meet(self, words: list[bytes]) -> None:
-        known, rest, tokenize = self.known, [], self.model.tokenize
+    def _tail(self, marks: str) -> bytes:
+        found = np.array(self.tokenizer.encode(marks, add_special_tokens=False).ids, np.uint32).tobytes()
+        if len(self.tails) < TAILS:
+            self.tails[marks] = found
+        return found
+
+    def _meet(self, words: list[str]) -> None:
+        known, rest, tokenize, tails, plain = self.known, [], self.model.tokenize, self.tails, PLAIN.fullmatch
         for w in words:
-            stem = w[:-1] if w[-1:] in self.stops and len(w) > 1 else w
-            if not (stem.isalpha() and stem.isascii()):
+            parts = plain(w)
+            if parts is None:
                 rest.append(w)
                 continue
+            stem, marks = parts.groups()
             low = stem.lower()
             ids = known.get(low)
             if ids is None:
-                ids = known[low] = np.array([t.id for t in tokenize(low.decode())], np.uint32).tobytes()
-            known[w] = ids + self.stops[w[-1:]] if stem is not w else ids
+                told = low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet)
+                ids = known[low] = array("I", [t.id for t in tokenize(told)]).tobytes()
+            tail = tails.get(marks)
+            known[w] = ids + (self._tail(marks) if tail is None else tail) if marks else ids
         self._learn(rest)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and where each ends."""
         if len(self.known) > self.remembered:
             self.known.clear()
-        words, sizes = [], []
-        for t in texts:
-            some = t.encode("utf-8", "replace").split()
-            words += some
-            words.append(b"")  # no word is empty: the end
-            sizes.append(len(some) + 1)
-        codes, distinct = pd.factorize(np.array([*words, None], object)[:-1])
+        # White space after a text leaves one empty word behind it, as a text without words does: its end.
+        plain = [t.encode("utf-8", "replace").strip() for t in texts]
+        split = pc.ascii_split_whitespace(pa.array([p + b" " if p else p for p in plain], pa.large_binary()).cast(pa.large_string()))
+        last, coded = split.offsets.to_numpy()[1:] - 1, split.values.dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         known = self.known
         self._meet([w for w in distinct if w not in known and w])
         raw = [known[w] if w else self.end for w in distinct]
-        count = np.array([len(x) // 4 for x in raw], np.int64)
+        count = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         flat, first = np.frombuffer(b"".join(raw), np.uint32), np.cumsum(count) - count
-        each = count[codes]
-        upto = np.cumsum(each)
-        place = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - each - first[codes], each)
-        return flat[place], upto[np.cumsum(sizes) - 1]
+        upto = np.cumsum(count[codes])
+        out = np.empty(int(upto[-1]) if len(upto) else 0, np.uint32)
+        for at in range(0, len(codes), GATHER):
+            some = codes[at : at + GATHER]
+            each, begin = count[some], int(upto[at - 1]) if at else 0
+            ends = upto[at : at + GATHER] - begin
+            out[begin : begin + int(ends[-1])] = flat[np.arange(ends[-1]) - np.repeat(ends - each - first[some], each)]
+        return out, upto[last]
 
 
 def _remembered(path: str, end: int, remembered: int) -> Words:
