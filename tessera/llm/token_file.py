@@ -43,7 +43,7 @@ STRIDE, BLOCK = 256, 1 << 17
 #: Words whose ids a worker remembers at a time.
 REMEMBERED = 1_000_000
 #: Code points encoded at a time; words whose ids are put in place at a time; different punctuation that is remembered.
-SLICE, GATHER, TAILS = 12_000_000, 1 << 20, 10_000
+SLICE, GATHER, TAILS = 6_000_000, 1 << 20, 10_000
 #: Latin-1 letters, then ASCII punctuation, but no apostrophe, which may begin a contraction.
 PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -166,8 +166,8 @@ def _wide(ids: bytes) -> np.ndarray:
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(1, np.int64)
     for x in batches:
-        for ids in x["ids"]:
-            some = np.bincount(_wide(ids))
+        for a, b in slices([len(ids) for ids in x["ids"]], 4 * GATHER):
+            some = np.bincount(np.concatenate([_wide(ids) for ids in x["ids"].iloc[a:b]]))
             if len(some) > len(total):
                 total = np.concatenate([total, np.zeros(len(some) - len(total), np.int64)])
             total[: len(some)] += some
