@@ -7,7 +7,7 @@ coded apart. A block needs nothing but the code to be read; checkpoints hold the
 ``STRIDE``-th id, so its parts are decoded side by side by a table of all prefixes of ``LONGEST`` bits.
 
 The file is a folder: ``code`` (one row: the code length of each id as bytes, the rest of a canonical code
-follows) and ``blocks``, one row for each block: ``part`` and ``nth`` for its place, ``doc_ids`` and
+follows) and ``blocks``, one row for each block: ``part``, ``first`` and ``crc`` for its place, ``nth`` (its number), ``doc_ids`` and
 ``sizes`` of its documents, ``offsets`` (bit offsets of the checkpoints) and ``bits``. Spark writes
 and reads it, so it can be in any store, and the commit of a lost executor's task is repeated.
 
@@ -306,7 +306,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, longest: i
         raise ValueError("codes of over 24 bits do not fit the decoder's window")
     spark.createDataFrame([(bytearray(code.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
     schema = "part int, first long, crc long, doc_ids array<long>, sizes array<long>, offsets array<long>, bits binary"
-    stored.mapInPandas(_pack(code.tobytes()), schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    # The number of a block is written with it, so that blocks of equal documents are told apart when read.
+    stored.mapInPandas(_pack(code.tobytes()), schema).withColumn("nth", F.monotonically_increasing_id()).write.option("compression", "none").parquet(f"{path}/blocks")
     remove(spark, shared)
 
 
@@ -341,17 +342,16 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     Sums by part go to the driver, as many as the file has parts; within a part a window adds up blocks.
     """
     lengths = bytes(spark.read.parquet(f"{path}/code").first()["lengths"])
-    blocks = spark.read.schema("part int, first long, crc long, doc_ids array<long>, sizes array<long>, offsets array<long>, bits binary").parquet(f"{path}/blocks")
-    slim = blocks.select("part", "first", "crc", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b).alias("n"), F.element_at("doc_ids", -1).alias("last"))
+    blocks = spark.read.schema("part int, first long, crc long, doc_ids array<long>, sizes array<long>, offsets array<long>, bits binary, nth long").parquet(f"{path}/blocks")
+    slim = blocks.select("part", "nth", "first", "crc", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b).alias("n"), F.element_at("doc_ids", -1).alias("last"))
     sums, before = {}, 0
     for row in slim.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
         sums[row["part"]], before = before, before + row["n"]
     parts = spark.createDataFrame(list(sums.items()), "part int, base long")
-    order = Window.partitionBy("part").orderBy(F.asc_nulls_first("first"), F.asc_nulls_first("last"), "crc").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slim.join(F.broadcast(parts), "part").select("part", "first", "crc", "last", (F.col("base") + F.coalesce(F.sum("n").over(order), F.lit(0))).alias("start"))
-    rows = blocks.mapInPandas(_unpack(lengths), "part int, first long, crc long, last long, doc_id long, n_tokens long, ids_crc32 long, before long")
-    same = (F.col("r.part") == F.col("s.part")) & F.col("r.first").eqNullSafe(F.col("s.first")) & F.col("r.last").eqNullSafe(F.col("s.last")) & (F.col("r.crc") == F.col("s.crc"))
-    return rows.alias("r").join(starts.alias("s"), same).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    order = Window.partitionBy("part").orderBy(F.asc_nulls_first("first"), F.asc_nulls_first("last"), "crc", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slim.join(F.broadcast(parts), "part").select("nth", (F.col("base") + F.coalesce(F.sum("n").over(order), F.lit(0))).alias("start"))
+    rows = blocks.mapInPandas(_unpack(lengths), "nth long, doc_id long, n_tokens long, ids_crc32 long, before long")
+    return rows.join(starts, "nth").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _unpack(lengths: bytes):
@@ -363,12 +363,11 @@ def _unpack(lengths: bytes):
                 some = batch.iloc[at : at + 16]
                 sizes = [np.asarray(x, np.int64) for x in some["sizes"]]
                 found = read(tables, code.bits, [(b, np.asarray(o, np.int64), int(n.sum())) for b, o, n in zip(some["bits"], some["offsets"], sizes)])
-                for ids, n, docs, part, first, crc in zip(found, sizes, some["doc_ids"], some["part"], some["first"], some["crc"]):
+                for ids, n, docs, nth in zip(found, sizes, some["doc_ids"], some["nth"]):
                     ends = np.cumsum(n)
-                    docs = pd.array(list(docs), "Int64")
                     raw = memoryview(np.ascontiguousarray(ids, np.uint32)).cast("B")
                     sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - n).tolist(), ends.tolist())]
-                    yield pd.DataFrame({"part": part, "first": pd.array([first if pd.notna(first) else None] * len(n), "Int64"), "crc": crc, "last": pd.array([docs[-1]] * len(n), "Int64"), "doc_id": docs, "n_tokens": n, "ids_crc32": sums, "before": ends - n})
+                    yield pd.DataFrame({"nth": nth, "doc_id": pd.array(list(docs), "Int64"), "n_tokens": n, "ids_crc32": sums, "before": ends - n})
 
     return run
 

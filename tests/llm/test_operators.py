@@ -259,9 +259,19 @@ def test_file_round_trip(spark, name, request):
     assert sum(len(r["ids"]) for r in token_file.ids_of(spark, path).collect()) == start
 
 
+def test_equal_long_documents_keep_their_places(spark):
+    """Each is a block of its own, and all blocks have the same document."""
+    path = scratch(spark, "test")
+    table = spark.createDataFrame([(7, "wort " * 140_000)] * 3 + [(8, "end")], "doc_id long, text string")
+    token_file.write(table, path, public_tokenizers.path(queries.TOKENIZER))
+    got = sorted(tuple(r) for r in token_file.scan(spark, path).select("start", "doc_id", "n_tokens").collect())
+    n = got[0][2]
+    assert n > token_file.BLOCK and [g[:2] for g in got] == [(0, 7), (n, 7), (2 * n, 7), (3 * n, 8)]
+
+
 def test_words_are_encoded_as_whole_texts():
     words = token_file.Words(public_tokenizers.path(queries.TOKENIZER), 1)
-    texts = ["", "a\x1cb c d", "Don't STOP.. it's, a.b <|endoftext|> x<|startoftext|>y", "É́ İstanbul ΣΑΣ 日本語 text,", "1234. 12,5 ,,, ... .", "Über straße, ÇAUXCH!! ñandú. ΌΣΟΣ ǅ ﬁn Å Å n\u0303 한국어 ё.", "ÀÉÎÕÜ ÿ Ź. œuvre, ªº"]
+    texts = ["", "a\x1cb c d", "Don't STOP.. it's, a.b <|endoftext|> x<|startoftext|>y", "É́ İstanbul ΣΑΣ 日本語 text,", "1234. 12,5 ,,, ... .", "Über straße, ÇAUXCH!! ñandú. ΌΣΟΣ ǅ ﬁn Å Å n\u0303 한국어 ё.", "ÀÉÎÕÜ ÿ Ź. œuvre, ªº", "  abc<| x|> ÿŸ ß. Ñ'S o' word<|endoftext|> ", "a!(b) né$$$ a\u00a0b \x00 \x7f × ÷a a≠", " "]
     flat, ends = words.ids(texts)
     for t, a, b in zip(texts, [0, *ends], ends):
         assert flat[a:b].tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids + [1]
