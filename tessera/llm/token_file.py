@@ -41,9 +41,9 @@ LONGEST = 18
 #: Ids between checkpoints; ids in a block, as far as whole documents allow.
 STRIDE, BLOCK = 256, 1 << 17
 #: Words whose ids a worker remembers at a time.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Code points encoded at a time; words whose ids are put in place at a time; different punctuation that is remembered.
-SLICE, GATHER, TAILS = 6_000_000, 1 << 20, 10_000
+SLICE, GATHER, TAILS = 12_000_000, 1 << 20, 10_000
 #: Latin-1 letters, then ASCII punctuation, but no apostrophe, which may begin a contraction.
 PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 
