@@ -5,10 +5,15 @@ one vocabulary, one set of kept bigrams and one smoothing, so that they differ i
 score is the mean over its words of loss under the target model less loss under the background model: the
 lower, the closer to the target.
 
-All counts are taken over all documents: each task adds up what it reads, a shuffle adds up the tasks. What
-is kept is bounded by construction: a word, or pair, stays if it makes up at least RARE of all bytes,
-of which no more than 1 / (2 RARE) can exist whatever the size of the corpus. Rarer words are one
-unknown word, rarer pairs back off. That bounded model alone is gathered and broadcast.
+All counts are taken over all documents: each task adds up what it reads, a shuffle adds up the tasks. A word,
+or pair, stays in the model if it comes at least LEAST times, whatever the size of the corpus; words that come
+less often are one unknown word, other pairs back off to their second word. So the model grows with the corpus: it
+is a table in the shared folder. What makes up at least RARE of all bytes, of which no more
+than 1 / (2 RARE) words and pairs can exist, is broadcast and looked up where the text is read; keys of
+all other words and pairs are joined to the table, and none of those is in a great part of the corpus.
+
+A loss is the bits of the unknown word for every word, plus for each known word the difference to that, plus for
+each known pair the difference to its second word: keys the table does not hold add nothing.
 
 Defined results: a null or empty text has no words, losses and score null; without target documents the
 target model is the background model and all scores are 0; repeated rows each count and each get their row;
@@ -22,140 +27,165 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import durable
+from tessera.llm._common import scratch
 from tessera.llm._words import hashed, slices
 
-#: A word or pair of words stays if its count is at least this part of the corpus in bytes; and LEAST.
+#: A word or pair is broadcast if its count is at least this part of the corpus in bytes; it stays if it comes LEAST times.
 RARE, LEAST = 1e-6, 2
 #: Weight of the bigram estimate; added to unigram counts.
 BIGRAM, ADDED = 0.7, 0.5
 #: Words after which a task hands on what it has added up; code points taken at a time.
 RUN, SLICE = 4_000_000, 4_000_000
-UNKNOWN, START = 0, 1
+#: Rows handed to the JVM at a time.
+ROWS = 200_000
+#: In place of a word's hash: before the first word of a text; in rows that count a word; in rows that count it as the first of a pair.
+START, WORD, HEAD = 1, 2, 3
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
-def _added(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(keys), return_counts=True)
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
 
-def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held, words = [], 0
-    for batch in batches:
-        texts = list(batch["text"])
-        for a, b in slices([len(t or "") for t in texts], SLICE):
-            held.append(hashed(texts[a:b])[0].view(np.int64))
-            words += len(held[-1])
-            if words > RUN:
-                yield pd.DataFrame(dict(zip(("word", "n"), _added(held))))
-                held, words = [], 0
-    if held:
-        yield pd.DataFrame(dict(zip(("word", "n"), _added(held))))
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """What xxhash64 makes of two longs in Spark."""
+    x = np.full(len(first), 42, np.uint64)
+    for part in (first, second):
+        x = x + _P5 + np.uint64(8)
+        x ^= _turned(part.view(np.uint64) * _P2, 31) * _P1
+        x = _turned(x, 27) * _P1 + _P4
+        x = (x ^ (x >> np.uint64(33))) * _P2
+        x = (x ^ (x >> np.uint64(29))) * _P3
+        x ^= x >> np.uint64(32)
+    return x.view(np.int64)
 
 
-def _coded(texts: list[str | None], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every word in order: its id, the id of the one before it in its text (START for the first), and the number of its text."""
+def _coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word in order: its hash, that of the one before it in its text (START for the first), and the number of its text."""
     words, owner = hashed(texts)
     words = words.view(np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, words), max(0, len(vocabulary) - 1))
-    ids = np.where(vocabulary[at] == words, at + 2, UNKNOWN) if len(vocabulary) else np.full(len(words), UNKNOWN)
-    before = np.full(len(ids), START)
-    before[1:] = ids[:-1]
+    before = np.full(len(words), START, np.int64)
+    before[1:] = words[:-1]
     before[1:][owner[1:] != owner[:-1]] = START
-    return ids, before, owner
+    return words, before, owner
 
 
-def _bigrams(vocabulary: np.ndarray):
-    size = len(vocabulary) + 2
+def _added(keys: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the distinct keys, how often each comes, and how often in target documents."""
+    if not len(keys):
+        return (np.zeros(0, np.int64),) * 3
+    by = np.argsort(keys)
+    first = np.flatnonzero(np.diff(keys[by], prepend=keys[by[0]] ^ 1))
+    return by[first], np.diff(first, append=len(keys)), np.add.reduceat(good[by], first)
 
-    def added(held: list[np.ndarray]) -> pd.DataFrame:
-        keys, n = _added(held)
-        pairs, at = np.unique(keys >> 1, return_inverse=True)
-        return pd.DataFrame({"pair": pairs, "n": np.bincount(at, n, len(pairs)).astype(np.int64), "good": np.bincount(at, n * (keys & 1), len(pairs)).astype(np.int64)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, words = [], 0
-        for batch in batches:
-            texts, good = list(batch["text"]), batch["good"].to_numpy(np.int64)
-            for a, b in slices([len(t or "") for t in texts], SLICE):
-                ids, before, owner = _coded(texts[a:b], vocabulary)
-                held.append(((before * size + ids) << 1) | good[a:b][owner])
-                words += len(ids)
-                if words > RUN:
-                    yield added(held)
-                    held, words = [], 0
-        if held:
-            yield added(held)
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a pair, of WORD and a word, and of a word and HEAD, with their counts."""
 
-    return run
+    def added() -> Iterator[pd.DataFrame]:
+        words, before, good = (np.concatenate(x) for x in zip(*held))
+        for keys, first, second in ((words, WORD, words), (before, before, HEAD), (pair_keys(before, words), before, words)):
+            at, n, fine = _added(keys, good)
+            first, second = (x[at] if isinstance(x, np.ndarray) else np.full(len(at), x, np.int64) for x in (first, second))
+            for k in range(0, len(at), ROWS):
+                yield pd.DataFrame({"v": first[k : k + ROWS], "w": second[k : k + ROWS], "n": n[k : k + ROWS], "good": fine[k : k + ROWS]})
+
+    held, words = [], 0
+    for batch in batches:
+        texts, good = list(batch["text"]), batch["good"].to_numpy(np.int64)
+        for a, b in slices([len(t or "") for t in texts], SLICE):
+            ids, before, owner = _coded(texts[a:b])
+            held.append((ids, before, good[a:b][owner]))
+            words += len(ids)
+            if words > RUN:
+                yield from added()
+                held, words = [], 0
+    if held:
+        yield from added()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """The two models, as arrays of bounded size."""
+    """The two models: ``table`` of key, target and background bits, the same of frequent keys as arrays, and the bits of an unknown word."""
+    spark = docs.sparkSession
     size_of = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = max(LEAST, RARE * size_of)
-    words = docs.select("text").mapInPandas(_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
-    vocabulary = np.sort(words["word"].to_numpy(np.int64))
-    size = len(vocabulary) + 2
+    often = max(LEAST, RARE * size_of)
     good = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"))
     # Both sides are dealt by id at every size, and only the labels are held in memory, a partition at a time.
     marked = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _bigrams(sent.value)(batches)
-
-    pairs = marked.mapInPandas(run, "pair long, n long, good long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    # The pairs give the kept ones, and the sums by first and by second word, of which all pairs are part.
-    pairs = durable(pairs)
-
-    def sums(by: F.Column) -> pd.DataFrame:
-        return pairs.groupBy(by.cast("long").alias("w")).agg(F.sum("n").alias("n"), F.sum("good").alias("good")).toPandas()
-
-    second, first = sums(F.col("pair") % size), sums(F.floor(F.col("pair") / F.lit(size)))
-    top = pairs.where(F.col("n") >= least).orderBy("pair").toPandas()
-    if not second["good"].sum():
-        for x in (second, first, top):
-            x["good"] = x["n"]
-    model = {"vocabulary": vocabulary, "size": size, "pairs": top["pair"].to_numpy(np.int64)}
-    for name in ("n", "good"):
-        uni, head = np.zeros(size), np.zeros(size)
-        uni[second["w"]], head[first["w"]] = second[name], first[name]
-        low = (1 - BIGRAM) * (uni + ADDED) / (uni.sum() + ADDED * size)
-        key = top["pair"].to_numpy(np.int64)
-        model[f"low_{name}"] = -np.log2(low)
-        model[f"pair_{name}"] = -np.log2(BIGRAM * top[name].to_numpy(float) / np.maximum(head[key // size], 1) + low[key % size])
-    return model
-
-
-def losses(model: dict, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: words, bits under the target model, bits under the background model."""
-    ids, before, owner = _coded(texts, model["vocabulary"])
-    keys = before * model["size"] + ids
-    known = np.minimum(np.searchsorted(model["pairs"], keys), max(0, len(model["pairs"]) - 1))
-    hit = model["pairs"][known] == keys if len(model["pairs"]) else np.zeros(len(keys), bool)
-    out = []
-    for name in ("good", "n"):
-        bits = model[f"low_{name}"][ids]
-        bits[hit] = model[f"pair_{name}"][known[hit]]
-        out.append(np.bincount(owner, bits, len(texts)))
-    return np.bincount(owner, minlength=len(texts)), out[0], out[1]
+    counts = marked.mapInPandas(_counts, "v long, w long, n long, good long").groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    path = scratch(spark, "counts")
+    counts.where((F.col("n") >= LEAST) | (F.col("v") == WORD)).write.parquet(path)
+    counts = spark.read.parquet(path)
+    words = counts.where(F.col("v") == WORD).select(F.col("w").alias("word"), "n", "good")
+    kept = words.where(F.col("n") >= LEAST)
+    sums = {r["known"]: r for r in words.groupBy((F.col("n") >= LEAST).alias("known")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.sum("good").alias("good")).collect()}
+    size = 2 + (sums[True]["c"] if True in sums else 0)
+    target = "good" if sum(r["good"] for r in sums.values()) else "n"
+    total = {x: sum(r[x] for r in sums.values()) for x in ("n", target)}
+    unknown = {x: float(-np.log2((1 - BIGRAM) * ((sums[False][x] if False in sums else 0) + ADDED) / (total[x] + ADDED * size))) for x in total}
+
+    def low(x: str) -> F.Column:
+        return F.lit(1 - BIGRAM) * (F.col(x) + ADDED) / F.lit(total[x] + ADDED * size)
+
+    kept = kept.select("word", "n", low(target).alias("low_target"), low("n").alias("low_n"))
+    of_words = kept.select(F.col("word").alias("key"), "n", (-F.log2("low_target") - unknown[target]).alias("target"), (-F.log2("low_n") - unknown["n"]).alias("background"))
+    heads = counts.where(F.col("w") == HEAD).select(F.col("v").alias("head"), F.col("n").alias("head_n"), F.col(target).alias("head_target"))
+    pairs = counts.where((F.col("v") != WORD) & (F.col("w") != HEAD)).select("v", "w", "n", F.col(target).alias("target"))
+    pairs = pairs.join(heads.hint("shuffle_hash"), F.col("v") == F.col("head")).join(kept.drop("n").hint("shuffle_hash"), F.col("w") == F.col("word"))
+
+    def more(n: str, head: str, low: str) -> F.Column:
+        return -F.log2(F.lit(BIGRAM) * F.col(n) / F.greatest(F.col(head), F.lit(1)) + F.col(low)) + F.log2(low)
+
+    of_pairs = pairs.select(F.xxhash64("v", "w").alias("key"), "n", more("target", "head_target", "low_target").alias("target"), more("n", "head_n", "low_n").alias("background"))
+    path = scratch(spark, "model")
+    of_words.unionByName(of_pairs).withColumn("often", F.col("n") >= often).drop("n").write.parquet(path)
+    table = spark.read.parquet(path)
+    top = table.where("often").orderBy("key").toPandas()
+    return {"table": table.where("not often").drop("often"), "keys": top["key"].to_numpy(np.int64), "target": top["target"].to_numpy(float), "background": top["background"].to_numpy(float), "unknown": (unknown[target], unknown["n"])}
+
+
+BASE = pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("target", pa.float64()), ("background", pa.float64())])
+SENT = "row long, key long, base struct<doc_id:long,n:long,target:double,background:double>"
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, n_words, loss_target, loss_background (bits a word) and score, their difference, of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "table"})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of every text a row with what the frequent keys add, and a row for each key that is not one of them."""
+        model = sent.value
+        frequent = model["keys"]
+
+        def batch_of(row: np.ndarray, key: np.ndarray, base: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(key), base], ["row", "key", "base"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = list(batch["text"])
+            texts, ids, rows = batch.column("text").to_pylist(), batch.column("doc_id"), batch.column("row").to_numpy()
             for a, b in slices([len(t or "") for t in texts], SLICE):
-                x = batch.iloc[a:b]
-                n, good, all_ = losses(sent.value, texts[a:b])
-                some = np.where(n > 0, n, np.nan)
-                yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "n_words": n, "loss_target": good / some, "loss_background": all_ / some, "score": (good - all_) / some})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_words long, loss_target double, loss_background double, score double")
-    return rows.select("doc_id", "n_words", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("loss_target", "loss_background", "score")])
+                words, before, owner = _coded(texts[a:b])
+                n = np.bincount(owner, minlength=b - a)
+                sums, row = [n * x for x in model["unknown"]], rows[a:b]
+                left = []
+                for keys in (words, pair_keys(before, words)):
+                    at = np.minimum(np.searchsorted(frequent, keys), max(0, len(frequent) - 1))
+                    hit = frequent[at] == keys if len(frequent) else np.zeros(len(keys), bool)
+                    for k, name in enumerate(("target", "background")):
+                        sums[k] = sums[k] + np.bincount(owner[hit], model[name][at[hit]], b - a)
+                    left.append((row[owner[~hit]], keys[~hit]))
+                # The key of a text's own row spreads such rows; what it might meet is not read.
+                yield batch_of(row, pair_keys(row, row), pa.StructArray.from_arrays([ids[a:b], pa.array(n), pa.array(sums[0]), pa.array(sums[1])], fields=list(BASE)))
+                for whose, keys in left:
+                    for k in range(0, len(keys), ROWS):
+                        yield batch_of(whose[k : k + ROWS], keys[k : k + ROWS], pa.nulls(len(keys[k : k + ROWS]), BASE))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, SENT)
+    met = rows.join(model["table"].hint("shuffle_hash"), "key", "left").where("base is not null or target is not null")
+    sums = [F.sum(F.when(F.col("base").isNull(), F.col(x)).otherwise(F.col(f"base.{x}"))).alias(x) for x in ("target", "background")]
+    found = met.groupBy("row").agg(F.max("base.doc_id").alias("doc_id"), F.max("base.n").alias("n_words"), *sums)
+    some = F.when(F.col("n_words") > 0, F.col("n_words"))
+    return found.select("doc_id", "n_words", (F.col("target") / some).alias("loss_target"), (F.col("background") / some).alias("loss_background"), ((F.col("target") - F.col("background")) / some).alias("score"))

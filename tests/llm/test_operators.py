@@ -164,6 +164,28 @@ def test_scores_are_those_of_counting(spark):
         assert math.isclose(got[i]["score"], loss["t", i] - loss["b", i], abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("part", [1e-6, 1e9])
+def test_scores_do_not_depend_on_what_is_broadcast(spark, docs, monkeypatch, part):
+    """A word or pair that comes twice is in the model whatever the size of the corpus."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    monkeypatch.setattr(lm_score, "RARE", 0)
+    want = {r["doc_id"]: r for r in lm_score.score(docs, lm_score.fit(docs, labels)).collect()}
+    monkeypatch.setattr(lm_score, "RARE", part)
+    model = lm_score.fit(docs, labels)
+    assert (part < 1) == (len(model["keys"]) > 0)
+    got = lm_score.score(docs, model).collect()
+    assert len(got) == docs.count() and len({r["loss_background"] for r in got}) > 10
+    for r in got:
+        for c in ("n_words", "loss_target", "loss_background", "score"):
+            assert r[c] == want[r["doc_id"]][c] or math.isclose(r[c], want[r["doc_id"]][c], abs_tol=1e-9)
+
+
+def test_pair_keys_are_those_of_spark(spark):
+    rows = [(1, 2), (-5, 1 << 60), (0, -1)]
+    want = [r[0] for r in spark.createDataFrame(rows, "v long, w long").selectExpr("xxhash64(v, w)").collect()]
+    assert lm_score.pair_keys(*(np.array(x, np.int64) for x in zip(*rows))).tolist() == want
+
+
 def test_scores_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = lm_score.score(odd, lm_score.fit(odd, labels)).collect()
