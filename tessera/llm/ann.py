@@ -1,11 +1,11 @@
 """Approximate nearest neighbours by inner product on robust-pruned graphs, one for each shard.
 
-Vectors are dealt to shards of bounded size by a hash of their id. In a shard, inner product is turned into
+Rows that repeat id and vector are one. They are dealt to shards of bounded size by a hash of both. In a shard, inner product is turned into
 distance by one more coordinate that brings all vectors to one length; equal vectors are one node.
 The graph starts from a few random edges; twice, batch by batch, a greedy search for each node proposes
 neighbours, and relaxed pruning keeps a candidate only if no kept one is nearer to it, by the
 factor ALPHA, than the node is; back edges are added and pruned alike. A query searches the graph of
-every shard with a beam, and exact scores in double precision merge what the shards found.
+every shard with a beam, widened where too few different ids are in it, and exact scores in double precision merge what the shards found.
 
 A shard with its graph is one row of bytes, written to the shared folder; queries come in blocks, each
 joined to each shard, so that a task holds one shard and one block whatever the size of the tables.
@@ -128,6 +128,8 @@ def _index(degree: int, beam: int, alpha: float):
         nodes, member = np.unique(vectors, axis=0, return_inverse=True)
         member = member.ravel()
         by = np.argsort(member, kind="stable")
+        # Equal vectors of one id that differ in the sign of a zero are left.
+        by = by[np.append(True, (np.diff(member[by]) != 0) | (np.diff(ids[by]) != 0))]
         square = (nodes.astype(np.float64) ** 2).sum(axis=1)
         lifted = np.column_stack([nodes, np.sqrt(np.maximum(square.max() - square, 0))]).astype(np.float32)
         edges, start = build(lifted, degree, beam, alpha)
@@ -146,21 +148,32 @@ def _answer(k: int, beam: int):
                     held, index = x["shard"], pickle.loads(x["index"])
                 nodes, lifted, edges, start, members, firsts = index
                 ids, queries = np.asarray(x["ids"], np.int64), np.frombuffer(x["vectors"], np.float32).reshape(len(x["ids"]), -1)
-                found, away = _search(lifted, edges.astype(np.int64), start, np.column_stack([queries, np.zeros(len(queries), np.float32)]), max(beam, k + 1))
+                edges, wide = edges.astype(np.int64), np.column_stack([queries, np.zeros(len(queries), np.float32)])
                 q, v, s = [], [], []
-                for i, (near, d) in enumerate(zip(found, away)):
-                    near = near[np.isfinite(d)]
-                    score = nodes[near].astype(np.float64) @ queries[i].astype(np.float64)
-                    # The smallest k + 1 ids of a node are enough: its members tie, and one may be the query.
-                    each = [members[firsts[m] : min(firsts[m + 1], firsts[m] + k + 1)] for m in near]
-                    some = np.concatenate(each) if each else np.zeros(0, np.int64)
-                    score = np.repeat(score, [len(e) for e in each])
-                    other = some != ids[i]
-                    some, score = some[other], score[other]
-                    best = np.lexsort((some, -score))[:k]
-                    q.append(np.full(len(best), ids[i]))
-                    v.append(some[best])
-                    s.append(score[best])
+                todo, width = np.arange(len(ids)), max(beam, k + 1)
+                while len(todo):
+                    # A beam as wide as the shard is all of it.
+                    whole, again = width >= len(nodes), []
+                    found, away = _search(lifted, edges, start, wide[todo], width) if not whole else (None, None)
+                    for at, i in enumerate(todo):
+                        near = np.arange(len(nodes)) if whole else found[at][np.isfinite(away[at])]
+                        score = nodes[near].astype(np.float64) @ queries[i].astype(np.float64)
+                        # The smallest k + 1 ids of a node are enough: its members tie, and one may be the query.
+                        each = [members[firsts[m] : min(firsts[m + 1], firsts[m] + k + 1)] for m in near]
+                        some = np.concatenate(each) if each else np.zeros(0, np.int64)
+                        score = np.repeat(score, [len(e) for e in each])
+                        other = some != ids[i]
+                        some, score = some[other], score[other]
+                        order = np.lexsort((some, -score))
+                        # Of each id its best place only.
+                        best = order[np.sort(np.unique(some[order], return_index=True)[1])[:k]]
+                        if len(best) < k and not whole:
+                            again.append(i)
+                            continue
+                        q.append(np.full(len(best), ids[i]))
+                        v.append(some[best])
+                        s.append(score[best])
+                    todo, width = np.array(again, np.int64), 4 * width
                 yield pd.DataFrame({"query_id": np.concatenate(q), "vec_id": np.concatenate(v), "score": np.concatenate(s)})
 
     return run
@@ -181,11 +194,11 @@ def usable(vectors: DataFrame) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` vectors of ``vectors`` found nearest to each of ``queries``."""
     spark = vectors.sparkSession
-    rows, asked = usable(vectors), usable(queries)
-    n, m = rows.count(), asked.count()
+    rows, asked = (usable(x).dropDuplicates(["vec_id", "embedding"]) for x in (vectors, queries))
+    n, m = (usable(x).select("vec_id", F.xxhash64("embedding")).distinct().count() for x in (vectors, queries))
     shards, blocks = max(1, -(-n // shard)), max(1, -(-m // QUERIES))
     path = scratch(spark, "shards")
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int"))
     # A number of partitions that is asked for is not made smaller at run time: shards are built side by side.
     dealt = dealt.repartition(2 * shards, "shard")
     dealt.groupBy("shard").applyInPandas(_index(degree, beam, alpha), "shard int, index binary").write.parquet(path)

@@ -127,6 +127,29 @@ def test_neighbours_recall_and_scores(spark):
     assert all(math.isclose(r["score"], exact[r["query_id"], r["vec_id"]], rel_tol=1e-12) for r in got if (r["query_id"], r["vec_id"]) in exact)
 
 
+def test_repeated_ids_leave_room_for_others(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(200)]
+    many = [(500, (np.array(rows[0][1]) * 3 + rng.normal(size=8) / 50).tolist()) for _ in range(300)]
+    same = [(501, rows[0][1])] * 60 + [(502, rows[0][1])]
+    vectors = spark.createDataFrame(rows * 2 + many + same, "vec_id long, embedding array<float>")
+    asked = vectors.where("vec_id % 20 = 0 and vec_id < 200")
+    got = {}
+    for r in ann.search(vectors, asked).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert len(got) == 10
+    each = {(i, tuple(np.float32(v))) for i, v in rows + many + same}
+    kept = 0
+    for i, found in got.items():
+        best = {}
+        for j, v in each:
+            if j != i:
+                best[j] = max(best.get(j, -math.inf), float(np.float64(v) @ np.float64(np.float32(rows[i][1]))))
+        kept += len(set(found) & set(sorted(best, key=lambda j: (-best[j], j))[: ann.K]))
+        assert len(found) == len(set(found)) == ann.K and (i or found[:3] == [500, 501, 502])
+    assert kept >= 0.95 * 10 * ann.K
+
+
 def test_neighbours_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, None]), (9, [3.0, 3.0]), (20, [0.0, 2.0]), (20, [0.0, 2.0])]
