@@ -1,7 +1,9 @@
 """Licence scans by canonical digest lookup.
 
 A text is made canonical: lower case, lines that state a copyright dropped, equivalent spellings made one,
-everything but letters and digits a single space. The SHA-256 of the whole canonical text is then
+everything but letters and digits a single space. Which lines state a copyright is told in two ways, and both forms
+are looked up: a wide one drops every line that begins with the word or sign, a narrow one leaves lines in
+which a licence only speaks of copyright, wherever its text was wrapped. The SHA-256 of the whole canonical text is then
 joined to the digests of known licences, made the same way. A document is looked up as a whole, and so is
 each of its lines, since notices stand as lines of their own; nothing but entire texts is compared.
 
@@ -13,6 +15,7 @@ is one line gives its match as a whole only.
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,26 +81,61 @@ Unless required by applicable law or agreed to in writing, software distributed
 )
 
 
+def _bare(name: str) -> str:
+    return next(t for k, t in KNOWN if k == name)
+
+
+#: Usual headings of texts that are known without one.
+HEADINGS = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": ("0BSD", "BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', 'The BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', 'The BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "Revised BSD License", "BSD License", "The BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+}
+#: Whole texts as published, shipped with the package; some stand with and without what follows their terms.
+SHIPPED = tuple((f.name.removesuffix(".txt"), f.read_text()) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+_END = "END OF TERMS AND CONDITIONS"
+WHOLE = (
+    *[(k, f"{h}\n{t}") for k, heads in HEADINGS.items() for t in (_bare(k), re.sub(r"(?m)^\d\. ", "* ", _bare(k))) for h in ("", *heads)],
+    *SHIPPED,
+    *[(k, t[: t.index(_END) + n]) for k, t in SHIPPED if _END in t for n in (0, len(_END))],
+)
+
+
 #: One of these stands in every known text, so that others need no canonical form.
 HINT = r"(?i)licen[cs]e|software"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text."""
-    x = F.regexp_replace(F.lower(text), r"(?m)^[^\p{L}\n]{0,40}(?:copyright\b|\(c\)|©).*$", " ")
+#: Lines that state a copyright, in lower case: all that begin so; or without those that go on as a sentence or clause of a licence does.
+WIDE = r"(?m)^[^\p{L}\n]{0,40}(?:copyright\b|\(c\)|©).*$"
+_SPEAKS = "notices?|holders?|owners?|ownership|laws?|licen[cs]es?|licensed|statements?|interests?|and|or|in|on|is|are|as|to|for|of|treaty|treaties|protection|permissions?|status|disclaimers?|infringement|rights?|related|material"
+NARROW = rf"(?m)^[^\p{{L}}\n]{{0,40}}(?:copyright\b(?![^\p{{L}}\n]*(?:{_SPEAKS})\b)|©|\(c\)(?=[^\n]*\b(?:19|20)\d\d\b|\s*copyright\b)).*$|^[^\p{{L}}\n]*all rights reserved[^\p{{L}}\n]*$"
+
+
+def canonical(text: Column, stated: str = WIDE) -> Column:
+    """The canonical form of a text, without the lines that match ``stated``."""
+    x = F.regexp_replace(F.lower(text), stated, " ")
     x = F.concat(F.lit(" "), F.regexp_replace(x, r"[^\p{L}\p{N}]++", " "), F.lit(" "))
     for a, b in SPELLINGS:
         x = F.replace(x, F.lit(f" {a} " if " " in a.strip() else a), F.lit(f" {b} " if " " in a.strip() else b))
     return F.trim(F.regexp_replace(x, " ++", " "))
 
 
-def catalogue(spark, known=KNOWN) -> DataFrame:
+def digests_of(text: Column) -> Column:
+    """The digests of both canonical forms."""
+    return F.array(*[F.sha2(canonical(text, x), 256) for x in (WIDE, NARROW)])
+
+
+def catalogue(spark, known=KNOWN + WHOLE) -> DataFrame:
     """license_id and digest of the known texts."""
-    rows = spark.createDataFrame([(k, t) for k, t in known], "license_id string, text string")
-    return rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).where(F.col("digest") != F.sha2(F.lit(""), 256)).dropDuplicates(["digest"])
+    rows = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(known)], "n int, license_id string, text string")
+    rows = rows.select("n", "license_id", F.explode(digests_of(F.col("text"))).alias("digest")).where(F.col("digest") != F.sha2(F.lit(""), 256))
+    return rows.groupBy("digest").agg(F.min_by("license_id", "n").alias("license_id")).select("license_id", "digest")
 
 
-def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known=KNOWN + WHOLE) -> DataFrame:
     """Matches: doc_id, license_id, unit (``text`` or ``line``) and line (its number from 0; null for a text)."""
     digests = catalogue(docs.sparkSession, known)
     rows = docs.where("text is not null")
@@ -108,6 +146,9 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     rows = rows.select("doc_id", F.posexplode(F.when(F.size("lines") > 1, F.concat("whole", "lines")).otherwise(F.col("whole"))).alias("n", "part"))
     if all(re.search(HINT, t) for _, t in known):
         rows = rows.where(F.col("part").rlike(HINT))
-    keyed = rows.select("doc_id", "n", F.sha2(canonical(F.col("part")), 256).alias("digest"))
-    found = keyed.join(F.broadcast(digests), "digest")
+    keyed = rows.select("doc_id", "n", *[F.sha2(canonical(F.col("part"), x), 256).alias(c) for c, x in (("wide", WIDE), ("narrow", NARROW))])
+    for c in ("wide", "narrow"):
+        keyed = keyed.join(F.broadcast(digests.select(F.col("digest").alias(c), F.col("license_id").alias(f"{c}_id"))), c, "left")
+    # The narrow form holds more of the text.
+    found = keyed.select("doc_id", "n", F.coalesce("narrow_id", "wide_id").alias("license_id")).where("license_id is not null")
     return found.select("doc_id", "license_id", F.when(F.col("n") == 0, "text").otherwise("line").alias("unit"), F.when(F.col("n") > 0, F.col("n") - 1).alias("line"))

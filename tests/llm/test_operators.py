@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -486,6 +487,18 @@ def test_every_known_text_is_found_in_any_spelling(spark):
     assert all(re.search(licenses.HINT, t) for _, t in licenses.KNOWN)
 
 
+def test_whole_texts_in_usual_layouts(spark):
+    bare = {k: t for k, t in reversed(licenses.KNOWN) if len(t) > 500}
+    wrapped = {k: "\n\n".join(textwrap.fill(p, 76) for p in t.split("\n")) for k, t in bare.items()}
+    isc = bare["ISC"].replace("the above copyright", "the above\ncopyright")
+    texts = [(k, t) for k, t in licenses.SHIPPED] + [(k, textwrap.fill(t, 60)) for k, t in licenses.SHIPPED if k == "CC0-1.0"]
+    texts += [("ISC", "ISC License\n\nCopyright (c) 2020, A. Person\n\n" + isc), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, A. Person\nAll rights reserved.\n\n" + wrapped["BSD-3-Clause"])]
+    texts += [("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright 2020 The Authors\n\n" + wrapped["BSD-2-Clause"]), ("MIT", "Copyright The Authors\n" + wrapped["MIT"]), ("Zlib", "zlib License\n\n(c) Someone\n\n" + bare["Zlib"])]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(docs).where("unit = 'text'").collect()}
+    assert got == {i: k for i, (k, _) in enumerate(texts)} and {"Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "LGPL-2.1", "CC0-1.0"} <= set(got.values())
+
+
 def test_license_lines_of_documents(docs):
     notice = {re.sub(r"\W+", " ", t.lower()).strip(): k for k, t in licenses.KNOWN}
     want = {(i, notice[c]) for i, t in texts_of(docs).items() for line in t.split("\n") if (c := re.sub(r"\W+", " ", line.lower()).strip()) in notice}
