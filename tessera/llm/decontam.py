@@ -5,20 +5,25 @@ that any WINDOW words in a row, two of them substituted at any places, hold an i
 by trying all pairs). Seeds of training texts are joined by hash to those of the benchmark; each hit
 names a diagonal (place in the document less place in the item), and around it the words are compared
 one by one. A document holds an item's passage if on some diagonal WINDOW words in a row (the whole
-item, if that is shorter) agree in at least SIMILAR of their places.
+item, if that is shorter) agree in at least SIMILAR of their places. Items under SPAN words must agree in all.
+
+Items under WINDOW words are searched for by pieces too, words in a row: the whole item under SPAN words, else one
+disjoint piece more than SIMILAR allows substitutions, of which one is intact. Documents are read for
+the lengths of pieces that the benchmark has, so that without short items this costs nothing.
 
 All of it is built-in functions on the JVM: positions and masks are exploded inside generated code, and
 only seeds that are also the benchmark's leave it. Documents are read again for the few hits, by a
 join on doc_id; no text crosses the network otherwise than in that join.
 
-Defined results: null or empty texts, and texts with fewer words than a seed spans, hold nothing and give
-no row; items with fewer words than a seed spans cannot be searched for; repeated documents and items
+Defined results: null or empty texts hold nothing and give no row; items without words are not searched for; repeated documents and items
 each give their rows, once for each pair of ids; empty tables give an empty result; other columns of
 the inputs are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +62,45 @@ def seeds(rows: DataFrame) -> DataFrame:
     return at.select(*kept, "at", F.explode(F.array(*hashes)).alias("seed"))
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """Place and length of the pieces of an item of ``n`` words."""
+    if n >= WINDOW:
+        return []
+    if n < SPAN:
+        return [(0, n)]
+    m = n - math.ceil(SIMILAR * n - 1e-9) + 1
+    size = min(4, n // m)
+    return [(k * size, size) for k in range(m)]
+
+
+def _piece(length: int) -> F.Column:
+    return F.xxhash64(F.lit(-length), *[F.get("words", F.col("at") + F.lit(p)) for p in range(length)])
+
+
+def short_hits(texts: DataFrame, items: DataFrame) -> DataFrame | None:
+    """doc_id, item_id and diagonal where a piece of a short item stands; None if the benchmark has no short items.
+
+    A whole item is a match as it stands: its first place in a document is enough.
+    """
+    sizes = [r[0] for r in items.select(F.size("words").alias("n")).where(f"n between 1 and {WINDOW - 1}").distinct().collect()]
+    if not sizes:
+        return None
+    lengths = sorted({size for n in sizes for _, size in pieces(n)})
+    where = F.coalesce(*[F.when(F.size("words") == n, F.array(*[F.struct(F.lit(a).alias("at"), F.lit(b).alias("length")) for a, b in pieces(n)])) for n in sizes])
+    each = items.withColumn("whole", F.size("words") < SPAN).select("item_id", "words", "whole", F.explode(where).alias("p")).select("item_id", "words", "whole", "p.at", "p.length")
+    keys = each.select("item_id", F.col("at").alias("item_at"), "whole", F.coalesce(*[F.when(F.col("length") == x, _piece(x)) for x in lengths]).alias("seed")).distinct()
+    places = F.when(F.size("words") >= lengths[0], F.sequence(F.lit(0), F.size("words") - lengths[0]))
+    at = texts.select("doc_id", "words", F.explode(places).alias("at"))
+    found = at.select("doc_id", "at", F.explode(F.array(*[F.when(F.col("at") + x <= F.size("words"), _piece(x)) for x in lengths])).alias("seed"))
+    if keys.count() <= BROADCAST:
+        keyed = keys.groupBy("seed").agg(F.collect_list(F.struct("item_id", "item_at", "whole")).alias("places"))
+        hits = found.join(F.broadcast(keyed), "seed").select("doc_id", "at", F.explode("places").alias("p")).select("doc_id", "at", "p.*")
+    else:
+        hits = found.join(keys, "seed")
+    hits = hits.select("doc_id", "item_id", "whole", (F.col("at") - F.col("item_at")).alias("diagonal"))
+    return hits.groupBy("doc_id", "item_id", F.when(~F.col("whole"), F.col("diagonal")).alias("each")).agg(F.min("diagonal").alias("diagonal")).drop("each")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item it holds a passage of: doc_id, item_id, matched (words that agree on
     the best diagonal), doc_start and item_start (word places of that diagonal's first agreeing window), windows."""
@@ -70,14 +114,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hits = texts.transform(seeds).join(keys, "seed")
     else:
         hits = texts.transform(seeds).join(F.broadcast(keyed), "seed").select("doc_id", "at", F.explode("places").alias("p")).select("doc_id", "at", "p.item_id", "p.item_at")
-    diagonals = durable(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
+    hits = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"))
+    short = short_hits(texts, items)
+    diagonals = durable((hits if short is None else hits.unionByName(short)).distinct())
     some = diagonals.select("doc_id").distinct()
     found = docs.select("doc_id", "text").join(some, "doc_id", "left_semi").select("doc_id", words("text").alias("words"))
     both = diagonals.join(found, "doc_id").join(items.select("item_id", F.col("words").alias("item")), "item_id")
     # Only the part of the document beside the item is carried on.
     both = both.select("doc_id", "item_id", "diagonal", "item", F.expr("transform(item, (w, i) -> i + diagonal >= 0 and w <=> get(words, i + diagonal))").alias("same"))
     size = f"least({WINDOW}, size(item))"
-    need = f"ceil({SIMILAR} * {size} - 1e-9)"
+    need = f"if(size(item) < {SPAN}, size(item), ceil({SIMILAR} * {size} - 1e-9))"
     sums = "aggregate(same, named_struct('n', 0, 'all', array(0)), (a, x) -> named_struct('n', a.n + int(x), 'all', concat(a.all, array(a.n + int(x)))), a -> a.all)"
     both = both.withColumn("sums", F.expr(sums))
     both = both.withColumn("starts", F.expr(f"filter(sequence(0, size(item) - {size}), s -> sums[s + {size}] - sums[s] >= {need})")).where("size(starts) > 0")

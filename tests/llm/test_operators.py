@@ -367,6 +367,23 @@ def test_contamination_is_that_of_brute_force(spark):
     assert got == want and len(want) >= 6
 
 
+def test_short_items_are_found_with_all_substitutions_allowed(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 13)]
+    texts, want = [], set()
+    for n, item in items:
+        allowed = 0 if n < decontam.SPAN else n - math.ceil(decontam.SIMILAR * n - 1e-9)
+        for errors in range(allowed + 2):
+            for places in itertools.combinations(range(n), errors):
+                if errors <= allowed:
+                    want.add((len(texts), n))
+                texts.append("a b " + " ".join("other" if k in places else w for k, w in enumerate(item.split())) + " c.")
+    texts += [items[9][1].rsplit(" ", 2)[0], items[6][1] + " " + items[6][1]]
+    want |= {(len(texts) - 2, 10), (len(texts) - 1, 7)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
 def test_contamination_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "the same words again and again and so on it goes"), (2, None)], "item_id long, text string")
     assert decontam.contaminated(odd, bench).count() == 0
