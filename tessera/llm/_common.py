@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_key(columns: list[str]) -> list[Column]:
+    """Two hashes that tell rows apart by these columns; where nulls stand counts, which a hash alone leaves out."""
+    nulls = [F.col(c).isNull() for c in columns]
+    return [F.xxhash64(F.lit(k), *columns, *nulls) for k in range(2)]
+
+
 def size_of(df: DataFrame) -> tuple:
     """Count and an order-free digest of the rows."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("x")).first()

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import durable
+from tessera.llm._common import durable, row_key
 
 #: Positions that each mask keeps. Fixed values, found by search.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
@@ -78,7 +78,7 @@ def _piece(length: int) -> F.Column:
 
 
 def short_hits(texts: DataFrame, items: DataFrame) -> DataFrame | None:
-    """doc_id, item_id and diagonal where a piece of a short item stands; None if the benchmark has no short items.
+    """Key of the row, item_id and diagonal where a piece of a short item stands; None if the benchmark has no short items.
 
     A whole item is a match as it stands: its first place in a document is enough.
     """
@@ -90,48 +90,63 @@ def short_hits(texts: DataFrame, items: DataFrame) -> DataFrame | None:
     each = items.withColumn("whole", F.size("words") < SPAN).select("item_id", "words", "whole", F.explode(where).alias("p")).select("item_id", "words", "whole", "p.at", "p.length")
     keys = each.select("item_id", F.col("at").alias("item_at"), "whole", F.coalesce(*[F.when(F.col("length") == x, _piece(x)) for x in lengths]).alias("seed")).distinct()
     places = F.when(F.size("words") >= lengths[0], F.sequence(F.lit(0), F.size("words") - lengths[0]))
-    at = texts.select("doc_id", "words", F.explode(places).alias("at"))
-    found = at.select("doc_id", "at", F.explode(F.array(*[F.when(F.col("at") + x <= F.size("words"), _piece(x)) for x in lengths])).alias("seed"))
+    at = texts.select("__key0", "__key1", "words", F.explode(places).alias("at"))
+    found = at.select("__key0", "__key1", "at", F.explode(F.array(*[F.when(F.col("at") + x <= F.size("words"), _piece(x)) for x in lengths])).alias("seed"))
     if keys.count() <= BROADCAST:
         keyed = keys.groupBy("seed").agg(F.collect_list(F.struct("item_id", "item_at", "whole")).alias("places"))
-        hits = found.join(F.broadcast(keyed), "seed").select("doc_id", "at", F.explode("places").alias("p")).select("doc_id", "at", "p.*")
+        hits = found.join(F.broadcast(keyed), "seed").select("__key0", "__key1", "at", F.explode("places").alias("p")).select("__key0", "__key1", "at", "p.*")
     else:
         hits = found.join(keys, "seed")
-    hits = hits.select("doc_id", "item_id", "whole", (F.col("at") - F.col("item_at")).alias("diagonal"))
-    return hits.groupBy("doc_id", "item_id", F.when(~F.col("whole"), F.col("diagonal")).alias("each")).agg(F.min("diagonal").alias("diagonal")).drop("each")
+    hits = hits.select("__key0", "__key1", "item_id", "whole", (F.col("at") - F.col("item_at")).alias("diagonal"))
+    return hits.groupBy("__key0", "__key1", "item_id", F.when(~F.col("whole"), F.col("diagonal")).alias("each")).agg(F.min("diagonal").alias("diagonal")).drop("each")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and item it holds a passage of: doc_id, item_id, matched (words that agree on
-    the best diagonal), doc_start and item_start (word places of that diagonal's first agreeing window), windows."""
+KEY = ["__key0", "__key1"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key of id and text: ids may be null, or those of several documents."""
+    return docs.select("*", *[k.alias(name) for name, k in zip(KEY, row_key(["doc_id", "text"]))])
+
+
+def _passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Key and id of the document, item and ``starts`` and ``sums`` of every diagonal on which it holds the item's passage."""
     items = durable(benchmark.select("item_id", words("text").alias("words")).distinct())
     keys = items.transform(seeds).select("item_id", F.col("at").alias("item_at"), "seed").distinct()
-    texts = docs.select("doc_id", words("text").alias("words"))
+    docs = _keyed(docs)
+    texts = docs.select("__key0", "__key1", words("text").alias("words"))
     keyed = keys.groupBy("seed").agg(F.collect_list(F.struct("item_id", "item_at")).alias("places"))
     small = keys.count() <= BROADCAST
     if not small:
         # Very common seeds stay apart, so that no list of places grows without bound.
         hits = texts.transform(seeds).join(keys, "seed")
     else:
-        hits = texts.transform(seeds).join(F.broadcast(keyed), "seed").select("doc_id", "at", F.explode("places").alias("p")).select("doc_id", "at", "p.item_id", "p.item_at")
-    hits = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"))
+        hits = texts.transform(seeds).join(F.broadcast(keyed), "seed").select("__key0", "__key1", "at", F.explode("places").alias("p")).select("__key0", "__key1", "at", "p.item_id", "p.item_at")
+    hits = hits.select("__key0", "__key1", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"))
     short = short_hits(texts, items)
     diagonals = durable((hits if short is None else hits.unionByName(short)).distinct())
-    some = diagonals.select("doc_id").distinct()
-    found = docs.select("doc_id", "text").join(some, "doc_id", "left_semi").select("doc_id", words("text").alias("words"))
-    both = diagonals.join(found, "doc_id").join(items.select("item_id", F.col("words").alias("item")), "item_id")
+    some = diagonals.select("__key0", "__key1").distinct()
+    found = docs.select("doc_id", "text", "__key0", "__key1").join(some, KEY, "left_semi").select("doc_id", "__key0", "__key1", words("text").alias("words"))
+    both = diagonals.join(found, KEY).join(items.select("item_id", F.col("words").alias("item")), "item_id")
     # Only the part of the document beside the item is carried on.
-    both = both.select("doc_id", "item_id", "diagonal", "item", F.expr("transform(item, (w, i) -> i + diagonal >= 0 and w <=> get(words, i + diagonal))").alias("same"))
+    both = both.select("doc_id", "__key0", "__key1", "item_id", "diagonal", "item", F.expr("transform(item, (w, i) -> i + diagonal >= 0 and w <=> get(words, i + diagonal))").alias("same"))
     size = f"least({WINDOW}, size(item))"
     need = f"if(size(item) < {SPAN}, size(item), ceil({SIMILAR} * {size} - 1e-9))"
     sums = "aggregate(same, named_struct('n', 0, 'all', array(0)), (a, x) -> named_struct('n', a.n + int(x), 'all', concat(a.all, array(a.n + int(x)))), a -> a.all)"
     both = both.withColumn("sums", F.expr(sums))
     both = both.withColumn("starts", F.expr(f"filter(sequence(0, size(item) - {size}), s -> sums[s + {size}] - sums[s] >= {need})")).where("size(starts) > 0")
+    return both
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each document and item it holds a passage of: doc_id, item_id, matched (words that agree on
+    the best diagonal), doc_start and item_start (word places of that diagonal's first agreeing window), windows."""
+    both = _passages(docs, benchmark)
     best = both.select("doc_id", "item_id", F.expr("struct(element_at(sums, -1) as matched, -diagonal as d, -starts[0] as s, size(starts) as n)").alias("b")).groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
     return best.selectExpr("doc_id", "item_id", "cast(b.matched as bigint) as matched", "cast(- b.s - b.d as bigint) as doc_start", "cast(- b.s as bigint) as item_start", "cast(b.n as bigint) as windows")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no passage of the benchmark."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__id"), "left_anti")
+    bad = _passages(docs, benchmark).select(*KEY).distinct()
+    return _keyed(docs).join(bad, KEY, "left_anti").select(*docs.columns)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import components, durable
+from tessera.llm._common import components, durable, row_key
 
 RADIUS = 3
 WORDS = 3
@@ -58,12 +58,14 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
-        yield pd.DataFrame({"doc_id": x["doc_id"], "fp": np.array([fingerprint(t) for t in x["text"]], np.uint64).view(np.int64)})
+        yield x.drop(columns="text").assign(fp=np.array([fingerprint(t) for t in x["text"]], np.uint64).view(np.int64))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and the fingerprint as a signed long, ``fp``, of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_prints, "doc_id long, fp long")
+    # A null id would make the whole column one of floats in pandas.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
+    return rows.mapInPandas(_prints, "doc_id long, none boolean, fp long").select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "fp")
 
 
 def links(prints: DataFrame, radius: int = RADIUS, paired: int = PAIRED) -> DataFrame:
@@ -104,18 +106,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = durable(fingerprints(docs))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = durable(components(links(nodes.select("fp"))))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = _rooted(nodes)
     groups = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(groups, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """``nodes``, which have distinct ``fp`` and ``least``, with the root of the component of each."""
+    roots = durable(components(links(nodes.select("fp"))))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: that of the smallest doc_id.
+    """The rows of ``docs`` with one row of each component: that of the smallest doc_id, a null id after all others.
 
-    Rows that repeat a doc_id are copies too: one of them stays, by the smallest hash of its columns.
+    Among rows that share this id in a component the smallest hash of all columns decides; equal rows are
+    one. Rows that share an id in different components are different documents, and each may stay.
     """
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep.withColumnRenamed("doc_id", "__kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    keyed = docs.select("*", *[k.alias(f"__key{i}") for i, k in enumerate(row_key(docs.columns))])
+    rows = keyed.select("text", F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), "__key0", "__key1")
+    prints = rows.mapInPandas(_prints, "none boolean, doc_id long, __key0 long, __key1 long, fp long")
+    nodes = durable(prints.groupBy("fp").agg(F.min(F.struct("none", "doc_id", "__key0", "__key1")).alias("least")))
+    keep = _rooted(nodes).groupBy("root").agg(F.min("least").alias("least")).select("least.__key0", "least.__key1")
+    return keyed.join(keep, ["__key0", "__key1"], "left_semi").dropDuplicates(["__key0", "__key1"]).select(*docs.columns)

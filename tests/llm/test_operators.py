@@ -493,6 +493,19 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted({by[i]["component_id"] for i in by if i})
 
 
+def test_stages_keep_documents_without_id_and_with_one_id(spark):
+    a, b, c, d = ("the cat sat on the mat today", "a wholly different text about rain and snow", "one more story of ships and far harbours", " ".join(f"w{i}" for i in range(20)))
+    rows = [(None, a, None, "en"), (None, a, "en", None), (None, b, None, None), (7, b, None, None), (8, a + " x" * 40, None, None), (8, c, None, None), (8, c, None, None), (None, d, None, None), (9, d, None, None), (9, "clean words here", None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.deduplicate(table).collect()]
+    want = [(None, a), (7, b), (8, a + " x" * 40), (8, c), (9, d), (9, "clean words here")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    bench = spark.createDataFrame([(1, d)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(table, bench).collect()} == {(None, 1), (9, 1)}
+    clean = [(r["doc_id"], r["text"]) for r in decontam.decontaminate(table, bench).collect()]
+    assert sorted(clean, key=str) == sorted([r[:2] for r in rows if r[1] != d], key=str)
+
+
 # --- 10 licences
 
 
