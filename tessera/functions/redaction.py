@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 # Detectors in order: type, pattern, group that holds the secret, confidence.
 DETECTORS = (
     ("PEM_KEY", r"(?i)-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z ]+ )?PRIVATE KEY-----", 1.0),
-    ("AUTH_BEARER", r"(?i)(?<=\bAuthorization:\x20Bearer\x20)[A-Z0-9._+/=-]+", 0.95),
-    ("KEY_VALUE", r"""(?i)(?<=(?:api_key|apikey|api-key|token|secret|password)\x20{0,2}[:=]\x20{0,2})(?:"[^"]*"|'[^']*'|[^\s'";]+)""", 0.85),
+    ("AUTH_BEARER", r"(?i)(\bAuthorization\s*:\s*Bearer\s+)[A-Z0-9._+/=-]+", 0.95),
+    ("KEY_VALUE", r"""(?i)((?:api[_-]?key|token|secret|password)[A-Z0-9_-]*\b\s*[:=]\s*)(?:"[^"]*"|'[^']*'|[^\s'";]+)""", 0.85),
     ("JWT", r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{8,}+", 0.95),
     ("EMAIL", r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{2,}\b", 0.90),
     ("CREDIT_CARD", r"(?<!\d)(?:\d[ -]*?){13,19}(?!\d)", 0.98),
 )
+#: Of these the first group stands before the secret and is not part of it.
+PREFIXED = ("AUTH_BEARER", "KEY_VALUE")
 MASK = "[REDACTED]"
 BLOCK_AT, MASK_AT = 0.90, 0.60
 FULL_WIDTH = "".join(map(chr, (*range(0xFF41, 0xFF5B), *range(0xFF10, 0xFF1A))))
@@ -31,12 +33,14 @@ def spans_of(text: Column, kind: str, pattern: str, confidence: float) -> Column
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(a: Column, z: Column) -> Column:
-        begin = a["at"] + F.length(z["p"])
-        end = begin + F.length(z["m"])
+        whole = a["at"] + F.length(z["p"])
+        begin, end = whole + F.length(z["h"]) if kind in PREFIXED else whole, whole + F.length(z["m"])
         one = F.struct(F.lit(kind).alias("type"), begin.alias("start"), end.alias("end"), F.lit(confidence).alias("confidence"))
         return F.when(z["m"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out")))
 
     both = F.zip_with(cut, found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    if kind in PREFIXED:
+        both = F.zip_with(both, F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda z, h: F.struct(z["p"].alias("p"), z["m"].alias("m"), h.alias("h")))
     out = F.aggregate(both, start, step, lambda a: a["out"])
     if kind == "CREDIT_CARD":
         out = F.filter(out, lambda s: F.call_function("luhn_check", F.regexp_replace(F.substring(text, s["start"] + 1, s["end"] - s["start"]), r"\D", "")))
@@ -105,7 +109,7 @@ def mask_in_turn(text: Column | str, with_: str = MASK) -> Column:
     """Mask kind after kind, each on what the one before left."""
     said = F.coalesce(_col(text), F.lit(""))
     for kind, pattern, confidence in DETECTORS:
-        said = mask(said, spans_of(said, kind, pattern, confidence), with_, 0.0) if kind == "CREDIT_CARD" else F.regexp_replace(said, pattern, with_.replace("$", r"\$"))
+        said = mask(said, spans_of(said, kind, pattern, confidence), with_, 0.0) if kind == "CREDIT_CARD" else F.regexp_replace(said, pattern, ("$1" if kind in PREFIXED else "") + with_.replace("$", r"\$"))
     return said
 
 

@@ -128,6 +128,13 @@ def test_masking(spark):
         assert r["m"] == r["n"] == SECRETS[r["i"]][1]
 
 
+def test_secrets_behind_longer_names_and_any_white_space(spark):
+    forms = ["SECRET_KEY=%s", "aws_secret_access_key = %s", "password_hash: %s", "token_id=%s", "password\t=\t%s", "token:   %s", "my-api-key:\n%s;", "Authorization :\tBearer  %s", "a token=%s and SECRET_KEY='%s'"]
+    rows = spark.createDataFrame([(f.replace("%s", "abc.d-1"), f.replace("'%s'", "%s").replace("%s", "[REDACTED]")) for f in forms], "t string, want string")
+    for r in rows.select("want", redaction.mask("t", redaction.resolve_overlaps(redaction.detect("t"))).alias("m"), redaction.mask_in_turn("t").alias("n")).collect():
+        assert r["m"] == r["n"] == r["want"]
+
+
 def test_overlaps_are_resolved_as_a_fold(spark):
     rng = random.Random(9)
     rows = [[(f"T{rng.randrange(3)}", a := rng.randrange(30), a + rng.randrange(1, 9), rng.choice([0.5, 0.8, 0.9])) for _ in range(rng.randrange(7))] for _ in range(30)]
