@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.rules import half_up, rate
+from tessera.sources.shared import durable
 
 
 def status_pivot(rows: DataFrame, group: str, status: str, values: list[str], good: str) -> DataFrame:
@@ -51,13 +52,27 @@ def trend(runs: DataFrame, at: str, value: str, keep: int = 100, by: str | None
     return newest.withColumn("delta", F.col(value) - F.lag(value).over(w.orderBy(at)))
 
 
-def evict(entries: DataFrame, most: int, used: Column, key: str) -> DataFrame:
-    """Entries that stay: over ``most``, the oldest fifth of those (one at least) go. Only the cut is ordered, by a top-n."""
+def evict(entries: DataFrame, most: int, used: Column, key: str, gone: int | None = None) -> DataFrame:
+    """Entries that stay: over ``most``, the oldest fifth of all entries (one at least), or ``gone`` of them, go.
+
+    The cut is found over sorted partitions: a row's place is the sizes of those before its own, and its place in there.
+    """
     n = entries.count()
     if n <= most:
         return entries
-    gone = entries.orderBy(used, key).limit(max(1, most // 5)).select(F.col(key).alias("__gone"))
-    return entries.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    cut = gone or max(1, n // 5)
+    ordered = durable(entries.select(used.alias("__used"), F.col(key).alias("__gone")).orderBy("__used", "__gone").select("__gone", F.monotonically_increasing_id().alias("__at")))
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    before, whole, last = 0, [], None
+    for r in ordered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c")).orderBy("p").collect():
+        if before + r["c"] > cut:
+            last = (r["p"], cut - before)
+            break
+        before += r["c"]
+        whole.append(r["p"])
+    first = part <= (whole[-1] if whole else -1)
+    out = ordered.where(first | ((part == last[0]) & (place < last[1])) if last else first).select("__gone")
+    return entries.join(out, F.col(key) == F.col("__gone"), "left_anti")
 
 
 def expired(written: Column, now: Column, ttl: int) -> Column:

@@ -165,6 +165,13 @@ def test_trends_and_retention(spark):
     assert rollup.unary_root(nodes) == "b" and rollup.common_prefix(spark.createDataFrame([("x.y.a",), ("x.y.b.c",)], "n string"), "n") == ["x", "y"]
 
 
+def test_eviction_takes_a_fifth_of_all_entries(spark):
+    rows = spark.range(2500).selectExpr("id as k", "id * 37 % 101 as u").repartition(7)
+    stay = sorted(((r["u"], r["k"]) for r in rows.collect()))[500:]
+    assert sorted((r["u"], r["k"]) for r in stats.evict(rows, 20, F.col("u"), "k").collect()) == stay
+    assert stats.evict(rows, 20, F.col("u"), "k", gone=4).count() == 2496
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "cov.xml").write_text('<report name="r"><package name="a/b"><class name="a/b/X"><counter type="LINE" missed="1" covered="3"/><counter type="BRANCH" missed="0" covered="0"/></class></package></report>')
     got = {r["type"]: (r["class"], r["rate"]) for r in readers.coverage(spark, str(tmp_path / "cov.xml")).collect()}
