@@ -6,45 +6,50 @@ import numpy as np
 
 # Bytes that part words, besides white space.
 MARKS = b".,;:!?\"'()"
-#: Multiplier of the polynomial hash (odd, so that no byte is lost), and the places of a word that have powers of their own.
-BASE, PLACES = 0x9E3779B97F4A7C15, 256
+#: Odd multipliers of the hash.
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PARTS = np.zeros(256, bool)
 _PARTS[np.frombuffer(b" \t\n\r\v\f" + MARKS, np.uint8)] = True
-_POWERS = np.cumprod(np.full(PLACES, BASE, np.uint64))
+#: What keeps the first so many of eight bytes.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
-def hashed(texts: list[str | None], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
-    """Of all words in order: hash, number of the text it stands in, then hashes of its first so many bytes (0 where it is no longer).
+def joined(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
+    """The lower-case texts as UTF-8, each followed by a space, and where each ends."""
+    parts = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    return b" ".join([*parts, b""]), np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)
+
+
+def split(raw: bytes, ends: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Of all words in order: hash, number of the text it stands in, then hashes of its first so many bytes, eight at most (0 where it is no longer).
 
-    Words are lower-case runs of other characters than white space and MARKS, hashed as UTF-8.
+    Words are runs of other bytes than white space and MARKS. They are hashed eight bytes at a time; only longer words go round again.
     """
-    parts = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
-    ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.zeros(0, np.int64)
-    raw = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    inside = ~_PARTS[raw]
-    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))
-    first = np.flatnonzero(edge == 1)
-    last = np.flatnonzero(edge == -1)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~_PARTS[np.frombuffer(raw, np.uint8)]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    first, sizes = edge[::2], edge[1::2] - edge[::2]
     owner = np.searchsorted(ends, first, side="right")
-    sizes = last - first
-    flat = raw[inside].astype(np.uint64) + np.uint64(1)
-    begins = np.cumsum(sizes) - sizes
-    place = np.arange(len(flat)) - np.repeat(begins, sizes)
-    flat *= _POWERS[place % PLACES]
-    whole = np.add.reduceat(flat, begins) if len(begins) else np.zeros(0, np.uint64)
-    out = [_mixed(whole), owner]
-    for n in prefixes:
-        some = np.zeros(len(first), np.uint64)
-        long = sizes > n
-        for k in range(n):
-            some[long] += flat[begins[long] + k]
-        out.append(np.where(long, _mixed(some + np.uint64(n)), np.uint64(0)))
-    return tuple(out)
+    eights = np.ndarray((len(raw),), "<u8", raw + b"\0" * 8, strides=(1,))
+    head = eights[first] & _FIRST[np.minimum(sizes, 8)]
+    whole = _mixed((head + sizes.astype(np.uint64)) * _M1)
+    on, at = np.flatnonzero(sizes > 8), 8
+    while len(on):
+        part = eights[first[on] + at] & _FIRST[np.minimum(sizes[on] - at, 8)]
+        whole[on] = _mixed((whole[on] ^ part) * _M1 + _M2)
+        at += 8
+        on = on[sizes[on] > at]
+    return (whole, owner, *(np.where(sizes > n, _mixed(((head & _FIRST[n]) + np.uint64(n)) * _M2), np.uint64(0)) for n in prefixes))
+
+
+def hashed(texts: list[str | None], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """``split`` of the lower-case texts."""
+    return split(*joined(texts), prefixes)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Spread what the low bits do not show."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * _M2
     return x ^ (x >> np.uint64(29))
 
 

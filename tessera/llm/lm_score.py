@@ -3,22 +3,23 @@
 Two bigram models, one of target documents (labelled good and not toxic) and one of all documents, share
 one vocabulary, one set of kept bigrams and one smoothing, so that they differ in counts alone. A document's
 score is the mean over its words of loss under the target model less loss under the background model: the
-lower, the closer to the target.
+lower, the closer to the target. A word, or pair, is in the model if it comes at least LEAST times, whatever the
+size of the corpus; words that come less often are one unknown word, other pairs back off to their second word.
 
-All counts are taken over all documents: each task adds up what it reads, a shuffle adds up the tasks. A word,
-or pair, stays in the model if it comes at least LEAST times, whatever the size of the corpus; words that come
-less often are one unknown word, other pairs back off to their second word. So the model grows with the corpus: it
-is a table in the shared folder. What makes up at least RARE of all bytes, of which no more
-than 1 / (2 RARE) words and pairs can exist, is broadcast and looked up where the text is read; keys of
-all other words and pairs are joined to the table, and none of those is in a great part of the corpus.
+The model grows with the corpus and is never in one place. Texts are packed, compressed, into runs of about RUN
+code points, rows of a table in the shared folder. Each run asks for the counts of its distinct words and pairs, as
+sorted hashes that are cut into buckets by range; together with the question goes what the run itself
+adds. Whoever holds a bucket adds up all runs' counts and answers each run in the order of its question. The runs
+then meet their answers and are scored. So a key crosses the network once for each run it stands in, however
+often it comes there, a hot word is one key of a run like any other, and no model is broadcast or joined. A run
+that does not get an answer for each of its keys raises an error.
 
-A loss is the bits of the unknown word for every word, plus for each known word the difference to that, plus for
-each known pair the difference to its second word: keys the table does not hold add nothing.
+Hashes of words and pairs have 56 bits: at 10^13 distinct pairs about one in 15,000 shares its hash.
 
 Defined results: a null or empty text has no words, losses and score null; without target documents the
 target model is the background model and all scores are 0; repeated rows each count and each get their row;
-empty tables give an empty result; several labels of a document count as good if all are; other
-columns of the inputs are not read.
+empty tables give an empty result; several labels of a document count as good if all are; a null id has no label; other
+columns of the inputs are not read. A text of any length is scored whole, in the memory of one task.
 """
 
 from __future__ import annotations
@@ -26,24 +27,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import scratch
-from tessera.llm._words import hashed, slices
+from tessera.llm._words import joined, slices, split
 
-#: A word or pair is broadcast if its count is at least this part of the corpus in bytes; it stays if it comes LEAST times.
-RARE, LEAST = 1e-6, 2
+#: A word or pair stays in the model if it comes so often.
+LEAST = 2
 #: Weight of the bigram estimate; added to unigram counts.
 BIGRAM, ADDED = 0.7, 0.5
-#: Words after which a task hands on what it has added up; code points taken at a time.
-RUN, SLICE = 4_000_000, 4_000_000
-#: Rows handed to the JVM at a time.
-ROWS = 200_000
-#: In place of a word's hash: before the first word of a text; in rows that count a word; in rows that count it as the first of a pair.
-START, WORD, HEAD = 1, 2, 3
+#: Code points of a run, bytes of text to a bucket, and to a partition of the two shuffles.
+RUN, BUCKET, PARTITION = 12_000_000, 4_000_000, 64_000_000
+#: Target documents up to which their ids are broadcast, 8 bytes each; beyond, texts are joined to labels by a shuffle.
+BROADCAST = 4_000_000
+#: In place of a word before the first of a text.
+START = 0
+#: What is said of a document in a run: it counts, is scored, is a target, has no id.
+COUNTED, WANTED, TARGET, NO_ID = 1, 2, 4, 8
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -64,128 +67,256 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every word in order: its hash, that of the one before it in its text (START for the first), and the number of its text."""
-    words, owner = hashed(texts)
-    words = words.view(np.int64)
-    before = np.full(len(words), START, np.int64)
-    before[1:] = words[:-1]
-    before[1:][owner[1:] != owner[:-1]] = START
-    return words, before, owner
+# --- bytes of sorted keys and of small numbers
 
 
-def _added(keys: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the distinct keys, how often each comes, and how often in target documents."""
-    if not len(keys):
-        return (np.zeros(0, np.int64),) * 3
-    by = np.argsort(keys)
-    first = np.flatnonzero(np.diff(keys[by], prepend=keys[by[0]] ^ 1))
-    return by[first], np.diff(first, append=len(keys)), np.add.reduceat(good[by], first)
+def _small(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, a byte each, those over 254 once more in full at the end."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype("<i8").tobytes()
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of a pair, of WORD and a word, and of a word and HEAD, with their counts."""
+class _Reader:
+    """Reads what was put together, from the left."""
 
-    def added() -> Iterator[pd.DataFrame]:
-        words, before, good = (np.concatenate(x) for x in zip(*held))
-        for keys, first, second in ((words, WORD, words), (before, before, HEAD), (pair_keys(before, words), before, words)):
-            at, n, fine = _added(keys, good)
-            first, second = (x[at] if isinstance(x, np.ndarray) else np.full(len(at), x, np.int64) for x in (first, second))
-            for k in range(0, len(at), ROWS):
-                yield pd.DataFrame({"v": first[k : k + ROWS], "w": second[k : k + ROWS], "n": n[k : k + ROWS], "good": fine[k : k + ROWS]})
+    def __init__(self, raw: bytes):
+        self.raw, self.at = raw, 0
+
+    def take(self, kind: str, n: int) -> np.ndarray:
+        out = np.frombuffer(self.raw, kind, n, self.at)
+        self.at += out.nbytes
+        return out
+
+    def small(self, n: int) -> np.ndarray:
+        out = self.take("u1", n).astype(np.int64)
+        large = np.flatnonzero(out == 255)
+        out[large] = self.take("<i8", len(large))
+        return out
+
+    def keys(self, n: int) -> np.ndarray:
+        low = self.take("<u4", n).astype(np.int64)
+        return (np.cumsum(self.small(n)) << 32) | low
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys: the low 32 bits in full, of the high ones what each adds to the one before."""
+    return (keys & 0xFFFFFFFF).astype("<u4").tobytes() + _small(np.diff(keys >> 32, prepend=0))
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of the keys, which have 56 bits."""
+    return (keys >> 24) * buckets >> 32
+
+
+# --- runs
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of doc_id, text, say: rows of many compressed texts with their ends, ids and what is said of them."""
+    nth, held, size = 0, [], 0
+
+    def run(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        nonlocal nth
+        table = pa.Table.from_batches(parts)
+        raw, ends = joined(table.column("text").to_pylist())
+        ids, said = table.column("doc_id"), table.column("say").to_numpy().astype(np.uint8)
+        said = said | np.where(ids.is_null().to_numpy(), np.uint8(NO_ID), np.uint8(0))
+        number, nth = (TaskContext.get().partitionId() << 33) + nth, nth + 1
+        row = [number, len(raw), pa.compress(raw, codec="zstd", asbytes=True), ends.tobytes(), ids.fill_null(0).to_numpy().tobytes(), said.tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["run", "size", "texts", "ends", "ids", "said"])
 
-    held, words = [], 0
     for batch in batches:
-        texts, good = list(batch["text"]), batch["good"].to_numpy(np.int64)
-        for a, b in slices([len(t or "") for t in texts], SLICE):
-            ids, before, owner = _coded(texts[a:b])
-            held.append((ids, before, good[a:b][owner]))
-            words += len(ids)
-            if words > RUN:
-                yield from added()
-                held, words = [], 0
+        sizes = pa.compute.utf8_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).tolist()
+        for a, b in slices(sizes, RUN - size) if sizes else []:
+            held.append(batch.slice(a, b - a))
+            size += sum(sizes[a:b])
+            if size >= RUN:
+                yield run(held)
+                held, size = [], 0
     if held:
-        yield from added()
+        yield run(held)
+
+
+class _Run:
+    """The words of a run, its distinct words and pairs in order, and where each word and pair is among them."""
+
+    def __init__(self, row: dict):
+        raw = pa.decompress(row["texts"], decompressed_size=row["size"], codec="zstd", asbytes=True)
+        self.ids, self.said = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["said"], np.uint8)
+        words, self.owner = split(raw, np.frombuffer(row["ends"], np.int64))
+        words = (words >> np.uint64(8)).view(np.int64)
+        before = np.full(len(words), START, np.int64)
+        before[1:] = words[:-1]
+        self.first = np.ones(len(words), bool)
+        self.first[1:] = self.owner[1:] != self.owner[:-1]
+        before[self.first] = START
+        self.pair_order, self.pair_at, self.pairs = _distinct((pair_keys(before, words).view(np.uint64) >> np.uint64(8)).view(np.int64))
+        # The start of texts is one more word, before all others.
+        self.word_order, self.word_at, self.words = _distinct(np.append(words, START))
+        self.word_of = np.empty(len(words) + 1, np.int64)
+        self.word_of[self.word_order] = np.repeat(np.arange(len(self.words)), np.diff(self.word_at, append=len(words) + 1))
+
+    def before_of(self, at: np.ndarray) -> np.ndarray:
+        """Which of the distinct words stands before these words."""
+        return np.where(self.first[at], self.word_of[-1], self.word_of[at - 1])
+
+    def asked(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """By bucket the keys and what this run adds to their counts: all and in target documents, and of words how often they end a text."""
+        counted = (self.said & COUNTED > 0).astype(np.int64)
+        counts = [counted[self.owner], (counted * (self.said & TARGET > 0))[self.owner]]
+        last = np.append(self.first[1:], True) if len(self.first) else self.first
+        texts = [int(x[self.first].sum()) for x in counts]
+        of_words = [np.append(x, n) for x, n in zip(counts, texts)] + [np.append(x * last, 0) for x in counts]
+        of_words = [np.add.reduceat(x[self.word_order], self.word_at) for x in of_words]
+        of_pairs = [np.add.reduceat(x[self.pair_order], self.pair_at) if len(self.pairs) else x for x in counts]
+        w, p = (np.searchsorted(_bucket(x, buckets), np.arange(buckets + 1)) for x in (self.words, self.pairs))
+        for b in np.flatnonzero((w[1:] > w[:-1]) | (p[1:] > p[:-1])):
+            ws, ps = slice(w[b], w[b + 1]), slice(p[b], p[b + 1])
+            parts = [np.array([w[b + 1] - w[b], p[b + 1] - p[b]], "<u4").tobytes(), _packed_keys(self.words[ws]), *[_small(x[ws]) for x in of_words], _packed_keys(self.pairs[ps]), *[_small(x[ps]) for x in of_pairs]]
+            yield int(b), b"".join(parts)
+
+    def scored(self, answers: list[tuple[int, bytes]], model: dict) -> pa.RecordBatch:
+        """Losses of the wanted documents."""
+        parts: list[list[np.ndarray]] = [[], []]
+        for _, body in sorted(answers):
+            read = _Reader(body)
+            sizes = read.take("<u4", 2)
+            for k, columns in enumerate((4, 2)):
+                parts[k].append(np.stack([read.small(int(sizes[k])) for _ in range(columns)]))
+        of_words, of_pairs = (np.concatenate([np.zeros((columns, 0), np.int64), *x], axis=1) for x, columns in zip(parts, (4, 2)))
+        if of_words.shape[1] != len(self.words) or of_pairs.shape[1] != len(self.pairs):
+            raise RuntimeError("a run did not get an answer for each of its words and pairs")
+        n = np.bincount(self.owner, minlength=len(self.ids))
+        at = self.pair_order[self.pair_at] if len(self.pairs) else np.zeros(0, np.int64)
+        word, before, kept = self.word_of[at], self.before_of(at), of_pairs[0] > 0
+        pair_of = np.empty(len(self.owner), np.int64)
+        pair_of[self.pair_order] = np.repeat(np.arange(len(self.pairs)), np.diff(self.pair_at, append=len(self.owner)))
+        sums = []
+        for k in (0 if not model["targets"] else 1, 0):
+            low = np.where(of_words[0] > 0, (1 - BIGRAM) * (of_words[k] + ADDED), (1 - BIGRAM) * (model["rare"][k] + ADDED)) / (model["total"][k] + ADDED * model["size"])
+            heads = np.maximum(of_words[k] - of_words[2 + k], 1)
+            loss = -np.log2(low[word] + np.where(kept, BIGRAM * of_pairs[k] / heads[before], 0.0))
+            sums.append(np.bincount(self.owner, loss[pair_of], len(self.ids)))
+        wanted = self.said & WANTED > 0
+        some, ids = n[wanted] > 0, pa.array(self.ids[wanted], mask=self.said[wanted] & NO_ID > 0)
+        target, background = (x[wanted] / np.maximum(n[wanted], 1) for x in sums)
+        return pa.RecordBatch.from_arrays([ids, pa.array(n[wanted]), *[pa.array(x, mask=~some) for x in (target, background, target - background)]], OUT)
+
+
+OUT = ["doc_id", "n_words", "loss_target", "loss_background", "score"]
+ANSWER = "run long, bucket int, body binary, known long, known_n long, known_target long, rare_n long, rare_target long"
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the keys, where each distinct one begins in it, and the distinct ones."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return order, at, ordered[at]
+
+
+def _asking(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                bucket, body = zip(*_Run(row).asked(buckets))
+                # Handed on some megabytes at a time.
+                each = max(1, 4_000_000 * len(body) // (sum(map(len, body)) + 1))
+                for a in range(0, len(body), each):
+                    some = body[a : a + each]
+                    yield pa.RecordBatch.from_arrays([pa.array([row["run"]] * len(some), pa.int64()), pa.array(bucket[a : a + each], pa.int32()), pa.array(some, pa.binary())], ["run", "bucket", "body"])
 
+    return run
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """The two models: ``table`` of key, target and background bits, the same of frequent keys as arrays, and the bits of an unknown word."""
-    spark = docs.sparkSession
-    size_of = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    often = max(LEAST, RARE * size_of)
-    good = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"))
-    # Both sides are dealt by id at every size, and only the labels are held in memory, a partition at a time.
-    marked = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counts = marked.mapInPandas(_counts, "v long, w long, n long, good long").groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    path = scratch(spark, "counts")
-    counts.where((F.col("n") >= LEAST) | (F.col("v") == WORD)).write.parquet(path)
-    counts = spark.read.parquet(path)
-    words = counts.where(F.col("v") == WORD).select(F.col("w").alias("word"), "n", "good")
-    kept = words.where(F.col("n") >= LEAST)
-    sums = {r["known"]: r for r in words.groupBy((F.col("n") >= LEAST).alias("known")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.sum("good").alias("good")).collect()}
-    size = 2 + (sums[True]["c"] if True in sums else 0)
-    target = "good" if sum(r["good"] for r in sums.values()) else "n"
-    total = {x: sum(r[x] for r in sums.values()) for x in ("n", target)}
-    unknown = {x: float(-np.log2((1 - BIGRAM) * ((sums[False][x] if False in sums else 0) + ADDED) / (total[x] + ADDED * size))) for x in total}
-
-    def low(x: str) -> F.Column:
-        return F.lit(1 - BIGRAM) * (F.col(x) + ADDED) / F.lit(total[x] + ADDED * size)
-
-    kept = kept.select("word", "n", low(target).alias("low_target"), low("n").alias("low_n"))
-    of_words = kept.select(F.col("word").alias("key"), "n", (-F.log2("low_target") - unknown[target]).alias("target"), (-F.log2("low_n") - unknown["n"]).alias("background"))
-    heads = counts.where(F.col("w") == HEAD).select(F.col("v").alias("head"), F.col("n").alias("head_n"), F.col(target).alias("head_target"))
-    pairs = counts.where((F.col("v") != WORD) & (F.col("w") != HEAD)).select("v", "w", "n", F.col(target).alias("target"))
-    pairs = pairs.join(heads.hint("shuffle_hash"), F.col("v") == F.col("head")).join(kept.drop("n").hint("shuffle_hash"), F.col("w") == F.col("word"))
-
-    def more(n: str, head: str, low: str) -> F.Column:
-        return -F.log2(F.lit(BIGRAM) * F.col(n) / F.greatest(F.col(head), F.lit(1)) + F.col(low)) + F.log2(low)
-
-    of_pairs = pairs.select(F.xxhash64("v", "w").alias("key"), "n", more("target", "head_target", "low_target").alias("target"), more("n", "head_n", "low_n").alias("background"))
-    path = scratch(spark, "model")
-    of_words.unionByName(of_pairs).withColumn("often", F.col("n") >= often).drop("n").write.parquet(path)
-    table = spark.read.parquet(path)
-    top = table.where("often").orderBy("key").toPandas()
-    return {"table": table.where("not often").drop("often"), "keys": top["key"].to_numpy(np.int64), "target": top["target"].to_numpy(float), "background": top["background"].to_numpy(float), "unknown": (unknown[target], unknown["n"])}
-
-
-BASE = pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("target", pa.float64()), ("background", pa.float64())])
-SENT = "row long, key long, base struct<doc_id:long,n:long,target:double,background:double>"
-
-
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, n_words, loss_target, loss_background (bits a word) and score, their difference, of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "table"})
 
+def _by(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows that follow each other with one value of the column, together."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row[column] != held[0][column]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up the counts of a bucket and answer each run; one more row, without a run, says what all words come to."""
+    for rows in _by("bucket", batches):
+        sizes, keys, counts = [], ([], []), ([], [])
+        for row in rows:
+            read = _Reader(row["body"])
+            sizes.append(read.take("<u4", 2).astype(np.int64))
+            for k, columns in enumerate((4, 2)):
+                m = int(sizes[-1][k])
+                keys[k].append(read.keys(m))
+                counts[k].append(np.stack([read.small(m) for _ in range(columns)]))
+        answers, sums = [], []
+        for k in (0, 1):
+            all_keys, all_counts = np.concatenate(keys[k]), np.concatenate(counts[k], axis=1)
+            order, at, distinct = _distinct(all_keys)
+            total = np.add.reduceat(all_counts[:, order], at, axis=1) if len(order) else all_counts
+            if k == 0:
+                real, known = distinct != START, total[0] >= LEAST
+                sums = [int((real & known).sum()), *[int(total[c][real & who].sum()) for who in (known, ~known) for c in (0, 1)]]
+                known |= ~real
+            else:
+                known = total[0] >= LEAST
+            total = np.where(known, total, 0)
+            whole = np.empty_like(all_counts)
+            whole[:, order] = np.repeat(total, np.diff(at, append=len(order)), axis=1)
+            answers.append(np.split(whole, np.cumsum([s[k] for s in sizes])[:-1], axis=1))
+        body = [b"".join([s.astype("<u4").tobytes(), *[_small(x) for x in w], *[_small(x) for x in p]]) for s, w, p in zip(sizes, *answers)]
+        arrays = [pa.array([r["run"] for r in rows] + [None], pa.int64()), pa.array([r["bucket"] for r in rows] + [None], pa.int32()), pa.array([*body, None], pa.binary())]
+        arrays += [pa.array([None] * len(rows) + [x], pa.int64()) for x in sums]
+        yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in ANSWER.split(", ")])
+
+
+def _scoring(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of every text a row with what the frequent keys add, and a row for each key that is not one of them."""
-        model = sent.value
-        frequent = model["keys"]
+        for rows in _by("run", batches):
+            texts = [r for r in rows if r["texts"] is not None]
+            if len(texts) != 1:
+                raise RuntimeError("answers without their run")
+            yield _Run(texts[0]).scored([(r["bucket"], r["body"]) for r in rows if r["texts"] is None], model)
 
-        def batch_of(row: np.ndarray, key: np.ndarray, base: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(key), base], ["row", "key", "base"])
+    return run
 
-        for batch in batches:
-            texts, ids, rows = batch.column("text").to_pylist(), batch.column("doc_id"), batch.column("row").to_numpy()
-            for a, b in slices([len(t or "") for t in texts], SLICE):
-                words, before, owner = _coded(texts[a:b])
-                n = np.bincount(owner, minlength=b - a)
-                sums, row = [n * x for x in model["unknown"]], rows[a:b]
-                left = []
-                for keys in (words, pair_keys(before, words)):
-                    at = np.minimum(np.searchsorted(frequent, keys), max(0, len(frequent) - 1))
-                    hit = frequent[at] == keys if len(frequent) else np.zeros(len(keys), bool)
-                    for k, name in enumerate(("target", "background")):
-                        sums[k] = sums[k] + np.bincount(owner[hit], model[name][at[hit]], b - a)
-                    left.append((row[owner[~hit]], keys[~hit]))
-                # The key of a text's own row spreads such rows; what it might meet is not read.
-                yield batch_of(row, pair_keys(row, row), pa.StructArray.from_arrays([ids[a:b], pa.array(n), pa.array(sums[0]), pa.array(sums[1])], fields=list(BASE)))
-                for whose, keys in left:
-                    for k in range(0, len(keys), ROWS):
-                        yield batch_of(whose[k : k + ROWS], keys[k : k + ROWS], pa.nulls(len(keys[k : k + ROWS]), BASE))
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, SENT)
-    met = rows.join(model["table"].hint("shuffle_hash"), "key", "left").where("base is not null or target is not null")
-    sums = [F.sum(F.when(F.col("base").isNull(), F.col(x)).otherwise(F.col(f"base.{x}"))).alias(x) for x in ("target", "background")]
-    found = met.groupBy("row").agg(F.max("base.doc_id").alias("doc_id"), F.max("base.n").alias("n_words"), *sums)
-    some = F.when(F.col("n_words") > 0, F.col("n_words"))
-    return found.select("doc_id", "n_words", (F.col("target") / some).alias("loss_target"), (F.col("background") / some).alias("loss_background"), ((F.col("target") - F.col("background")) / some).alias("score"))
+
+def _marked(docs: DataFrame, good: DataFrame, few: bool, say: int) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not say & COUNTED:
+        return rows.withColumn("say", F.lit(say))
+    good = good.withColumn("good", F.lit(TARGET))
+    return rows.join(F.broadcast(good) if few else good.hint("shuffle_hash"), rows["doc_id"] == F.col("id"), "left").select("doc_id", "text", (F.lit(say) + F.coalesce("good", F.lit(0))).alias("say"))
+
+
+def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, loss_target, loss_background (bits a word) and score, their difference, of every row of ``docs``.
+
+    The models are counted on ``corpus``, with its targets by ``labels``; by default that is ``docs``.
+    """
+    spark = docs.sparkSession
+    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good")).where("good").select("id")
+    few = good.count() <= BROADCAST
+    if corpus is None:
+        rows = _marked(docs, good, few, COUNTED | WANTED)
+    else:
+        rows = _marked(docs, good, few, WANTED).union(_marked(corpus, good, few, COUNTED))
+    path = scratch(spark, "runs")
+    rows.mapInArrow(_runs, "run long, size long, texts binary, ends binary, ids binary, said binary").write.option("compression", "none").parquet(path)
+    runs = spark.read.parquet(path)
+    size = runs.agg(F.sum("size")).first()[0] or 0
+    buckets = -(-size // BUCKET) or 1
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
+    path = scratch(spark, "answers")
+    asked = runs.mapInArrow(_asking(buckets), "run long, bucket int, body binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    asked.mapInArrow(_answered, ANSWER).write.option("compression", "zstd").parquet(path)
+    answers = spark.read.parquet(path)
+    sums = answers.where("run is null").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("known", "known_n", "known_target", "rare_n", "rare_target")]).first()
+    model = {"size": sums["known"] + 2, "rare": (sums["rare_n"], sums["rare_target"]), "total": (sums["known_n"] + sums["rare_n"], sums["known_target"] + sums["rare_target"])}
+    model["targets"] = model["total"][1] > 0
+    both = runs.unionByName(answers.where("run is not null").select("run", "bucket", "body"), allowMissingColumns=True)
+    return both.repartition(parts, "run").sortWithinPartitions("run").mapInArrow(_scoring(model), "doc_id long, n_words long, loss_target double, loss_background double, score double")

@@ -34,8 +34,7 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.fit(docs, table(spark, sf_dir, "labels")))
+    return lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,7 +168,7 @@ def test_scores_are_those_of_counting(spark):
     rows = [(1, "a b a b c"), (2, "a b. A c"), (3, "c c c"), (4, None), (5, "")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r for r in lm_score.score(table, lm_score.fit(table, labels)).collect()}
+    got = {r["doc_id"]: r for r in lm_score.score(table, labels).collect()}
     assert got[4]["score"] is None and got[5]["n_words"] == 0
     words = {i: re.findall(r"\w+", (t or "").lower()) for i, t in rows}
     loss = {}
@@ -188,20 +188,46 @@ def test_scores_are_those_of_counting(spark):
         assert math.isclose(got[i]["score"], loss["t", i] - loss["b", i], abs_tol=1e-9)
 
 
-@pytest.mark.parametrize("part", [1e-6, 1e9])
-def test_scores_do_not_depend_on_what_is_broadcast(spark, docs, monkeypatch, part):
-    """A word or pair that comes twice is in the model whatever the size of the corpus."""
+@pytest.mark.parametrize("sizes", [(12_000_000, 4_000_000), (20_000, 3_000), (1, 100_000)])
+def test_scores_do_not_depend_on_runs_and_buckets(spark, docs, monkeypatch, sizes):
+    """A word or pair that comes twice is in the model whatever the size of the corpus, wherever it comes."""
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
-    monkeypatch.setattr(lm_score, "RARE", 0)
-    want = {r["doc_id"]: r for r in lm_score.score(docs, lm_score.fit(docs, labels)).collect()}
-    monkeypatch.setattr(lm_score, "RARE", part)
-    model = lm_score.fit(docs, labels)
-    assert (part < 1) == (len(model["keys"]) > 0)
-    got = lm_score.score(docs, model).collect()
-    assert len(got) == docs.count() and len({r["loss_background"] for r in got}) > 10
+    bytes_of = lambda t: [w for w in re.split(rb"[ \t\n\r\v\f.,;:!?\"'()]+", (t or "").lower().encode()) if w]
+    texts = [(r["doc_id"], bytes_of(r["text"])) for r in docs.collect()]
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"]}
+    words, pairs, heads = ([{}, {}] for _ in range(3))
+    for i, t in texts:
+        for k in (0, 1) if i in good else (0,):
+            for v, w in zip([b" ", *t], t):
+                for of, key in ((words, w), (pairs, (v, w)), (heads, v)):
+                    of[k][key] = of[k].get(key, 0) + 1
+    total = [sum(x.values()) for x in words]
+    known = {w for w, n in words[0].items() if n >= 2}
+    rare = [sum(n for w, n in x.items() if w not in known) for x in words]
+    want = {}
+    for i, t in texts:
+        bits = [0.0, 0.0]
+        for v, w in zip([b" ", *t], t):
+            for k in (0, 1):
+                low = 0.3 * ((words[k].get(w, 0) if w in known else rare[k]) + 0.5) / (total[k] + 0.5 * (len(known) + 2))
+                high = 0.7 * pairs[k].get((v, w), 0) / max(1, heads[k].get(v, 0)) if pairs[0][v, w] >= 2 else 0
+                bits[k] -= math.log2(low + high)
+        want[i] = (len(t), *[x / len(t) if t else None for x in (bits[1], bits[0], bits[1] - bits[0])])
+    monkeypatch.setattr(lm_score, "RUN", sizes[0])
+    monkeypatch.setattr(lm_score, "BUCKET", sizes[1])
+    got = lm_score.score(docs, labels).collect()
+    assert len(got) == len(texts) and len({r["loss_background"] for r in got}) > 10
     for r in got:
-        for c in ("n_words", "loss_target", "loss_background", "score"):
-            assert r[c] == want[r["doc_id"]][c] or math.isclose(r[c], want[r["doc_id"]][c], abs_tol=1e-9)
+        for c, x in zip(("n_words", "loss_target", "loss_background", "score"), want[r["doc_id"]]):
+            assert r[c] == x or math.isclose(r[c], x, abs_tol=1e-9)
+
+
+def test_other_documents_are_scored_by_the_corpus(spark, docs):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    some = docs.where("doc_id < 40")
+    want = {r["doc_id"]: r for r in lm_score.score(docs, labels).collect()}
+    got = lm_score.score(some, labels, docs).collect()
+    assert len(got) == some.count() and all(r == want[r["doc_id"]] for r in got)
 
 
 def test_pair_keys_are_those_of_spark(spark):
@@ -212,9 +238,9 @@ def test_pair_keys_are_those_of_spark(spark):
 
 def test_scores_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    rows = lm_score.score(odd, lm_score.fit(odd, labels)).collect()
+    rows = lm_score.score(odd, labels).collect()
     assert len(rows) == len(ODD) and all(r["score"] in (None, 0.0) for r in rows)
-    assert lm_score.score(none, lm_score.fit(none, labels)).count() == 0
+    assert lm_score.score(none, labels).count() == 0
 
 
 # --- 5 personal data
