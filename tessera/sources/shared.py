@@ -3,19 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is not set, as in tests on one machine, a local folder that is then set."""
+    """``spark.checkpoint.dir``; where it is not set, a local folder that is then set, as in tests on one machine. On a cluster that is an error."""
     context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """A checkpoint that survives the loss of executors."""
     shared_dir(df.sparkSession)
