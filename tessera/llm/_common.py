@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import durable, scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests on one machine) a local folder is made and set.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["components", "durable", "held", "remove", "row_key", "scratch", "shared_dir", "size_of", "small_batches", "unpacked"]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -46,15 +28,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, rows)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which outlives executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def held(docs: DataFrame, *columns: str) -> DataFrame:
+    """The whole rows as one column ``__row``, beside it only the columns named, so that no other can clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *columns)
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that ``held`` packed."""
+    return rows.select(*[F.col("__row").getField(c).alias(c) for c in columns])
 
 
-def row_key(columns: list[str]) -> list[Column]:
+def row_key(columns: list[Column]) -> list[Column]:
     """Two hashes that tell rows apart by these columns; where nulls stand counts, which a hash alone leaves out."""
-    nulls = [F.col(c).isNull() for c in columns]
+    nulls = [c.isNull() for c in columns]
     return [F.xxhash64(F.lit(k), *columns, *nulls) for k in range(2)]
 
 

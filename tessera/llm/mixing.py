@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import durable
+from tessera.llm._common import durable, held, unpacked
 
 REPEATS = 1.25
 #: Blocks of a source at most; fewer if blocks would fall under BLOCK tokens.
@@ -86,7 +86,7 @@ def plan(docs: DataFrame, target: float | None = None, repeats: float | None = R
 
 
 def _dealt(docs: DataFrame, target: float | None, repeats: float | None, budget: float | None) -> DataFrame:
-    """``docs`` with __tokens, __copies, __block and __position.
+    """``docs``, which have doc_id, source and text, with __tokens, __copies, __block and __position.
 
     Two scans give the sums by source and by block, a third the hash at which the block at the edge of
     each source's budget is cut. The table of blocks then tells of each document what becomes of it, so
@@ -126,6 +126,6 @@ def schedule(docs: DataFrame, target: float | None = None, repeats: float | None
 
 def mix(docs: DataFrame, target: float | None = None, repeats: float | None = REPEATS, budget: float | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as the schedule says."""
-    rows = _dealt(docs, target, repeats, budget)
+    rows = _dealt(held(docs, "doc_id", "source", "text"), target, repeats, budget)
     times = F.expr("if(__copies > 0, sequence(1L, __copies), cast(array() as array<bigint>))")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(times).alias("__copy")).drop("__copy")
+    return unpacked(rows.select("__row", F.explode(times).alias("__copy")), docs.columns)
