@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import components, durable, row_key
+from tessera.llm._common import components, durable, held, row_key, unpacked
 
 RADIUS = 3
 WORDS = 3
@@ -124,9 +124,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Among rows that share this id in a component the smallest hash of all columns decides; equal rows are
     one. Rows that share an id in different components are different documents, and each may stay.
     """
-    keyed = docs.select("*", *[k.alias(f"__key{i}") for i, k in enumerate(row_key(docs.columns))])
-    rows = keyed.select("text", F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), "__key0", "__key1")
-    prints = rows.mapInPandas(_prints, "none boolean, doc_id long, __key0 long, __key1 long, fp long")
+    keys = [k.alias(f"__key{i}") for i, k in enumerate(row_key([F.col(f"`{c}`") for c in docs.columns]))]
+    keyed = held(docs, "text", F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), *keys)
+    prints = keyed.drop("__row").mapInPandas(_prints, "none boolean, doc_id long, __key0 long, __key1 long, fp long")
     nodes = durable(prints.groupBy("fp").agg(F.min(F.struct("none", "doc_id", "__key0", "__key1")).alias("least")))
     keep = _rooted(nodes).groupBy("root").agg(F.min("least").alias("least")).select("least.__key0", "least.__key1")
-    return keyed.join(keep, ["__key0", "__key1"], "left_semi").dropDuplicates(["__key0", "__key1"]).select(*docs.columns)
+    kept = keyed.select("__row", "__key0", "__key1").join(keep, ["__key0", "__key1"], "left_semi")
+    return unpacked(kept.dropDuplicates(["__key0", "__key1"]), docs.columns)
