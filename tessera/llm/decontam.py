@@ -12,8 +12,8 @@ disjoint piece more than SIMILAR allows substitutions, of which one is intact. D
 the lengths of pieces that the benchmark has, so that without short items this costs nothing.
 
 All of it is built-in functions on the JVM: positions and masks are exploded inside generated code, and
-only seeds that are also the benchmark's leave it. Documents are read again for the few hits, by a
-join on doc_id; no text crosses the network otherwise than in that join.
+only seeds that are also the benchmark's leave it. Documents are read again for the few hits, by a join with
+their keys, which are broadcast up to BROADCAST of them; only beyond does text cross the network, in that join.
 
 Defined results: null or empty texts hold nothing and give no row; items without words are not searched for; repeated documents and items
 each give their rows, once for each pair of ids; empty tables give an empty result; other columns of
@@ -27,13 +27,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import durable, row_key
+from tessera.llm._common import durable, held, row_key, unpacked
 
 #: Positions that each mask keeps. Fixed values, found by search.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN = 8
 WINDOW, SIMILAR = 13, 0.8
-#: Benchmark seeds up to which they are broadcast (24 bytes each); beyond, the join shuffles.
+#: Benchmark seeds (24 bytes each) and keys of documents found up to which they are broadcast; beyond, the joins shuffle.
 BROADCAST = 2_000_000
 #: Marks taken off the ends of words.
 MARKS = ".,;:!?()[]{}<>*_|#~-+=/&%$@^`\""
@@ -104,16 +104,21 @@ def short_hits(texts: DataFrame, items: DataFrame) -> DataFrame | None:
 KEY = ["__key0", "__key1"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """With a key of id and text: ids may be null, or those of several documents."""
-    return docs.select("*", *[k.alias(name) for name, k in zip(KEY, row_key(["doc_id", "text"]))])
+def _keys() -> list[F.Column]:
+    """A key of id and text: ids may be null, or those of several documents."""
+    return [k.alias(name) for name, k in zip(KEY, row_key([F.col("doc_id"), F.col("text")]))]
+
+
+def _some(keys: DataFrame) -> DataFrame:
+    """Keys of the few documents found, 16 bytes each: broadcast up to BROADCAST of them, so that no text is shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST else keys
 
 
 def _passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Key and id of the document, item and ``starts`` and ``sums`` of every diagonal on which it holds the item's passage."""
     items = durable(benchmark.select("item_id", words("text").alias("words")).distinct())
     keys = items.transform(seeds).select("item_id", F.col("at").alias("item_at"), "seed").distinct()
-    docs = _keyed(docs)
+    docs = docs.select("doc_id", "text", *_keys())
     texts = docs.select("__key0", "__key1", words("text").alias("words"))
     keyed = keys.groupBy("seed").agg(F.collect_list(F.struct("item_id", "item_at")).alias("places"))
     small = keys.count() <= BROADCAST
@@ -125,8 +130,7 @@ def _passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = hits.select("__key0", "__key1", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"))
     short = short_hits(texts, items)
     diagonals = durable((hits if short is None else hits.unionByName(short)).distinct())
-    some = diagonals.select("__key0", "__key1").distinct()
-    found = docs.select("doc_id", "text", "__key0", "__key1").join(some, KEY, "left_semi").select("doc_id", "__key0", "__key1", words("text").alias("words"))
+    found = docs.join(_some(diagonals.select(*KEY).distinct()), KEY, "left_semi").select("doc_id", "__key0", "__key1", words("text").alias("words"))
     both = diagonals.join(found, KEY).join(items.select("item_id", F.col("words").alias("item")), "item_id")
     # Only the part of the document beside the item is carried on.
     both = both.select("doc_id", "__key0", "__key1", "item_id", "diagonal", "item", F.expr("transform(item, (w, i) -> i + diagonal >= 0 and w <=> get(words, i + diagonal))").alias("same"))
@@ -148,5 +152,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no passage of the benchmark."""
-    bad = _passages(docs, benchmark).select(*KEY).distinct()
-    return _keyed(docs).join(bad, KEY, "left_anti").select(*docs.columns)
+    bad = durable(_passages(docs, benchmark).select(*KEY).distinct())
+    return unpacked(held(docs, *_keys()).join(_some(bad), KEY, "left_anti"), docs.columns)
