@@ -1,19 +1,23 @@
 """Approximate nearest neighbours by inner product on robust-pruned graphs, one for each shard.
 
 Rows that repeat id and vector are one. They are dealt to shards of bounded size by a hash of both. In a shard, inner product is turned into
-distance by one more coordinate that brings all vectors to one length; equal vectors are one node.
+distance by one more coordinate that brings all vectors to one length; equal vectors are one node. Graphs are laid out
+on vectors scaled to the shard's largest component, so that no square overflows; scores are of the vectors as they came.
 The graph starts from a few random edges; twice, batch by batch, a greedy search for each node proposes
 neighbours, and relaxed pruning keeps a candidate only if no kept one is nearer to it, by the
 factor ALPHA, than the node is; back edges are added and pruned alike. A query searches the graph of
 every shard with a beam, widened where too few different ids are in it, and exact scores in double precision merge what the shards found.
+Every query looks at a shard's longest vectors as well. A shard of up to WHOLE nodes is compared whole.
 
-A shard with its graph is one row of bytes, written to the shared folder; queries come in blocks, each
-joined to each shard, so that a task holds one shard and one block whatever the size of the tables.
+A shard with its graph is one row of bytes, written to the shared folder. Each shard's task reads its own and is sent the
+queries, one at a time in order after it; what crosses the network is the index once and, for each shard, the queries
+and their k answers. A task holds one shard and QUERIES queries whatever the size of the tables.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part; rows with the query's own vec_id are its own; equal scores go to the smaller
 vec_id; rows repeating a candidate's vec_id count once, the largest score standing; fewer than k
-candidates are all returned; empty tables give an empty result; other columns are not read.
+candidates are all returned; a query id with several vectors is searched for with each, the largest score of a candidate standing;
+empty tables give an empty result; other columns are not read. A score beyond the range of doubles is infinite.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ from tessera.llm._common import scratch
 K = 20
 #: Vectors in a shard, edges of a node, width of the beam when building and searching, relaxation.
 SHARD, DEGREE, BEAM, ALPHA = 4096, 32, 64, 1.2
-#: Queries of a block.
-QUERIES = 1024
+#: Queries searched together; nodes of a shard up to which all are compared.
+QUERIES, WHOLE = 1024, 256
 SEED = 7
 
 
@@ -120,9 +124,14 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     return edges, start
 
 
+def _scale(vectors: np.ndarray) -> float:
+    """A power of two over all components."""
+    return float(2.0 ** np.ceil(np.log2(np.abs(vectors).max())))
+
+
 def _index(degree: int, beam: int, alpha: float):
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        ids, vectors = x["vec_id"].to_numpy(np.int64), np.stack(x["embedding"]).astype(np.float32)
+        ids, vectors = x["vec_id"].to_numpy(np.int64), np.stack(x["embedding"])
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
         nodes, member = np.unique(vectors, axis=0, return_inverse=True)
@@ -130,97 +139,124 @@ def _index(degree: int, beam: int, alpha: float):
         by = np.argsort(member, kind="stable")
         # Equal vectors of one id that differ in the sign of a zero are left.
         by = by[np.append(True, (np.diff(member[by]) != 0) | (np.diff(ids[by]) != 0))]
-        square = (nodes.astype(np.float64) ** 2).sum(axis=1)
-        lifted = np.column_stack([nodes, np.sqrt(np.maximum(square.max() - square, 0))]).astype(np.float32)
-        edges, start = build(lifted, degree, beam, alpha)
-        raw = pickle.dumps((nodes, lifted, edges.astype(np.int32), start, ids[by], np.searchsorted(member[by], np.arange(len(nodes) + 1))), protocol=5)
+        edges, start = np.zeros((0, degree), np.int32), 0
+        if len(nodes) > WHOLE:
+            edges, start = build(_lifted(nodes), degree, beam, alpha)
+        raw = pickle.dumps((nodes, edges.astype(np.int32), start, ids[by], np.searchsorted(member[by], np.arange(len(nodes) + 1))), protocol=5)
         return pd.DataFrame({"shard": [int(x["shard"].iloc[0])], "index": [raw]})
 
     return run
 
 
+def _lifted(nodes: np.ndarray) -> np.ndarray:
+    """The scaled vectors with the coordinate that brings all to one length."""
+    scaled = nodes.astype(np.float64) / _scale(nodes)
+    square = (scaled**2).sum(axis=1)
+    return np.column_stack([scaled, np.sqrt(np.maximum(square.max() - square, 0))]).astype(np.float32)
+
+
 def _answer(k: int, beam: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, index = None, None
+        index, held = None, []
         for batch in batches:
-            for _, x in batch.iterrows():
-                if held != x["shard"]:
-                    held, index = x["shard"], pickle.loads(x["index"])
-                nodes, lifted, edges, start, members, firsts = index
-                ids, queries = np.asarray(x["ids"], np.int64), np.frombuffer(x["vectors"], np.float32).reshape(len(x["ids"]), -1)
-                edges, wide = edges.astype(np.int64), np.column_stack([queries, np.zeros(len(queries), np.float32)])
-                q, v, s = [], [], []
-                todo, width = np.arange(len(ids)), max(beam, k + 1)
-                while len(todo):
-                    # A beam as wide as the shard is all of it.
-                    whole, again = width >= len(nodes), []
-                    found, away = _search(lifted, edges, start, wide[todo], width) if not whole else (None, None)
-                    for at, i in enumerate(todo):
-                        near = np.arange(len(nodes)) if whole else found[at][np.isfinite(away[at])]
-                        score = nodes[near].astype(np.float64) @ queries[i].astype(np.float64)
-                        # The smallest k + 1 ids of a node are enough: its members tie, and one may be the query.
-                        each = [members[firsts[m] : min(firsts[m + 1], firsts[m] + k + 1)] for m in near]
-                        some = np.concatenate(each) if each else np.zeros(0, np.int64)
-                        score = np.repeat(score, [len(e) for e in each])
-                        other = some != ids[i]
-                        some, score = some[other], score[other]
-                        order = np.lexsort((some, -score))
-                        # Of each id its best place only.
-                        best = order[np.sort(np.unique(some[order], return_index=True)[1])[:k]]
-                        if len(best) < k and not whole:
-                            again.append(i)
-                            continue
-                        q.append(np.full(len(best), ids[i]))
-                        v.append(some[best])
-                        s.append(score[best])
-                    todo, width = np.array(again, np.int64), 4 * width
-                yield pd.DataFrame({"query_id": np.concatenate(q), "vec_id": np.concatenate(v), "score": np.concatenate(s)})
+            for raw, query, vector in zip(batch["index"], batch["vec_id"], batch["embedding"]):
+                if raw is None:
+                    held.append((int(query), vector))
+                if held and (raw is not None or len(held) == QUERIES):
+                    yield _answered(index, held, k, beam)
+                    held = []
+                if raw is not None:
+                    nodes, edges, start, members, firsts = pickle.loads(raw)
+                    index = (nodes, _lifted(nodes), edges.astype(np.int64), start, members, firsts)
+        if held:
+            yield _answered(index, held, k, beam)
 
     return run
 
 
-def _block(x: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"block": [int(x["block"].iloc[0])], "ids": [x["vec_id"].tolist()], "vectors": [np.stack(x["embedding"]).astype(np.float32).tobytes()]})
+def _answered(index: tuple, asked: list[tuple[int, np.ndarray]], k: int, beam: int) -> pd.DataFrame:
+    """The k best of a shard for each query."""
+    nodes, lifted, edges, start, members, firsts = index
+    ids, queries = np.array([i for i, _ in asked], np.int64), np.stack([v for _, v in asked]).astype(np.float64)
+    # What is nearest does not depend on a query's length.
+    wide = np.column_stack([queries / np.abs(queries).max(axis=1)[:, None], np.zeros(len(queries))]).astype(np.float32)
+    q, v, s = [], [], []
+    todo, width = np.arange(len(ids)), max(beam, k + 1)
+    whole = len(nodes) <= WHOLE
+    # The longest vectors are looked at by every query: where lengths differ much, they are what is nearest to most.
+    longest = np.sort(np.argsort(lifted[:, -1], kind="stable")[:beam])
+    while len(todo):
+        # A beam as wide as the shard is all of it.
+        whole, again = whole or width >= len(nodes), []
+        found, away = _search(lifted, edges, start, wide[todo], width) if not whole else (None, None)
+        for at, i in enumerate(todo):
+            near = np.arange(len(nodes)) if whole else np.union1d(found[at][np.isfinite(away[at])], longest)
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = nodes[near].astype(np.float64) @ queries[i]
+            # The smallest k + 1 ids of a node are enough: its members tie, and one may be the query.
+            each = [members[firsts[m] : min(firsts[m + 1], firsts[m] + k + 1)] for m in near]
+            some = np.concatenate(each) if each else np.zeros(0, np.int64)
+            score = np.repeat(score, [len(e) for e in each])
+            other = some != ids[i]
+            some, score = some[other], score[other]
+            order = np.lexsort((some, -score))
+            # Of each id its best place only.
+            best = order[np.sort(np.unique(some[order], return_index=True)[1])[:k]]
+            if len(best) < k and not whole:
+                again.append(i)
+                continue
+            q.append(np.full(len(best), ids[i]))
+            v.append(some[best])
+            s.append(score[best])
+        todo, width = np.array(again, np.int64), 4 * width
+    return pd.DataFrame({"query_id": np.concatenate(q), "vec_id": np.concatenate(v), "score": np.concatenate(s)})
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    rows = rows.where("vec_id is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = float('infinity')) and exists(embedding, x -> x <> 0)")
-    sizes = rows.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
-    return rows.where(F.size("embedding") == (sizes["n"] if sizes else 0))
+def usable(vectors: DataFrame, size: int | None = None) -> DataFrame:
+    """vec_id and embedding, float or double as it comes, of the rows that take part: those of ``size`` components, by default the most common size."""
+    kind = "array<double>" if dict(vectors.dtypes)["embedding"] != "array<float>" else "array<float>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    rows = rows.where("vec_id is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)")
+    if size is None:
+        sizes = rows.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
+        size = sizes["n"] if sizes else 0
+    return rows.where(F.size("embedding") == size)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` vectors of ``vectors`` found nearest to each of ``queries``."""
     spark = vectors.sparkSession
-    rows, asked = (usable(x).dropDuplicates(["vec_id", "embedding"]) for x in (vectors, queries))
-    n, m = (usable(x).select("vec_id", F.xxhash64("embedding")).distinct().count() for x in (vectors, queries))
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-m // QUERIES))
+    sizes = usable(vectors).select(F.size("embedding")).first()
+    rows, asked = (usable(x, sizes[0] if sizes else 0).dropDuplicates(["vec_id", "embedding"]) for x in (vectors, queries))
+    n = rows.select("vec_id", F.xxhash64("embedding")).distinct().count()
+    shards = max(1, -(-n // shard))
     path = scratch(spark, "shards")
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int"))
     # A number of partitions that is asked for is not made smaller at run time: shards are built side by side.
     dealt = dealt.repartition(2 * shards, "shard")
     dealt.groupBy("shard").applyInPandas(_index(degree, beam, alpha), "shard int, index binary").write.parquet(path)
     index = spark.read.parquet(path)
-    packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(_block, "block int, ids array<long>, vectors binary")
-    each = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    spread = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), shards * blocks))
-    met = each.join(index, "shard").repartition(spread, "shard", "block")
-    found = met.mapInPandas(_answer(k, beam), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    each = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    both = index.select("shard", "index", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast(asked.schema["embedding"].dataType).alias("embedding")).union(each.select("shard", F.lit(None).cast("binary"), "vec_id", "embedding"))
+    # In each shard its index comes before the queries.
+    both = both.repartition(2 * shards, "shard").sortWithinPartitions("shard", F.col("vec_id").asc_nulls_first())
+    found = both.select("index", F.coalesce("vec_id", F.lit(0)).alias("vec_id"), "embedding").mapInPandas(_answer(k, beam), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def exact(vectors: DataFrame, queries: DataFrame, k: int = K) -> list[tuple[int, int, int, float]]:
     """The same by comparing all, in the driver: for tests and for measuring recall on small tables."""
-    rows, asked = usable(vectors).toPandas(), usable(queries).toPandas()
+    sizes = usable(vectors).select(F.size("embedding")).first()
+    rows, asked = (usable(x, sizes[0] if sizes else 0).toPandas() for x in (vectors, queries))
     out = []
     if len(rows) and len(asked):
         ids, all_ = rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(np.float64)
         for q, v in zip(asked["vec_id"], asked["embedding"]):
             score = all_ @ np.asarray(v, np.float64)
             best = np.lexsort((ids, -score))
-            best = best[ids[best] != q][:k]
+            best = best[ids[best] != q]
+            best = best[np.sort(np.unique(ids[best], return_index=True)[1])[:k]]
             out += [(int(q), r + 1, int(ids[b]), float(score[b])) for r, b in enumerate(best)]
     return out
