@@ -6,9 +6,12 @@ of phrases, times the bits that name a place in the sample, over the length of t
 the cross entropy; the language with the least wins, ties going to the first in order.
 
 All automata are laid out as one table from (state, symbol) to the next state, with failures already
-resolved to the start of the next phrase, so that a batch of texts advances in step. A text is
-parsed whole, in blocks of BLOCK symbols that each begin a phrase, in every language alike.
-Symbols are lower-case letters; all else, however much, is one gap.
+resolved to the start of the next phrase, so that a batch of texts advances in step. The DENSE most common letters
+have columns of that table, all others of the sample are found by search. Long texts are cut into blocks that are
+parsed side by side as if each began a phrase; then each is parsed again from the state in which the one before it really ended,
+until both ways begin a phrase at one place, from where on they are the same. So the count is that of the
+whole text, parsed from its start.
+Symbols are lower-case letters; all else, however much, is one gap; letters that the sample lacks are one symbol.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; so is every text if
 nothing was learned; repeated rows each get their row; an empty table gives an empty result; other
@@ -30,18 +33,21 @@ from pyspark.sql import Window
 
 from tessera.llm._words import slices
 
-#: The sample: documents of a language at most, code points of a document, and of all languages together.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 200, 2000, 320_000
-LETTERS = 126
+#: The sample: documents of a language at most, code points of a document, and of all languages together, which each get the same part; languages.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL, LANGUAGES = 200, 2000, 320_000, 1000
+DENSE = 62
 BLOCK = 512
 #: Code points that are parsed at a time, alone and among other stages.
 BATCH, SLICE = 4_000_000, 1_000_000
-#: A document whose label is another language is rejected from this score on.
-CONTRADICTED, EVIDENCE = 0.5, 500
+#: A document whose label is another language is rejected if that language takes so many bits more than the best, in all and as a part.
+CONTRADICTED_BITS, CONTRADICTED_PART = 250.0, 0.3
+#: For that, a phrase longer than this counts as several: a passage that a sample happens to hold is no evidence of a language.
+COPIED = 20
 
 
-def automaton(symbols: list[int], size: int) -> np.ndarray:
-    """The suffix automaton as a table of ``size`` columns: twice the next state, plus 1 where the symbol begins a phrase.
+def automaton(symbols: list[int], dense: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix automaton as a table of ``dense`` columns: twice the next state, plus 1 where the symbol begins a phrase;
+    for symbols from ``dense`` on, (state, symbol) as sorted keys, with what the table would hold.
 
     A symbol that the sample lacks is a phrase of its own and leads back to the start, where any symbol begins one.
     """
@@ -68,15 +74,23 @@ def automaton(symbols: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
-    start = np.ones(size, np.int32)
+    start = np.ones(dense, np.int32)
     for c, s in following[0].items():
-        start[c] = 2 * s + 1
+        if c < dense:
+            start[c] = 2 * s + 1
     table = np.tile(start, (len(following), 1))
+    sparse = {}
     for s, out in enumerate(following):
         for c, to in out.items():
-            table[s, c] = 2 * to
+            if c < dense:
+                table[s, c] = 2 * to
+            else:
+                sparse[(s << 21) | c] = 2 * to
     table[0] = start
-    return table
+    # From the start every symbol begins a phrase.
+    sparse.update({c: 2 * to + 1 for c, to in following[0].items() if c >= dense})
+    keys = np.array(sorted(sparse), np.int64)
+    return table, keys, np.array([sparse[k] for k in keys.tolist()], np.int64)
 
 
 class Model:
@@ -85,21 +99,24 @@ class Model:
     def __init__(self, texts: dict[str, str]):
         texts = {k: v.lower() for k, v in sorted(texts.items())}
         counts = Counter(c for v in texts.values() for c in v if c.isalpha())
-        self.letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
-        self.size = len(self.letters) + 2
-        self.languages, self.bits, tables, self.starts, at = [], [], [], [], 0
+        self.letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        self.size = min(len(self.letters), DENSE) + 2
+        self.languages, self.bits, tables, keys, values, self.starts, at = [], [], [], [], [], [], 0
         symbol = self.symbols()
         for k, v in texts.items():
             s = _gaps(symbol[_points(v)])[0].tolist()
             if not any(s):
                 continue
-            table = automaton(s, self.size)
+            table, key, value = automaton(s, self.size)
             self.languages.append(k)
             self.bits.append(np.log2(len(s) + 1))
             tables.append(table + 2 * at)
+            keys.append(key + (at << 21))
+            values.append(value + 2 * at)
             self.starts.append(at)
             at += len(table)
         self.table = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.int32)
+        self.keys, self.values = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (keys, values))
 
     @classmethod
     def of(cls, parts: dict) -> Model:
@@ -109,7 +126,7 @@ class Model:
 
     def symbols(self) -> np.ndarray:
         """By code point: 0 a gap, 1 an unknown letter, from 2 on the letters."""
-        of = np.zeros(sys.maxunicode + 1, np.uint8)
+        of = np.zeros(sys.maxunicode + 1, np.int32)
         of[[i for i in range(sys.maxunicode + 1) if chr(i).isalpha()]] = 1
         for k, c in enumerate(self.letters):
             of[ord(c)] = k + 2
@@ -118,6 +135,27 @@ class Model:
                     of[ord(upper)] = k + 2
         return of
 
+    def go(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Twice the next states, plus 1 where the symbol begins a phrase; all states are of one language in a row, rows in order."""
+        rare = symbol >= self.size
+        if not rare.any():
+            return self.table[state * self.size + symbol]
+        out = self.table[state * self.size + np.where(rare, 1, symbol)].astype(np.int64)
+        at = np.flatnonzero(rare)
+        some, sign = state[:, at], symbol[at].astype(np.int64)
+        first = np.array(self.starts, np.int64)[:, None]
+
+        def found(states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = (states << 21) | sign
+            where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return self.values[where], self.keys[where] == key
+
+        on, hit = found(some)
+        # What does not go on begins a phrase: from the start, or, if the language lacks the letter, as column 1, a letter all lack, does.
+        anew, known = found(np.broadcast_to(first, some.shape))
+        out[:, at] = np.where(hit, on, np.where(known, anew, out[:, at]))
+        return out
+
 
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -134,8 +172,8 @@ def _gaps(symbols: np.ndarray, firsts: np.ndarray | None = None) -> tuple[np.nda
     return symbols[keep], keep
 
 
-def phrases(model: Model, symbol: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By language and text the number of phrases; by text its length in symbols and its letters."""
+def phrases(model: Model, symbol: np.ndarray, texts: list[str], longest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By language and text the number of phrases, longer ones than ``longest`` counting for each such piece; by text its length in symbols and its letters."""
     sizes = np.array([len(t) for t in texts], np.int64)
     flat = symbol[_points("".join(texts))]
     ends = np.cumsum(sizes)
@@ -151,39 +189,79 @@ def phrases(model: Model, symbol: np.ndarray, texts: list[str]) -> tuple[np.ndar
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     at = begin[owner] + nth * BLOCK
     length = np.minimum(BLOCK, kept[owner] - nth * BLOCK)
-    order = np.argsort(-length, kind="stable")
-    at, length, owner = at[order], length[order], owner[order]
-    live = np.searchsorted(-length, -np.arange(BLOCK), side="left")
-    state = np.repeat(np.array(model.starts, np.int64)[:, None], len(at), axis=1)
-    count = np.zeros(state.shape, np.int32)
-    for step in range(BLOCK):
-        n = live[step]
-        if not n:
-            break
-        go = model.table[state[:, :n] * model.size + flat[at[:n] + step]]
-        count[:, :n] += go & 1
-        state[:, :n] = go >> 1
-    total = np.zeros((len(model.languages), len(texts)))
-    for k in range(len(model.languages)):
-        total[k] = np.bincount(owner, count[k], len(texts))
+    begins = np.zeros((len(model.languages), len(flat)), np.uint8)
+    start = np.repeat(np.array(model.starts, np.int64)[:, None], len(at), axis=1)
+    ends, _ = _parsed(model, flat, begins, at, length, start)
+    # Blocks but a text's first again, from where the one before them ended, while that is news.
+    again = np.flatnonzero(nth > 0)
+    while len(again):
+        redone, met = _parsed(model, flat, begins, at[again], length[again], ends[:, again - 1], meet=True)
+        changed = ~met & (redone != ends[:, again])
+        ends[:, again] = np.where(met, ends[:, again], redone)
+        after = again[changed.any(axis=0)] + 1
+        after = after[after < len(at)]
+        again = after[nth[after] > 0]
+    total, some = np.zeros((len(model.languages), len(texts))), kept > 0
+    if some.any() and longest is None:
+        total[:, some] = np.add.reduceat(begins, begin[some], axis=1, dtype=np.int64)
+    elif some.any():
+        for k, row in enumerate(begins):
+            # Every text begins with a phrase.
+            at = np.flatnonzero(row)
+            pieces = -(-np.diff(at, append=len(flat)) // longest)
+            total[k, some] = np.add.reduceat(pieces, np.searchsorted(at, begin[some]))
     return total, kept, letters
 
 
+def _parsed(model: Model, flat: np.ndarray, begins: np.ndarray, at: np.ndarray, length: np.ndarray, start: np.ndarray, meet: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Parse blocks of ``flat`` side by side from these states, writing where phrases begin: by language and block the last state.
+
+    With ``meet`` a language's parse of a block keeps what is written there from the first place on at which it would begin a phrase as well; whether it did.
+    """
+    order = np.argsort(-length, kind="stable")
+    last, met = start.copy(), np.zeros(start.shape, bool)
+    step = 0
+    while len(order):
+        begin, size, state, here = at[order], length[order], last[:, order], met[:, order]
+        until = min(BLOCK, step + 32)
+        live = np.searchsorted(-size, -np.arange(step, until), side="left")
+        for n in live:
+            if not n:
+                break
+            where = begin[:n] + step
+            go = model.go(state[:, :n], flat[where])
+            now = (go & 1).astype(np.uint8)
+            if meet:
+                was = begins[:, where]
+                here[:, :n] |= (was & now).astype(bool)
+                now = np.where(here[:, :n], was, now)
+            begins[:, where] = now
+            state[:, :n] = go >> 1
+            step += 1
+        last[:, order], met[:, order] = state, here
+        # Blocks that are over, or that have met in every language, are done.
+        order = order[(size > until) & ~here.all(axis=0)] if step == until else order[:0]
+    return last, met
+
+
 def fit(docs: DataFrame) -> Model:
-    """Learn from ``text`` and ``lang`` of a sample of bounded size: the documents of smallest hash, by language.
+    """Learn from ``text`` and ``lang`` of a sample of bounded size: the documents of smallest hash, by language, of the LANGUAGES most common ones.
 
     Only ids go through the window; the texts of the chosen few are fetched by a semi-join and cut by
-    a hash of the id, and copies count once.
+    a hash of the id. Rows that share an id and a language count once, with the smallest text.
     """
-    rows = docs.where("lang is not null and text is not null").select(F.xxhash64("doc_id", "lang").alias("h"), "lang", "text")
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).select("lang", "h").distinct()
+    learned = docs.where("lang is not null and text is not null")
+    common = [r["lang"] for r in learned.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    chars = SAMPLE_ALL // max(1, len(common))
+    each = max(1, min(SAMPLE_DOCS, chars // 200))
+    rows = learned.where(F.col("lang").isin(common)).select(F.xxhash64("doc_id", "lang").alias("h"), "lang", "text")
+    chosen = rows.select("lang", "h").withColumn("n", F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= each).select("lang", "h").distinct()
     start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
-    found = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "h", F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS)).alias("text")).distinct().toPandas()
-    by, texts = found.sort_values(["lang", "h", "text"]).groupby("lang"), {}
-    for lang, x in by:
-        texts[lang] = " ".join(dict.fromkeys(x["text"]))[: SAMPLE_ALL // max(1, by.ngroups)]
-    return Model(texts)
+    found = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min(F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS))).alias("text"))
+    texts: dict[str, dict[str, None]] = {}
+    for r in found.orderBy("lang", "h").collect():
+        texts.setdefault(r["lang"], {})[r["text"]] = None
+    return Model({lang: " ".join(x)[: max(1, chars)] for lang, x in texts.items()})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -199,23 +277,25 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for g in np.unique(group):
                 at = np.flatnonzero(group == g)
                 some = [texts[i] for i in at]
-                best, score, rate = _decide(learned, symbol, some)
+                best, score, rate, _ = _decide(learned, symbol, some)
                 yield pd.DataFrame({"doc_id": ids.iloc[at].astype("Int64"), "lang_pred": best, "score": score, "rate": rate})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double, rate double")
 
 
-def _decide(model: Model, symbol: np.ndarray, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _decide(model: Model, symbol: np.ndarray, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text its language, score and rate, and by language its bits."""
     n = len(texts)
     if not model.languages:
-        return ["und"] * n, np.zeros(n), np.zeros(n)
+        return ["und"] * n, np.zeros(n), np.zeros(n), np.zeros((0, n))
     count, kept, letters = phrases(model, symbol, texts)
-    rates = count * np.array(model.bits)[:, None] / np.maximum(kept, 1)
+    bits = count * np.array(model.bits)[:, None]
+    rates = bits / np.maximum(kept, 1)
     best = rates.argmin(axis=0)
     ordered = np.sort(rates, axis=0)
     known = letters > 0
     score = 1 - ordered[0] / np.maximum(ordered[1], 1e-12) if len(ordered) > 1 else np.ones(n)
-    return [model.languages[b] if k else "und" for b, k in zip(best, known)], np.where(known, score, 0.0), np.where(known, ordered[0], 0.0)
+    return [model.languages[b] if k else "und" for b, k in zip(best, known)], np.where(known, score, 0.0), np.where(known, ordered[0], 0.0), bits
 
 
 def held_out() -> F.Column:
@@ -224,8 +304,11 @@ def held_out() -> F.Column:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are in a language: not ``und``, nor clearly in another than their label says.
+    """The rows of ``docs`` that are in a language: not ``und``, nor in another than their label says.
 
+    A label is contradicted if its language takes CONTRADICTED_BITS more than the best one and CONTRADICTED_PART of its own bits
+    more; a short text lacks that evidence, and a text in several languages has it for none. A label that was not learned contradicts nothing.
+    If nothing was learned, no row is rejected but those without letters.
     Rows pass through as Arrow batches and are filtered there, so nothing is joined or shuffled.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vars(fit(docs.where(~held_out()))))
@@ -237,9 +320,25 @@ def keep_known(docs: DataFrame) -> DataFrame:
             every = [t or "" for t in whole.column("text").to_pylist()]
             for a, b in slices([len(t) for t in every], SLICE):
                 batch, texts = whole.slice(a, b - a), every[a:b]
-                best, score, _ = _decide(learned, symbol, texts)
-                labels = batch.column("lang").to_pylist()
-                stays = [b != "und" and (lang is None or lang == b or s < CONTRADICTED or len(t) < EVIDENCE) for b, s, lang, t in zip(best, score, labels, texts)]
-                yield batch.filter(pa.array(stays, pa.bool_()))
+                yield batch.filter(pa.array(_stays(learned, symbol, texts, batch.column("lang").to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _stays(model: Model, symbol: np.ndarray, texts: list[str], labels: list[str | None]) -> list[bool]:
+    if not model.languages:
+        return [any(c.isalpha() for c in t) for t in texts]
+    best, _, _, bits = _decide(model, symbol, texts)
+    of, stays = {k: i for i, k in enumerate(model.languages)}, [b != "und" for b in best]
+
+    def contradicted(bits: np.ndarray, at: list[int]) -> list[int]:
+        least, own = bits.min(axis=0), np.array([bits[of[labels[i]], k] for k, i in enumerate(at)])
+        return [i for i, clear in zip(at, (own - least >= CONTRADICTED_BITS) & (own - least >= CONTRADICTED_PART * own)) if clear]
+
+    told = [i for i, lang in enumerate(labels) if stays[i] and lang in of]
+    doubted = contradicted(bits[:, told], told) if told else []
+    if doubted:
+        count, _, _ = phrases(model, symbol, [texts[i] for i in doubted], COPIED)
+        for i in contradicted(count * np.array(model.bits)[:, None], doubted):
+            stays[i] = False
+    return stays
