@@ -1,20 +1,20 @@
 """Toxicity by a classifier chain over hashed words.
 
-The categories are predicted in order; each linear model sees the words of the text and the log odds of
-the categories before it. It is trained on log odds of those that were predicted out of fold: for
+The categories are predicted in order; each linear model sees the words of the text and the probabilities of
+the categories before it. It is trained on probabilities that were predicted out of fold: for
 each category, FOLDS models, each trained without one fold, give what the later models learn from, and
 a model trained on all gives what they see when they predict.
 
-The table of labels has ``toxic`` alone. The categories before it are weak: ``insult`` and ``contempt`` are toxic
-documents with a word of a short list. The chain learns from these what the lists leave out.
+The categories are conditions on the table of labels, by default those it holds: documents of low quality, then
+toxic ones. Each is learned from the documents that have a label for it.
 
 Features of a text are its distinct words, and the first four and five bytes of longer ones, hashed.
 The fit is on a bounded sample of labelled documents (SAMPLE, those of smallest hash); the prediction
 reads every text whole, and its model, of fixed size, is broadcast.
 
-Defined results: null and empty texts have no words and get the chain's bias alone; without labels of both
-kinds every probability is 0; labels without a document are not used; several labels of a document count
-as toxic if one is; repeated rows each get their row; an empty table gives an empty result; other
+Defined results: null and empty texts have no words and get the chain's bias alone; a category without labels of both
+kinds has probability 0 everywhere; labels without a document are not used; several labels of a document count
+as the category if one does; of several documents with one id the smallest text is learned from; repeated rows each get their row; an empty table gives an empty result; other
 columns of the inputs are not read.
 """
 
@@ -39,12 +39,8 @@ FOLDS, STEPS, RATE, DECAY = 3, 50, 0.1, 1e-3
 SLICE = 4_000_000
 #: Features in fewer sample documents are left out.
 SEEN = 6
-CATEGORIES = ("insult", "contempt", "toxic")
-# Words that tell the weak categories.
-WEAK = {
-    "insult": frozenset("idiot moron stupid clown loser fool".split()),
-    "contempt": frozenset("pathetic disgusting worthless trash scum garbage".split()),
-}
+#: Categories in the order of the chain, each with its condition on a row of labels.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,18 +57,12 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    weak = {name: np.sort(hashed([" ".join(some)])[0]) for name, some in WEAK.items()}
     for x in batches:
         texts = list(x["text"])
         for a, b in slices([len(t or "") for t in texts], SLICE):
             found, owner = features(texts[a:b])
             ends = np.searchsorted(owner, np.arange(1, b - a))
-            y = x["toxic"].iloc[a:b].to_numpy(float)
-            out = {"doc_id": x["doc_id"].iloc[a:b], "toxic": y, "features": [v[v < SIZE].astype(np.int32) for v in np.split(found, ends)]}
-            words, of = hashed(texts[a:b])
-            for name, some in weak.items():
-                out[name] = y * (np.bincount(of[np.isin(words, some)], minlength=b - a) > 0)
-            yield pd.DataFrame(out)
+            yield x.iloc[a:b].drop(columns="text").assign(features=[v[v < SIZE].astype(np.int32) for v in np.split(found, ends)])
 
 
 class _Rows:
@@ -111,21 +101,31 @@ def _odds(rows: _Rows, more: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.nda
     return np.clip(rows.times(w) + v[0] + more @ v[1:], -8, 8)
 
 
+def _p(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-odds))
+
+
 def chain(rows: list[np.ndarray], labels: dict[str, np.ndarray], folds: np.ndarray) -> dict:
-    """The models of all categories in order, and the threshold of each that is best out of fold."""
+    """The models of all categories in order, and the threshold of each that is best out of fold; labels may be nan. None for a category without both kinds."""
     seen = np.bincount(np.concatenate([np.unique(r) for r in rows] or [np.zeros(0, int)]), minlength=SIZE)
     rows = _Rows([r[seen[r] >= SEEN] for r in rows], SIZE)
     model, before = {"weights": [], "dense": [], "thresholds": []}, np.zeros((rows.n, 0))
-    for name, y in labels.items():
-        held, whole = np.zeros(rows.n), np.ones(rows.n, bool)
-        for k in range(FOLDS):
-            w, v = _train(rows, before, y, folds != k)
-            held[folds == k] = _odds(rows, before, w, v)[folds == k]
-        w, v = _train(rows, before, y, whole)
-        model["weights"].append(w)
-        model["dense"].append(v)
-        model["thresholds"].append(_threshold(held, y))
-        before = np.column_stack([before, held / 4])
+    for y in labels.values():
+        told, held = ~np.isnan(y), np.full(rows.n, -np.inf)
+        y = np.where(told, y, 0.0)
+        if len(np.unique(y[told])) < 2:
+            model["weights"].append(np.zeros(SIZE))
+            model["dense"].append(None)
+            model["thresholds"].append(1.0)
+        else:
+            for k in range(FOLDS):
+                w, v = _train(rows, before, y, told & (folds != k))
+                held[folds == k] = _odds(rows, before, w, v)[folds == k]
+            w, v = _train(rows, before, y, told)
+            model["weights"].append(w)
+            model["dense"].append(v)
+            model["thresholds"].append(_threshold(held[told], y[told]))
+        before = np.column_stack([before, _p(held)])
     return model
 
 
@@ -141,43 +141,39 @@ def _threshold(odds: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip(1 / (1 + np.exp(-odd)), 0.3, 0.6))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The chain, or None if the labels do not hold both kinds."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    some = known.orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
-    kinds = ", ".join(f"{c} double" for c in CATEGORIES)
-    found = joined.mapInPandas(_sampled, f"doc_id long, features array<int>, {kinds}").toPandas().sort_values("doc_id").drop_duplicates("doc_id")
-    if found["toxic"].nunique() < 2:
-        return None
-    folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in found["doc_id"]])
-    model = chain([np.asarray(r, np.int64) for r in found["features"]], {c: found[c].to_numpy() for c in CATEGORIES}, folds)
-    return {"weights": np.column_stack(model["weights"]).astype(np.float32), "dense": model["dense"], "thresholds": model["thresholds"]}
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES) -> dict:
+    """The chain; what goes to the driver is SAMPLE documents' features at most."""
+    told = [F.max(F.expr(f"cast({condition} as int)")).cast("double").alias(f"y{k}") for k, condition in enumerate(categories.values())]
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(*told)
+    names = [f"y{k}" for k in range(len(categories))]
+    some = known.where(F.coalesce(*names).isNotNull()).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
+    joined = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("__id"))
+    joined = joined.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.max(x).alias(x) for x in names])
+    found = joined.mapInPandas(_sampled, f"doc_id long, {', '.join(x + ' double' for x in names)}, features array<int>").toPandas().sort_values("doc_id")
+    folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in found["doc_id"]], np.int64)
+    model = chain([np.asarray(r, np.int64) for r in found["features"]], {c: found[x].to_numpy(float) for c, x in zip(categories, names)}, folds)
+    return {"names": list(categories), "weights": np.column_stack(model["weights"]).astype(np.float32), "dense": model["dense"], "thresholds": model["thresholds"]}
 
 
-def predict(docs: DataFrame, model: dict | None) -> DataFrame:
-    """doc_id, the probability of each category as p_<name>, and ``is_toxic``, of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"p_{c} double" for c in CATEGORIES)
+def predict(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, the probability of each category as p_<name>, and whether it is as probable as its threshold, as is_<name>, of every row."""
+    sent, names = docs.sparkSession.sparkContext.broadcast(model), model["names"]
+    columns = [f"p_{c} double" for c in names] + [f"is_{c} boolean" for c in names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         learned = sent.value
-        weights = np.vstack([learned["weights"], np.zeros((1, len(CATEGORIES)), np.float32)]) if learned else None
+        weights = np.vstack([learned["weights"], np.zeros((1, len(names)), np.float32)])
         for batch in batches:
-            sums, texts = np.zeros((len(batch), len(CATEGORIES))), list(batch["text"])
-            for a, b in slices([len(t or "") for t in texts], SLICE) if learned else []:
+            sums, texts = np.zeros((len(batch), len(names))), list(batch["text"])
+            for a, b in slices([len(t or "") for t in texts], SLICE):
                 found, owner = features(texts[a:b])
-                for k in range(len(CATEGORIES)):
+                for k in range(len(names)):
                     sums[a:b, k] = np.bincount(owner, weights[found, k].sum(axis=1), b - a)
             out, before = {"doc_id": batch["doc_id"].astype("Int64")}, np.zeros((len(batch), 0))
-            for k, c in enumerate(CATEGORIES):
-                if learned:
-                    odds = np.clip(sums[:, k] + learned["dense"][k][0] + before @ learned["dense"][k][1:], -8, 8)
-                    before = np.column_stack([before, odds / 4])
-                    out[f"p_{c}"] = 1 / (1 + np.exp(-odds))
-                else:
-                    out[f"p_{c}"] = np.zeros(len(batch))
-            out["is_toxic"] = out["p_toxic"] >= learned["thresholds"][-1] if learned else np.zeros(len(batch), bool)
+            for k, (name, v) in enumerate(zip(names, learned["dense"])):
+                p = np.zeros(len(batch)) if v is None else _p(np.clip(sums[:, k] + v[0] + before @ v[1:], -8, 8))
+                before = np.column_stack([before, p])
+                out[f"p_{name}"], out[f"is_{name}"] = p, (p >= learned["thresholds"][k]) & (v is not None)
             yield pd.DataFrame(out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, f"doc_id long, {kinds}, is_toxic boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, f"doc_id long, {', '.join(columns)}")
