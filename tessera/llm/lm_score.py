@@ -110,7 +110,16 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 # --- runs
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packing(targets):
+    """``_runs`` that knows the ids of target documents, sorted, if they are few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _runs(batches, targets.value if targets else np.zeros(0, np.int64))
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch], targets: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of doc_id, text, say: rows of many compressed texts with their ends, ids and what is said of them."""
     nth, held, size = 0, [], 0
 
@@ -119,9 +128,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts)
         raw, ends = joined(table.column("text").to_pylist())
         ids, said = table.column("doc_id"), table.column("say").to_numpy().astype(np.uint8)
-        said = said | np.where(ids.is_null().to_numpy(), np.uint8(NO_ID), np.uint8(0))
+        none, ids = ids.is_null().to_numpy(), ids.fill_null(0).to_numpy()
+        said = said | np.where(none, np.uint8(NO_ID), np.uint8(0))
+        if len(targets):
+            hit = targets[np.minimum(np.searchsorted(targets, ids), len(targets) - 1)] == ids
+            said = said | np.where(hit & ~none & (said & COUNTED > 0), np.uint8(TARGET), np.uint8(0))
         number, nth = (TaskContext.get().partitionId() << 33) + nth, nth + 1
-        row = [number, len(raw), pa.compress(raw, codec="zstd", asbytes=True), ends.tobytes(), ids.fill_null(0).to_numpy().tobytes(), said.tobytes()]
+        row = [number, len(raw), pa.compress(raw, codec="zstd", asbytes=True), ends.tobytes(), ids.tobytes(), said.tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["run", "size", "texts", "ends", "ids", "said"])
 
     for batch in batches:
@@ -285,12 +298,12 @@ def _scoring(model: dict):
     return run
 
 
-def _marked(docs: DataFrame, good: DataFrame, few: bool, say: int) -> DataFrame:
+def _marked(docs: DataFrame, good: DataFrame | None, say: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if not say & COUNTED:
+    if good is None or not say & COUNTED:
         return rows.withColumn("say", F.lit(say))
-    good = good.withColumn("good", F.lit(TARGET))
-    return rows.join(F.broadcast(good) if few else good.hint("shuffle_hash"), rows["doc_id"] == F.col("id"), "left").select("doc_id", "text", (F.lit(say) + F.coalesce("good", F.lit(0))).alias("say"))
+    told = good.withColumn("good", F.lit(TARGET)).hint("shuffle_hash")
+    return rows.join(told, rows["doc_id"] == F.col("id"), "left").select("doc_id", "text", (F.lit(say) + F.coalesce("good", F.lit(0))).alias("say"))
 
 
 def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
@@ -300,13 +313,15 @@ def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -
     """
     spark = docs.sparkSession
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good")).where("good").select("id")
-    few = good.count() <= BROADCAST
+    targets = None
+    if good.count() <= BROADCAST:
+        targets, good = spark.sparkContext.broadcast(np.sort(good.toPandas()["id"].to_numpy(np.int64))), None
     if corpus is None:
-        rows = _marked(docs, good, few, COUNTED | WANTED)
+        rows = _marked(docs, good, COUNTED | WANTED)
     else:
-        rows = _marked(docs, good, few, WANTED).union(_marked(corpus, good, few, COUNTED))
+        rows = _marked(docs, good, WANTED).union(_marked(corpus, good, COUNTED))
     path = scratch(spark, "runs")
-    rows.mapInArrow(_runs, "run long, size long, texts binary, ends binary, ids binary, said binary").write.option("compression", "none").parquet(path)
+    rows.mapInArrow(_packing(targets), "run long, size long, texts binary, ends binary, ids binary, said binary").write.option("compression", "none").parquet(path)
     runs = spark.read.parquet(path)
     size = runs.agg(F.sum("size")).first()[0] or 0
     buckets = -(-size // BUCKET) or 1
