@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from conftest import SMALL
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import ann, decontam, lang_id, licenses, lm_score, mixing, pii, queries, simhash, token_file, toxicity
@@ -52,14 +53,14 @@ def texts_of(docs):
 # --- 1 language ID
 
 
-def phrases_by_hand(sample, text):
-    """Greedy parsing by substring search."""
+def phrases_by_hand(sample, text, longest=10**9):
+    """Greedy parsing by substring search; phrases over ``longest`` count for each such piece."""
     n, at = 0, 0
     while at < len(text):
         size = 1
         while at + size < len(text) and text[at : at + size + 1] in sample:
             size += 1
-        n, at = n + 1, at + size
+        n, at = n + -(-size // longest), at + size
     return n
 
 
@@ -74,6 +75,50 @@ def test_phrases_are_those_of_greedy_parsing():
     assert list(kept) == [len(t) for t in texts]
 
 
+@pytest.mark.parametrize("dense", [62, 3])
+def test_long_texts_and_rare_letters_are_parsed_from_their_start(monkeypatch, dense):
+    """Texts of several blocks, alphabets beyond the table's columns, letters that a language or all samples lack."""
+    monkeypatch.setattr(lang_id, "DENSE", dense)
+    rng = np.random.default_rng(3)
+    words = ["ala", "bal", "cada", "xyz", "über", "straße", "中文", "日本", "kot", "pies", "no", "я"]
+    samples = {k: " ".join(rng.choice(words[i : i + 8], 500)) for i, k in enumerate("abc")}
+    texts = [" ".join(rng.choice([*words, "q", "ж"], n)) for n in (0, 1, 5, 150, 600, 1500)] + ["中" * 1100, "ala " * 300, "a" * 1600]
+    model = lang_id.Model(samples)
+    count, _, _ = lang_id.phrases(model, model.symbols(), texts)
+    for k, name in enumerate(model.languages):
+        for i, t in enumerate(texts):
+            assert count[k, i] == phrases_by_hand(samples[name], t), (name, i)
+    pieces, _, _ = lang_id.phrases(model, model.symbols(), texts, 7)
+    for k, name in enumerate(model.languages):
+        for i, t in enumerate(texts):
+            assert pieces[k, i] == phrases_by_hand(samples[name], t, 7), (name, i)
+
+
+def test_sample_is_bounded_when_ids_repeat(spark, monkeypatch):
+    rows = [(None, f"text number {i} of many", "en") for i in range(300)] + [(7, f"noch ein text {i}", "de") for i in range(300)] + [(i, f"ein wort {i}", "de") for i in range(300)]
+    monkeypatch.setattr(lang_id, "SAMPLE_DOCS", 5)
+    seen = {}
+    monkeypatch.setattr(lang_id, "Model", lambda texts: seen.update(texts))
+    lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(seen["en"].split()) == 5 and len(seen["de"].split()) <= 20
+
+
+def test_mislabelled_documents_are_rejected_and_clean_ones_stay(spark):
+    """Labels dealt anew on held-out documents, by length of text: what is rejected has a wrong label, and enough text to tell."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = lang_id.fit(docs.where(~lang_id.held_out()))
+    rows = [r for r in docs.where(lang_id.held_out()).collect() if r["text"] and r["lang"] and any(c.isalpha() for c in r["text"])]
+    texts, right = [r["text"] for r in rows], [r["lang"] for r in rows]
+    assert all(lang_id._stays(model, model.symbols(), texts, right))
+    wrong = [next(x for x in model.languages if x != lang) for lang in right]
+    stays = lang_id._stays(model, model.symbols(), texts, wrong)
+    long = [s for s, t in zip(stays, texts) if len(t) >= 200]
+    assert len(long) > 200 and sum(long) <= 0.02 * len(long)
+    ids = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 4 == 2]
+    mixed = lang_id.keep_known(spark.createDataFrame([(i, t, w) for i, t, w in zip(ids, texts, wrong)] + [(10_000 + i, r["text"], r["lang"]) for i, r in enumerate(docs.where(~lang_id.held_out()).collect())], "doc_id long, text string, lang string"))
+    assert mixed.where("doc_id < 10000").count() <= 0.1 * len(texts)
+
+
 def test_languages_are_told_on_held_out_documents(spark):
     rows = queries.language_id(spark, SMALL).toPandas().merge(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in zip(rows.doc_id, rows.held_out))
@@ -105,13 +150,64 @@ def test_toxicity_learns_and_leaves_clean_alone(spark, docs):
     assert found[found.toxic == 0].is_toxic.mean() <= 0.05
 
 
+def plain_logistic(x, y, on):
+    """The same training on a dense matrix."""
+    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    decay = np.where(np.arange(x.shape[1]) < x.shape[1] - on[1], toxicity.DECAY, 0.0)
+    on = on[0]
+    for step in range(1, toxicity.STEPS + 1):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x[on].T @ (p - y)[on] / on.sum() + decay * w
+        m, v = m + 0.1 * (g - m), v + 0.01 * (g * g - v)
+        w = w - toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+    return w
+
+
+def test_chain_feeds_probabilities_predicted_out_of_fold(spark):
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(12)]
+    rows = []
+    for i in range(90):
+        some = rng.choice(words, 6)
+        rows.append((i, " ".join(some), int("word1" in some or "word2" in some), int("word2" in some or "word3" in some)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 1 - r[2] if r[0] % 9 else None, r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.predict(docs, toxicity.fit(docs, labels)).collect()}
+    found = [set(toxicity.features([r[1]])[0].ravel().tolist()) - {toxicity.SIZE} for r in rows]
+    every = sorted({f for x in found for f in x if sum(f in y for y in found) >= toxicity.SEEN})
+    # Prefixes that several words of a text share count for each.
+    count = lambda t, f: (toxicity.features([t])[0] == f).sum()
+    x = np.array([[count(r[1], f) for f in every] for r in rows], float)
+    folds = np.array([zlib.crc32(str(r[0]).encode()) % toxicity.FOLDS for r in rows])
+    before_fit, before_use = np.zeros((90, 0)), np.zeros((90, 0))
+    for k, name in ((2, "low_quality"), (3, "toxic")):
+        y, told = np.array([r[k] for r in rows], float), np.array([name == "toxic" or r[0] % 9 > 0 for r in rows])
+        design = lambda more: np.column_stack([x, np.ones(90), more])  # noqa: B023, E731
+        held = np.zeros(90)
+        for f in range(toxicity.FOLDS):
+            w = plain_logistic(design(before_fit), y, (told & (folds != f), 1 + before_fit.shape[1]))
+            held[folds == f] = 1 / (1 + np.exp(-np.clip(design(before_fit) @ w, -8, 8)))[folds == f]
+        w = plain_logistic(design(before_fit), y, (told, 1 + before_fit.shape[1]))
+        p = 1 / (1 + np.exp(-np.clip(design(before_use) @ w, -8, 8)))
+        before_fit, before_use = np.column_stack([before_fit, held]), np.column_stack([before_use, p])
+        for i in range(90):
+            assert math.isclose(got[i][f"p_{name}"], p[i], abs_tol=1e-4)
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
-    one = spark.createDataFrame([(4, 1, 1), (6, 1, 0), (99, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    assert toxicity.predict(odd, toxicity.fit(odd, one)).count() == len(ODD)
+    one = spark.createDataFrame([(4, 1, 1), (6, 1, 0), (99, 1, 1), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int")
+    rows = toxicity.predict(odd, toxicity.fit(odd, one)).collect()
+    assert len(rows) == len(ODD) and all(r["p_low_quality"] == 0 and 0 < r["p_toxic"] < 1 for r in rows)
     empty = one.limit(0)
     rows = toxicity.predict(odd, toxicity.fit(odd, empty)).collect()
     assert all(r["p_toxic"] == 0 and not r["is_toxic"] for r in rows)
-    assert toxicity.predict(none, None).count() == 0
+    assert toxicity.predict(none, toxicity.fit(none, empty)).count() == 0
+
+
+def test_what_is_learned_from_is_bounded_when_ids_repeat(spark):
+    docs = spark.createDataFrame([(i % 3, f"words of row {i}", "x") for i in range(3000)], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.predict(docs, toxicity.fit(docs, labels)).count() == 3000
 
 
 # --- 3 neighbours
@@ -151,6 +247,35 @@ def test_repeated_ids_leave_room_for_others(spark):
     assert kept >= 0.95 * 10 * ann.K
 
 
+def compared(spark, rows, kind, **more):
+    vectors = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    asked = vectors.where("vec_id % 20 = 0")
+    got = [tuple(r) for r in ann.search(vectors, asked, **more).select("query_id", "rank", "vec_id", "score").orderBy("query_id", "rank").collect()]
+    return got, ann.exact(vectors, asked)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_large_and_double_components_are_not_lost(spark, kind):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=6) * 1e30).tolist()) for i in range(30)]
+    got, want = compared(spark, rows, kind)
+    assert got == sorted(want) and len(got) == 2 * ann.K
+    rows = [(i, (rng.normal(size=6) * 10.0 ** rng.integers(-9, 9)).tolist()) for i in range(700)]
+    got, want = compared(spark, rows, kind)
+    exact = {(q, v): s for q, _, v, s in want}
+    assert len(got) == len(want) and sum((q, v) in exact for q, _, v, _ in got) >= 0.9 * len(want)
+    assert all(s == exact[q, v] for q, _, v, s in got if (q, v) in exact)
+
+
+def test_recall_on_clustered_vectors(spark):
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(12, 16))
+    for n in (120, 1500):
+        got, want = compared(spark, [(i, (middles[i % 12] + rng.normal(size=16) / 20).tolist()) for i in range(n)], "float")
+        found = {(q, v) for q, _, v, _ in got}
+        assert sum((q, v) in found for q, _, v, _ in want) >= (1.0 if n <= ann.WHOLE else 0.95) * len(want)
+
+
 def test_neighbours_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, None]), (9, [3.0, 3.0]), (20, [0.0, 2.0]), (20, [0.0, 2.0])]
@@ -188,7 +313,7 @@ def test_scores_are_those_of_counting(spark):
         assert math.isclose(got[i]["score"], loss["t", i] - loss["b", i], abs_tol=1e-9)
 
 
-@pytest.mark.parametrize("sizes", [(12_000_000, 4_000_000), (20_000, 3_000), (1, 100_000)])
+@pytest.mark.parametrize("sizes", [(12_000_000, 4_000_000, 10**6), (20_000, 3_000, 0), (1, 100_000, 10**6)])
 def test_scores_do_not_depend_on_runs_and_buckets(spark, docs, monkeypatch, sizes):
     """A word or pair that comes twice is in the model whatever the size of the corpus, wherever it comes."""
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
@@ -215,6 +340,7 @@ def test_scores_do_not_depend_on_runs_and_buckets(spark, docs, monkeypatch, size
         want[i] = (len(t), *[x / len(t) if t else None for x in (bits[1], bits[0], bits[1] - bits[0])])
     monkeypatch.setattr(lm_score, "RUN", sizes[0])
     monkeypatch.setattr(lm_score, "BUCKET", sizes[1])
+    monkeypatch.setattr(lm_score, "BROADCAST", sizes[2])
     got = lm_score.score(docs, labels).collect()
     assert len(got) == len(texts) and len({r["loss_background"] for r in got}) > 10
     for r in got:
@@ -445,6 +571,77 @@ def test_schedule_meets_the_budget(docs):
     assert mixing.mix(docs).count() == rows.copies.sum()
 
 
+def schedule_by_hand(rows, hashes, repeats=mixing.REPEATS):
+    """Copies of rows (doc_id, source, text): passes by bisection anew, blocks and cuts by plain loops; hashes give each id's block hash and draw, and each block's place."""
+    size = [len(re.findall(rb"[^ \t-\r]+", (t or "").encode())) for _, _, t in rows]
+    total = {}
+    for (_, source, _), n in zip(rows, size):
+        total[source] = total.get(source, 0) + n
+    live = {k: n for k, n in total.items() if n}
+
+    def seen(x):
+        w = {k: (n / max(live.values())) ** x for k, n in live.items()}
+        w = {k: v / sum(w.values()) for k, v in w.items()}
+        budget = max(live[k] / w[k] for k in live)
+        return {k: budget * w[k] / live[k] for k in live}
+
+    low, high = 0.0, 1.0
+    if not live or max(seen(0.0).values()) <= repeats + 1e-12:
+        high = 0.0
+    else:
+        for _ in range(60):
+            x = (low + high) / 2
+            low, high = (low, x) if max(seen(x).values()) <= repeats + 1e-12 else (x, high)
+    passed = {k: 1.0 for k in total} | (seen(high) if live else {})
+    out = [0] * len(rows)
+    for source in total:
+        mine = [i for i, r in enumerate(rows) if r[1] == source]
+        whole = math.floor(passed[source] + 1e-9)
+        rest = math.floor((passed[source] - whole) * total[source] + 1e-6)
+        blocks = max(1, min(mixing.BLOCKS, total[source] // mixing.BLOCK))
+        of = {i: hashes["block"][rows[i][0]] % blocks for i in mine}
+        for i in mine:
+            out[i] = whole
+        for b in sorted(set(of.values()), key=lambda b: (hashes["turn"](source, b), b)):
+            inside = [i for i in mine if of[i] == b]
+            n = sum(size[i] for i in inside)
+            if n <= rest:
+                taken = inside
+            else:
+                taken, used = [], 0
+                for draw in sorted({hashes["draw"][rows[i][0]] for i in inside}):
+                    same = [i for i in inside if hashes["draw"][rows[i][0]] == draw]
+                    used += sum(size[i] for i in same)
+                    if used > rest:
+                        break
+                    taken += same
+            for i in taken:
+                out[i] += size[i] > 0
+            rest -= n
+            if rest <= 0:
+                break
+    return out
+
+
+def hashes_of(spark, docs):
+    ids = docs.select("doc_id").distinct().selectExpr("doc_id", f"xxhash64(doc_id, {mixing.SEED}) as b", f"xxhash64({mixing.SEED + 1}, doc_id) as d").collect()
+    places = {(r["source"], r["b"]): r["h"] for r in docs.select("source").distinct().crossJoin(spark.range(200).selectExpr("cast(id as int) as b")).selectExpr("source", "b", f"xxhash64({mixing.SEED + 2}, source, b) as h").collect()}
+    return {"block": {r["doc_id"]: r["b"] for r in ids}, "draw": {r["doc_id"]: r["d"] for r in ids}, "turn": lambda source, b: places[source, b]}
+
+
+@pytest.mark.parametrize("block", [100_000, 500])
+def test_schedule_is_that_of_plain_loops(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    some = docs.select("doc_id", "source", "text")
+    twice = some.union(some.where("doc_id % 17 = 0")).union(spark.createDataFrame([(None, None, "a b"), (None, "web", None)], some.schema))
+    rows = [tuple(r) for r in twice.collect()]
+    want = sorted((repr(r), c) for r, c in zip(rows, schedule_by_hand(rows, hashes_of(spark, twice))))
+    got = mixing.schedule(twice).join(twice.distinct().select("doc_id", "source", "text"), ["doc_id"], "left").where("doc_id is not null")
+    assert len({c for _, c in want}) > 1
+    assert sorted((repr((r["doc_id"], r["source"], r["text"])), r["copies"]) for r in mixing.schedule(twice).select("doc_id", "copies").join(some, "doc_id").collect()) == [w for w in want if not w[0].startswith("(None")]
+    assert got.count() == len([r for r in rows if r[0] is not None])
+
+
 def test_mixing_of_odd_rows(odd, none):
     got = mixing.mix(odd)
     assert got.columns == odd.columns and got.count() == mixing.schedule(odd).toPandas().copies.sum() >= len(ODD)
@@ -453,6 +650,25 @@ def test_mixing_of_odd_rows(odd, none):
     assert mixing.schedule(empty).toPandas().copies.tolist() == [1, 1]
 
 
+CLASHES = ["__source", "__s", "__b", "__n", "__whole", "__copy", "__block", "__tokens", "__row", "__key0", "__key1", "__kept", "__id", "none", "words", "fp", "least", "row", "seed", "at", "item_id"]
+
+
+def test_columns_that_clash_keep_their_values(spark, odd):
+    """Each stage gives back rows as they came, whatever their other columns are called."""
+    wide = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat_ws("-", F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    known = {tuple(r) for r in wide.collect()}
+    bench = spark.createDataFrame([(1, "the same words again and again")], "item_id long, text string")
+    kept = {"mix": mixing.mix(wide), "dedup": simhash.deduplicate(wide), "clean": decontam.decontaminate(wide, bench), "known": lang_id.keep_known(wide)}
+    for name, found in kept.items():
+        assert found.columns == wide.columns, name
+        rows = [tuple(r) for r in found.collect()]
+        assert rows and set(rows) <= known, name
+    assert {r[0] for r in kept["mix"].collect()} == {r[0] for r in known}
+    assert {r["doc_id"] for r in kept["dedup"].collect()} == {1, 3, 4, 6, None}
+    assert {r["doc_id"] for r in kept["clean"].collect()} == {1, 2, 3, 6, None}
+    assert {r["doc_id"] for r in kept["known"].collect()}.isdisjoint({1, 2, 3})
+
+
 # --- 9 SimHash
 
 
