@@ -40,8 +40,10 @@ END = 1
 LONGEST = 18
 #: Ids between checkpoints; ids in a block, as far as whole documents allow.
 STRIDE, BLOCK = 256, 1 << 17
-#: Words whose ids a worker remembers at a time.
-REMEMBERED = 500_000
+#: Words whose ids a worker remembers at a time, of up to so many characters.
+REMEMBERED, WORD = 500_000, 100
+#: Bytes of input to a part of the file, whose ranges of ids are sorted in one task each.
+PART = 128_000_000
 #: Code points encoded at a time; words whose ids are put in place at a time; different punctuation that is remembered.
 SLICE, GATHER, TAILS = 12_000_000, 1 << 20, 10_000
 #: Latin-1 letters, then ASCII punctuation, but no apostrophe, which may begin a contraction.
@@ -117,6 +119,8 @@ class Words:
         known = self.known
         self._meet([w for w in distinct if w not in known and w])
         raw = [known[w] if w else self.end for w in distinct]
+        for w in pc.filter(coded.dictionary, pc.greater(pc.utf8_length(coded.dictionary), WORD)).to_pylist():
+            known.pop(w, None)
         count = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         flat, first = np.frombuffer(b"".join(raw), np.uint32), np.cumsum(count) - count
         upto = np.cumsum(count[codes])
@@ -137,7 +141,20 @@ def _remembered(path: str, end: int, remembered: int) -> Words:
     return kept[path, end, remembered]
 
 
-def _encode(path: str, bounds: list[int], end: int, remembered: int):
+def _places(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` partitions a number that Spark's hash sends there, so that parts meet in no task by chance."""
+    told = spark.range(64 * n).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k"))
+    found = {r["p"]: r["k"] for r in told.collect()}
+    return [found.get(p, p) for p in range(n)]
+
+
+def _parts(docs: DataFrame) -> int:
+    """Shuffle partitions as set, or more if Spark expects so many bytes."""
+    size = float(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size / PART) if size < 1e17 else 0)
+
+
+def _encode(path: str, bounds: list[int], places: list[int], end: int, remembered: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _remembered(path, end, remembered)
         for batch in batches:
@@ -149,7 +166,7 @@ def _encode(path: str, bounds: list[int], end: int, remembered: int):
                 raw = memoryview(flat).cast("B")
                 known = x.notna()
                 part = np.where(known, np.searchsorted(bounds, x.where(known, 0).astype("int64"), side="right"), 0)
-                yield pd.DataFrame({"doc_id": x.astype("Int64"), "part": part, "crc": [zlib.crc32(raw[4 * i : 4 * j]) for i, j in cuts], "ids": [_narrow(flat[i:j]) for i, j in cuts]})
+                yield pd.DataFrame({"doc_id": x.astype("Int64"), "part": part, "place": np.array(places)[part], "crc": [zlib.crc32(raw[4 * i : 4 * j]) for i, j in cuts], "ids": [_narrow(flat[i:j]) for i, j in cuts]})
 
     return run
 
@@ -291,11 +308,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, longest: i
     """Write the ids of all ``docs`` to ``path``; a worker remembers about ``remembered`` words, which changes its speed and memory alone."""
     spark = docs.sparkSession
     shared = scratch(spark, "ids")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = _parts(docs)
     cuts = docs.select(F.col("doc_id").cast("long").alias("d")).agg(F.percentile_approx("d", [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.mapInPandas(_encode(tokenizer, sorted(set(cuts)), end, remembered), "doc_id long, part int, crc long, ids binary")
-    rows.repartition(n, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "crc").write.option("compression", "zstd").parquet(shared)
+    rows = rows.mapInPandas(_encode(tokenizer, sorted(set(cuts)), _places(spark, n), end, remembered), "doc_id long, part int, place int, crc long, ids binary")
+    rows.repartition(n, "place").drop("place").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "crc").write.option("compression", "zstd").parquet(shared)
     stored = spark.read.parquet(shared)
     found = stored.select("ids").mapInPandas(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
