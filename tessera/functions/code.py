@@ -20,7 +20,16 @@ SIGNALS = {
     "IO": (r"\bFiles\s*\.\s*(?:readAllLines|readAllBytes|newInputStream)\s*\(|\bnew\s+(?:Server)?Socket\s*\(", ("files.readalllines", "files.readallbytes", "files.newinputstream", "socket", "serversocket")),
     "COLLECTION_ORDER": (r"(?s)Hash(?:Set|Map).*(?:\.toString\(|String\.valueOf\()|(?s)(?:\.toString\(|String\.valueOf\().*Hash(?:Set|Map)", ()),
 }
-MOCKABLE = r"(?i)^.*(?:Service|Repository|Client|Gateway|Provider|Factory|Adapter|Handler|Dao|Api|Connector|Manager|Helper|Delegate|Proxy|Strategy|Validator)$"
+# Endings of the names of types that are worth a mock.
+MOCKABLE = ("Repository", "Gateway", "Service", "Client", "Port", "Adapter", "Handler", "Provider", "Factory", "Dao", "Api", "Connector", "Manager", "Helper", "Delegate", "Proxy", "Strategy", "Validator")
+# Methods whose unresolved calls are no finding: of the JDK, of builders.
+JDK_METHODS = ("isBlank", "isEmpty", "toString", "hashCode", "equals", "intValue", "longValue", "doubleValue", "floatValue", "booleanValue", "normalize", "toAbsolutePath", "resolve", "getParent", "name", "ordinal", "compareTo", "valueOf")
+BUILDER_METHODS = ("build", "create", "ignoreExceptions", "retryOnException", "retryOnResult", "timeoutDuration", "maxAttempts", "waitDuration", "uri", "header", "method", "version", "maxTokens", "temperature", "topP")
+# Annotations that tell the kind of a class.
+SERVICE_ANNOTATIONS = ("Service", "Component", "Controller", "RestController", "Repository", "Dao")
+DATA_ANNOTATIONS = ("Entity", "Data", "Value", "Record")
+# What Java takes for white space.
+BLANK = r"[\t-\r\x{1C}-\x{20}\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]"
 # Package roles, first match wins; words equal to the token, words contained in it.
 ROLES = (
     ("test", ("test", "tests", "spec", "fixture", "mock"), ()),
@@ -39,9 +48,12 @@ def _col(x: Column | str) -> Column:
 
 
 def code_hash(body: Column | str) -> Column:
-    """SHA-256 of code without the white space outside of string, character and text-block literals."""
-    literal = r'("""[\s\S]*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\')|\s+'
-    return F.sha2(F.regexp_replace(_col(body), literal, "$1"), 256)
+    """SHA-256 of code without its white space, but for that in string, character and text-block literals. Quotes in comments open nothing."""
+    comment = r"//[^\n\r]*+|/\*[\s\S]*?(?:\*/|\z)"
+    literal = r'"""[\s\S]*?(?:"""|\z)|"(?:[^"\\]++|\\[\s\S])*+(?:"|\\?\z)|\'(?:[^\'\\]++|\\[\s\S])*+(?:\'|\\?\z)'
+    parts = F.regexp_extract_all(F.coalesce(_col(body), F.lit("")), F.lit(rf"(?:{comment}|{literal}|[^/\"\']++|/)"), F.lit(0))
+    kept = F.transform(parts, lambda t: F.when(t.startswith("\"") | t.startswith("'"), t).otherwise(F.regexp_replace(t, BLANK, "")))
+    return F.sha2(F.array_join(kept, ""), 256)
 
 
 def without_literals(body: Column | str) -> Column:
@@ -63,11 +75,30 @@ def simple_type(name: Column | str) -> Column:
 
 
 def split_top_level(csv: Column | str) -> Column:
-    """Parts of a comma list, commas within angle brackets not counting (brackets up to three deep)."""
-    inner = r"<[^<>]*>"
-    nested = r"<(?:[^<>]|<(?:[^<>]|" + inner + r")*>)*>"
-    parts = F.regexp_extract_all(_col(csv), F.lit(rf"((?:[^,<>]|{nested})+)"), 1)
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    """Parts of a comma list, commas within angle brackets, however deep, not counting."""
+    marks = F.regexp_extract_all(_col(csv), F.lit(r"[<>,]|[^<>,]++"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        cut = (x == ",") & (a["depth"] == 0)
+        depth = a["depth"] + F.when(x == "<", 1).when((x == ">") & (a["depth"] > 0), -1).otherwise(0)
+        return F.when(cut, F.struct(a["depth"].alias("depth"), F.lit("").alias("now"), F.array_append(a["out"], F.trim(a["now"])).alias("out"))).otherwise(
+            F.struct(depth.alias("depth"), F.concat(a["now"], x).alias("now"), a["out"].alias("out"))
+        )
+
+    return F.aggregate(marks, start, step, lambda a: F.filter(F.array_append(a["out"], F.trim(a["now"])), lambda x: x != ""))
+
+
+def parameter_type(token: Column | str) -> Column:
+    """A parameter's type alone: without annotations, ``final``, its name and packages, in lower case."""
+    bare = F.regexp_replace(F.regexp_replace(F.replace(F.trim(_col(token)), F.lit("$"), F.lit(".")), r"@\w+(?:\([^)]*\))?\s*", ""), r"\bfinal\b\s*", "")
+    named = F.regexp_replace(bare, r"^(.+) [a-z_][A-Za-z0-9_]*$", "$1")
+    return F.lower(F.regexp_replace(F.regexp_replace(named, r"(?<![A-Za-z0-9_])(?:[A-Za-z_][A-Za-z0-9_]*\.)+([A-Za-z_][A-Za-z0-9_]*)", "$1"), r"\s+", ""))
+
+
+def parameter_types(signature: Column | str) -> Column:
+    """The types between a signature's brackets, in order."""
+    return F.transform(split_top_level(F.regexp_extract(_col(signature), r"\((.*)\)", 1)), parameter_type)
 
 
 def package_of(fqn: Column | str) -> Column:
@@ -118,9 +149,15 @@ def is_runtime_type(name: Column | str) -> Column:
     return hit
 
 
-def uses_removed_api(imports: Column | str) -> Column:
-    """Whether any import is in a removed package, by class or wildcard."""
-    return F.exists(F.coalesce(_col(imports), F.array().cast("array<string>")), lambda x: F.trim(F.regexp_replace(x, r"^(?:import\s+)?(?:static\s+)?", "")).rlike("^(?:" + "|".join(p.replace(".", r"\.") for p in REMOVED_PACKAGES) + r")(?:\.|$)"))
+def uses_removed_api(imports: Column | str, types: Column | str | None = None) -> Column:
+    """Whether any import is in a removed package, by class or wildcard, or any type names one, in its generics too."""
+    packages = "|".join(p.replace(".", r"\.") for p in REMOVED_PACKAGES)
+
+    def listed(x: Column | str) -> Column:
+        return F.coalesce(_col(x), F.array().cast("array<string>"))
+
+    hit = F.coalesce(F.exists(listed(imports), lambda x: F.trim(F.regexp_replace(x, r"^(?:import\s+)?(?:static\s+)?", "")).rlike(rf"^(?:{packages})(?:\.|$)")), F.lit(False))
+    return hit if types is None else hit | F.coalesce(F.exists(listed(types), lambda x: x.rlike(rf"(?:^|[^A-Za-z0-9_.])(?:{packages})(?:\.|$)")), F.lit(False))
 
 
 def is_sensitive(name: Column | str, annotations: Column | str) -> Column:
@@ -160,10 +197,63 @@ def brittle_signals(source: Column | str, calls: Column | str | None = None) ->
     return F.array_compact(F.array(*found))
 
 
-def mock_hint(kind: Column | str, visibility: Column | str, is_static: Column | str, is_abstract_type: Column | str) -> Column:
-    """``required`` for interfaces and abstract classes, ``recommended`` for private fields of mockable types."""
-    own = simple_type(kind)
-    return F.when(_col(kind).isNull(), None).when(_col(is_abstract_type), "required").when(own.rlike(MOCKABLE) & (_col(visibility) == "private") & ~_col(is_static), "recommended")
+def mock_hint(kind: Column | str, visibility: Column | str, is_static: Column | str, abstract_types: Column | str, is_final: Column | str | None = None, constructor_types: Column | str | None = None) -> Column:
+    """Struct (hint, injectable) of a field: ``required`` for interfaces and abstract classes of the file, ``recommended`` for
+    private fields, not static, of mockable types; injectable is what is final as well and among the constructor's types."""
+    own, nothing = simple_type(kind), F.array().cast("array<string>")
+
+    def among(types: Column | str) -> Column:
+        return F.coalesce(F.array_contains(F.transform(F.coalesce(_col(types), nothing), simple_type), own), F.lit(False))
+
+    mine = F.coalesce((_col(visibility) == "private") & ~_col(is_static), F.lit(False))
+    injectable = F.lit(False) if is_final is None or constructor_types is None else mine & F.coalesce(_col(is_final), F.lit(False)) & among(constructor_types)
+    hint = F.when(among(abstract_types), "required").when(mine & own.rlike(f"(?i)^.*(?:{'|'.join(MOCKABLE)})$"), "recommended")
+    return F.struct(hint.alias("hint"), (injectable & _col(kind).isNotNull()).alias("injectable"))
+
+
+def is_main_class(is_nested: Column | str, path: Column | str, fqn: Column | str) -> Column:
+    """Neither nested nor a test, by its path or its name."""
+    at, name = F.lower(F.replace(F.coalesce(_col(path), F.lit("")), F.lit("\\"), F.lit("/"))), F.lower(F.trim(F.coalesce(_col(fqn), F.lit(""))))
+    return ~(F.coalesce(_col(is_nested), F.lit(False)) | at.contains("/src/test/") | at.startswith("src/test/") | name.contains(".test.") | name.endswith("test"))
+
+
+def is_false_positive(raw: Column | str) -> Column:
+    """An unresolved call of a method that everything has."""
+    name = F.regexp_extract(_col(raw), r"^unknown#([^(]*)", 1)
+    return F.coalesce(_col(raw).startswith("unknown#") & name.isin(*JDK_METHODS, *BUILDER_METHODS), F.lit(False))
+
+
+def class_type(annotations: Column | str, extends: Column | str) -> Column:
+    """The kind of a class by its annotations, then by what it extends; GENERAL otherwise."""
+    nothing = F.array().cast("array<string>")
+    named = F.transform(F.coalesce(_col(annotations), nothing), lambda a: F.regexp_replace(F.trim(a), r"^@?(?:.*\.)?|\(.*$", ""))
+    fails = F.exists(F.coalesce(_col(extends), nothing), lambda t: t.contains("Exception") | t.contains("Error") | t.contains("Throwable"))
+    return F.when(F.exists(named, lambda a: a.isin(*SERVICE_ANNOTATIONS)), "SERVICE").when(F.exists(named, lambda a: a.isin(*DATA_ANNOTATIONS)), "DATA_CLASS").when(fails, "EXCEPTION").otherwise("GENERAL")
+
+
+def cyclomatic(body: Column | str) -> Column:
+    """1 and a branch for each if, for, while, catch, conditional expression and switch label, counted in the text without literals and comments."""
+    return (F.lit(1) + F.coalesce(F.regexp_count(without_literals(body), F.lit(r"\b(?:if|for|while|catch|case|default)\b|\?[^;?:]*:")), F.lit(0))).cast("long")
+
+
+def nesting(body: Column | str) -> Column:
+    """How deep braces nest within the outermost ones."""
+    steps = F.transform(F.regexp_extract_all(without_literals(body), F.lit("[{}]"), F.lit(0)), lambda x: F.when(x == "{", 1).otherwise(-1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    deepest = F.aggregate(steps, start, lambda a, x: F.struct((a["now"] + x).alias("now"), F.greatest(a["most"], a["now"] + x).alias("most")), lambda a: a["most"])
+    return F.greatest(F.coalesce(deepest, F.lit(0)) - 1, F.lit(0)).cast("long")
+
+
+def guards(body: Column | str) -> Column:
+    """Distinct guards in order, as ``throw`` or ``return`` and the condition they stand under."""
+    found = F.regexp_extract_all(without_literals(body), F.lit(r"\bif\s*\(([^(){};]*(?:\([^(){};]*\)[^(){};]*)*)\)\s*\{?\s*((?:throw|return)\b)"), F.lit(0))
+    kind, condition = r"(throw|return)$", r"\bif\s*\(([\s\S]*)\)\s*\{?\s*(?:throw|return)$"
+    return F.array_distinct(F.transform(found, lambda g: F.concat_ws(" ", F.regexp_extract(g, kind, 1), F.trim(F.regexp_extract(g, condition, 1)))))
+
+
+def canonical_json(text: Column | str) -> Column:
+    """JSON with the keys of every object in order and no white space; lists stay as they are."""
+    return F.to_json(F.parse_json(_col(text)))
 
 
 def generated_test_name(class_name: Column | str, method: Column | str, given: Column | str | None = None, suffix: str = "GeneratedTest") -> Column:

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Detectors in order: type, pattern, group that holds the secret, confidence.
+# Detectors in order: type, pattern, confidence.
 DETECTORS = (
     ("PEM_KEY", r"(?i)-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z ]+ )?PRIVATE KEY-----", 1.0),
     ("AUTH_BEARER", r"(?i)(\bAuthorization\s*:\s*Bearer\s+)[A-Z0-9._+/=-]+", 0.95),
     ("KEY_VALUE", r"""(?i)((?:api[_-]?key|token|secret|password)[A-Z0-9_-]*\b\s*[:=]\s*)(?:"[^"]*"|'[^']*'|[^\s'";]+)""", 0.85),
     ("JWT", r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{8,}+", 0.95),
-    ("EMAIL", r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{2,}\b", 0.90),
-    ("CREDIT_CARD", r"(?<!\d)(?:\d[ -]*?){13,19}(?!\d)", 0.98),
+    ("EMAIL", r"(?i)\b[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{2,}\b", 0.90),
+    ("CREDIT_CARD", r"(?<!\d)(?:\d[ -]*){13,19}(?!\d)", 0.98),
 )
 #: Of these the first group stands before the secret and is not part of it.
 PREFIXED = ("AUTH_BEARER", "KEY_VALUE")
+#: What must be in a text for a detector to look at it; telling that costs little.
+HINTS = {"PEM_KEY": r"PRIVATE KEY", "AUTH_BEARER": r"(?i)bearer", "KEY_VALUE": r"(?i)key|token|secret|password", "JWT": r"\.", "EMAIL": "@", "CREDIT_CARD": r"\d[ -]*\d"}
+#: The card as the masking by turns takes it: as short as it can be.
+SHORT_CARD = r"(?<!\d)(?:\d[ -]*?){13,19}(?!\d)"
 MASK = "[REDACTED]"
 BLOCK_AT, MASK_AT = 0.90, 0.60
 FULL_WIDTH = "".join(map(chr, (*range(0xFF41, 0xFF5B), *range(0xFF10, 0xFF1A))))
@@ -28,14 +34,21 @@ def _col(x: Column | str) -> Column:
 
 
 def spans_of(text: Column, kind: str, pattern: str, confidence: float) -> Column:
-    """Leftmost matches as (type, start, end, confidence): offsets are the summed lengths of what stands between and within."""
+    """Leftmost matches as (type, start, end, confidence): offsets are the summed lengths of what stands between and within.
+
+    What stands before a secret, and quotes around it, are no part of its span.
+    """
     cut, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(a: Column, z: Column) -> Column:
         whole = a["at"] + F.length(z["p"])
-        begin, end = whole + F.length(z["h"]) if kind in PREFIXED else whole, whole + F.length(z["m"])
-        one = F.struct(F.lit(kind).alias("type"), begin.alias("start"), end.alias("end"), F.lit(confidence).alias("confidence"))
+        begin, end = whole, whole + F.length(z["m"])
+        inner = end
+        if kind in PREFIXED:
+            quotes = F.when(F.substring(z["m"], F.length(z["h"]) + 1, F.lit(1)).isin('"', "'"), 1).otherwise(0)
+            begin, inner = whole + F.length(z["h"]) + quotes, end - quotes
+        one = F.struct(F.lit(kind).alias("type"), begin.alias("start"), inner.alias("end"), F.lit(confidence).alias("confidence"))
         return F.when(z["m"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out")))
 
     both = F.zip_with(cut, found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
@@ -44,7 +57,8 @@ def spans_of(text: Column, kind: str, pattern: str, confidence: float) -> Column
     out = F.aggregate(both, start, step, lambda a: a["out"])
     if kind == "CREDIT_CARD":
         out = F.filter(out, lambda s: F.call_function("luhn_check", F.regexp_replace(F.substring(text, s["start"] + 1, s["end"] - s["start"]), r"\D", "")))
-    return F.when(text.rlike(pattern), out).otherwise(F.array().cast(SPAN))
+    none = F.array().cast(SPAN)
+    return F.when(text.rlike(HINTS[kind]), F.when(text.rlike(pattern), out).otherwise(none)).otherwise(none) if kind in HINTS else F.when(text.rlike(pattern), out).otherwise(none)
 
 
 def fold_width(text: Column | str) -> Column:
@@ -68,20 +82,40 @@ def dictionary_spans(text: Column | str, deny: tuple[str, ...], allow: tuple[str
     return F.concat(*parts)
 
 
-def detect(text: Column | str) -> Column:
-    """All findings of all detectors, in their order."""
+#: Detectors by name, in the order in which they look; more can be registered.
+REGISTRY: dict[str, Callable[[Column], Column]] = {d[0]: (lambda text, d=d: spans_of(text, *d)) for d in DETECTORS}
+
+
+def register(name: str, detector: Callable[[Column], Column]) -> None:
+    """Add a detector: from a text column to its spans."""
+    if name in REGISTRY:
+        raise ValueError(f"there is a detector {name}")
+    REGISTRY[name] = detector
+
+
+def detect(text: Column | str, only: tuple[str, ...] | None = None) -> Column:
+    """All findings of the detectors, or of those named, in their order."""
     said = F.coalesce(_col(text), F.lit(""))
-    return F.concat(*[spans_of(said, *d) for d in DETECTORS])
+    return F.concat(*[f(said) for name, f in REGISTRY.items() if only is None or name in only], F.array().cast(SPAN))
+
+
+def counts(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
+    """How many findings there are of each kind."""
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["type"] == kind)).cast("long")
+
+    return [of(k).alias(f"n_{k.lower()}") for k in kinds]
 
 
 def resolve_overlaps(spans: Column) -> Column:
-    """By start, then falling confidence; a span that overlaps the last kept one replaces it only if it is surer."""
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["confidence"]).alias("less"), s["end"].alias("end"), s["type"].alias("type"), s["confidence"].alias("confidence")))
-    ordered = F.transform(F.array_sort(keyed), lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["confidence"].alias("confidence")))
+    """By start, then falling confidence, then as they were found; a span that overlaps the last kept one replaces it only if it is surer."""
+    keyed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), (-s["confidence"]).alias("less"), i.alias("nth"), s.alias("span")))
+    ordered = F.transform(F.array_sort(keyed), lambda s: s["span"])
 
     def step(kept: Column, s: Column) -> Column:
         last = F.element_at(kept, -1)
-        return F.when(F.size(kept) == 0, F.array(s)).when(s["start"] >= last["end"], F.concat(kept, F.array(s))).when(s["confidence"] > last["confidence"], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(s))).otherwise(kept)
+        return F.when(F.size(kept) == 0, F.array(s)).when((s["start"] >= last["end"]) | (s["end"] <= last["start"]), F.concat(kept, F.array(s))).when(s["confidence"] > last["confidence"], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(s))).otherwise(kept)
 
     return F.aggregate(ordered, F.array().cast(SPAN), step)
 
@@ -107,9 +141,15 @@ def policy(text: Column | str, spans: Column, mode: str = "enforce", block_at: f
 
 def mask_in_turn(text: Column | str, with_: str = MASK) -> Column:
     """Mask kind after kind, each on what the one before left."""
-    said = F.coalesce(_col(text), F.lit(""))
+    said, put = F.coalesce(_col(text), F.lit("")), with_.replace("$", r"\$")
     for kind, pattern, confidence in DETECTORS:
-        said = mask(said, spans_of(said, kind, pattern, confidence), with_, 0.0) if kind == "CREDIT_CARD" else F.regexp_replace(said, pattern, ("$1" if kind in PREFIXED else "") + with_.replace("$", r"\$"))
+        if kind == "CREDIT_CARD":
+            said = mask(said, spans_of(said, kind, SHORT_CARD, confidence), with_, 0.0)
+        elif kind == "KEY_VALUE":
+            key = pattern.split("(?:\"")[0]
+            said = F.regexp_replace(F.regexp_replace(F.regexp_replace(said, key + '"[^"]*"', f'$1"{put}"'), key + "'[^']*'", f"$1'{put}'"), key + r"[^\s'\";]+", f"$1{put}")
+        else:
+            said = F.regexp_replace(said, pattern, ("$1" if kind in PREFIXED else "") + put)
     return said
 
 

@@ -88,8 +88,30 @@ def normalize_reason(reason: Column | str) -> Column:
     )
 
 
-def task_status(selected: Column, available: Column, found: Column, failed: Column) -> Column:
-    return F.when(~F.coalesce(selected, F.lit(True)), "not_selected").when(~available, "build_failed").when(~found, "test_not_found").when(failed > 0, "test_failed").otherwise("success")
+def task_status(selected: Column, available: Column, found: Column, failed: Column, present: Column | None = None, readable: Column | None = None) -> Column:
+    """A task's status: ``available`` reports were made, ``present`` ones lie there, its own was ``found`` and is ``readable``, tests in it failed."""
+    missing = F.lit("test_not_found") if present is None else F.when(present, "test_not_found").otherwise("build_failed")
+    out = F.when(~F.coalesce(selected, F.lit(True)), "not_selected").when(~available, "build_failed").when(~found, missing)
+    if readable is not None:
+        out = out.when(~readable, "build_failed")
+    return out.when(failed > 0, "test_failed").otherwise("success")
+
+
+def _dynamic_penalty(breakdown: Column) -> Column:
+    return F.coalesce(F.get_json_object(breakdown, "$.penalties.DYNAMIC_REASONS").try_cast("double") > 0, F.lit(False))
+
+
+def would_be_excluded(breakdown: Column) -> Column:
+    """By an open JSON map: a shadow score of 0 or less, a penalty for dynamic reasons, or a reason to skip."""
+    shadow = F.coalesce(F.get_json_object(breakdown, "$.shadow_score").try_cast("double") <= 0, F.lit(False))
+    reasons = F.from_json(F.get_json_object(breakdown, "$.dynamic_reasons"), "array<string>")
+    return shadow | _dynamic_penalty(breakdown) | F.coalesce(F.exists(reasons, lambda r: F.coalesce(r.startswith("SKIP:"), F.lit(False))), F.lit(False))
+
+
+def is_excluded(breakdown: Column, selected: Column, reason: Column, score: Column) -> Column:
+    """A penalty, not selected for a dynamic reason or confidence, or a score of 0 or less."""
+    said = F.coalesce((selected == F.lit(False)) & (reason.contains("dynamic") | reason.contains("confidence")), F.lit(False))
+    return _dynamic_penalty(breakdown) | said | F.coalesce(score <= 0, F.lit(False))
 
 
 def quality_score(resolution_rate: Column, dynamic: Column, preprocess: Column | None = None, classpath: Column | None = None) -> Column:
@@ -98,8 +120,23 @@ def quality_score(resolution_rate: Column, dynamic: Column, preprocess: Column |
     return F.greatest(F.lit(0), F.floor(resolution_rate * 100 + 0.5) - less).cast("long")
 
 
-def recommendations(resolution_rate: Column, dynamic: Column) -> Column:
-    out = F.array_compact(F.array(F.when(resolution_rate < 0.8, "raise_type_resolution"), F.when(dynamic > 20, "review_dynamic_features")))
+def recommendations(resolution_rate: Column, dynamic: Column, preprocess_mode: Column | None = None, preprocess: Column | None = None, classpath: Column | None = None, lombok: Column | None = None, hotspots: Column | None = None) -> Column:
+    """What to do, in order; ``none`` if there is nothing."""
+    no = F.lit(False)
+
+    def told(x: Column | None, when) -> Column:
+        return no if x is None else F.coalesce(when(x), no)
+
+    rules = [
+        (resolution_rate < 0.8, "raise_type_resolution"),
+        (dynamic > 20, "review_dynamic_features"),
+        ((dynamic > 20) & told(hotspots, lambda x: F.size(x) > 0), "focus_dynamic_hotspots"),
+        (told(preprocess_mode, lambda x: x == "OFF") & told(lombok, lambda x: x), "preprocess_for_lombok"),
+        (told(preprocess, lambda x: x == "FAILED"), "mend_preprocessing"),
+        (told(preprocess, lambda x: x == "FAILED_FALLBACK"), "look_at_fallback"),
+        (told(classpath, lambda x: x == "NO"), "give_a_class_path"),
+    ]
+    out = F.array_compact(F.array(*[F.when(F.coalesce(when, no), name) for when, name in rules]))
     return F.when(F.size(out) > 0, out).otherwise(F.array(F.lit("none")))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.code import split_top_level
+
 
 def unique(dim: DataFrame, key: str, value: str) -> DataFrame:
     """Keys that name exactly one value."""
@@ -74,7 +76,85 @@ def implementations(types: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(concrete, "fqn", "left_semi").select(F.col("implements").alias("interface"), "fqn").distinct()
 
 
+def symbol_index(methods: DataFrame, keys: tuple[str, ...] = ("package", "name")) -> DataFrame:
+    """The symbols that methods declare, with how many declare each."""
+    return methods.groupBy(*keys).agg(F.count(F.lit(1)).alias("overloads"))
+
+
 def symbols_exist(refs: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
-    """The refs with whether the symbol exists and how many overloads it has."""
-    counts = symbols.groupBy(*keys).agg(F.count(F.lit(1)).alias("overloads"))
+    """The refs with whether the symbol exists and how many overloads it has; symbols may come as an index, with ``overloads``."""
+    counts = symbols.groupBy(*keys).agg((F.max("overloads") if "overloads" in symbols.columns else F.count(F.lit(1))).alias("overloads"))
     return refs.join(counts, keys, "left").withColumns({"overloads": F.coalesce("overloads", F.lit(0)), "exists": F.col("overloads").isNotNull()})
+
+
+def class_candidates(name: Column) -> Column:
+    """Names under which a class may be known: as it is, with dots for dollars, and with dollars for dots from each place on."""
+    said = F.trim(name)
+    parts = F.split(said, r"\.")
+    nested = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat_ws(".", F.array_join(F.slice(parts, F.lit(1), n), "."), F.array_join(F.slice(parts, n + 1, F.size(parts)), "$")))
+    return F.array_distinct(F.concat(F.array(said, F.replace(said, F.lit("$"), F.lit("."))), F.when(F.size(parts) > 1, nested).otherwise(F.array().cast("array<string>"))))
+
+
+def first_known(refs: DataFrame, ref_id: str, candidates: Column, dim: DataFrame, key: str) -> DataFrame:
+    """The refs with the row of ``dim``, whose keys are unique, of their first candidate that it has; refs without one go."""
+    each = refs.select(ref_id, F.posexplode(candidates).alias("__at", "__c"))
+    return best_of(each.join(dim, F.col("__c") == F.col(key)), ref_id, [F.col("__at")]).drop("__at", "__c")
+
+
+def method_of(refs: DataFrame, ref_id: str, methods: DataFrame) -> DataFrame:
+    """The method each ref (class_name, signature) means, and by which of four ways: same signature, same but for white space,
+    name and number of parameters, name alone; methods are (class_name, signature, ord, id)."""
+
+    def plain(x: str) -> Column:
+        return F.regexp_replace(x, r"\s+", "")
+
+    def name(x: str) -> Column:
+        return F.trim(F.regexp_extract(x, r"([^\s(.]+)\s*(?:\(|$)", 1))
+
+    def arity(x: str) -> Column:
+        inside = F.regexp_extract(x, r"\((.*)\)", 1)
+        return F.when(F.trim(inside) == "", 0).otherwise(F.size(split_top_level(inside)))
+
+    told = refs.select(ref_id, F.col("class_name").alias("__c"), F.col("signature").alias("__s"), name("signature").alias("__n"))
+    j = told.join(methods.withColumn("__m", name("signature")), (F.col("__c") == F.col("class_name")) & (F.col("__n") == F.col("__m")))
+    tier = F.when(F.col("__s") == F.col("signature"), 1).when(plain("__s") == plain("signature"), 2).when(arity("__s") == arity("signature"), 3).otherwise(4)
+    return best_of(j.withColumn("tier", tier), ref_id, [F.col("tier"), F.col("ord")]).select(ref_id, "id", "tier")
+
+
+def class_of_call(calls: DataFrame, call_id: str, classes: DataFrame) -> DataFrame:
+    """The class that each call (raw, resolved) names: a known one, one with dots for dollars, the only one of that simple name; else what was
+    said, unless it was not resolved and begins with a small letter."""
+    solved = F.coalesce((F.trim("resolved") != "") & (F.col("resolved") != "None"), F.lit(False))
+    said = F.when(solved, F.col("resolved")).otherwise(F.col("raw"))
+    rows = calls.select(call_id, solved.alias("__solved"), F.regexp_replace(F.regexp_replace(F.regexp_replace(said, r"^([^(]+)\(.*$", "$1"), "^([^#]+)#.*$", "$1"), "^(.+?)::.*$", "$1").alias("__said")).where("trim(__said) <> ''")
+    rows = rows.withColumn("__plain", F.replace("__said", F.lit("$"), F.lit(".")))
+    known = classes.select(F.col("fqn").alias("fqn")).distinct()
+    simple = unique(known.select("fqn", F.substring_index("fqn", ".", -1).alias("__simple")), "__simple", "fqn")
+    rows = rows.withColumn("__short", F.when(~F.col("__said").contains("."), F.col("__said")).when(~F.col("__plain").contains("."), F.col("__plain")))
+    found = tiered(rows, call_id, [("__said", known.withColumn("__said", F.col("fqn"))), ("__plain", known.withColumn("__plain", F.col("fqn"))), ("__short", simple.withColumnRenamed("__simple", "__short"))], "fqn")
+    out = found.join(rows.select(call_id, "__said", "__solved"), call_id)
+    target = F.coalesce("fqn", F.when(F.col("__solved") | ~F.col("__said").rlike(r"^\p{Ll}"), F.col("__said")))
+    return out.select(call_id, target.alias("target"), F.col("fqn").isNotNull().alias("internal")).where("target is not null")
+
+
+def test_links(classes: DataFrame, methods: DataFrame | None = None) -> DataFrame:
+    """Tests to look for by name: of classes (fqn) ``<Name>Test`` and ``<Name>Tests``; of methods (fqn, name) ``test<Method>`` in the former and ``<Name><Method>Test``."""
+    source = classes if methods is None else methods
+    package, simple = F.regexp_replace(F.regexp_extract("fqn", r"^(.*)\.[^.]*$", 1), r"\.", "/"), F.substring_index("fqn", ".", -1)
+
+    def link(name: Column, method: Column) -> Column:
+        return F.struct(name.alias("test_class"), method.alias("test_method"), F.concat(F.when(package != "", F.concat(package, F.lit("/"))).otherwise(""), name, F.lit(".java")).alias("path"))
+
+    none = F.lit(None).cast("string")
+    if methods is None:
+        links = [link(F.concat(simple, F.lit("Test")), none), link(F.concat(simple, F.lit("Tests")), none)]
+        return source.select("fqn", F.explode(F.array_distinct(F.array(*links))).alias("l")).select("fqn", "l.*").distinct()
+    big = F.concat(F.upper(F.substring("name", 1, 1)), F.expr("substring(name, 2)"))
+    links = [link(F.concat(simple, F.lit("Test")), F.concat(F.lit("test"), big)), link(F.concat(simple, big, F.lit("Test")), none)]
+    return source.select("fqn", "name", F.explode(F.array_distinct(F.array(*links))).alias("l")).select("fqn", "name", "l.*").distinct()
+
+
+def registered_links(tasks: DataFrame) -> DataFrame:
+    """Links that tasks (class_fqn, method_name, test_class, path) tell, distinct; what lacks its class, test or path tells none."""
+    rows = tasks.where("class_fqn is not null and test_class is not null and path is not null")
+    return rows.select("class_fqn", F.when(F.trim("method_name") != "", F.col("method_name")).alias("method_name"), "test_class", "path").distinct()

@@ -59,6 +59,36 @@ def difference(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return j.where("__a is null or __b is null").select(F.coalesce("__a", "__b").alias(key), F.when(F.col("__b").isNull(), "first").otherwise("second").alias("side"))
 
 
+def keyed(classes: DataFrame, fqn: str = "fqn", path: str = "file_path", key: str = "key") -> DataFrame:
+    """With the key by which classes are merged: the name, or the path of what has none."""
+    def said(c: str) -> Column:
+        return F.when(F.trim(c) != "", F.col(c))
+
+    return classes.withColumn(key, F.coalesce(said(fqn), said(path)))
+
+
+def compare(first: DataFrame, second: DataFrame, key: str, count: str, sets: list[str]) -> DataFrame:
+    """What differs, a row each: key, what (``only_first``, ``only_second``, ``count``, or the name of a list column), and the values on either side alone."""
+    j = first.alias("a").join(second.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
+    nothing = F.array().cast("array<string>")
+
+    def found(when: Column, what: str, mine: Column, other: Column) -> Column:
+        return F.when(when, F.struct(F.lit(what).alias("what"), F.array_sort(mine).alias("first"), F.array_sort(other).alias("second")))
+
+    a, b, counts = F.col(f"b.{key}").isNull(), F.col(f"a.{key}").isNull(), [F.col(f"{x}.{count}") for x in "ab"]
+    rows = [found(a, "only_first", nothing, nothing), found(b, "only_second", nothing, nothing), found(~a & ~b & (counts[0] != counts[1]), "count", *[F.array(c.cast("string")) for c in counts])]
+    for c in sets:
+        x, y = F.coalesce(f"a.{c}", nothing), F.coalesce(f"b.{c}", nothing)
+        mine, other = F.array_except(x, y), F.array_except(y, x)
+        rows.append(found(~a & ~b & ((F.size(mine) > 0) | (F.size(other) > 0)), c, mine, other))
+    return j.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), F.explode(F.array_compact(F.array(*rows))).alias("d")).select(key, "d.what", "d.first", "d.second")
+
+
+def path_sets(first: Column, second: Column) -> Column:
+    """Struct of the ids in both lists, and in the one or the other alone."""
+    return F.struct(F.array_intersect(first, second).alias("both"), F.array_except(first, second).alias("only_first"), F.array_except(second, first).alias("only_second"))
+
+
 def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an explicit order."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

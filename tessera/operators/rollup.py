@@ -54,3 +54,11 @@ def common_prefix(names: DataFrame, name: str, most: int = 3) -> list[str]:
             break
         out.append(row[f"a{i}"])
     return out
+
+
+def package_cluster(package: Column | str, prefix: list[str]) -> Column:
+    """The first token after the common prefix; of shorter names the third, else the last one."""
+    name = F.col(package) if isinstance(package, str) else package
+    parts = F.split(name, r"\.")
+    token = F.coalesce(F.get(parts, F.lit(len(prefix))), F.get(parts, F.lit(2)), F.element_at(parts, -1))
+    return F.when(name.isNull() | (F.trim(name) == "") | (name == "(default)"), "default").otherwise(F.lower(token))

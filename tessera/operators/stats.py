@@ -46,21 +46,24 @@ def quota(monthly: Column, limit: int, block: bool = True) -> Column:
 
 
 def trend(runs: DataFrame, at: str, value: str, keep: int = 100, by: str | None = None) -> DataFrame:
-    """The newest ``keep`` runs with the change against the run before. Runs are one row each, aggregated before they come here."""
-    w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(1))
-    newest = runs.withColumn("__n", F.row_number().over(w.orderBy(F.desc(at)))).where(F.col("__n") <= keep).drop("__n")
+    """The newest ``keep`` runs with the change against the run before. Without ``by`` only those runs, found by a distributed top list, meet in one task."""
+    if by:
+        w = Window.partitionBy(by)
+        newest = runs.withColumn("__n", F.row_number().over(w.orderBy(F.desc(at)))).where(F.col("__n") <= keep).drop("__n")
+    else:
+        w, newest = Window.partitionBy(F.lit(1)), runs.orderBy(F.desc(at)).limit(keep)
     return newest.withColumn("delta", F.col(value) - F.lag(value).over(w.orderBy(at)))
 
 
-def evict(entries: DataFrame, most: int, used: Column, key: str, gone: int | None = None) -> DataFrame:
-    """Entries that stay: over ``most``, the oldest fifth of all entries (one at least), or ``gone`` of them, go.
+def evict(entries: DataFrame, most: int, used: Column, key: str) -> DataFrame:
+    """Entries that stay: over ``most``, the oldest fifth of all entries (one at least) go.
 
     The cut is found over sorted partitions: a row's place is the sizes of those before its own, and its place in there.
     """
     n = entries.count()
     if n <= most:
         return entries
-    cut = gone or max(1, n // 5)
+    cut = max(1, n // 5)
     ordered = durable(entries.select(used.alias("__used"), F.col(key).alias("__gone")).orderBy("__used", "__gone").select("__gone", F.monotonically_increasing_id().alias("__at")))
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
     before, whole, last = 0, [], None
@@ -94,3 +97,27 @@ def test_totals(suites: DataFrame) -> DataFrame:
     """Totals over suites; what neither failed, erred nor was skipped passed."""
     s = {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("tests", "failures", "errors", "skipped")}
     return suites.agg(*[v.alias(c) for c, v in s.items()], F.greatest(F.lit(0), s["tests"] - s["failures"] - s["errors"] - s["skipped"]).alias("passed"))
+
+
+def generation_stats(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Succeeded, failed and skipped results (``status``) and the succeeded ones' part of those that were not skipped."""
+    status = F.col("status")
+    good, bad = F.count_if(status == "success"), F.count_if(status.isin("failure", "processed"))
+    return results.groupBy(*(by or [])).agg(good.alias("succeeded"), bad.alias("failed"), F.count_if(status == "skipped").alias("skipped"), rate(good, good + bad).alias("success_rate"))
+
+
+def categories(results: DataFrame, category: str, by: list[str] | None = None) -> DataFrame:
+    """How often each category that is not empty comes."""
+    return results.where((F.col(category).isNotNull()) & (F.col(category) != "")).groupBy(*(by or []), category).agg(F.count(F.lit(1)).alias("n"))
+
+
+def brittleness(methods: DataFrame, signals: str, by: list[str]) -> DataFrame:
+    """Methods with a signal, all methods, and their rate, 0 if there are none."""
+    some = F.count_if(F.size(signals) > 0)
+    return methods.groupBy(*by).agg(some.alias("brittle"), F.count(F.lit(1)).alias("methods"), F.coalesce(rate(some, F.count(F.lit(1))), F.lit(0.0)).alias("rate"))
+
+
+def top_complexity(methods: DataFrame, package: str, class_name: str, name: str, complexity: str, order: str) -> DataFrame:
+    """By package: classes, methods, the greatest complexity (1 at least) and the first method that has it, by class and name."""
+    first = F.max_by(F.struct(class_name, name), F.struct(F.col(complexity), -F.col(order)))
+    return methods.groupBy(package).agg(F.count_distinct(class_name).alias("classes"), F.count(F.lit(1)).alias("methods"), F.greatest(F.lit(1), F.max(complexity)).alias("most"), first[class_name].alias("top_class"), first[name].alias("top_method"))

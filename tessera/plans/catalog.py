@@ -332,45 +332,46 @@ def risk_top_n(t):
 
 
 @query(
-    """WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type <> 'error') / count(*) AS rate, count(*) FILTER (value >= 100) AS dynamic FROM events GROUP BY 1)
-    SELECT day, CAST(greatest(0, floor(rate * 100 + 0.5) - least(dynamic, 30)) AS BIGINT) AS score,
-    CASE WHEN rate < 0.8 AND dynamic > 20 THEN 'raise_type_resolution,review_dynamic_features' WHEN rate < 0.8 THEN 'raise_type_resolution' WHEN dynamic > 20 THEN 'review_dynamic_features' ELSE 'none' END AS advice FROM d"""
+    """WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type <> 'error') / count(*) AS rate, count(*) FILTER (value >= 100) AS dynamic, min(user_id) % 4 AS k FROM events GROUP BY 1)
+    SELECT day, CAST(greatest(0, floor(rate * 100 + 0.5) - least(dynamic, 30) - CASE k WHEN 0 THEN 10 WHEN 1 THEN 5 ELSE 0 END - CASE WHEN k = 2 THEN 5 ELSE 0 END) AS BIGINT) AS score,
+    coalesce(nullif(concat_ws(',', CASE WHEN rate < 0.8 THEN 'raise_type_resolution' END, CASE WHEN dynamic > 20 THEN 'review_dynamic_features' END, CASE WHEN dynamic > 20 AND k < 3 THEN 'focus_dynamic_hotspots' END, CASE WHEN k = 3 THEN 'preprocess_for_lombok' END, CASE k WHEN 0 THEN 'mend_preprocessing' WHEN 1 THEN 'look_at_fallback' END, CASE WHEN k = 2 THEN 'give_a_class_path' END), ''), 'none') AS advice FROM d"""
 )
 def quality_score(t):
-    d = t.events.groupBy(F.to_date("ts").alias("day")).agg(rules.rate(F.count_if(F.col("event_type") != "error"), F.count(F.lit(1))).alias("rate"), F.count_if(F.col("value") >= 100).alias("dynamic"))
-    return d.select("day", rules.quality_score(F.col("rate"), F.col("dynamic")).alias("score"), F.concat_ws(",", rules.recommendations(F.col("rate"), F.col("dynamic"))).alias("advice"))
+    d = t.events.groupBy(F.to_date("ts").alias("day")).agg(rules.rate(F.count_if(F.col("event_type") != "error"), F.count(F.lit(1))).alias("rate"), F.count_if(F.col("value") >= 100).alias("dynamic"), (F.min("user_id") % 4).alias("k"))
+    k, rate, dynamic = F.col("k"), F.col("rate"), F.col("dynamic")
+    score = rules.quality_score(rate, dynamic, F.when(k == 0, 10).when(k == 1, 5).otherwise(0), F.when(k == 2, 5).otherwise(0))
+    advice = rules.recommendations(rate, dynamic, F.when(k == 3, "OFF"), F.when(k == 0, "FAILED").when(k == 1, "FAILED_FALLBACK"), F.when(k == 2, "NO"), k == 3, F.when(k < 3, F.array(F.lit("f"))))
+    return d.select("day", score.alias("score"), F.concat_ws(",", advice).alias("advice"))
 
 
 @query(
-    """WITH l AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS failed FROM lineitem GROUP BY 1)
-    SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'not_selected' WHEN o_orderstatus = 'P' THEN 'build_failed' WHEN l_orderkey IS NULL THEN 'test_not_found' WHEN failed > 0 THEN 'test_failed' ELSE 'success' END AS status
+    """WITH l AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS failed FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1)
+    SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'not_selected' WHEN o_orderstatus = 'P' THEN 'build_failed' WHEN l_orderkey IS NULL AND o_custkey % 2 = 0 THEN 'test_not_found' WHEN l_orderkey IS NULL THEN 'build_failed' WHEN o_custkey % 7 = 0 THEN 'build_failed' WHEN failed > 0 THEN 'test_failed' ELSE 'success' END AS status
     FROM orders LEFT JOIN l ON o_orderkey = l_orderkey"""
 )
 def decision_list_status(t):
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("failed"))
-    j = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return j.select("o_orderkey", rules.task_status(F.col("o_orderpriority") != "5-LOW", F.col("o_orderstatus") != "P", F.col("l_orderkey").isNotNull(), F.coalesce("failed", F.lit(0))).alias("status"))
+    lines = t.lineitem.where("l_linenumber % 2 = 0").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("failed"))
+    j, customer = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left"), F.col("o_custkey")
+    return j.select("o_orderkey", rules.task_status(F.col("o_orderpriority") != "5-LOW", F.col("o_orderstatus") != "P", F.col("l_orderkey").isNotNull(), F.coalesce("failed", F.lit(0)), customer % 2 == 0, customer % 7 != 0).alias("status"))
 
 
 @query(
-    """WITH d AS (SELECT user_id, count(*) AS n, count(*) FILTER (value < 10) AS ex, count(*) FILTER (value < 10 AND event_type <> 'error') AS good, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'error' AND value >= 50) AS dominant FROM events GROUP BY 1)
-    SELECT user_id, CASE WHEN ex / n > 0.20 AND coalesce(good / nullif(ex, 0), 0) >= 0.90 THEN 'TOO_STRICT' WHEN failed / n >= 0.15 AND coalesce(dominant / nullif(failed, 0), 0) >= 0.50 THEN 'TOO_WEAK' ELSE 'OK' END AS strength FROM d"""
+    """WITH d AS (SELECT user_id, count(*) AS n, count(*) FILTER (value < 10) AS ex, count(*) FILTER (value < 10 AND event_id % 3 = 0) AS good, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'error' AND value >= 50) AS dominant FROM events GROUP BY 1)
+    SELECT user_id, CASE WHEN ex / n > 0.20 AND coalesce(good / nullif(ex, 0), 0) >= 0.30 THEN 'TOO_STRICT' WHEN failed / n >= 0.15 AND coalesce(dominant / nullif(failed, 0), 0) >= 0.50 THEN 'TOO_WEAK' ELSE 'OK' END AS strength FROM d"""
 )
 def selection_strength(t):
     n, bad, low = F.count(F.lit(1)), F.col("event_type") == "error", F.col("value") < 10
-    d = t.events.groupBy("user_id").agg(rules.rate(F.count_if(low), n).alias("x"), F.coalesce(rules.rate(F.count_if(low & ~bad), F.count_if(low)), F.lit(0.0)).alias("w"), rules.rate(F.count_if(bad), n).alias("f"), F.coalesce(rules.rate(F.count_if(bad & (F.col("value") >= 50)), F.count_if(bad)), F.lit(0.0)).alias("c"))
-    # Here wasted potential counts from 0.90 on: scaled to the rule's 0.30.
-    return d.select("user_id", rules.selection_strength(F.col("x"), F.when(F.col("w") >= 0.90, 0.30).otherwise(0.0), F.col("f"), F.col("c")).alias("strength"))
+    d = t.events.groupBy("user_id").agg(rules.rate(F.count_if(low), n).alias("x"), F.coalesce(rules.rate(F.count_if(low & (F.col("event_id") % 3 == 0)), F.count_if(low)), F.lit(0.0)).alias("w"), rules.rate(F.count_if(bad), n).alias("f"), F.coalesce(rules.rate(F.count_if(bad & (F.col("value") >= 50)), F.count_if(bad)), F.lit(0.0)).alias("c"))
+    return d.select("user_id", rules.selection_strength(F.col("x"), F.col("w"), F.col("f"), F.col("c")).alias("strength"))
 
 
 @query(
-    """WITH p AS (SELECT page_id, length(html) AS used FROM pages), g AS (SELECT page_id FROM p ORDER BY used, page_id LIMIT 4)
+    """WITH p AS (SELECT page_id, length(html) AS used FROM pages), g AS (SELECT page_id FROM p ORDER BY used, page_id LIMIT (SELECT CASE WHEN count(*) > 20 THEN greatest(1, count(*) // 5) ELSE 0 END FROM p))
     SELECT page_id, CAST(used AS BIGINT) AS used, used > 0 AND 100000 - used > 97000 AS expired FROM p WHERE page_id NOT IN (SELECT page_id FROM g)"""
 )
 def eviction_and_expiry(t):
     rows = t.pages.select("page_id", F.length("html").cast("long").alias("used"))
-    # The SQL of this query names four entries; a fifth of all is what evict takes by itself.
-    return stats.evict(rows, 20, F.col("used"), "page_id", gone=4).withColumn("expired", stats.expired(F.col("used"), F.lit(100000), 97000))
+    return stats.evict(rows, 20, F.col("used"), "page_id").withColumn("expired", stats.expired(F.col("used"), F.lit(100000), 97000))
 
 
 @query(
@@ -389,20 +390,6 @@ def gate_result(t):
 # --- text safety
 
 
-@query(
-    """SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS BIGINT) AS emails, CAST(len(regexp_extract_all(text, '(?i)(?:api[_-]?key|token|secret|password) ?[:=] ?"[^"]*"')) AS BIGINT) AS secrets FROM documents"""
-)
-def pii_counts(t):
-    return t.documents.select("doc_id", F.regexp_count("text", F.lit(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")).cast("long").alias("emails"), F.regexp_count("text", F.lit(r'(?i)(?:api[_-]?key|token|secret|password) ?[:=] ?"[^"]*"')).cast("long").alias("secrets"))
-
-
-@query()
-def pii_masked(t):
-    found = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("found", redaction.detect("text"))
-    kept = found.withColumn("kept", redaction.resolve_overlaps(F.col("found")))
-    return kept.select("doc_id", F.size("kept").cast("long").alias("n"), redaction.policy("text", F.col("kept")).alias("p")).select("doc_id", "n", "p.text", "p.blocked")
-
-
 @query(
     r"""SELECT doc_id, CAST((length(t) - length(replace(t, 'license', ''))) / 7 + (length(t) - length(replace(t, 'token', ''))) / 5 AS BIGINT) AS hits FROM (SELECT doc_id, lower(text) AS t FROM documents) WHERE contains(t, 'license') OR contains(t, 'token')"""
 )
@@ -412,12 +399,12 @@ def dictionary_hits(t):
 
 
 @query(
-    """SELECT page_id, concat_ws(',', CASE WHEN regexp_matches(html, '\\bnew\\s+Random\\s*\\(') THEN 'RANDOM' END, CASE WHEN regexp_matches(html, '\\bSystem\\s*\\.\\s*(?:getenv|getProperty)\\s*\\(') THEN 'ENVIRONMENT' END,
-    CASE WHEN regexp_matches(html, 'track\\s*\\(') THEN 'CALL' END) AS signals FROM pages"""
+    r"""SELECT page_id, concat_ws(',', CASE WHEN regexp_matches(html, '\bLocalDateTime\s*\.\s*now\s*\(|\bInstant\s*\.\s*now\s*\(|\bSystem\s*\.\s*(?:currentTimeMillis|nanoTime)\s*\(') THEN 'TIME' END, CASE WHEN regexp_matches(html, '\bnew\s+Random\s*\(|\bThreadLocalRandom\s*\.\s*current\s*\(|\bUUID\s*\.\s*randomUUID\s*\(') THEN 'RANDOM' END,
+    CASE WHEN regexp_matches(html, '\bSystem\s*\.\s*(?:getenv|getProperty)\s*\(') THEN 'ENVIRONMENT' END, CASE WHEN contains(html, 'parallelStream(') THEN 'CONCURRENCY' END, CASE WHEN regexp_matches(html, '\bFiles\s*\.\s*(?:readAllLines|readAllBytes|newInputStream)\s*\(|\bnew\s+(?:Server)?Socket\s*\(') THEN 'IO' END,
+    CASE WHEN regexp_matches(html, '(?s)Hash(?:Set|Map).*(?:\.toString\(|String\.valueOf\()|(?s)(?:\.toString\(|String\.valueOf\().*Hash(?:Set|Map)') THEN 'COLLECTION_ORDER' END, CASE WHEN regexp_matches(html, 'track\s*\(') THEN 'CALL' END) AS signals FROM pages"""
 )
 def signal_flags(t):
-    found = F.filter(code.brittle_signals("html"), lambda s: s.isin("RANDOM", "ENVIRONMENT"))
-    return t.pages.select("page_id", F.concat_ws(",", found, F.when(F.col("html").rlike(r"track\s*\("), "CALL")).alias("signals"))
+    return t.pages.select("page_id", F.concat_ws(",", code.brittle_signals("html"), F.when(F.col("html").rlike(r"track\s*\("), "CALL")).alias("signals"))
 
 
 @query(

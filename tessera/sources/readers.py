@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Severities of the tools, made one.
@@ -18,6 +18,13 @@ def analysis(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return classes.join(F.broadcast(head)).select("h.project_id", "h.commit_hash", "class.*").drop("__path")
 
 
+def analysis_errors(spark: SparkSession, path: str) -> DataFrame:
+    """Errors of the first shard by path, with its project's id; the others repeat them."""
+    rows = spark.read.option("multiLine", True).json(path).withColumn("__path", F.input_file_name())
+    first = rows.agg(F.min_by(F.struct("project_id", "errors"), "__path").alias("h"))
+    return first.select("h.project_id", F.explode("h.errors").alias("e")).select("project_id", "e.*")
+
+
 def tasks(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank lines skipped, bad ones told in ``_corrupt_record`` and left to the caller to count; each row is a result, a task or both."""
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
@@ -30,6 +37,89 @@ def tasks(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("kind", F.when(F.col("_corrupt_record").isNotNull(), "bad").when(result & task, "both").when(result, "result").otherwise("task"))
 
 
+def task_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Tasks of a file of any of the formats, told by its ending: lines of JSON, one JSON document or YAML with a list ``tasks``."""
+    if path.endswith(".jsonl"):
+        return good_tasks(tasks(spark, path, schema)).drop("kind")
+    if path.endswith(".json"):
+        return spark.read.option("multiLine", True).schema(f"tasks array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>").json(path).select(F.explode("tasks").alias("t")).select("t.*")
+    if not path.endswith((".yaml", ".yml")):
+        raise ValueError(f"no format for {path}")
+    lines = yaml_lines(spark, path)
+    item = F.col("key").rlike(r"^tasks\[\d+\]\.[^.]+$")
+    cells = lines.where(item).select(F.regexp_extract("key", r"\[(\d+)\]", 1).cast("int").alias("at"), F.regexp_extract("key", r"([^.]+)$", 1).alias("name"), "value")
+    names = [c.split()[0] for c in schema.split(", ")]
+    wide = cells.groupBy("at").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
+    return wide.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in schema.split(", ")])
+
+
+def yaml_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Leaves of YAML files: path, line, key (names joined by dots, places in lists in brackets) and value.
+
+    The plain part of YAML is read: maps and lists by indentation, scalars with or without quotes, comments. A file is a row and is gone through once.
+    """
+    import pandas as pd
+
+    def read(batches):
+        for batch in batches:
+            found = [(p, *leaf) for p, text in zip(batch["path"], batch["value"]) for leaf in _leaves(text)]
+            yield pd.DataFrame(found, columns=["path", "line", "key", "value"])
+
+    return spark.read.format("text").option("wholetext", True).load(path).select(F.input_file_name().alias("path"), "value").mapInPandas(read, "path string, line int, key string, value string")
+
+
+def _leaves(text: str) -> list[tuple[int, str, str]]:
+    import re
+
+    out, stack = [], []  # of (indent, key, places counted in its list)
+    for n, line in enumerate(text.splitlines()):
+        line = re.sub(r"""^((?:[^'"#]|'[^']*'|"[^"]*")*?)(?:^|\s)#.*$""", r"\1", line).rstrip()
+        if not line.strip() or line.strip() in ("---", "..."):
+            continue
+        indent, rest = len(line) - len(line.lstrip()), line.strip()
+        while stack and stack[-1][0] >= indent and not (rest.startswith("- ") and stack[-1][0] == indent and not stack[-1][1].endswith("]")):
+            stack.pop()
+        while rest.startswith("- ") or rest == "-":
+            owner = stack[-1] if stack else None
+            place = owner[2] if owner else 0
+            if owner:
+                owner[2] = place + 1
+            stack.append([indent, f"{owner[1] if owner else ''}[{place}]", 0])
+            inner = rest[1:].lstrip()
+            indent, rest = indent + len(rest) - len(inner), inner
+        name = re.match(r"""^(?:"([^"]*)"|'([^']*)'|([^\s:][^:]*?))\s*:(?:\s+(.*))?$""", rest)
+        base = stack[-1][1] if stack else ""
+        if name:
+            key = (base + "." if base else "") + next(x for x in name.groups()[:3] if x is not None)
+            if name.group(4):
+                out.append((n, key, _scalar(name.group(4))))
+            else:
+                stack.append([indent, key, 0])
+        elif rest:
+            out.append((n, base, _scalar(rest)))
+    return out
+
+
+def _scalar(x: str) -> str:
+    x = x.strip()
+    return x[1:-1] if len(x) > 1 and x[0] == x[-1] and x[0] in "'\"" else x
+
+
+def configuration(spark: SparkSession, path: str) -> DataFrame:
+    """Keys and values of the .properties and YAML files of a folder; the first by path and line wins."""
+    def of(*endings: str) -> list[str]:
+        return [f for f in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").where(" or ".join(f"endswith(path, '{e}')" for e in endings)).toPandas()["path"]]
+
+    props, yaml = of(".properties"), of(".yml", ".yaml")
+    parts = [f(spark, x) for f, x in ((_property_lines, props), (yaml_lines, yaml)) if x]
+    if not parts:
+        return spark.createDataFrame([], "key string, value string")
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("key").agg(F.min_by("value", F.struct("path", "line")).alias("value"))
+
+
 def good_tasks(rows: DataFrame) -> DataFrame:
     return rows.where("kind <> 'bad'").drop("_corrupt_record")
 
@@ -42,6 +132,15 @@ def coverage(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("package", "class", F.col("k._type").alias("type"), F.col("k._missed").alias("missed"), F.col("k._covered").alias("covered"), F.try_divide("k._covered", F.col("k._missed") + F.col("k._covered")).alias("rate"))
 
 
+def method_coverage(spark: SparkSession, path: str) -> DataFrame:
+    """Coverage XML by method: class, method, descriptor, type of counter, missed, covered and rate."""
+    counter = "array<struct<_type:string,_missed:long,_covered:long>>"
+    schema = f"_name string, class array<struct<_name:string,method:array<struct<_name:string,_desc:string,counter:{counter}>>>>"
+    rows = spark.read.format("xml").option("rowTag", "package").schema(schema).load(path).select(F.explode("class").alias("c"))
+    rows = rows.select(F.replace("c._name", F.lit("/"), F.lit(".")).alias("class"), F.explode("c.method").alias("m")).select("class", F.col("m._name").alias("method"), F.col("m._desc").alias("descriptor"), F.explode("m.counter").alias("k"))
+    return rows.select("class", "method", "descriptor", F.col("k._type").alias("type"), F.col("k._missed").alias("missed"), F.col("k._covered").alias("covered"), F.try_divide("k._covered", F.col("k._missed") + F.col("k._covered")).alias("rate"))
+
+
 def coverage_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("type").agg(F.sum("missed").alias("missed"), F.sum("covered").alias("covered")).withColumn("rate", F.try_divide("covered", F.col("missed") + F.col("covered")))
 
@@ -60,6 +159,17 @@ def test_suites(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_name").alias("name"), *[F.coalesce(f"_{c}", F.lit(0)).alias(c) for c in ("tests", "failures", "errors", "skipped")])
 
 
+def test_summary(spark: SparkSession, path: str) -> DataFrame:
+    """By report its path and totals: of its cases, or where it has none of its outermost suites' own figures."""
+    problem = "struct<_message:string,_type:string,_VALUE:string>"
+    cases = spark.read.format("xml").option("rowTag", "testcase").schema(f"_name string, failure {problem}, error {problem}, skipped string").load(path)
+    cases = cases.groupBy(F.input_file_name().alias("path")).agg(F.count(F.lit(1)).alias("tests"), F.count_if(F.col("failure").isNotNull()).alias("failures"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if(F.col("skipped").isNotNull()).alias("skipped"))
+    names = ("tests", "failures", "errors", "skipped")
+    suites = spark.read.format("xml").option("rowTag", "testsuite").schema("_name string, _tests long, _failures long, _errors long, _skipped long").load(path)
+    suites = suites.groupBy(F.input_file_name().alias("path")).agg(*[F.coalesce(F.sum(f"_{c}"), F.lit(0)).alias(c) for c in names]).join(cases.select("path"), "path", "left_anti")
+    return cases.unionByName(suites).withColumn("passed", F.greatest(F.lit(0), F.col("tests") - F.col("failures") - F.col("errors") - F.col("skipped")))
+
+
 def findings(spark: SparkSession, path: str, tool: str) -> DataFrame:
     """Findings of spotbugs, pmd or checkstyle in one schema."""
     if tool == "spotbugs":
@@ -77,19 +187,27 @@ def findings(spark: SparkSession, path: str, tool: str) -> DataFrame:
     return rows.select(F.lit(tool).alias("tool"), F.coalesce(F.try_element_at(known, F.lower("s")), F.lit("MEDIUM")).alias("severity"), "rule_id", "message", "file_path", "line_number", "class_name")
 
 
+def _property_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    rows = spark.read.format("text").option("wholetext", True).load(path).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    return rows.where(F.col("text").rlike(r"^\s*[^#!\s].*[=:]")).select("path", "line", F.trim(F.regexp_extract("text", r"^\s*([^=:\s]+)\s*[=:]", 1)).alias("key"), F.trim(F.regexp_extract("text", r"^[^=:]*[=:](.*)$", 1)).alias("value"))
+
+
 def properties(spark: SparkSession, path: str) -> DataFrame:
     """Keys and values of .properties files; the first by path and line wins."""
-    rows = spark.read.format("text").option("wholetext", True).load(path).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    rows = rows.where(F.col("text").rlike(r"^\s*[^#!\s].*[=:]")).select("path", "line", F.trim(F.regexp_extract("text", r"^\s*([^=:\s]+)\s*[=:]", 1)).alias("key"), F.trim(F.regexp_extract("text", r"^[^=:]*[=:](.*)$", 1)).alias("value"))
-    return rows.groupBy("key").agg(F.min_by("value", F.struct("path", "line")).alias("value"))
+    return _property_lines(spark, path).groupBy("key").agg(F.min_by("value", F.struct("path", "line")).alias("value"))
 
 
 def sources(spark: SparkSession, path: str, include: str = "*.java", exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Source files as path and text, filtered before they are read."""
-    rows = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", include).load(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    """Source files as path and text, filtered before they are read; ``ord`` numbers them by path. What is not UTF-8 has no text but an ``error``.
+
+    Only paths, not texts, meet in the task that numbers them.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", include).load(path)
     for x in exclude:
         rows = rows.where(~F.col("path").contains(x))
-    return rows
+    text = F.expr("try_validate_utf8(cast(content as string))")
+    places = rows.select("path", F.row_number().over(Window.orderBy("path")).alias("ord"))
+    return rows.select("path", text.alias("text"), F.when(text.isNull(), "not UTF-8").alias("error")).join(places, "path").select("ord", "path", "text", "error")
 
 
 def commit_counts(log: DataFrame) -> DataFrame:
@@ -99,3 +217,19 @@ def commit_counts(log: DataFrame) -> DataFrame:
 
 def history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("run_id string, timestamp long, total_tasks int, succeeded int, failed int, skipped int, success_rate double").json(path)
+
+
+def class_shards(spark: SparkSession, path: str) -> DataFrame:
+    """Shards of classes, with the ``folder`` each lies in, by which they can be pruned."""
+    return spark.read.json(path)
+
+
+def file_list(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a list, with their place."""
+    return ordered_lines(spark, path).withColumnRenamed("line", "path")
+
+
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of files in order, with their place from 1: files by path, lines as they stand."""
+    rows = spark.read.text(path).select(F.input_file_name().alias("__path"), F.monotonically_increasing_id().alias("__at"), F.col("value").alias("line"))
+    return rows.select(F.row_number().over(Window.orderBy("__path", "__at")).alias("place"), "line")

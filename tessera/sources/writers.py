@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.rules import token_estimate
+
 
 def shards(classes: DataFrame, path: str, package: str = "package") -> None:
     """JSON, a folder for each package."""
     classes.write.mode("overwrite").partitionBy(package).json(path)
 
 
+def class_shards(classes: DataFrame, path: str, package: str, name: str, errors: DataFrame | None = None, by: str | None = None) -> None:
+    """JSON, a folder for each package with slashes for dots; each class carries the ``errors`` of its project (``by``)."""
+    rows = classes.withColumn("folder", F.replace(F.col(package), F.lit("."), F.lit("/")))
+    if errors is not None:
+        rest = [c for c in errors.columns if c != by]
+        rows = rows.join(errors.groupBy(by).agg(F.sort_array(F.collect_list(rest[0])).alias("errors")), by, "left")
+    rows.repartition("folder", name).write.mode("overwrite").partitionBy("folder").json(path)
+
+
 def file_list(files: DataFrame, path: str, column: str = "path") -> None:
     """Distinct paths in order."""
     files.select(F.col(column).alias("value")).where("value is not null").distinct().orderBy("value").write.mode("overwrite").text(path)
@@ -32,11 +43,28 @@ def task_file(tasks: DataFrame, path: str) -> None:
     tasks.write.mode("overwrite").json(path)
 
 
-def resolution_summary(calls: DataFrame) -> DataFrame:
-    """Resolution counts by source, with the rate in per cent."""
+def resolution_summary(calls: DataFrame, ref: str | None = None, status: str = "UNRESOLVED", most: int = 10) -> DataFrame:
+    """Resolution counts by source, with the rate in per cent, and the first refs of that status as examples."""
     from tessera.operators.stats import status_pivot
 
-    return status_pivot(calls, "source", "status", ["RESOLVED", "UNRESOLVED", "AMBIGUOUS"], "RESOLVED")
+    out = status_pivot(calls, "source", "status", ["RESOLVED", "UNRESOLVED", "AMBIGUOUS"], "RESOLVED")
+    if ref is None:
+        return out
+    first = calls.where(F.col("status") == status).withColumn("__n", F.row_number().over(Window.partitionBy("source").orderBy(ref))).where(F.col("__n") <= most)
+    return out.join(first.groupBy("source").agg(F.sort_array(F.collect_list(ref)).alias("examples")), "source", "left")
+
+
+def diagram(edges: DataFrame, path: str, source: str, target: str, kind: str = "mermaid") -> None:
+    """Distinct edges as the lines of a diagram, in order, as text files in order of their names; nothing is gathered in one row."""
+    head, indent, tail = {"mermaid": ("classDiagram", "  ", None), "plantuml": ("@startuml", "", "@enduml")}[kind]
+    lines = edges.select(source, target).distinct().select(F.lit(1).alias("k"), F.concat(F.lit(indent), F.col(source), F.lit(" --> "), F.col(target)).alias("value"))
+    ends = [(0, head)] + ([(2, tail)] if tail else [])
+    edges.sparkSession.createDataFrame(ends, "k int, value string").union(lines).orderBy("k", "value").select("value").write.mode("overwrite").text(path)
+
+
+def history(runs: DataFrame, path: str, keep: int = 100) -> None:
+    """The newest runs as lines of JSON."""
+    runs.orderBy(F.desc("timestamp")).limit(keep).write.mode("overwrite").json(path)
 
 
 def mermaid(edges: DataFrame, source: str, target: str) -> DataFrame:
@@ -46,6 +74,7 @@ def mermaid(edges: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def audit(exchanges: DataFrame, path: str) -> None:
-    """Sizes and digests of requests and responses, never their text."""
+    """Sizes, digests and estimated tokens of requests and responses, never their text, and whether there was an answer."""
     sizes = [F.length(c).alias(f"{c}_chars") for c in ("request", "response")] + [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("request", "response")]
-    exchanges.select(*[c for c in exchanges.columns if c not in ("request", "response")], *sizes).write.mode("append").json(path)
+    more = [token_estimate(c).alias(f"{c}_tokens") for c in ("request", "response")] + [F.when(F.col("response").isNull(), "failed").otherwise("answered").alias("outcome")]
+    exchanges.select(*[c for c in exchanges.columns if c not in ("request", "response")], *sizes, *more).write.mode("append").json(path)
