@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.shared import durable, scratch, shared_dir
 
-__all__ = ["components", "durable", "held", "remove", "row_key", "scratch", "shared_dir", "size_of", "small_batches", "unpacked"]
+__all__ = ["components", "durable", "give_back", "held", "remove", "row_key", "scratch", "shared_dir", "size_of", "small_batches", "unpacked"]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -44,6 +44,19 @@ def row_key(columns: list[Column]) -> list[Column]:
     return [F.xxhash64(F.lit(k), *columns, *nulls) for k in range(2)]
 
 
+def give_back() -> None:
+    """Hand memory that a worker has freed back to the system, so that it does not stay with a process that is kept for other stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def size_of(df: DataFrame) -> tuple:
     """Count and an order-free digest of the rows."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("x")).first()

@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tessera.llm._common import give_back
 from tessera.llm._words import slices
 
 #: The sample: documents of a language at most, code points of a document, and of all languages together, which each get the same part; languages.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL, LANGUAGES = 200, 2000, 320_000, 1000
 DENSE = 62
-BLOCK = 512
+#: Symbols of a block; those of its beginning in which two ways to parse it are looked at for a common phrase.
+BLOCK, MEET = 512, 64
 #: Code points that are parsed at a time, alone and among other stages.
 BATCH, SLICE = 4_000_000, 1_000_000
 #: A document whose label is another language is rejected if that language takes so many bits more than the best, in all and as a part.
@@ -189,30 +191,93 @@ def phrases(model: Model, symbol: np.ndarray, texts: list[str], longest: int | N
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     at = begin[owner] + nth * BLOCK
     length = np.minimum(BLOCK, kept[owner] - nth * BLOCK)
-    begins = np.zeros((len(model.languages), len(flat)), np.uint8)
     start = np.repeat(np.array(model.starts, np.int64)[:, None], len(at), axis=1)
-    ends, _ = _parsed(model, flat, begins, at, length, start)
+    total = np.zeros((len(model.languages), len(texts)))
+    if longest is None:
+        marks = np.zeros((*start.shape, MEET), np.uint8)
+        ends, count = _counted(model, flat, at, length, start, marks)
+    else:
+        begins = np.zeros((len(model.languages), len(flat)), np.uint8)
+        ends, _ = _parsed(model, flat, begins, at, length, start)
     # Blocks but a text's first again, from where the one before them ended, while that is news.
     again = np.flatnonzero(nth > 0)
     while len(again):
-        redone, met = _parsed(model, flat, begins, at[again], length[again], ends[:, again - 1], meet=True)
-        changed = ~met & (redone != ends[:, again])
-        ends[:, again] = np.where(met, ends[:, again], redone)
-        after = again[changed.any(axis=0)] + 1
+        before = ends[:, again].copy()
+        if longest is None:
+            _met(model, flat, at, length, ends, count, marks, again)
+        else:
+            redone, met = _parsed(model, flat, begins, at[again], length[again], ends[:, again - 1], meet=True)
+            ends[:, again] = np.where(met, before, redone)
+        after = again[(ends[:, again] != before).any(axis=0)] + 1
         after = after[after < len(at)]
         again = after[nth[after] > 0]
-    total, some = np.zeros((len(model.languages), len(texts))), kept > 0
-    if some.any() and longest is None:
-        total[:, some] = np.add.reduceat(begins, begin[some], axis=1, dtype=np.int64)
+    some = kept > 0
+    if longest is None:
+        for k, row in enumerate(count):
+            total[k] = np.bincount(owner, row, len(texts))
     elif some.any():
         for k, row in enumerate(begins):
             # Every text begins with a phrase.
-            at = np.flatnonzero(row)
-            pieces = -(-np.diff(at, append=len(flat)) // longest)
-            total[k, some] = np.add.reduceat(pieces, np.searchsorted(at, begin[some]))
+            first = np.flatnonzero(row)
+            pieces = -(-np.diff(first, append=len(flat)) // longest)
+            total[k, some] = np.add.reduceat(pieces, np.searchsorted(first, begin[some]))
     return total, kept, letters
 
 
+def _counted(model: Model, flat: np.ndarray, at: np.ndarray, length: np.ndarray, start: np.ndarray, marks: np.ndarray | None = None, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Parse blocks side by side from their place ``first``: last states and phrases begun; in ``marks``, where within the first MEET symbols they begin."""
+    order = np.argsort(-length, kind="stable")
+    begin, size, state = at[order], length[order], start[:, order].copy()
+    count = np.zeros(state.shape, np.int64)
+    live = np.searchsorted(-size, -np.arange(first, BLOCK), side="left")
+    told = None if marks is None else np.zeros((MEET, *state.shape), np.uint8)
+    for step, n in enumerate(live, first):
+        if not n:
+            break
+        go = model.go(state[:, :n], flat[begin[:n] + step])
+        new = go & 1
+        count[:, :n] += new
+        if told is not None and step < MEET:
+            told[step, :, :n] = new
+        state[:, :n] = go >> 1
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    if told is not None:
+        marks[:] = told.transpose(1, 2, 0)[:, back]
+    return state[:, back], count[:, back]
+
+
+def _met(model: Model, flat: np.ndarray, at: np.ndarray, length: np.ndarray, ends: np.ndarray, count: np.ndarray, marks: np.ndarray, again: np.ndarray) -> None:
+    """Parse these blocks again from where the ones before them ended.
+
+    From the first place on at which a phrase would begin both ways, what is known stands: marks and counts before it are put right.
+    Blocks that do not meet within the first MEET symbols are parsed to their end.
+    """
+    state, was = ends[:, again - 1].copy(), marks[:, again]
+    now, met = was.copy(), np.zeros(state.shape, bool)
+    for step in range(int(min(MEET, length[again].max()))):
+        on = np.flatnonzero((length[again] > step) & ~met.all(axis=0))
+        if not len(on):
+            break
+        go = model.go(state[:, on], flat[at[again[on]] + step])
+        new = (go & 1).astype(np.uint8)
+        met[:, on] |= (was[:, on, step] & new).astype(bool)
+        now[:, on, step] = np.where(met[:, on], was[:, on, step], new)
+        state[:, on] = go >> 1
+    marks[:, again] = now
+    change = now.sum(axis=2, dtype=np.int64) - was.sum(axis=2, dtype=np.int64)
+    apart = np.flatnonzero(~met.all(axis=0))
+    count[:, again] += np.where(met, change, 0)
+    if len(apart):
+        blocks, far = again[apart], ~met[:, apart]
+        rest = length[blocks] > MEET
+        last, more = state[:, apart].copy(), np.zeros((len(state), len(apart)), np.int64)
+        if rest.any():
+            last[:, rest], more[:, rest] = _counted(model, flat, at[blocks[rest]], length[blocks[rest]], state[:, apart[rest]], first=MEET)
+        count[:, blocks] = np.where(far, now[:, apart].sum(axis=2, dtype=np.int64) + more, count[:, blocks])
+        ends[:, blocks] = np.where(far, last, ends[:, blocks])
+
+
 def _parsed(model: Model, flat: np.ndarray, begins: np.ndarray, at: np.ndarray, length: np.ndarray, start: np.ndarray, meet: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Parse blocks of ``flat`` side by side from these states, writing where phrases begin: by language and block the last state.
 
@@ -321,6 +386,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
             for a, b in slices([len(t) for t in every], SLICE):
                 batch, texts = whole.slice(a, b - a), every[a:b]
                 yield batch.filter(pa.array(_stays(learned, symbol, texts, batch.column("lang").to_pylist()), pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import components, durable, held, row_key, unpacked
+from tessera.llm._common import components, durable, give_back, held, row_key, unpacked
 
 RADIUS = 3
 WORDS = 3
@@ -59,6 +59,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
         yield x.drop(columns="text").assign(fp=np.array([fingerprint(t) for t in x["text"]], np.uint64).view(np.int64))
+    give_back()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
