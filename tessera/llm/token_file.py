@@ -18,7 +18,6 @@ blocks; other columns of the input are not read.
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 import zlib
@@ -32,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import remove, scratch
+from tessera.llm._common import give_back, remove, scratch
 from tessera.llm._words import slices
 
 END = 1
@@ -47,7 +46,7 @@ PART = 128_000_000
 #: Code points encoded at a time; words whose ids are put in place at a time; different punctuation that is remembered.
 SLICE, GATHER, TAILS = 12_000_000, 1 << 20, 10_000
 #: Latin-1 letters, then ASCII punctuation, but no apostrophe, which may begin a contraction.
-PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+PLAIN = "^(?P<stem>[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)(?P<tail>[!-&(-/:-@\\[-`{-~]*)$"
 
 
 # --- text to ids
@@ -56,10 +55,10 @@ PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:
 class Words:
     """Ids of texts by a tokenizer whose pre-tokenizer drops white space, so that words can be encoded apart and remembered.
 
-    Texts are cut at ASCII white space by Arrow, which also numbers the distinct words of a slice; only
-    these become Python objects. New words that are Latin-1 letters with punctuation after them are put together
-    from the ids of both, which the pre-tokenizer parts as well: the letters go to the library's model, in the
-    alphabet of bytes it knows, and the rest is encoded once. Other new words go through the whole of the
+    Texts are cut at ASCII white space by Arrow, which also numbers the distinct words of a slice, parts those that are
+    Latin-1 letters with punctuation after them, as the pre-tokenizer does too, and numbers the distinct lower-case letters and the distinct
+    punctuation; only these become Python objects. New letters go to the library's model, in the
+    alphabet of bytes it knows, and punctuation is encoded once. Other new words go through the whole of the
     library, together, told apart by the offsets of their tokens.
     """
 
@@ -84,28 +83,59 @@ class Words:
             for w, a, b in zip(some, where, where[1:]):
                 known[w] = raw[a:b]
 
-    def _tail(self, marks: str) -> bytes:
-        found = np.array(self.tokenizer.encode(marks, add_special_tokens=False).ids, np.uint32).tobytes()
-        if len(self.tails) < TAILS:
-            self.tails[marks] = found
-        return found
-
-    def _meet(self, words: list[str]) -> None:
-        known, rest, tokenize, tails, plain = self.known, [], self.model.tokenize, self.tails, PLAIN.fullmatch
-        for w in words:
-            parts = plain(w)
-            if parts is None:
-                rest.append(w)
-                continue
-            stem, marks = parts.groups()
-            low = stem.lower()
-            ids = known.get(low)
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        """Ids of lower-case letters."""
+        known, tokenize, alphabet = self.known, self.model.tokenize, self.alphabet
+        out = list(map(known.get, stems))
+        for i, ids in enumerate(out):
             if ids is None:
-                told = low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet)
-                ids = known[low] = array("I", [t.id for t in tokenize(told)]).tobytes()
-            tail = tails.get(marks)
-            known[w] = ids + (self._tail(marks) if tail is None else tail) if marks else ids
-        self._learn(rest)
+                low = stems[i]
+                told = low if low.isascii() else low.encode().decode("latin-1").translate(alphabet)
+                out[i] = known[low] = array("I", [t.id for t in tokenize(told)]).tobytes()
+        return out
+
+    def _marks(self, tails: list[str]) -> list[bytes]:
+        """Ids of punctuation."""
+        out = []
+        for marks in tails:
+            found = self.tails.get(marks)
+            if found is None:
+                found = np.array(self.tokenizer.encode(marks, add_special_tokens=False).ids, np.uint32).tobytes()
+                if len(self.tails) < TAILS:
+                    self.tails[marks] = found
+            out.append(found)
+        return out
+
+    def _rest(self, words: list[str]) -> list[bytes]:
+        """Ids of other words; the empty word is the end of a text."""
+        known = self.known
+        self._learn([w for w in words if w and w not in known])
+        return [known[w] if w else self.end for w in words]
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct words the ids, one after the other, and how many each has."""
+        parts = pc.extract_regex(words, PLAIN)
+        plain = np.flatnonzero(parts.is_valid().to_numpy(zero_copy_only=False))
+        other = np.flatnonzero(parts.is_null().to_numpy(zero_copy_only=False))
+        parts = parts.drop_null()
+        stems, tails = pc.utf8_lower(parts.field("stem")).dictionary_encode(), parts.field("tail").dictionary_encode()
+        pieces = []
+        for found, codes, of in ((self._stems(stems.dictionary.to_pylist()), stems.indices, plain), (self._marks(tails.dictionary.to_pylist()), tails.indices, plain), (self._rest(words.take(pa.array(other)).to_pylist()), np.arange(len(other)), other)):
+            count = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            pieces.append((np.frombuffer(b"".join(found), np.uint32), np.cumsum(count) - count, count, np.asarray(codes), of))
+        sizes = np.zeros(len(words), np.int64)
+        for _, _, count, codes, of in pieces:
+            sizes[of] += count[codes]
+        at, out = np.cumsum(sizes) - sizes, np.empty(int(sizes.sum()), np.uint32)
+        for flat, first, count, codes, of in pieces:
+            each = count[codes]
+            step = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+            out[np.repeat(at[of], each) + step] = flat[np.repeat(first[codes], each) + step]
+            at[of] += each
+        for long in (stems.dictionary, words.take(pa.array(other))):
+            for w in pc.filter(long, pc.greater(pc.utf8_length(long), WORD)).to_pylist():
+                self.known.pop(w, None)
+        return out, sizes
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and where each ends."""
@@ -115,14 +145,9 @@ class Words:
         plain = [t.encode("utf-8", "replace").strip() for t in texts]
         split = pc.ascii_split_whitespace(pa.array([p + b" " if p else p for p in plain], pa.large_binary()).cast(pa.large_string()))
         last, coded = split.offsets.to_numpy()[1:] - 1, split.values.dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        known = self.known
-        self._meet([w for w in distinct if w not in known and w])
-        raw = [known[w] if w else self.end for w in distinct]
-        for w in pc.filter(coded.dictionary, pc.greater(pc.utf8_length(coded.dictionary), WORD)).to_pylist():
-            known.pop(w, None)
-        count = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        flat, first = np.frombuffer(b"".join(raw), np.uint32), np.cumsum(count) - count
+        codes = coded.indices.to_numpy()
+        flat, count = self._distinct(coded.dictionary)
+        first = np.cumsum(count) - count
         upto = np.cumsum(count[codes])
         out = np.empty(int(upto[-1]) if len(upto) else 0, np.uint32)
         for at in range(0, len(codes), GATHER):
@@ -167,6 +192,7 @@ def _encode(path: str, bounds: list[int], places: list[int], end: int, remembere
                 known = x.notna()
                 part = np.where(known, np.searchsorted(bounds, x.where(known, 0).astype("int64"), side="right"), 0)
                 yield pd.DataFrame({"doc_id": x.astype("Int64"), "part": part, "place": np.array(places)[part], "crc": [zlib.crc32(raw[4 * i : 4 * j]) for i, j in cuts], "ids": [_narrow(flat[i:j]) for i, j in cuts]})
+        give_back()
 
     return run
 
