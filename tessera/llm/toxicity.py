@@ -71,8 +71,8 @@ class _Rows:
     def __init__(self, rows: list[np.ndarray], size: int):
         self.n, self.size = len(rows), size
         self.sizes = np.array([len(r) for r in rows], np.int64)
-        self.at = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-        self.owner = np.repeat(np.arange(self.n), self.sizes)
+        self.at = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)
+        self.owner = np.repeat(np.arange(self.n, dtype=np.int32), self.sizes)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, w[self.at], self.n)
@@ -151,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
     joined = joined.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.max(x).alias(x) for x in names])
     found = joined.mapInPandas(_sampled, f"doc_id long, {', '.join(x + ' double' for x in names)}, features array<int>").toPandas().sort_values("doc_id")
     folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in found["doc_id"]], np.int64)
-    model = chain([np.asarray(r, np.int64) for r in found["features"]], {c: found[x].to_numpy(float) for c, x in zip(categories, names)}, folds)
+    rows, labelled = [np.asarray(r, np.int32) for r in found.pop("features")], {c: found[x].to_numpy(float) for c, x in zip(categories, names)}
+    model = chain(rows, labelled, folds)
     return {"names": list(categories), "weights": np.column_stack(model["weights"]).astype(np.float32), "dense": model["dense"], "thresholds": model["thresholds"]}
 
 
