@@ -74,15 +74,43 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__tokens", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++")).cast("long"), F.lit(0).cast("long")))
 
 
+def _solve_at_scale(sources: DataFrame, target: float | None, repeats: float | None, budget: float | None, steps: int = 60) -> float:
+    """``solve`` for more sources than the driver should hold: each step of the bisection is an aggregate over the table of sources."""
+    live = sources.where("tokens > 0")
+    top, most = live.agg(F.max("tokens"), F.log(F.count(F.lit(1)))).first()
+
+    def fits(x: float) -> bool:
+        raised = F.exp(F.lit(x) * F.log(F.col("tokens") / F.lit(top)))
+        z, spread, scarce, dense = live.select("tokens", raised.alias("r")).agg(F.sum("r"), F.sum(F.when(F.col("r") > 0, F.col("r") * F.log("r"))), F.max(F.col("tokens") / F.col("r")), F.max(F.col("r") / F.col("tokens"))).first()
+        seen = (scarce if budget is None else budget / z) * dense
+        return (target is None or math.log(z) - (spread or 0.0) / z <= target * most + 1e-12) and (repeats is None or seen <= repeats + 1e-12)
+
+    if top is None or fits(0.0):
+        return 0.0
+    low, high = 0.0, 1.0
+    for _ in range(steps):
+        middle = (low + high) / 2
+        low, high = (low, middle) if fits(middle) else (middle, high)
+    return high
+
+
 def plan(docs: DataFrame, target: float | None = None, repeats: float | None = REPEATS, budget: float | None = None) -> DataFrame:
-    """One row for each source: source, tokens, weight, passes. Its rows are the sources, gathered to solve."""
+    """One row for each source: source, tokens, weight, passes. Up to BROADCAST sources are gathered to solve."""
     spark = docs.sparkSession
-    rows = _counted(docs.select("source", "text")).groupBy("source").agg(F.sum("__tokens").alias("n")).collect()
-    tokens = {r["source"]: r["n"] for r in rows}
-    live = {k: v for k, v in tokens.items() if v}
-    w = weights(live, solve(tokens, target, repeats, budget))
-    seen = passes(live, w, budget)
-    return spark.createDataFrame([(k, n, float(w.get(k, 0.0)), float(seen.get(k, 1.0))) for k, n in tokens.items()], "source string, tokens long, weight double, passes double")
+    sources = durable(_counted(docs.select("source", "text")).groupBy("source").agg(F.sum("__tokens").alias("tokens")))
+    if sources.count() <= BROADCAST:
+        tokens = {r["source"]: r["tokens"] for r in sources.collect()}
+        live = {k: v for k, v in tokens.items() if v}
+        w = weights(live, solve(tokens, target, repeats, budget))
+        seen = passes(live, w, budget)
+        return spark.createDataFrame([(k, n, float(w.get(k, 0.0)), float(seen.get(k, 1.0))) for k, n in tokens.items()], "source string, tokens long, weight double, passes double")
+    x = _solve_at_scale(sources, target, repeats, budget)
+    top = sources.agg(F.max("tokens")).first()[0] or 1
+    raised = sources.withColumn("r", F.when(F.col("tokens") > 0, F.exp(F.lit(x) * F.log(F.col("tokens") / F.lit(top)))).otherwise(0.0))
+    z, scarce = raised.agg(F.sum("r"), F.max(F.when(F.col("r") > 0, F.col("tokens") / F.col("r")))).first()
+    whole = (scarce or 0.0) * z if budget is None else budget
+    weight = F.col("r") / F.lit(z or 1.0)
+    return raised.select("source", "tokens", weight.alias("weight"), F.when(F.col("tokens") > 0, F.lit(whole) * weight / F.col("tokens")).otherwise(1.0).alias("passes"))
 
 
 def _dealt(docs: DataFrame, target: float | None, repeats: float | None, budget: float | None) -> DataFrame:
@@ -107,7 +135,9 @@ def _dealt(docs: DataFrame, target: float | None, repeats: float | None, budget:
     edges = blocks.where("__left > 0 and __left < __n").select("__s", "__b", "__left")
     same = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b"))
     within = Window.partitionBy("__source").orderBy("__draw").rangeBetween(Window.unboundedPreceding, 0)
-    cut = slim.join(F.broadcast(edges) if few else edges, same).withColumn("__upto", F.sum("__tokens").over(within)).where("__upto <= __left")
+    # Documents of one draw stand or fall together, and are one row before they meet in a window.
+    draws = slim.join(F.broadcast(edges) if few else edges, same).groupBy("__source", "__draw", "__left").agg(F.sum("__tokens").alias("__tokens"))
+    cut = draws.withColumn("__upto", F.sum("__tokens").over(within)).where("__upto <= __left")
     cut = cut.groupBy("__source").agg(F.max("__draw").alias("__cut")).withColumnRenamed("__source", "__cs")
     table = blocks.join(cut, F.col("__s").eqNullSafe(F.col("__cs")), "left")
     out = rows.join(F.broadcast(table) if blocks.count() <= BROADCAST else table, same)

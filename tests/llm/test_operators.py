@@ -642,6 +642,14 @@ def test_schedule_is_that_of_plain_loops(spark, docs, monkeypatch, block):
     assert got.count() == len([r for r in rows if r[0] is not None])
 
 
+@pytest.mark.parametrize("limits", [{}, {"target": 0.9, "repeats": None}, {"repeats": 2.0, "budget": 30_000}])
+def test_many_sources_are_solved_where_they_are(docs, monkeypatch, limits):
+    want = {r["source"]: r for r in mixing.plan(docs, **limits).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    got = mixing.plan(docs, **limits).collect()
+    assert len(got) == len(want) and all(r["tokens"] == want[r["source"]]["tokens"] and all(math.isclose(r[c], want[r["source"]][c], rel_tol=1e-9) for c in ("weight", "passes")) for r in got)
+
+
 def test_mixing_of_odd_rows(odd, none):
     got = mixing.mix(odd)
     assert got.columns == odd.columns and got.count() == mixing.schedule(odd).toPandas().copies.sum() >= len(ODD)
