@@ -437,7 +437,7 @@ def brittle_signals_of_calls(t):
 
 
 @query(
-    """SELECT l_orderkey, min(l_discount * 10) AS least, count(*) FILTER (l_returnflag = 'R') AS unresolved, count(*) FILTER (l_returnflag = 'A') AS external, CASE WHEN min(l_discount * 10) < 0.6 THEN 0.5 ELSE 0 END + count(*) FILTER (l_returnflag = 'R') * 0.25 + count(*) FILTER (l_returnflag = 'A') * 0.125 AS penalty, min(l_discount * 10) < 0.3 AS skip,
+    """SELECT l_orderkey, min(l_discount * 10) AS least, count(*) FILTER (l_returnflag = 'R') AS unresolved, count(*) FILTER (l_returnflag = 'A') AS external, CAST(CASE WHEN min(l_discount * 10) < 0.6 THEN 0.5 ELSE 0 END + count(*) FILTER (l_returnflag = 'R') * 0.25 + count(*) FILTER (l_returnflag = 'A') * 0.125 AS DOUBLE) AS penalty, min(l_discount * 10) < 0.3 AS skip,
     concat_ws(',', CASE WHEN min(l_discount * 10) < 0.6 THEN 'low_conf' END, CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN 'unresolved' END, CASE WHEN count(*) FILTER (l_returnflag = 'A') > 0 THEN 'external' END, CASE WHEN min(l_discount * 10) < 0.3 THEN 'skip_low_conf' END) AS reasons FROM lineitem GROUP BY 1"""
 )
 def selection_penalties(t):

@@ -11,7 +11,9 @@ KEY = r"(?i)\b[A-Z0-9_-]*(?:api[_-]?key|token|secret|password)[A-Z0-9_-]*\b\s*[:
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 #: Digits of a list of candidates, doubled from the right, added up by tens.
 LUHN = "list_sum([CASE WHEN i % 2 = 1 THEN CAST(reverse(d)[i] AS INT) ELSE 2 * CAST(reverse(d)[i] AS INT) - CASE WHEN CAST(reverse(d)[i] AS INT) > 4 THEN 9 ELSE 0 END END FOR i IN range(1, length(d) + 1)]) % 10 = 0"
-CARDS = rf"len([1 FOR d IN [regexp_replace(c, '[^0-9]', '', 'g') FOR c IN regexp_extract_all(text, '[0-9](?:[ -]*[0-9])*')] IF length(d) BETWEEN 13 AND 19 AND {LUHN}])"
+#: What is no digit is doubled first, so that a match that takes the one after it leaves one before the next.
+RUNS = r"regexp_extract_all(regexp_replace(text, '([^0-9])', '\1\1', 'g'), '(?:^|[^0-9])((?:[0-9][ -]*){12,18}[0-9])(?:[^0-9]|$)', 1)"
+CARDS = f"len([1 FOR d IN [regexp_replace(c, '[^0-9]', '', 'g') FOR c IN {RUNS}] IF {LUHN}])"
 COUNTS = rf"""SELECT doc_id, len(regexp_extract_all(text, '(?i)-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z ]+ )?PRIVATE KEY-----')) AS n_pem_key, len(regexp_extract_all(text, '(?i)\bAuthorization\s*:\s*Bearer\s+[A-Z0-9._+/=-]+')) AS n_auth_bearer,
     len(regexp_extract_all(text, '{KEY}(?:"[^"]*"|''[^'']*''|[^\s''";]+)')) AS n_key_value, len(regexp_extract_all(text, '{EMAIL}')) AS n_email, {CARDS} AS n_credit_card FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"""
 KINDS = ("PEM_KEY", "AUTH_BEARER", "KEY_VALUE", "EMAIL", "CREDIT_CARD")
