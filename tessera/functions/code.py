@@ -293,3 +293,32 @@ def mismatch(message: Column | str) -> Column:
         .otherwise("value")
     )
     return F.when(pair.isNotNull(), F.struct(pair["expected"].alias("expected"), pair["actual"].alias("actual"), kind.alias("kind")))
+
+
+# Rules of brittle tests, each with its severity and pattern.
+TEST_RULES = (
+    ("SLEEP", "ERROR", r"\bThread\s*\.\s*(?:currentThread\s*\(\s*\)\s*\.\s*)?sleep\s*\(|\bTimeUnit\s*\.\s*\w+\s*\.\s*sleep\s*\(|\b(?:NANOSECONDS|MICROSECONDS|MILLISECONDS|SECONDS|MINUTES|HOURS|DAYS)\s*\.\s*sleep\s*\("),
+    ("TIME", "WARNING", r"\b(?:Instant|LocalDateTime|LocalDate|LocalTime|ZonedDateTime|OffsetDateTime|OffsetTime|Year|YearMonth|MonthDay)\s*\.\s*now\s*\(|\bSystem\s*\.\s*(?:currentTimeMillis|nanoTime)\s*\(|\bClock\s*\.\s*(?:systemDefaultZone|systemUTC|system)\s*\("),
+    ("RANDOM", "WARNING", r"\bnew\s+(?:Random|SecureRandom|SplittableRandom)\s*\(|\bUUID\s*\.\s*randomUUID\s*\(|\bThreadLocalRandom\s*\.\s*current\s*\(|\bMath\s*\.\s*random\s*\("),
+    ("REFLECTION", "ERROR", r"\.\s*(?:setAccessible|getDeclaredField|getDeclaredFields|getDeclaredMethod|getDeclaredMethods|getDeclaredConstructor|getDeclaredConstructors)\s*\(|\bClass\s*\.\s*forName\s*\("),
+)
+# Mocks from which a test is called over-mocked, a warning and an error, and what spies and static mocks weigh.
+MOCKS_WARN, MOCKS_FAIL, SPY_WEIGHT, STATIC_WEIGHT = 3, 6, 2, 2
+
+
+def mock_weight(source: Column | str, static: bool = False) -> Column:
+    """Mocks of a test, spies counting twice, static ones too if asked for."""
+    text = without_literals(source)
+
+    def n(pattern: str) -> Column:
+        return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+
+    out = n(r"(?<![\w.])(?:Mockito\s*\.\s*)?mock\s*\(") + n(r"@Mock\b") + SPY_WEIGHT * (n(r"(?<![\w.])(?:Mockito\s*\.\s*)?spy\s*\(") + n(r"@Spy\b"))
+    return out + STATIC_WEIGHT * n(r"(?<![\w.])(?:Mockito\s*\.\s*)?(?:mockStatic|mockConstruction)\s*\(") if static else out
+
+
+def brittle_test_rules(source: Column | str, warn: int = MOCKS_WARN, fail: int = MOCKS_FAIL, static: bool = False) -> Column:
+    """Rules that a test breaks, as ``RULE:SEVERITY``, told from its text without literals and comments."""
+    text, weight = without_literals(source), mock_weight(source, static)
+    found = [F.when(text.rlike(pattern), F.lit(f"{name}:{severity}")) for name, severity, pattern in TEST_RULES]
+    return F.array_compact(F.array(*found, F.when(weight > fail, "OVER_MOCK:ERROR").when(weight > warn, "OVER_MOCK:WARNING")))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.code import package_role
+from tessera.functions.rules import risk_score
+
 
 def edge_weights(calls: DataFrame, source: str, target: str) -> DataFrame:
     """How often each source refers to each other target."""
@@ -62,3 +65,19 @@ def package_cluster(package: Column | str, prefix: list[str]) -> Column:
     parts = F.split(name, r"\.")
     token = F.coalesce(F.get(parts, F.lit(len(prefix))), F.get(parts, F.lit(2)), F.element_at(parts, -1))
     return F.when(name.isNull() | (F.trim(name) == "") | (name == "(default)"), "default").otherwise(F.lower(token))
+
+
+def snapshot(classes: DataFrame, prefix: list[str]) -> DataFrame:
+    """Nodes of an overview: classes (fqn, package, loc, methods, complexity) with role, cluster and risk against the greatest complexity."""
+    most = classes.agg(F.greatest(F.lit(1), F.max("complexity")).alias("__most"))
+    risk = risk_score(F.col("complexity"), F.col("__most"), F.col("loc"), F.col("methods"))
+    return classes.join(F.broadcast(most)).select("fqn", "package", package_role("package").alias("role"), package_cluster("package", prefix).alias("cluster"), "loc", "methods", "complexity", risk.alias("risk"))
+
+
+def select_targets(methods: DataFrame, score: Column, keep: Column, per_class: int, per_package: int, most: int) -> DataFrame:
+    """Methods (id, class_name, package) worth a test: those kept, the best by score in each class, then in each package, then of all; ties by id."""
+    best = methods.where(keep).withColumn("score", score)
+    for by, n in (("class_name", per_class), ("package", per_package)):
+        order = Window.partitionBy(by).orderBy(F.desc("score"), "id")
+        best = best.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
+    return best.orderBy(F.desc("score"), "id").limit(most)

@@ -489,3 +489,33 @@ def workflow_closure(t):
     if any(order.index(x) > order.index(n) for n, xs in needs.items() for x in xs):
         raise AssertionError("not in order")
     return t._spark.createDataFrame([(n, len(graph.closure([n], needs))) for n in nodes], "node string, closure long")
+
+
+TESTS = Made("part", "p_partkey AS id", "CASE p_partkey % 6 WHEN 0 THEN 'Thread.currentThread().sleep(5);' WHEN 1 THEN 'TimeUnit . SECONDS.sleep(1);' WHEN 2 THEN 'LocalDate.now(); // Thread.sleep(1)' || chr(10) WHEN 3 THEN 'x = Math.random(); String s = \"Class.forName(\";' WHEN 4 THEN 'f.setAccessible(true);' ELSE 'mockery(); a.mock(b);' END || repeat(' @Mock A a; B b = mock(B.class);', p_size % 4) || repeat(' C c = Mockito.spy(d);', p_partkey % 3) AS source")
+
+
+@query(
+    f"""WITH w AS (SELECT id, p_size % 4 * 2 + id % 3 * 2 AS weight FROM {TESTS.sql} JOIN part ON id = p_partkey) SELECT id, concat_ws(',', CASE WHEN id % 6 IN (0, 1) THEN 'SLEEP:ERROR' WHEN id % 6 = 2 THEN 'TIME:WARNING' WHEN id % 6 = 3 THEN 'RANDOM:WARNING' WHEN id % 6 = 4 THEN 'REFLECTION:ERROR' END, CASE WHEN weight > 6 THEN 'OVER_MOCK:ERROR' WHEN weight > 3 THEN 'OVER_MOCK:WARNING' END) AS rules FROM w"""
+)
+def brittle_tests(t):
+    return TESTS(t).select("id", F.array_join(code.brittle_test_rules("source"), ",").alias("rules"))
+
+
+@query(
+    f"""WITH c AS (SELECT fqn, package, CAST(sum(loc) AS BIGINT) AS loc, count(*) AS methods, max(complexity) AS complexity FROM {METHODS.sql} GROUP BY ALL), m AS (SELECT greatest(1, max(complexity)) AS most FROM c)
+    SELECT fqn, package, 'core' AS role, split_part(package, '.', 2) AS cluster, loc, methods, complexity, CAST(least(100, greatest(8, floor(complexity * 62.0::DOUBLE / most + least(22.0::DOUBLE, loc / 18.0::DOUBLE) + least(16.0::DOUBLE, methods * 1.5::DOUBLE) + 0.5))) AS BIGINT) AS risk FROM c, m"""
+)
+def overview_snapshot(t):
+    classes = METHODS(t).groupBy("fqn", "package").agg(F.sum("loc").alias("loc"), F.count(F.lit(1)).alias("methods"), F.max("complexity").alias("complexity"))
+    return rollup.snapshot(classes, rollup.common_prefix(classes, "package"))
+
+
+@query(
+    f"""WITH m AS (SELECT id, fqn AS class_name, package, complexity * 2.0::DOUBLE + loc * 0.1::DOUBLE + CASE WHEN flag THEN 100.0::DOUBLE ELSE 0 END AS score FROM {METHODS.sql} WHERE name NOT IN ('getToken', 'toString') AND has_body),
+    c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY score DESC, id) AS n FROM m) WHERE n <= 2), p AS (SELECT * FROM (SELECT * EXCLUDE n, row_number() OVER (PARTITION BY package ORDER BY score DESC, id) AS n FROM c) WHERE n <= 5)
+    SELECT id, class_name, package, score FROM p ORDER BY score DESC, id LIMIT 50"""
+)
+def selected_targets(t):
+    methods = METHODS(t).withColumnRenamed("fqn", "class_name")
+    score = F.col("complexity") * 2.0 + F.col("loc") * 0.1 + F.when(F.col("flag"), 100.0).otherwise(0.0)
+    return rollup.select_targets(methods, score, ~F.col("name").isin("getToken", "toString") & F.col("has_body"), 2, 5, 50).select("id", "class_name", "package", "score")

@@ -58,6 +58,18 @@ def analysis_shards(t):
     return readers.analysis(t._spark, put(t, files)).select("project_id", "commit_hash", "fqn", "loc")
 
 
+@query(f"SELECT 'com.' || r_name || '.' || n_name AS fqn, CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 100 ELSE n_nationkey END AS BIGINT) AS loc, n_nationkey % 2 = 0 AS second {JOINED}")
+def two_engines(t):
+    """What a second engine found, in shards of its own, is merged into what the first one found."""
+    def shard(rows: list[tuple], more: int) -> dict[str, str]:
+        told = ", ".join(f'{{"fqn": "com.{r}.{n}", "loc": {k + more}}}' for k, n, r in rows)
+        return {"analysis.json": f'{{"project_id": "p", "commit_hash": "c", "classes": [{told}]}}'}
+
+    rows = nations(t)
+    first, second = (readers.analysis(t._spark, put(t, shard(x, more))).select("fqn", "loc", F.lit(more > 0).alias("second")) for x, more in ((rows, 0), ([r for r in rows if r[0] % 2 == 0], 100)))
+    return merge.full_merge(first, second, ["fqn"], {"loc": merge.prefer_second, "second": merge.either})
+
+
 @query("SELECT 'p0' AS project_id, 'e0' AS message")
 def analysis_errors(t):
     """Errors are those of the first shard alone."""
