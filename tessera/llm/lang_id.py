@@ -42,7 +42,7 @@ BLOCK, MEET = 512, 64
 #: Code points that are parsed at a time, alone and among other stages.
 BATCH, SLICE = 4_000_000, 1_000_000
 #: A document whose label is another language is rejected if that language takes so many bits more than the best, in all and as a part.
-CONTRADICTED_BITS, CONTRADICTED_PART = 250.0, 0.3
+CONTRADICTED_BITS, CONTRADICTED_PART = 250.0, 0.48
 #: For that, a phrase longer than this counts as several: a passage that a sample happens to hold is no evidence of a language.
 COPIED = 20
 
