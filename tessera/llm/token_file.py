@@ -12,7 +12,7 @@ follows) and ``blocks``, one row for each block: ``part``, ``first`` and ``crc``
 and reads it, so it can be in any store, and the commit of a lost executor's task is repeated.
 
 Defined results: a null text counts as empty and has the end id alone; null doc_ids come first; rows that
-repeat a doc_id follow one another, ordered by their ids' checksum; an empty table makes a file without
+repeat a doc_id follow one another, in each part of the file ordered by their ids' checksum, and fill several parts if there are so many; an empty table makes a file without
 blocks; other columns of the input are not read.
 """
 
@@ -41,6 +41,8 @@ LONGEST = 18
 STRIDE, BLOCK = 256, 1 << 17
 #: Words whose ids a worker remembers at a time, of up to so many characters.
 REMEMBERED, WORD = 500_000, 100
+#: Stands for a null id where ranges are told.
+LEAST_ID = -(1 << 63)
 #: Bytes of input to a part of the file, whose ranges of ids are sorted in one task each.
 PART = 128_000_000
 #: Code points encoded at a time; words whose ids are put in place at a time; different punctuation that is remembered.
@@ -181,7 +183,7 @@ def _parts(docs: DataFrame) -> int:
 
 def _encode(path: str, bounds: list[int], places: list[int], end: int, remembered: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _remembered(path, end, remembered)
+        words, nth = _remembered(path, end, remembered), 0
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             for a, b in slices([len(t) for t in texts], SLICE):
@@ -189,8 +191,11 @@ def _encode(path: str, bounds: list[int], places: list[int], end: int, remembere
                 flat, ends = words.ids(texts[a:b])
                 cuts = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
                 raw = memoryview(flat).cast("B")
-                known = x.notna()
-                part = np.where(known, np.searchsorted(bounds, x.where(known, 0).astype("int64"), side="right"), 0)
+                ids = x.where(x.notna(), LEAST_ID).astype("int64")
+                low, high = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
+                # An id that fills several parts is dealt to them in turn.
+                part = np.where(high - low > 1, low + 1 + (nth + np.arange(len(ids))) % np.maximum(high - low, 1), high)
+                nth += len(ids)
                 yield pd.DataFrame({"doc_id": x.astype("Int64"), "part": part, "place": np.array(places)[part], "crc": [zlib.crc32(raw[4 * i : 4 * j]) for i, j in cuts], "ids": [_narrow(flat[i:j]) for i, j in cuts]})
         give_back()
 
@@ -335,9 +340,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, longest: i
     spark = docs.sparkSession
     shared = scratch(spark, "ids")
     n = _parts(docs)
-    cuts = docs.select(F.col("doc_id").cast("long").alias("d")).agg(F.percentile_approx("d", [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
+    cuts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("d")).agg(F.percentile_approx("d", [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.mapInPandas(_encode(tokenizer, sorted(set(cuts)), _places(spark, n), end, remembered), "doc_id long, part int, place int, crc long, ids binary")
+    rows = rows.mapInPandas(_encode(tokenizer, sorted(cuts), _places(spark, n), end, remembered), "doc_id long, part int, place int, crc long, ids binary")
     rows.repartition(n, "place").drop("place").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "crc").write.option("compression", "zstd").parquet(shared)
     stored = spark.read.parquet(shared)
     found = stored.select("ids").mapInPandas(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()

@@ -467,6 +467,22 @@ def test_equal_long_documents_keep_their_places(spark):
     assert n > token_file.BLOCK and [g[:2] for g in got] == [(0, 7), (n, 7), (2 * n, 7), (3 * n, 8)]
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_a_hot_id_fills_several_parts(spark, tmp_path, hot):
+    rows = [(i, f"text {i}") for i in range(40)] + [(hot, f"hot {i % 3}") for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    where = f"file://{tmp_path}/t{hot}"
+    token_file.write(table, where, public_tokenizers.path(queries.TOKENIZER))
+    held = spark.read.parquet(f"{where}/blocks").selectExpr("part", "explode(doc_ids) as d").collect()
+    parts = {r["part"] for r in held if r["d"] == hot}
+    assert len(parts) >= 2 and max(sum(r["part"] == p and r["d"] == hot for r in held) for p in parts) <= 120
+    got = sorted(token_file.scan(spark, where).collect(), key=lambda r: r["start"])
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert len(got) == 240 and ids == sorted(ids)
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+    assert sorted(map(repr, (r["ids"] for r in token_file.ids_of(spark, where).collect()))) == sorted(repr([*Tokenizer.from_file(str(public_tokenizers.path(queries.TOKENIZER))).encode(t, add_special_tokens=False).ids, 1]) for _, t in rows)
+
+
 def test_words_are_encoded_as_whole_texts():
     words = token_file.Words(public_tokenizers.path(queries.TOKENIZER), 1)
     texts = ["", "a\x1cb c d", "Don't STOP.. it's, a.b <|endoftext|> x<|startoftext|>y", "É́ İstanbul ΣΑΣ 日本語 text,", "1234. 12,5 ,,, ... .", "Über straße, ÇAUXCH!! ñandú. ΌΣΟΣ ǅ ﬁn Å Å n\u0303 한국어 ё.", "ÀÉÎÕÜ ÿ Ź. œuvre, ªº", "  abc<| x|> ÿŸ ß. Ñ'S o' word<|endoftext|> ", "a!(b) né$$$ a\u00a0b \x00 \x7f × ÷a a≠", " "]
