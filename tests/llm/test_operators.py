@@ -480,7 +480,9 @@ def test_a_hot_id_fills_several_parts(spark, tmp_path, hot):
     ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
     assert len(got) == 240 and ids == sorted(ids)
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
-    assert sorted(map(repr, (r["ids"] for r in token_file.ids_of(spark, where).collect()))) == sorted(repr([*Tokenizer.from_file(str(public_tokenizers.path(queries.TOKENIZER))).encode(t, add_special_tokens=False).ids, 1]) for _, t in rows)
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path(queries.TOKENIZER)))
+    want = {t: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for _, t in rows}
+    assert sorted(r["ids"] for r in token_file.ids_of(spark, where).collect()) == sorted(want[t] for _, t in rows)
 
 
 def test_words_are_encoded_as_whole_texts():
