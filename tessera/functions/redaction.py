@@ -93,6 +93,11 @@ def register(name: str, detector: Callable[[Column], Column]) -> None:
     REGISTRY[name] = detector
 
 
+def unregister(name: str) -> None:
+    """Take a detector away; columns made with it stay as they are."""
+    REGISTRY.pop(name, None)
+
+
 def detect(text: Column | str, only: tuple[str, ...] | None = None) -> Column:
     """All findings of the detectors, or of those named, in their order."""
     said = F.coalesce(_col(text), F.lit(""))

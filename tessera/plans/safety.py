@@ -93,8 +93,12 @@ def luhn(t):
 @query("SELECT p_partkey, CASE WHEN contains(p_name, 'red') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(p_name, 'ring$') THEN 1 ELSE 0 END AS n FROM part")
 def registered_detectors(t):
     """A detector of one's own beside those there are."""
-    if "COLOUR" not in redaction.REGISTRY:
-        redaction.register("COLOUR", lambda text: redaction.spans_of(text, "COLOUR", "red", 0.5))
-        redaction.register("SHAPE", lambda text: redaction.spans_of(text, "SHAPE", "ring$", 0.5))
-    found = redaction.detect("p_name", ("COLOUR", "SHAPE"))
+    own = {"COLOUR": "red", "SHAPE": "ring$"}
+    try:
+        for name, pattern in own.items():
+            redaction.register(name, lambda text, name=name, pattern=pattern: redaction.spans_of(text, name, pattern, 0.5))
+        found = redaction.detect("p_name", tuple(own))
+    finally:
+        for name in own:
+            redaction.unregister(name)
     return t.part.select("p_partkey", F.size(found).alias("n"))

@@ -40,6 +40,7 @@ def _told(interceptors: list[Interceptor], name: str, rows: DataFrame) -> list[s
 def run(stages: list[Stage], rows: DataFrame, before: list[Interceptor] | None = None, after: list[Interceptor] | None = None) -> tuple[DataFrame, list[dict]]:
     """The rows that the stages make, in an order that respects needs, and a log entry for each.
 
+    What fails is a step that raises: one that should be tried again for what happens in the cluster writes or checkpoints its rows.
     A failed stage is tried again; then its policy decides. A skipped stage hands its rows on as they came; what needs it is skipped too.
     """
     by = {s.name: s for s in stages}
