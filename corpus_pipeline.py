@@ -2,6 +2,9 @@
 
 ``run`` applies the stages to ``documents``. Each stage's rows are written as Parquet in the shared folder
 and read back as the next one's input.
+
+Defined results, in every stage but the last: rows come back with all their columns as they were, whatever these are called;
+an empty table gives an empty one; a null text counts as empty. What each stage does with nulls, ties and repeated rows is said there.
 """
 
 from __future__ import annotations
@@ -16,29 +19,35 @@ REMEMBERED = 100_000
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language stay."""
+    """Documents in a known language stay: those with letters whose label is null, unknown or not contradicted by their text.
+
+    Null and empty texts have no letters and go; repeated rows are each judged alike; ids play no part.
+    """
     small_batches(spark)
     return lang_id.keep_known(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: that of the smallest id, a null id after all others.
+
+    Among rows that share this id the smallest hash of all columns decides, and equal rows are one. Texts without words are near duplicates of each other.
+    """
     small_batches(spark)
     return simhash.deduplicate(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark stay."""
+    """Documents without passages of the benchmark stay, by their own id and text: a null id or one of several documents does not matter, and repeated rows stay or go together."""
     return decontam.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture asks for, once at least."""
+    """Every document as often as the mixture asks for, once at least; a null source is one of its own, and repeated rows are dealt together."""
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents, read back."""
+    """Token files of all documents, read back: doc_id, start, n_tokens and ids_crc32 of each row, null ids first, an empty text as the end id alone."""
     small_batches(spark)
     return queries.tokens(docs, REMEMBERED)
 
