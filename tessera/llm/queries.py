@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontam, lang_id, licenses, lm_score, mixing, pii, simhash, token_file, toxicity
+from tessera.llm import ann, decontam, lang_id, licenses, lm_score, merkle, mixing, pii, sentence_pieces, simhash, token_file, toxicity, trie
 from tessera.llm._common import scratch
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,24 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(PIECES)
+    found = sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(trie.turns(table(spark, sf_dir, "conversations"))))
+
+
+def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle.manifest(merkle.leaves(docs, {"text": tampered}))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id,
     "op2_toxicity": toxic,
@@ -78,10 +98,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixture,
     "op9_simhash": near_duplicates,
     "op10_license_scan": license_scan,
+    "op11_sentence_pieces": pieces,
+    "op12_prefix_trie": prefix_trie,
+    "op13_merkle_manifest": dataset_manifest,
 }
 
 
-
 def _canonical_sql(x: str) -> str:
     x = f"regexp_replace(lower({x}), '(?m)^[^\\p{{L}}\\n]{{0,40}}(?:copyright\\b|\\(c\\)|©).*$', ' ', 'g')"
     x = f"' ' || regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
