@@ -2,7 +2,7 @@ import pytest
 from conftest import SMALL
 from oracle import compare
 
-from tessera.plans import catalog, code_model, files, safety  # noqa: F401
+from tessera.plans import catalog, code_model, files, safety, source_text  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
