@@ -280,21 +280,41 @@ def audit_records(t):
 # --- stages
 
 
-@query("SELECT CASE WHEN k = 0 THEN 'low' ELSE 'high' END AS band, count(*) AS n FROM (SELECT CASE WHEN p_size < 25 THEN 0 ELSE 1 END AS k FROM part WHERE p_partkey % 2 = 0) GROUP BY 1")
-def staged_run(t):
-    """Stages with retries and policies: one fails twice and then works, one fails for good and is passed over; a check after each may only warn."""
-    from tessera.plans.stages import Stage, run
+def _fails(rows: DataFrame, until: int) -> DataFrame:
+    """The rows; while its stage is in an attempt before ``until``, the task of the first partition raises."""
+    from tessera.plans.stages import ATTEMPT
 
-    tries = []
+    early = ATTEMPT.get() < until
 
-    def shaky(rows: DataFrame) -> DataFrame:
-        tries.append(1)
-        if len(tries) < 3:
+    def checked(batches):
+        from pyspark import TaskContext
+
+        if early and TaskContext.get().partitionId() == 0:
             raise OSError("not yet")
-        return rows.where("p_partkey % 2 = 0")
+        yield from batches
+
+    return rows.mapInArrow(checked, rows.schema)
+
+
+def _sleeps(rows: DataFrame) -> DataFrame:
+    """The rows, each task an hour late."""
+
+    def late(batches):
+        import time
+
+        time.sleep(3600)
+        yield from batches
+
+    return rows.mapInArrow(late, rows.schema)
+
+
+@query("SELECT CASE WHEN k = 0 THEN 'low' ELSE 'high' END AS band, count(*) AS n FROM (SELECT CASE WHEN p_size < 25 THEN 0 ELSE 1 END AS k FROM part WHERE p_partkey % 2 = 0) GROUP BY 1")
+def staged_run(t):
+    """Stages with retries and policies: a task of one fails twice and then works, one fails for good and is passed over; a check after each may only warn."""
+    from tessera.plans.stages import Stage, run
 
     def broken(rows: DataFrame) -> DataFrame:
-        raise ValueError("never")
+        return _fails(rows, 99)
 
     def banded(rows: DataFrame) -> DataFrame:
         return rows.groupBy(F.when(F.col("p_size") < 25, "low").otherwise("high").alias("band")).agg(F.count(F.lit(1)).alias("n"))
@@ -302,7 +322,42 @@ def staged_run(t):
     def warns(name: str, rows: DataFrame) -> None:
         raise RuntimeError("only a warning")
 
-    out, log = run([Stage("shaky", shaky, retries=2), Stage("broken", broken, on_failure="skip"), Stage("banded", banded, needs=("shaky",))], t.part, after=[warns])
-    if [x["status"] for x in log] != ["done", "skipped", "done"] or len(log[0]["warnings"]) != 1:
-        raise AssertionError(log)
+    stages = [Stage("shaky", lambda rows: _fails(rows, 2).where("p_partkey % 2 = 0"), retries=2), Stage("broken", broken, on_failure="skip"), Stage("banded", banded, needs=("shaky",))]
+    return run(stages, t.part, after=[warns], folder=scratch(t._spark, "stages"))[0]
+
+
+@query(
+    """WITH f AS (SELECT * FROM lineitem WHERE l_returnflag = 'R'), g AS (SELECT l_suppkey, sum(CAST(l_quantity AS DECIMAL(18, 2))) AS quantity FROM f GROUP BY 1),
+    n AS (SELECT (SELECT count(*) FROM f) AS f, (SELECT count(*) FROM g) AS g, (SELECT count(*) FROM g WHERE quantity > 100) AS h, (SELECT CAST(sum(quantity) AS DOUBLE) FROM g WHERE quantity > 100) AS q)
+    SELECT run, stage, status, attempts, CASE stage WHEN 'returned' THEN f WHEN 'late' THEN f WHEN 'suppliers' THEN g ELSE h END AS n, CASE WHEN stage = 'large' THEN q END AS quantity FROM n, (VALUES
+      (1, 'returned', 'done', 3), (1, 'late', 'continued', 1), (1, 'suppliers', 'done', 1), (1, 'large', 'done', 1),
+      (2, 'returned', 'resumed', 0), (2, 'late', 'continued', 1), (2, 'suppliers', 'resumed', 0), (2, 'large', 'done', 1)) AS v(run, stage, status, attempts)"""
+)
+def resumed_run(t):
+    """Two runs over one folder: a task raises in two attempts, a stage overruns its time and is cancelled, and the second run takes what is committed and has the same version."""
+    from tessera.plans.stages import Stage, run
+
+    folder, out = scratch(t._spark, "stages"), None
+    for nth in (1, 2):
+        stages = [
+            Stage("returned", lambda rows: _fails(rows.where("l_returnflag = 'R'"), 2), retries=2), Stage("late", _sleeps, needs=("returned",), timeout=1.5, on_failure="continue"),
+            Stage("suppliers", lambda rows: rows.groupBy("l_suppkey").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("quantity")), needs=("late",)),
+            Stage("large", lambda rows: rows.where("quantity > 100"), needs=("suppliers",), version=str(nth)),
+        ]
+        sizes = {}
+        rows, log = run(stages, t.lineitem, after=[lambda name, made: sizes.__setitem__(name, made)], folder=folder, origin="lineitem")
+        for x in log:
+            if x["status"] == "resumed":
+                sizes[x["stage"]] = t._spark.read.parquet(_committed(t._spark, folder, x["stage"]))
+        for x in log:
+            made = sizes.get(x["stage"], sizes["returned"])
+            q = F.sum("quantity").cast("double") if x["stage"] == "large" else F.lit(None).cast("double")
+            row = made.agg(F.count(F.lit(1)).alias("n"), q.alias("quantity")).select(F.lit(nth).alias("run"), F.lit(x["stage"]).alias("stage"), F.lit(x["status"]).alias("status"), F.lit(x["attempts"]).alias("attempts"), "n", "quantity")
+            out = row if out is None else out.unionByName(row)
     return out
+
+
+def _committed(spark, folder: str, stage: str) -> str:
+    from tessera.plans.stages import _Folder
+
+    return _Folder(spark, folder).marker(stage)["path"]

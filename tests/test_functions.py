@@ -248,6 +248,26 @@ def test_stages_fail_or_are_skipped(spark):
     assert out.count() == 3 and [x["status"] for x in log] == ["skipped", "skipped"]
 
 
+def test_stages_see_tasks_fail_and_resume(spark, tmp_path):
+    from tessera.plans.files import _fails, _sleeps
+    from tessera.plans.stages import Stage, StageTimeout, run
+
+    rows, folder = spark.range(100).repartition(3), f"file://{tmp_path}"
+    stages = [Stage("a", lambda x: _fails(x, 1), retries=1), Stage("b", lambda x: x.where("id >= 50"), needs=("a",))]
+    out, log = run(stages, rows, folder=folder)
+    assert out.count() == 50 and [(x["status"], x["attempts"]) for x in log] == [("done", 2), ("done", 1)] and "not yet" in log[0]["error"]
+    again = [Stage("a", lambda x: _fails(x, 9)), Stage("b", lambda x: x.where("id >= 60"), needs=("a",), version="2")]
+    out, log = run(again, rows, folder=folder)
+    assert out.count() == 40 and [(x["status"], x["attempts"]) for x in log] == [("resumed", 0), ("done", 1)]
+    with pytest.raises(RuntimeError, match="(?s)stage a failed.*not yet"):
+        run(again, rows, folder=folder, origin="another table")
+    late = [Stage("late", _sleeps, timeout=1.0, on_failure="skip"), Stage("next", lambda x: x, needs=("late",)), Stage("c", lambda x: x.limit(5))]
+    out, log = run(late, rows, folder=folder)
+    assert [x["status"] for x in log] == ["skipped", "skipped", "done"] and StageTimeout.__name__ in log[0]["error"] and out.count() == 5
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+    assert run(late[2:], rows, folder=folder)[1][0]["status"] == "resumed"
+
+
 def test_yaml_leaves():
     text = "a:\n  - x: 1 # c\n    y: 'q # r'\n  - 2\nb: {c}\n'd e':\n  f:\n    g: \"h\"\n- z\n"
     got = [(k, v) for _, k, v in readers._leaves(text)]
