@@ -101,6 +101,55 @@ def parameter_types(signature: Column | str) -> Column:
     return F.transform(split_top_level(F.regexp_extract(_col(signature), r"\((.*)\)", 1)), parameter_type)
 
 
+# Letters of descriptors and the types they stand for.
+DESCRIPTOR = {"B": "byte", "C": "char", "D": "double", "F": "float", "I": "int", "J": "long", "S": "short", "Z": "boolean", "V": "void"}
+_TYPE = "array<string>"
+
+
+def descriptor_types(descriptor: Column | str) -> Column:
+    """The parameter types of a JVM descriptor, qualified: ``(I[Ljava/lang/String;)V`` is ``int`` and ``java.lang.String[]``. None if it has no brackets."""
+    inside = F.regexp_extract(_col(descriptor), r"^[^(]*\(([^)]*)\)", 1)
+    letters = F.create_map(*[F.lit(x) for kv in DESCRIPTOR.items() for x in kv])
+
+    def told(x: Column) -> Column:
+        base = F.regexp_replace(x, r"^\[+", "")
+        named = F.when(base.startswith("L"), F.replace(F.regexp_replace(base, "^L|;$", ""), F.lit("/"), F.lit("."))).otherwise(F.coalesce(letters[base], F.lit("")))
+        return F.concat(named, F.repeat(F.lit("[]"), F.length(x) - F.length(base)))
+
+    return F.transform(F.regexp_extract_all(inside, F.lit(r"\[*(?:L[^;]*;?|[^\[])"), F.lit(0)), told)
+
+
+def unqualified(kind: Column) -> Column:
+    """A type's name after its last dot or dollar, array marks kept."""
+    return F.regexp_replace(kind, r"^.*[.$]((?:[^.$\[\]]|\[\])*)$", "$1")
+
+
+def signature_name(signature: Column | str) -> Column:
+    """The method's name before the brackets, without what stands before a space, dot or ``#``; null if there are no brackets."""
+    head = F.trim(F.regexp_extract(_col(signature), r"^([^(]*)\(.*\)", 1))
+    return F.when(_col(signature).rlike(r"(?s)^[^(]*\(.*\)"), F.regexp_extract(head, r"([^\s#.]*)$", 1))
+
+
+def signature_types(signature: Column | str) -> Column:
+    """The parameter types of a signature in a source: without generics, annotations, ``final`` and names, varargs as arrays."""
+    inside = F.regexp_extract(_col(signature), r"(?s)^[^(]*\((.*)\)", 1)
+    marks = F.regexp_extract_all(inside, F.lit(r"[<>,]|[^<>,]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast(_TYPE).alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        depth = a["depth"] + F.when(x == "<", 1).when((x == ">") & (a["depth"] > 0), -1).otherwise(0)
+        cut = (x == ",") & (a["depth"] == 0)
+        now = F.when(cut, "").when((a["depth"] == 0) & ~x.isin("<", ">"), F.concat(a["now"], x)).otherwise(a["now"])
+        return F.struct(depth.alias("depth"), now.alias("now"), F.when(cut, F.array_append(a["out"], a["now"])).otherwise(a["out"]).alias("out"))
+
+    def typed(x: Column) -> Column:
+        plain = F.replace(F.replace(F.regexp_replace(x, r"@[A-Za-z0-9_$.]*(?:\((?:[^()]|\([^()]*\))*(?:\)|$))?\s*", " "), F.lit("..."), F.lit("[]")), F.lit("?"), F.lit(" "))
+        return F.get(F.filter(F.split(plain, r"\s+"), lambda w: ~w.isin("", "final", "extends", "super")), F.lit(0))
+
+    parts = F.aggregate(marks, start, step, lambda a: F.array_append(a["out"], a["now"]))
+    return F.filter(F.transform(parts, typed), lambda t: F.coalesce(t != "", F.lit(False)))
+
+
 def package_of(fqn: Column | str) -> Column:
     """What stands before the first capitalised token; empty if nothing does."""
     return F.regexp_replace(F.regexp_extract(_col(fqn), r"^((?:[^A-Z.][^.]*\.)*)", 1), r"\.$", "")

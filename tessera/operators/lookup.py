@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.code import split_top_level
+from tessera.functions.code import descriptor_types, signature_name, signature_types, split_top_level, unqualified
 
 
 def unique(dim: DataFrame, key: str, value: str) -> DataFrame:
@@ -101,6 +101,33 @@ def first_known(refs: DataFrame, ref_id: str, candidates: Column, dim: DataFrame
     return best_of(each.join(dim, F.col("__c") == F.col(key)), ref_id, [F.col("__at")]).drop("__at", "__c")
 
 
+def coverage_of(refs: DataFrame, ref_id: str, covered: DataFrame) -> DataFrame:
+    """The coverage in per cent of the method each ref (class_name, signature) means, and by which ``tier``; -1 where nothing is known.
+
+    ``covered`` is (class, method, descriptor, ord, line_missed, line_covered, branch_missed, branch_covered); of equal methods the first by ``ord`` counts.
+    For each name under which the class may be known, in order, types are compared as qualified names, then as simple ones; tiers are numbered
+    along: 0 and 1 for the name as it is, 2 and 3 for the next. One equi-join finds all of them; a ref makes two rows a candidate.
+    """
+
+    def joined(types: Column) -> Column:
+        return F.array_join(types, ",")
+
+    def share(kind: str) -> Column:
+        return F.try_divide(F.col(f"{kind}_covered") * F.lit(100.0), F.col(f"{kind}_covered") + F.col(f"{kind}_missed"))
+
+    types = descriptor_types("descriptor")
+    known = covered.where("trim(method) <> '' AND trim(descriptor) <> ''").select(
+        F.col("class").alias("__c"), F.col("method").alias("__n"), F.posexplode(F.array(joined(types), joined(F.transform(types, unqualified)))).alias("__way", "__t"), "ord", F.coalesce(share("line"), share("branch"), F.lit(-1.0)).alias("percent")
+    )
+    known = known.groupBy("__c", "__n", "__way", "__t").agg(F.min_by("percent", "ord").alias("percent"))
+    asked = signature_types("signature")
+    ways = F.array(joined(asked), joined(F.transform(asked, unqualified)))
+    each = refs.select(ref_id, signature_name("signature").alias("__n"), ways.alias("__ways"), F.posexplode(class_candidates(F.col("class_name"))).alias("__at", "__c")).where("__n <> ''")
+    each = each.select(ref_id, "__n", "__at", "__c", F.posexplode("__ways").alias("__way", "__t"))
+    found = each.join(known, ["__c", "__n", "__way", "__t"]).groupBy(ref_id).agg(F.min(F.struct((F.col("__at") * 2 + F.col("__way")).alias("tier"), "percent")).alias("best"))
+    return refs.select(ref_id).join(found, ref_id, "left").select(ref_id, F.coalesce("best.percent", F.lit(-1.0)).alias("percent"), F.col("best.tier").alias("tier"))
+
+
 def method_of(refs: DataFrame, ref_id: str, methods: DataFrame) -> DataFrame:
     """The method each ref (class_name, signature) means, and by which of four ways: same signature, same but for white space,
     name and number of parameters, name alone; methods are (class_name, signature, ord, id)."""

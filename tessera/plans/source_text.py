@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import syntax
+from tessera.operators import lookup, syntax
 from tessera.plans.catalog import query
 
 WORD, ASKED = "lower(split_part(p_name, ' ', 1))", "CAST(p_size AS STRING)"
@@ -53,3 +53,37 @@ def page_tokens(t):
         F.count(F.lit(1)).alias("tokens"), F.countDistinct("token").alias("distinct_tokens"), F.count_if(F.col("kind") == "word").alias("words"), F.count_if(F.col("kind") == "number").alias("numbers"),
         F.count_if(F.col("kind") == "text").alias("literals"), F.max("depth").alias("deepest"),
     )
+
+
+# --- coverage of methods
+
+PLACE = "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey"
+#: A class for each part: plain, nested, nested twice. A method for each line, its types told by its figures.
+CLASS = "CASE l_partkey % 3 WHEN 0 THEN 'com.shop.P' || CAST(l_partkey AS STRING) WHEN 1 THEN 'com.shop.P' || CAST(l_partkey AS STRING) || '$In' ELSE 'com.P' || CAST(l_partkey AS STRING) || '$In$Most' END"
+COVERED = (f"{CLASS} AS class", """CASE WHEN l_linenumber < 3 THEN 'load' ELSE 'm' || CAST(l_linenumber AS STRING) END AS method""",
+ """'(' || CASE CAST(l_quantity AS INT) % 5 WHEN 0 THEN '' WHEN 1 THEN 'I' WHEN 2 THEN 'Ljava/util/List;J' WHEN 3 THEN '[[ZLjava/util/Map$Entry;' ELSE '[Ljava/lang/String;D' END || CASE WHEN l_suppkey % 2 = 0 THEN 'Lcom/s/S' || CAST(l_suppkey % 9 AS STRING) || ';' ELSE '' END || ')V' AS descriptor""",
+ f"{PLACE} AS ord", "CAST(l_quantity AS BIGINT) % 4 AS line_missed", "CAST(l_quantity AS BIGINT) % 3 AS line_covered", "CAST(l_suppkey % 2 AS BIGINT) AS branch_missed", "CAST(l_partkey % 2 AS BIGINT) AS branch_covered")
+#: What is asked: the same classes by other names, the same types as a source writes them.
+ASKED_OF = (f"{PLACE} AS ref", f"""CASE WHEN l_shipdate < TIMESTAMP '1995-01-01' THEN {CLASS} WHEN l_tax > 0.07 THEN 'com.gone.X' ELSE replace({CLASS}, '$', '.') END AS class_name""",
+ """CASE WHEN l_discount > 0.08 THEN 'public void ' WHEN l_discount > 0.06 THEN 'C#' ELSE '' END || CASE WHEN l_linenumber < 3 THEN 'load' ELSE 'm' || CAST(l_linenumber AS STRING) END ||
+ CASE WHEN l_tax = 0.01 THEN '' ELSE '(' || CASE CAST(l_quantity AS INT) % 5 WHEN 0 THEN '' WHEN 1 THEN 'final int x' WHEN 2 THEN 'List<Map<String, A>> xs, long n' WHEN 3 THEN 'boolean[][] b, java.util.Map$Entry e' ELSE '@Ann(1) String... s, double d' END ||
+ CASE WHEN l_suppkey % 2 = 0 THEN CASE WHEN CAST(l_quantity AS INT) % 5 = 0 THEN '' ELSE ', ' END || CASE WHEN l_suppkey % 3 = 0 THEN 'com.s.' ELSE '' END || 'S' || CAST(l_suppkey % 9 AS STRING) || CASE WHEN l_suppkey % 4 = 0 THEN '<B, C> s' ELSE '' END ELSE '' END || ')' END AS signature""")
+SIMPLE = "list_transform({0}, lambda t: regexp_replace(t, '^.*[.$]', ''))"
+
+
+@query(
+    f"""WITH k AS (SELECT {", ".join(COVERED)} FROM lineitem), d AS (SELECT *, list_transform(regexp_extract_all(regexp_extract(descriptor, '\\((.*)\\)', 1), '\\[*(?:L[^;]*;|[A-Z])'), lambda t: CASE
+        WHEN t LIKE '%;' THEN replace(regexp_extract(t, 'L(.*);', 1), '/', '.') WHEN t LIKE '%I' THEN 'int' WHEN t LIKE '%J' THEN 'long' WHEN t LIKE '%Z' THEN 'boolean' WHEN t LIKE '%D' THEN 'double' END || repeat('[]', length(regexp_extract(t, '^\\[*')))) AS types,
+        CASE WHEN line_missed + line_covered > 0 THEN line_covered * 100.0 / (line_missed + line_covered) WHEN branch_missed + branch_covered > 0 THEN branch_covered * 100.0 / (branch_missed + branch_covered) ELSE -1 END AS percent FROM k),
+    w AS (SELECT class, method, ord, percent, 0 AS way, types FROM d UNION ALL SELECT class, method, ord, percent, 1, {SIMPLE.format('types')} FROM d),
+    f AS (SELECT class, method, way, types, arg_min(percent, ord) AS percent FROM w GROUP BY ALL),
+    r AS (SELECT {", ".join(ASKED_OF)} FROM lineitem), s AS (SELECT ref, class_name, regexp_extract(signature, '([A-Za-z0-9]+)\\(', 1) AS method, regexp_replace(regexp_replace(regexp_extract(signature, '\\((.*)\\)$', 1), '<(?:[^<>]|<[^<>]*>)*>', '', 'g'), '@Ann\\(1\\) ', '', 'g') AS inside FROM r WHERE signature LIKE '%)'),
+    t AS (SELECT ref, class_name, method, list_transform(list_filter(string_split(inside, ', '), lambda x: x <> ''), lambda x: replace(regexp_extract(x, '^(?:final )?(\\S+)', 1), '...', '[]')) AS types, string_split(class_name, '.') AS p FROM s),
+    c AS (SELECT ref, method, types, 0 AS n, class_name AS class FROM t UNION ALL SELECT ref, method, types, 1, replace(class_name, '$', '.') FROM t WHERE contains(class_name, '$')
+      UNION ALL SELECT ref, method, types, CASE WHEN contains(class_name, '$') THEN 2 ELSE 1 END + i - 1, array_to_string(p[:i], '.') || '.' || array_to_string(p[i + 1:], '$') FROM (SELECT *, unnest(generate_series(1, len(p) - 1)) AS i FROM t) WHERE array_to_string(p[:i], '.') || '.' || array_to_string(p[i + 1:], '$') <> class_name),
+    a AS (SELECT ref, n * 2 AS tier, class, method, 0 AS way, types FROM c UNION ALL SELECT ref, n * 2 + 1, class, method, 1, {SIMPLE.format('types')} FROM c),
+    b AS (SELECT ref, arg_min(percent, tier) AS percent, min(tier) AS tier FROM a JOIN f USING (class, method, way, types) GROUP BY 1)
+    SELECT r.ref, coalesce(percent, -1.0)::DOUBLE AS percent, CAST(tier AS INT) AS tier FROM r LEFT JOIN b USING (ref)"""
+)
+def method_coverage_lookup(t):
+    return lookup.coverage_of(t.lineitem.selectExpr(*ASKED_OF), "ref", t.lineitem.selectExpr(*COVERED))

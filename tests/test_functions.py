@@ -272,3 +272,27 @@ def test_yaml_leaves():
     text = "a:\n  - x: 1 # c\n    y: 'q # r'\n  - 2\nb: {c}\n'd e':\n  f:\n    g: \"h\"\n- z\n"
     got = [(k, v) for _, k, v in readers._leaves(text)]
     assert got[:5] == [("a[0].x", "1"), ("a[0].y", "q # r"), ("a[1]", "2"), ("b", "{c}"), ("d e.f.g", "h")]
+
+
+def test_descriptors_and_signatures(spark):
+    rows = [
+        ("()V", "m()", []), ("(I)V", "x.y.C#go(final int x)", ["int"]), ("(Ljava/util/List;[[JZ)Ljava/lang/String;", "void go(List<Map<String, A>> a, long[][] b, boolean c)", ["java.util.List", "long[][]", "boolean"]),
+        ("([Ljava/util/Map$Entry;)V", "go(@A(x = (1)) @B Map.Entry<K, V>... e)", ["java.util.Map$Entry[]"]), (None, None, None), ("broken", "broken", []),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, d string, s string, types array<string>").select("id", code.descriptor_types("d").alias("d"), code.signature_types("s").alias("s"), code.signature_name("s").alias("n"), "types", F.transform(code.descriptor_types("d"), code.unqualified).alias("u"))
+    got = df.orderBy("id").collect()
+    assert [r["d"] for r in got] == [r["types"] for r in got]
+    assert [r["s"] for r in got] == [[], ["int"], ["List", "long[][]", "boolean"], ["Map.Entry[]"], None, []]
+    assert [r["n"] for r in got] == ["m", "go", "go", "go", None, None]
+    assert [r["u"] for r in got][2:4] == [["List", "long[][]", "boolean"], ["Entry[]"]]
+
+
+def test_coverage_of_methods_by_tiers(spark):
+    covered = spark.createDataFrame(
+        [("a.B", "m", "(Ljava/lang/String;)V", 1, 1, 1, 0, 0), ("a.B", "m", "(Ljava/lang/String;)V", 2, 0, 9, 0, 0), ("a.B", "m", "(Lx/String;)V", 3, 0, 5, 0, 0), ("a.B$C$D", "go", "()V", 4, 0, 0, 3, 1), ("a.B", "none", "()V", 5, 0, 0, 0, 0)],
+        "class string, method string, descriptor string, ord long, line_missed long, line_covered long, branch_missed long, branch_covered long",
+    )
+    asked = [("a.B", "m(java.lang.String s)"), ("a.B", "m(String s)"), ("a.B", "m(x.String s)"), ("a.B.C.D", "go()"), ("a.B$C$D", "go()"), ("a.B", "none()"), ("a.B", "m(int i)"), ("a.B", "m"), (None, "m()"), ("a.B", None), ("a.X", "go()")]
+    refs = spark.createDataFrame([(i, *x) for i, x in enumerate(asked)], "id int, class_name string, signature string")
+    got = [(r["percent"], r["tier"]) for r in lookup.coverage_of(refs, "id", covered).orderBy("id").collect()]
+    assert got == [(50.0, 0), (50.0, 1), (100.0, 0), (25.0, 2), (25.0, 0), (-1.0, 0), (-1.0, None), (-1.0, None), (-1.0, None), (-1.0, None), (-1.0, None)]
