@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import redaction
+from tessera.operators import dictionary
 from tessera.plans.catalog import query
 
 KEY = r"(?i)\b[A-Z0-9_-]*(?:api[_-]?key|token|secret|password)[A-Z0-9_-]*\b\s*[:=]\s*"
@@ -102,3 +103,37 @@ def registered_detectors(t):
         for name in own:
             redaction.unregister(name)
     return t.part.select("p_partkey", F.size(found).alias("n"))
+
+
+#: Words of the benchmark and names of parts, without endings that are allowed; every place of each in every document.
+WORDS = "SELECT DISTINCT lower(trim(w)) AS term FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark UNION ALL SELECT p_name FROM part) WHERE trim(w) <> '' AND NOT starts_with(trim(w), '#')"
+
+
+def found_terms(t, words: bool, sent: int = dictionary.SENT):
+    rows = t.benchmark.select(F.explode(F.split("text", " ")).alias("w")).unionByName(t.part.select(F.col("p_name").alias("w")))
+    terms = dictionary.terms_of(rows, "w", t.part.select(F.substring_index("p_name", " ", -1)))
+    found = dictionary.find(t.documents, "doc_id", "text", terms, words, sent=sent)
+    told = F.array_join(F.transform("spans", lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
+    return found.select("doc_id", F.size("spans").cast("long").alias("n"), F.sha2(told, 256).alias("places_sha256"))
+
+
+DICTIONARY = """WITH a AS (SELECT DISTINCT lower(string_split(p_name, ' ')[-1]) AS term FROM part), t AS (SELECT * FROM ({words}) WHERE term NOT IN (SELECT term FROM a)), z AS (SELECT DISTINCT length(term) AS size FROM t),
+    d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?s).{{1,64}}') AS l FROM documents), p AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS n FROM d),
+    y AS (SELECT doc_id, (n - 1) * 64 AS o, length(l[n]) AS own, l[n] || coalesce(l[n + 1], '') AS y, CASE WHEN n > 1 THEN right(l[n - 1], 1) ELSE '' END AS behind FROM p),
+    w AS (SELECT doc_id, o, y, behind, i, size, substr(y, i, size) AS term FROM (SELECT *, unnest(range(1, own + 1)) AS i FROM y), z WHERE i + size <= length(y) + 1),
+    h AS (SELECT doc_id, o + i - 1 AS a, o + i - 1 + size AS b FROM w JOIN t USING (term){where})
+    SELECT doc_id, count(a) AS n, sha256(coalesce(string_agg(a || '-' || b, ',' ORDER BY a, b), '')) AS places_sha256 FROM d LEFT JOIN h USING (doc_id) GROUP BY doc_id"""
+
+
+@query(DICTIONARY.format(words=WORDS, where=""))
+def dictionary_of_thousands(t):
+    return found_terms(t, False)
+
+
+WORDY = r"regexp_matches({}, '^[\p{{L}}\p{{Nd}}_]$')"
+EDGES = " AND ".join(f"{WORDY.format(a)} <> {WORDY.format(b)}" for a, b in (("CASE WHEN i > 1 THEN substr(y, i - 1, 1) ELSE behind END", "substr(y, i, 1)"), ("substr(y, i + size - 1, 1)", "substr(y, i + size, 1)")))
+
+
+@query(DICTIONARY.format(words=WORDS, where=f" WHERE {EDGES}"))
+def dictionary_of_words(t):
+    return found_terms(t, True)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import code, redaction, rules
-from tessera.operators import graph, lookup, merge, rollup, stats
+from tessera.operators import dictionary, graph, lookup, merge, rollup, stats
 from tessera.sources import readers, writers
 
 
@@ -296,3 +296,29 @@ def test_coverage_of_methods_by_tiers(spark):
     refs = spark.createDataFrame([(i, *x) for i, x in enumerate(asked)], "id int, class_name string, signature string")
     got = [(r["percent"], r["tier"]) for r in lookup.coverage_of(refs, "id", covered).orderBy("id").collect()]
     assert got == [(50.0, 0), (50.0, 1), (100.0, 0), (25.0, 2), (25.0, 0), (-1.0, 0), (-1.0, None), (-1.0, None), (-1.0, None), (-1.0, None), (-1.0, None)]
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_dictionary_by_automaton_and_by_join(spark, words, monkeypatch):
+    monkeypatch.setattr(dictionary, "PIECE", 7)
+    rng = random.Random(2)
+    texts = [(i, "".join(rng.choice("ab a\u00e9_.-") for _ in range(rng.randrange(60)))) for i in range(60)] + [(60, None), (61, ""), (62, "ＡＢ ab Ab_ab-ab a a a a")]
+    said = ["ab", "A", "a a", "é", "a.", "-", " # no", "", None, "ba ab a_", "bb", "AB"]
+    rows = spark.createDataFrame(texts, "id int, text string")
+    terms = dictionary.terms_of(spark.createDataFrame([(x,) for x in said], "t string"), "t", spark.createDataFrame([("BB",)], "t string"))
+    assert {r["term"] for r in terms.collect()} == {"ab", "a", "a a", "é", "a.", "-", "ba ab a_"}
+    want = {}
+    for i, text in texts:
+        low, places = (text or "").lower().replace("ａ", "a").replace("ｂ", "b"), []
+        for term in ("ab", "a", "a a", "é", "a.", "-", "ba ab a_"):
+            after = 0
+            for a in range(len(low)):
+                b = a + len(term)
+                if low.startswith(term, a) and (not words or (a >= after and dictionary._edge(low, a) and dictionary._edge(low, b))):
+                    places.append((a, b))
+                    after = b
+        want[i] = sorted(places)
+    for sent in (dictionary.SENT, 0):
+        found = dictionary.find(rows, "id", "text", terms, words, sent=sent).collect()
+        assert {r["id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in found} == want
+    assert dictionary.find(rows, "id", "text", terms.where("false")).where("size(spans) > 0").count() == 0
