@@ -152,14 +152,42 @@ def selection_strength(excluded: Column, wasted: Column, failed: Column, concent
     return F.when((excluded > 0.20) & (wasted >= 0.30), "TOO_STRICT").when((failed >= 0.15) & (concentration >= 0.50), "TOO_WEAK").otherwise("OK")
 
 
-def parameter_advice(strength: Column, reason: Column, fail_rate: Column) -> Column:
-    """Which parameter to change, and by how much, as ``name:+step``."""
-    return (
-        F.when(strength == "TOO_STRICT", "skip_threshold:-0.1")
-        .when((strength == "TOO_WEAK") & (reason == "unresolved"), "penalty_unresolved_each:+0.05")
-        .when((strength == "TOO_WEAK") & (reason == "external"), "penalty_external_each:+0.05")
-        .when((strength == "TOO_WEAK") & (reason == "low_conf"), "penalty_low_confidence:+0.1")
-        .when((reason == "low_conf") & (fail_rate > 0.30), "skip_threshold:+0.1")
-        .when((reason == "unresolved") & (fail_rate > 0.30), "penalty_unresolved_each:+0.05")
-        .when((reason == "unresolved") & (fail_rate < 0.30), "penalty_unresolved_each:-0.02")
-    )
+# Parameters as they are where nothing else is said, rates beyond which they are changed, and steps.
+PARAMETERS = {"skip_threshold": 0.5, "penalty_unresolved_each": 0.1, "penalty_low_confidence": 0.4, "penalty_external_each": 0.2}
+MANY_FAIL, MANY_PASS = 0.30, 0.70
+STEP_THRESHOLD, STEP_PENALTY, STEP_MINOR, STEP_MAJOR = 0.1, 0.05, 0.02, 0.1
+
+
+def parameter_advice(strength: Column, dominant: Column, fails: Column, passes: Column, now: dict[str, Column | float] | None = None) -> Column:
+    """Which parameters to change: structs (name, current, advised, trigger), in the order of the rules.
+
+    ``fails`` and ``passes`` map reasons to the rates at which their tasks fail to compile and pass. (1) Doubtful confidence fails often: a higher threshold, 1 at most.
+    (2) What is unresolved fails often: a higher penalty. (3) Candidates by branch mostly pass: a lower one, unless it was raised. (4) TOO_STRICT: a lower threshold, 0 at least, unless it was
+    raised. (5) TOO_WEAK: a much higher penalty for the dominant reason, that of low confidence for all that have none of their own.
+    """
+    current = {k: F.lit(v).cast("double") if isinstance(v, float) else v.cast("double") for k, v in (PARAMETERS | (now or {})).items()}
+
+    def of(rates: Column, reason: str) -> Column:
+        return F.coalesce(F.element_at(rates, F.lit(reason)), F.lit(0.0))
+
+    def change(when: Column, name: str | Column, value: Column, trigger: Column, was: Column | None = None) -> Column:
+        was = current[name] if was is None else was
+        return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(name).alias("name") if isinstance(name, str) else name.alias("name"), was.alias("current"), value.alias("advised"), trigger.alias("trigger")))
+
+    low, provided = of(fails, "low_conf"), of(fails, "spi_low_conf")
+    raised = F.least(F.lit(1.0), current["skip_threshold"] + STEP_THRESHOLD)
+    first = (F.greatest(low, provided) > MANY_FAIL) & (raised != current["skip_threshold"])
+    second = of(fails, "unresolved") > MANY_FAIL
+    lowered = F.greatest(F.lit(0.0), current["skip_threshold"] - STEP_THRESHOLD)
+    fourth = (strength == "TOO_STRICT") & ~first & (lowered != current["skip_threshold"])
+    reason = F.coalesce(dominant, F.lit("too_weak"))
+    name = F.when(reason == "unresolved", "penalty_unresolved_each").when(reason.isin("external", "external_not_found"), "penalty_external_each").otherwise("penalty_low_confidence")
+    was = F.when(reason == "unresolved", current["penalty_unresolved_each"]).when(reason.isin("external", "external_not_found"), current["penalty_external_each"]).otherwise(current["penalty_low_confidence"])
+    rules = [
+        change(first, "skip_threshold", raised, F.when(low >= provided, "low_conf").otherwise("spi_low_conf")),
+        change(second, "penalty_unresolved_each", current["penalty_unresolved_each"] + STEP_PENALTY, F.lit("unresolved")),
+        change((of(passes, "branch_candidates") > MANY_PASS) & ~second, "penalty_unresolved_each", F.greatest(F.lit(0.0), current["penalty_unresolved_each"] - STEP_MINOR), F.lit("branch_candidates")),
+        change(fourth, "skip_threshold", lowered, F.lit("too_strict")),
+        change(strength == "TOO_WEAK", name, was + STEP_MAJOR, reason, was),
+    ]
+    return F.array_compact(F.array(*rules))

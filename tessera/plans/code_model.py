@@ -64,17 +64,29 @@ def main_classes(t):
     return CLASSES(t).where(code.is_main_class("nested", "path", "fqn")).select("id")
 
 
-@query(f"SELECT id FROM {METHODS.sql} WHERE (name = 'run' OR name = simple) AND parameters = 0 AND loc <= 0")
+CONSTRUCTED = Made("part", "p_partkey AS id", "'C' || replace(p_name, ' ', '_') AS simple", "CASE p_partkey % 3 WHEN 0 THEN '<init>' WHEN 1 THEN 'C' || replace(p_name, ' ', '_') ELSE p_name END AS name", "CASE WHEN p_size % 4 < 2 THEN 0 WHEN p_size % 4 = 2 THEN p_size END AS parameters", "CASE WHEN p_retailprice > 1200 THEN p_size WHEN p_retailprice > 1000 THEN 0 WHEN p_retailprice > 950 THEN -1 END AS loc")
+
+
+@query(f"SELECT id FROM {CONSTRUCTED.sql} WHERE (name = '<init>' OR name = simple) AND coalesce(parameters, 0) = 0 AND coalesce(loc, 0) <= 0")
 def implicit_constructors(t):
-    rows = METHODS(t).withColumn("name", F.when(F.col("name") == "run", "<init>").otherwise(F.col("name")))
-    return rows.where(code.is_implicit_constructor("name", "simple", "parameters", "loc")).select("id")
+    return CONSTRUCTED(t).where(code.is_implicit_constructor("name", "simple", "parameters", "loc")).select("id")
+
+
+GUARDED = Made(
+    "part", "p_partkey AS id", "'com.' || replace(p_name, ' ', '.') || '.C' AS fqn",
+    "CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '') WHEN 1 THEN 'do' ELSE 'get' END || CASE p_size WHEN 1 THEN 'Password' WHEN 2 THEN 'secrets' WHEN 3 THEN 'TokenOf' WHEN 4 THEN 'Credential' WHEN 5 THEN 'Encrypted' WHEN 6 THEN 'decrypt' WHEN 7 THEN 'authenticateAll' "
+    "WHEN 8 THEN 'Authorize' WHEN 9 THEN 'ApiKey' WHEN 10 THEN 'privateKey' WHEN 11 THEN 'SignIn' WHEN 12 THEN 'signOut' WHEN 13 THEN 'LoginUser' WHEN 14 THEN 'LOGOUT' WHEN 15 THEN 'Key' WHEN 16 THEN 'Sign' WHEN 17 THEN 'Log' ELSE p_type END AS name",
+    "ARR('Override', CASE p_partkey % 13 WHEN 0 THEN '@PreAuthorize(\"hasRole(''a.X'')\")' WHEN 1 THEN 'org.sec.Secured' WHEN 2 THEN '@a.b.RolesAllowed({\"x\"})' WHEN 3 THEN '@PermitAll' WHEN 4 THEN '@x.DenyAll()' WHEN 5 THEN '@NotSecured' WHEN 6 THEN '@Other(value = Secured)' WHEN 7 THEN '@PostAuthorize' "
+    "WHEN 8 THEN '@Encrypt(1)' WHEN 9 THEN 'Decrypt' WHEN 10 THEN '@x.Secured.Not' WHEN 11 THEN NULL ELSE '@SecuredBy' END) AS annotations",
+)
 
 
 @query(
-    f"""SELECT DISTINCT unnest([CAST(id AS VARCHAR), fqn || '#' || name]) AS method_id FROM {METHODS.sql} WHERE name IN ('getToken', 'encryptAll') OR list_contains(annotations, '@org.x.Secured')"""
+    f"""SELECT DISTINCT unnest([CAST(id AS VARCHAR), fqn || '#' || name]) AS method_id FROM {GUARDED.sql} WHERE regexp_matches(lower(name), 'password|secret|token|credential|encrypt|decrypt|authenticate|authorize|apikey|privatekey|signin|signout|login|logout')
+    OR len(list_filter(annotations, lambda a: regexp_matches(a, '^@?([^(]*\\.)?(PreAuthorize|PostAuthorize|Secured|RolesAllowed|PermitAll|DenyAll|Encrypt|Decrypt)(\\(.*)?$'))) > 0"""
 )
 def sensitive_methods(t):
-    rows = METHODS(t).where(code.is_sensitive("name", "annotations"))
+    rows = GUARDED(t).where(code.is_sensitive("name", "annotations"))
     return rows.select(F.explode(code.sensitive_ids("fqn", "name", F.col("id").cast("string"))).alias("method_id")).distinct()
 
 
@@ -447,14 +459,32 @@ def selection_penalties(t):
     return found.withColumn("p", p).select("l_orderkey", "least", "unresolved", "external", "p.penalty", "p.skip", F.concat_ws(",", "p.reasons").alias("reasons"))
 
 
+#: Lines by order as tasks of a run: a reason by line, returned ones fail, open ones pass; what the run came to by its first line.
+REASON = "CASE (l_linenumber + l_suppkey) % 7 WHEN 0 THEN 'low_conf' WHEN 1 THEN 'spi_low_conf' WHEN 2 THEN 'unresolved' WHEN 3 THEN 'branch_candidates' WHEN 4 THEN 'external' WHEN 5 THEN 'external_not_found' END"
+RUN = "CASE WHEN l_orderkey % 3 = 0 THEN 'TOO_STRICT' WHEN l_orderkey % 3 = 1 THEN 'TOO_WEAK' ELSE 'OK' END"
+
+
 @query(
-    """WITH a AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'TOO_STRICT' WHEN 1 THEN 'TOO_WEAK' ELSE 'OK' END AS s, CASE p_size % 4 WHEN 0 THEN 'unresolved' WHEN 1 THEN 'external' WHEN 2 THEN 'low_conf' ELSE 'x' END AS r, p_size / 50.0::DOUBLE AS f FROM part)
-    SELECT p_partkey, CASE WHEN s = 'TOO_STRICT' THEN 'skip_threshold:-0.1' WHEN s = 'TOO_WEAK' AND r = 'unresolved' THEN 'penalty_unresolved_each:+0.05' WHEN s = 'TOO_WEAK' AND r = 'external' THEN 'penalty_external_each:+0.05' WHEN s = 'TOO_WEAK' AND r = 'low_conf' THEN 'penalty_low_confidence:+0.1'
-    WHEN r = 'low_conf' AND f > 0.30 THEN 'skip_threshold:+0.1' WHEN r = 'unresolved' AND f > 0.30 THEN 'penalty_unresolved_each:+0.05' WHEN r = 'unresolved' AND f < 0.30 THEN 'penalty_unresolved_each:-0.02' END AS advice FROM a"""
+    f"""WITH l AS (SELECT l_orderkey AS o, {RUN} AS s, {REASON} AS r, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END AS f, CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0 END AS p FROM lineitem),
+    g AS (SELECT o, s, r, avg(f) AS f, avg(p) AS p, count(*) AS n FROM l GROUP BY 1, 2, 3),
+    w AS (SELECT o, s, coalesce(max(f) FILTER (r = 'low_conf'), 0) AS low, coalesce(max(f) FILTER (r = 'spi_low_conf'), 0) AS spi, coalesce(max(f) FILTER (r = 'unresolved'), 0) AS un, coalesce(max(p) FILTER (r = 'branch_candidates'), 0) AS br,
+      arg_max(r, n * 100000 - ascii(r) * 100 - length(r)) FILTER (r IS NOT NULL AND f > 0) AS d, (o % 11) / 10.0 AS t FROM g GROUP BY 1, 2),
+    a AS (SELECT o, 1 AS i, 'skip_threshold' AS name, t AS current, least(1.0, t + 0.1) AS advised, CASE WHEN low >= spi THEN 'low_conf' ELSE 'spi_low_conf' END AS trigger FROM w WHERE greatest(low, spi) > 0.3 AND t < 1.0
+      UNION ALL SELECT o, 2, 'penalty_unresolved_each', 0.1, 0.1 + 0.05, 'unresolved' FROM w WHERE un > 0.3 UNION ALL SELECT o, 3, 'penalty_unresolved_each', 0.1, 0.1 - 0.02, 'branch_candidates' FROM w WHERE br > 0.7 AND un <= 0.3
+      UNION ALL SELECT o, 4, 'skip_threshold', t, greatest(0.0, t - 0.1), 'too_strict' FROM w WHERE s = 'TOO_STRICT' AND t > 0 AND NOT (greatest(low, spi) > 0.3 AND t < 1.0)
+      UNION ALL SELECT o, 5, CASE WHEN d = 'unresolved' THEN 'penalty_unresolved_each' WHEN d LIKE 'external%' THEN 'penalty_external_each' ELSE 'penalty_low_confidence' END, CASE WHEN d = 'unresolved' THEN 0.1 WHEN d LIKE 'external%' THEN 0.2 ELSE 0.4 END, CASE WHEN d = 'unresolved' THEN 0.2 WHEN d LIKE 'external%' THEN 0.3 ELSE 0.5 END, coalesce(d, 'too_weak') FROM w WHERE s = 'TOO_WEAK')
+    SELECT o, CAST(row_number() OVER (PARTITION BY o ORDER BY i) - 1 AS INT) AS nth, name, round(CAST(current AS DOUBLE), 6) AS current, round(CAST(advised AS DOUBLE), 6) AS advised, trigger FROM a"""
 )
 def parameter_advice(t):
-    n, k = F.col("p_partkey") % 3, F.col("p_size") % 4
-    return t.part.select("p_partkey", rules.parameter_advice(F.when(n == 0, "TOO_STRICT").when(n == 1, "TOO_WEAK").otherwise("OK"), F.when(k == 0, "unresolved").when(k == 1, "external").when(k == 2, "low_conf").otherwise("x"), F.col("p_size") / 50.0).alias("advice"))
+    rows = t.lineitem.selectExpr("l_orderkey AS o", f"{RUN} AS s", f"{REASON} AS r", "IF(l_returnflag = 'R', 1.0D, 0.0D) AS f", "IF(l_linestatus = 'O', 1.0D, 0.0D) AS p")
+    reasons = rows.groupBy("o", "s", "r").agg(F.avg("f").alias("f"), F.avg("p").alias("p"), F.count(F.lit(1)).alias("n"))
+    told = F.col("r").isNotNull()
+    runs = reasons.groupBy("o", "s").agg(
+        F.map_from_entries(F.collect_list(F.when(told, F.struct("r", "f")))).alias("fails"), F.map_from_entries(F.collect_list(F.when(told, F.struct("r", "p")))).alias("passes"),
+        F.max_by("r", F.when(told & (F.col("f") > 0), F.col("n") * 100000 - F.ascii("r") * 100 - F.length("r"))).alias("d"),
+    )
+    advice = rules.parameter_advice(F.col("s"), F.col("d"), F.col("fails"), F.col("passes"), {"skip_threshold": (F.col("o") % 11) / 10.0})
+    return runs.select("o", F.posexplode(advice).alias("nth", "a")).select("o", "nth", "a.name", F.round("a.current", 6).alias("current"), F.round("a.advised", 6).alias("advised"), "a.trigger")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 OR p_partkey % 4 = 1 THEN 1.0::DOUBLE WHEN p_partkey % 4 > 1 THEN 0.8::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM part")

@@ -322,3 +322,21 @@ def test_dictionary_by_automaton_and_by_join(spark, words, monkeypatch):
         found = dictionary.find(rows, "id", "text", terms, words, sent=sent).collect()
         assert {r["id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in found} == want
     assert dictionary.find(rows, "id", "text", terms.where("false")).where("size(spans) > 0").count() == 0
+
+
+def test_advice_on_parameters(spark):
+    def advice(strength="OK", dominant=None, fails=None, passes=None, **now):
+        rows = spark.createDataFrame([(strength, dominant, fails or {}, passes or {})], "s string, d string, f map<string,double>, p map<string,double>")
+        got = rows.select(rules.parameter_advice(F.col("s"), F.col("d"), F.col("f"), F.col("p"), now).alias("a")).first()["a"]
+        return [(a["name"], round(a["advised"], 6), a["trigger"]) for a in got]
+
+    assert advice(fails={"low_conf": 0.5}) == [("skip_threshold", 0.6, "low_conf")] and advice(fails={"spi_low_conf": 0.5, "low_conf": 0.4}) == [("skip_threshold", 0.6, "spi_low_conf")]
+    assert advice(fails={"low_conf": 0.5}, skip_threshold=0.95) == [("skip_threshold", 1.0, "low_conf")] and advice(fails={"low_conf": 0.5}, skip_threshold=1.0) == []
+    assert advice(fails={"unresolved": 0.31}, passes={"branch_candidates": 0.9}) == [("penalty_unresolved_each", 0.15, "unresolved")]
+    assert advice(fails={"unresolved": 0.3}, passes={"branch_candidates": 0.71}) == [("penalty_unresolved_each", 0.08, "branch_candidates")]
+    assert advice("TOO_STRICT") == [("skip_threshold", 0.4, "too_strict")] and advice("TOO_STRICT", skip_threshold=0.05) == [("skip_threshold", 0.0, "too_strict")]
+    assert advice("TOO_STRICT", skip_threshold=0.0) == [] and advice("TOO_STRICT", fails={"low_conf": 0.9}) == [("skip_threshold", 0.6, "low_conf")]
+    assert [advice("TOO_WEAK", d)[0] for d in ("unresolved", "external_not_found", "spi_low_conf", "x", None)] == [
+        ("penalty_unresolved_each", 0.2, "unresolved"), ("penalty_external_each", 0.3, "external_not_found"), ("penalty_low_confidence", 0.5, "spi_low_conf"), ("penalty_low_confidence", 0.5, "x"), ("penalty_low_confidence", 0.5, "too_weak"),
+    ]
+    assert one(spark, code.is_sensitive("n", "a"), n="logoutAll", a=["x"]) and one(spark, code.is_sensitive("n", "a"), n="run", a=['@x.PreAuthorize("hasRole(\'a.b\')")'])
