@@ -33,32 +33,47 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used there."""
+    return F.transform(F.array(value), then)[0]
+
+
+#: Marks around a match, from Unicode's noncharacters; texts that hold them are looked at with other ones in their place.
+OPENS, SPLITS, CLOSES, OTHER = "\ufdd0", "\ufdd1", "\ufdd2", "\ufffd"
+
+
+def marked(text: Column) -> Column:
+    """The text as the detectors look at it."""
+    return F.translate(text, OPENS + SPLITS + CLOSES, OTHER * 3)
+
+
 def spans_of(text: Column, kind: str, pattern: str, confidence: float) -> Column:
-    """Leftmost matches as (type, start, end, confidence): offsets are the summed lengths of what stands between and within.
+    """Leftmost matches as (type, start, end, confidence). The pattern passes the text once: it puts marks around its matches, and lengths between them are offsets.
 
-    What stands before a secret, and quotes around it, are no part of its span.
+    What stands before a secret, and quotes around it, are no part of its span; cards must pass Luhn's check.
     """
-    cut, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN)
+    put = f"{OPENS}{'$1' if kind in PREFIXED else ''}{SPLITS}$0{CLOSES}"
 
-    def step(a: Column, z: Column) -> Column:
-        whole = a["at"] + F.length(z["p"])
-        begin, end = whole, whole + F.length(z["m"])
-        inner = end
+    def step(a: Column, p: Column) -> Column:
+        head, found = F.substring_index(p, SPLITS, 1), F.substring_index(F.substring_index(p, CLOSES, 1), SPLITS, -1)
+        begin, end = a["at"] + F.length(head), a["at"] + F.length(found)
         if kind in PREFIXED:
-            quotes = F.when(F.substring(z["m"], F.length(z["h"]) + 1, F.lit(1)).isin('"', "'"), 1).otherwise(0)
-            begin, inner = whole + F.length(z["h"]) + quotes, end - quotes
-        one = F.struct(F.lit(kind).alias("type"), begin.alias("start"), inner.alias("end"), F.lit(confidence).alias("confidence"))
-        return F.when(z["m"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out")))
-
-    both = F.zip_with(cut, found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    if kind in PREFIXED:
-        both = F.zip_with(both, F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda z, h: F.struct(z["p"].alias("p"), z["m"].alias("m"), h.alias("h")))
-    out = F.aggregate(both, start, step, lambda a: a["out"])
-    if kind == "CREDIT_CARD":
-        out = F.filter(out, lambda s: F.call_function("luhn_check", F.regexp_replace(F.substring(text, s["start"] + 1, s["end"] - s["start"]), r"\D", "")))
-    none = F.array().cast(SPAN)
-    return F.when(text.rlike(HINTS[kind]), F.when(text.rlike(pattern), out).otherwise(none)).otherwise(none) if kind in HINTS else F.when(text.rlike(pattern), out).otherwise(none)
+            quotes = F.when(F.substring(found, F.length(head) + 1, F.lit(1)).isin('"', "'"), 1).otherwise(0)
+            begin, inner = begin + quotes, end - quotes
+        else:
+            inner = end
+        one = F.array(F.struct(F.lit(kind).alias("type"), begin.alias("start"), inner.alias("end"), F.lit(confidence).alias("confidence")))
+        if kind == "CREDIT_CARD":
+            one = F.when(F.call_function("luhn_check", F.regexp_replace(found, r"\D", "")), one).otherwise(none)
+        return F.struct((end + F.length(F.substring_index(p, CLOSES, -1))).alias("at"), F.concat(a["out"], one).alias("out"))
+
+    def told(parts: Column) -> Column:
+        start = F.struct(F.length(parts[0]).alias("at"), none.alias("out"))
+        return F.when(F.size(parts) > 1, F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda a: a["out"])).otherwise(none)
+
+    found = once(F.split(F.regexp_replace(text, pattern, put), OPENS, -1), told)
+    return F.when(text.rlike(HINTS[kind]), found).otherwise(none) if kind in HINTS else found
 
 
 def fold_width(text: Column | str) -> Column:
@@ -101,16 +116,14 @@ def unregister(name: str) -> None:
 def detect(text: Column | str, only: tuple[str, ...] | None = None) -> Column:
     """All findings of the detectors, or of those named, in their order."""
     said = F.coalesce(_col(text), F.lit(""))
-    return F.concat(*[f(said) for name, f in REGISTRY.items() if only is None or name in only], F.array().cast(SPAN))
-
-
-def counts(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
-    """How many findings there are of each kind."""
+    return once(marked(said), lambda x: F.concat(*[f(x) for name, f in REGISTRY.items() if only is None or name in only], F.array().cast(SPAN)))
 
-    def of(kind: str) -> Column:
-        return F.size(F.filter(spans, lambda s: s["type"] == kind)).cast("long")
 
-    return [of(k).alias(f"n_{k.lower()}") for k in kinds]
+def counts(spans: Column, kinds: tuple[str, ...]) -> Column:
+    """A struct of how many findings there are of each kind, by one pass of the spans."""
+    names = [f"n_{k.lower()}" for k in kinds]
+    start = F.struct(*[F.lit(0).cast("long").alias(n) for n in names])
+    return F.aggregate(spans, start, lambda a, s: F.struct(*[(a[n] + F.when(s["type"] == k, 1).otherwise(0)).alias(n) for n, k in zip(names, kinds)]))
 
 
 def resolve_overlaps(spans: Column) -> Column:
@@ -127,34 +140,52 @@ def resolve_overlaps(spans: Column) -> Column:
 
 def mask(text: Column | str, spans: Column, with_: str = MASK, least: float = MASK_AT) -> Column:
     """The text with all spans of at least that confidence replaced; they must not overlap."""
-    said = F.coalesce(_col(text), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        return F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(said, a["at"] + 1, s["start"] - a["at"]), F.lit(with_)).alias("out"))
+    def told(said: Column) -> Column:
+        def step(a: Column, s: Column) -> Column:
+            return F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(said, a["at"] + 1, s["start"] - a["at"]), F.lit(with_)).alias("out"))
+
+        return F.aggregate(F.filter(spans, lambda s: s["confidence"] >= least), start, step, lambda a: F.concat(a["out"], F.substring(said, a["at"] + 1, F.length(said))))
 
-    return F.aggregate(F.filter(spans, lambda s: s["confidence"] >= least), start, step, lambda a: F.concat(a["out"], F.substring(said, a["at"] + 1, F.length(said))))
+    return once(F.coalesce(_col(text), F.lit("")), told)
 
 
 def policy(text: Column | str, spans: Column, mode: str = "enforce", block_at: float = BLOCK_AT) -> Column:
     """Struct (text, blocked): ``off`` changes nothing, ``report`` only tells, ``enforce`` masks and blocks."""
-    blocked = F.coalesce(F.array_max(F.transform(spans, lambda s: s["confidence"])) >= block_at, F.lit(False))
     if mode != "enforce":
         return F.struct(_col(text).alias("text"), F.lit(False).alias("blocked"))
-    return F.struct(mask(text, spans).alias("text"), blocked.alias("blocked"))
+
+    def told(found: Column) -> Column:
+        blocked = F.coalesce(F.array_max(F.transform(found, lambda s: s["confidence"])) >= block_at, F.lit(False))
+        return F.struct(mask(text, found).alias("text"), blocked.alias("blocked"))
+
+    return once(spans, told)
 
 
 def mask_in_turn(text: Column | str, with_: str = MASK) -> Column:
-    """Mask kind after kind, each on what the one before left."""
+    """Mask kind after kind, each on what the one before left, which is computed once."""
     said, put = F.coalesce(_col(text), F.lit("")), with_.replace("$", r"\$")
-    for kind, pattern, confidence in DETECTORS:
+
+    def turn(kind: str, pattern: str, confidence: float) -> Callable[[Column], Column]:
         if kind == "CREDIT_CARD":
-            said = mask(said, spans_of(said, kind, SHORT_CARD, confidence), with_, 0.0)
-        elif kind == "KEY_VALUE":
+            return lambda x: F.when(x.rlike(HINTS[kind]), mask(x, spans_of(marked(x), kind, SHORT_CARD, confidence), with_, 0.0)).otherwise(x)
+        if kind == "KEY_VALUE":
             key = pattern.split("(?:\"")[0]
-            said = F.regexp_replace(F.regexp_replace(F.regexp_replace(said, key + '"[^"]*"', f'$1"{put}"'), key + "'[^']*'", f"$1'{put}'"), key + r"[^\s'\";]+", f"$1{put}")
+            masked = [(key + '"[^"]*"', f'$1"{put}"'), (key + "'[^']*'", f"$1'{put}'"), (key + r"[^\s'\";]+", f"$1{put}")]
         else:
-            said = F.regexp_replace(said, pattern, ("$1" if kind in PREFIXED else "") + put)
+            masked = [(pattern, ("$1" if kind in PREFIXED else "") + put)]
+
+        def told(x: Column) -> Column:
+            out = x
+            for p, by in masked:
+                out = F.regexp_replace(out, p, by)
+            return F.when(x.rlike(HINTS[kind]), out).otherwise(x)
+
+        return told
+
+    for d in DETECTORS:
+        said = once(said, turn(*d))
     return said
 
 

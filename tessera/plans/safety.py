@@ -8,6 +8,7 @@ from tessera.functions import redaction
 from tessera.operators import dictionary
 from tessera.plans.catalog import query
 
+# The patterns of keys and of addresses, in the words of RE2.
 KEY = r"(?i)\b[A-Z0-9_-]*(?:api[_-]?key|token|secret|password)[A-Z0-9_-]*\b\s*[:=]\s*"
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 #: Digits of a list of candidates, doubled from the right, added up by tens.
@@ -16,13 +17,13 @@ LUHN = "list_sum([CASE WHEN i % 2 = 1 THEN CAST(reverse(d)[i] AS INT) ELSE 2 * C
 RUNS = r"regexp_extract_all(regexp_replace(text, '([^0-9])', '\1\1', 'g'), '(?:^|[^0-9])((?:[0-9][ -]*){12,18}[0-9])(?:[^0-9]|$)', 1)"
 CARDS = f"len([1 FOR d IN [regexp_replace(c, '[^0-9]', '', 'g') FOR c IN {RUNS}] IF {LUHN}])"
 COUNTS = rf"""SELECT doc_id, len(regexp_extract_all(text, '(?i)-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z ]+ )?PRIVATE KEY-----')) AS n_pem_key, len(regexp_extract_all(text, '(?i)\bAuthorization\s*:\s*Bearer\s+[A-Z0-9._+/=-]+')) AS n_auth_bearer,
-    len(regexp_extract_all(text, '{KEY}(?:"[^"]*"|''[^'']*''|[^\s''";]+)')) AS n_key_value, len(regexp_extract_all(text, '{EMAIL}')) AS n_email, {CARDS} AS n_credit_card FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"""
-KINDS = ("PEM_KEY", "AUTH_BEARER", "KEY_VALUE", "EMAIL", "CREDIT_CARD")
+    len(regexp_extract_all(text, '{KEY}(?:"[^"]*"|''[^'']*''|[^\s''";]+)')) AS n_key_value, len(regexp_extract_all(text, '{EMAIL}')) AS n_email, {CARDS} AS n_credit_card, len(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9_-])', '\1\1', 'g'), '(?:^|[^A-Za-z0-9_-])[A-Za-z0-9_-]{{10,}}\.\.[A-Za-z0-9_-]{{10,}}\.\.[A-Za-z0-9_-]{{8,}}')) AS n_jwt FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"""
+KINDS = tuple(d[0] for d in redaction.DETECTORS)
 
 
 @query(COUNTS)
 def redaction_counts(t):
-    return t.documents.select("doc_id", *redaction.counts(redaction.detect("text"), KINDS))
+    return t.documents.select("doc_id", redaction.counts(redaction.detect("text"), KINDS).alias("n")).select("doc_id", "n.*")
 
 
 # --- every kind of secret, written into a text, so that each detector is looked at
@@ -40,14 +41,61 @@ def pii_masked(t):
     return rows.select("id", F.size("kept").alias("n"), redaction.policy("said", F.col("kept")).alias("p"), redaction.mask_in_turn("said").alias("in_turn")).select("id", "n", "p.blocked", "p.text", "in_turn")
 
 
+# --- whole documents
+
+PEM = r"(?i)-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z ]+ )?PRIVATE KEY-----"
+BEARER = r"(?i)(\bAuthorization\s*:\s*Bearer\s+)[A-Z0-9._+/=-]+"
+HELD = r"(?i)((?:api[_-]?key|token|secret|password)[A-Z0-9_-]*\b\s*[:=]\s*)"
+TOKEN = r"(^|[^A-Za-z0-9_-])([A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{8,})"
+TURNS = [(PEM, "[REDACTED]"), (BEARER, r"\1[REDACTED]"), (HELD + '"[^"]*"', r'\1"[REDACTED]"'), (HELD + "''[^'']*''", r"\1''[REDACTED]''"), (HELD + r"[^\s''\";]+", r"\1[REDACTED]"), (TOKEN, r"\1[REDACTED]"), (EMAIL, "[REDACTED]")]
+IN_TURN = "coalesce(text, '')"
+for _p, _by in TURNS:
+    IN_TURN = f"regexp_replace({IN_TURN}, '{_p}', '{_by}', 'g')"
+DIGITS = "regexp_replace(c, '[^0-9]', '', 'g')"
+
+
 @query(
-    r"""SELECT doc_id, t = text AS same, length(t) AS left_over FROM (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(?i)(\b[A-Z0-9_-]*(?:api[_-]?key|token|secret|password)[A-Z0-9_-]*\b\s*[:=]\s*)"[^"]*"', '\1"[REDACTED]"', 'g'), '(?i)(\b[A-Z0-9_-]*(?:api[_-]?key|token|secret|password)[A-Z0-9_-]*\b\s*[:=]\s*)[^\s''";]+', '\1[REDACTED]', 'g'), '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', '[REDACTED]', 'g') AS t
-    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)) WHERE NOT regexp_matches(text, '[0-9](?:[ -]*[0-9]){12}')"""
+    rf"""WITH a AS (SELECT doc_id, coalesce(text, '') AS said, {IN_TURN} AS text FROM documents),
+    c AS (SELECT doc_id, said, text, [regexp_replace(c, '([^0-9])[^0-9]', '\1', 'g') FOR c IN {RUNS} IF {LUHN.replace("(d)", f"({DIGITS})")}] AS cards FROM a),
+    m AS (SELECT doc_id, said, CASE WHEN len(cards) > 0 THEN list_reduce(list_prepend(text, cards), lambda t, c: replace(t, c, '[REDACTED]')) ELSE text END AS t FROM c)
+    SELECT doc_id, t = said AS same, sha256(t) AS masked_sha256 FROM m"""
 )
 def documents_masked_in_turn(t):
-    rows = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~F.col("text").rlike(r"[0-9](?:[ -]*[0-9]){12}"))
-    masked = redaction.mask_in_turn("text")
-    return rows.select("doc_id", (masked == F.col("text")).alias("same"), F.length(masked).cast("long").alias("left_over"))
+    masked = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("said"), redaction.mask_in_turn("text").alias("t"))
+    return masked.select("doc_id", (F.col("t") == F.col("said")).alias("same"), F.sha2("t", 256).alias("masked_sha256"))
+
+
+O, S, C = redaction.OPENS, redaction.SPLITS, redaction.CLOSES
+#: Kind, confidence, pattern, and what stands before the secret.
+LOOKED = [("PEM_KEY", 1.0, f"({PEM})", ""), ("AUTH_BEARER", 0.95, BEARER, r"\1"), ("KEY_VALUE", 0.85, HELD + r"""(?:"[^"]*"|''[^'']*''|[^\s''";]+)""", r"\1"), ("EMAIL", 0.9, EMAIL, "")]
+MARKED = [(k, c, rf"regexp_replace(text, '{p}', '{O}{before}{S}\0{C}', 'g')") for k, c, p, before in LOOKED]
+MARKED.append(("JWT", 0.95, rf"regexp_replace(text, '{TOKEN}', '\1{O}{S}\2{C}', 'g')"))
+CARD = f"(^|[^0-9{S}])((?:[0-9][ -]*){{13,19}})([^0-9]|$)"
+MARKED.append(("CREDIT_CARD", 0.98, rf"regexp_replace(regexp_replace(text, '{CARD}', '\1{O}{S}\2{C}\3', 'g'), '{CARD}', '\1{O}{S}\2{C}\3', 'g')"))
+NTH = [d[0] for d in redaction.DETECTORS]
+FOUND = " UNION ALL ".join(f"SELECT doc_id AS o, '{k}' AS k, {c} AS c, {NTH.index(k)} AS kind, {m} AS m FROM t WHERE contains({m}, '{O}')" for k, c, m in MARKED)
+DOCUMENT_SPANS = f"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f0 AS ({FOUND}), f1 AS (SELECT o, k, c, kind, string_split(m, '{O}') AS l FROM f0),
+    f2 AS (SELECT o, k, c, kind, length(l[1]) AS base, unnest(l[2:]) AS p, unnest(range(1, len(l))) AS i FROM f1),
+    f3 AS (SELECT o, k, c, kind, i, base, length(split_part(p, '{S}', 1)) AS head, split_part(split_part(p, '{C}', 1), '{S}', 2) AS found, length(split_part(p, '{C}', 2)) AS rest FROM f2),
+    f4 AS (SELECT *, CAST(base + coalesce(sum(length(found) + rest) OVER (PARTITION BY o, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS p, CASE WHEN k = 'KEY_VALUE' AND substr(found, head + 1, 1) IN ('"', '''') THEN 1 ELSE 0 END AS q, regexp_replace(found, '[^0-9]', '', 'g') AS d FROM f3),
+    s AS (SELECT o, p + head + q AS a, p + length(found) - q AS b, c, k, kind * 1000000 + i AS i FROM f4 WHERE k <> 'CREDIT_CARD' OR {LUHN}),
+    n AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY a, c DESC, i) AS r FROM s),
+    f(o, r, kept) AS (SELECT o, r, [{{'k': k, 'a': a, 'b': b, 'c': c}}] FROM n WHERE r = 1 UNION ALL SELECT f.o, n.r, CASE WHEN n.a >= f.kept[-1].b OR n.b <= f.kept[-1].a THEN list_append(f.kept, {{'k': n.k, 'a': n.a, 'b': n.b, 'c': n.c}}) WHEN n.c > f.kept[-1].c THEN list_append(f.kept[:-2], {{'k': n.k, 'a': n.a, 'b': n.b, 'c': n.c}}) ELSE f.kept END FROM f JOIN n ON n.o = f.o AND n.r = f.r + 1),
+    g AS (SELECT o, arg_max(kept, r) AS m FROM f GROUP BY o)"""
+KIND_COUNTS = ", ".join(f"CAST(len(list_filter(coalesce(m, []), lambda x: x.k = '{k}')) AS BIGINT) AS n_{k.lower()}" for k in KINDS)
+
+
+@query(
+    f"""{DOCUMENT_SPANS} SELECT doc_id, {KIND_COUNTS}, coalesce(len(list_filter(m, lambda x: x.c >= 0.9)) > 0, FALSE) AS blocked, coalesce(list_aggregate([x.k || ':' || x.a || '-' || x.b FOR x IN m], 'string_agg', ','), '') AS spans,
+    sha256(coalesce(list_aggregate([substr(text, CASE WHEN i = 1 THEN 1 ELSE m[i - 1].b + 1 END, m[i].a - CASE WHEN i = 1 THEN 0 ELSE m[i - 1].b END) || '[REDACTED]' FOR i IN range(1, len(m) + 1)], 'string_agg', ''), '') || substr(text, coalesce(m[-1].b, 0) + 1)) AS masked_sha256
+    FROM t LEFT JOIN g ON doc_id = o"""
+)
+def documents_masked(t):
+    """Every document with its findings, overlaps resolved, masked."""
+    rows = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("kept", redaction.resolve_overlaps(redaction.detect("text")))
+    rows = rows.select("doc_id", redaction.counts(F.col("kept"), KINDS).alias("n"), "kept", redaction.policy("text", F.col("kept")).alias("p"))
+    told = F.array_join(F.transform("kept", lambda s: F.concat(s["type"], F.lit(":"), s["start"], F.lit("-"), s["end"])), ",")
+    return rows.select("doc_id", "n.*", "p.blocked", told.alias("spans"), F.sha2("p.text", 256).alias("masked_sha256"))
 
 
 # Lines of an order as spans of a text: they overlap in every way.
