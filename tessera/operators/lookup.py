@@ -132,20 +132,18 @@ def method_of(refs: DataFrame, ref_id: str, methods: DataFrame) -> DataFrame:
     """The method each ref (class_name, signature) means, and by which of four ways: same signature, same but for white space,
     name and number of parameters, name alone; methods are (class_name, signature, ord, id)."""
 
-    def plain(x: str) -> Column:
-        return F.regexp_replace(x, r"\s+", "")
-
-    def name(x: str) -> Column:
-        return F.trim(F.regexp_extract(x, r"([^\s(.]+)\s*(?:\(|$)", 1))
-
-    def arity(x: str) -> Column:
-        inside = F.regexp_extract(x, r"\((.*)\)", 1)
-        return F.when(F.trim(inside) == "", 0).otherwise(F.size(split_top_level(inside)))
-
-    told = refs.select(ref_id, F.col("class_name").alias("__c"), F.col("signature").alias("__s"), name("signature").alias("__n"))
-    j = told.join(methods.withColumn("__m", name("signature")), (F.col("__c") == F.col("class_name")) & (F.col("__n") == F.col("__m")))
-    tier = F.when(F.col("__s") == F.col("signature"), 1).when(plain("__s") == plain("signature"), 2).when(arity("__s") == arity("signature"), 3).otherwise(4)
-    return best_of(j.withColumn("tier", tier), ref_id, [F.col("tier"), F.col("ord")]).select(ref_id, "id", "tier")
+    def keyed(rows: DataFrame) -> DataFrame:
+        """The rows with the four keys, each told once a row."""
+        rows = rows.withColumn("__n", F.trim(F.regexp_extract("signature", r"([^\s(.]+)\s*(?:\(|$)", 1))).withColumn("__i", F.regexp_extract("signature", r"\((.*)\)", 1))
+        arity = F.when(F.trim("__i") == "", 0).otherwise(F.size(split_top_level("__i")))
+        known = F.col("class_name").isNotNull() & F.col("signature").isNotNull()
+        keys = [F.col("signature"), F.regexp_replace("signature", r"\s+", ""), F.concat_ws(" ", "__n", arity), F.col("__n")]
+        return rows.withColumns({f"key{k}": F.when(known, F.concat(F.length("class_name"), F.lit(":"), "class_name", x)) for k, x in enumerate(keys, 1)})
+
+    # Of methods that share a key the first counts, so that no join makes more rows than there are refs.
+    known = keyed(methods)
+    tiers = [(f"key{k}", known.groupBy(f"key{k}").agg(F.min_by("id", "ord").alias("id"))) for k in range(1, 5)]
+    return tiered(keyed(refs.select(ref_id, "class_name", "signature")), ref_id, tiers, "id").where("tier > 0")
 
 
 def class_of_call(calls: DataFrame, call_id: str, classes: DataFrame) -> DataFrame:
