@@ -1,11 +1,11 @@
 """Queries that write files of every kind that is read, read them back, and say the same in SQL on the tables they were made from.
 
-Files go to the shared folder. Small ones with names that matter are written by the driver through Hadoop's file system.
+Files go to the shared folder; executors write them, hundreds of each kind.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import rules
@@ -15,16 +15,24 @@ from tessera.sources import readers, writers
 from tessera.sources.shared import scratch
 
 
-def put(t, files: dict[str, str]) -> str:
-    """Write small files by name to a new folder."""
-    spark, base = t._spark, scratch(t._spark, "files")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name, body in files.items():
-        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray(body.encode()))
-        out.close()
-    return base
+#: A row a part, from which files are made by the executors, about two hundred of each kind: number, name, package, what is said, and which file.
+BASE = "(SELECT p_partkey AS k, 'N' || CAST(p_partkey AS STRING) AS n, 'r' || CAST(p_size AS STRING) AS r, p_name AS said, p_partkey % 199 AS f FROM part)"
+
+
+def parts(t) -> DataFrame:
+    return t.part.selectExpr("p_partkey AS k", "'N' || CAST(p_partkey AS STRING) AS n", "'r' || CAST(p_size AS STRING) AS r", "p_name AS said", "p_partkey % 199 AS f")
+
+
+def bodies(rows: DataFrame, name: str, piece: str, head: str = "''", foot: str = "''") -> DataFrame:
+    """Names and bodies of files of many pieces, in the order of their numbers, with what stands before and after them; all are SQL expressions, ``head`` and ``foot`` over ``f``."""
+    made = rows.groupBy(F.expr(name).alias("name"), "f").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", F.expr(piece).alias("piece")))), lambda x: x["piece"]), "").alias("all"))
+    return made.select("name", F.concat(F.expr(head), "all", F.expr(foot)).alias("body"))
+
+
+def filed(t, rows: DataFrame, *told: str) -> str:
+    folder = scratch(t._spark, "files")
+    writers.named_files(bodies(rows, *told), folder)
+    return folder
 
 
 def written(t, rows: DataFrame, kind: str = "json") -> str:
@@ -33,48 +41,46 @@ def written(t, rows: DataFrame, kind: str = "json") -> str:
     return path
 
 
-def nations(t) -> list[tuple]:
-    return [tuple(r) for r in t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name").orderBy("n_nationkey").collect()]
-
-
 JOINED = "FROM nation JOIN region ON n_regionkey = r_regionkey"
 
 
-@query(f"SELECT CAST(row_number() OVER (ORDER BY r_name, n_name) AS INT) AS ord, r_name || '/' || n_name || '.java' AS path, 'class ' || n_name || ' {{}}' AS text, NULL::VARCHAR AS error {JOINED} WHERE r_name <> 'ASIA' AND n_nationkey % 4 <> 0 UNION ALL SELECT NULL, r_name || '/' || n_name || '.java', NULL, 'not UTF-8' {JOINED} WHERE FALSE")
+@query(
+    f"""WITH b AS (SELECT r || '/' || n || '.java' AS path, k, said FROM {BASE} WHERE k % 4 <> 0 AND r <> 'r7'), o AS (SELECT path, row_number() OVER (ORDER BY path) AS ord FROM b)
+    SELECT CAST(ord AS INT) AS ord, path, CASE WHEN k % 11 <> 0 THEN 'class ' || said || ' {{}}' END AS text, CASE WHEN k % 11 = 0 THEN 'not UTF-8' END AS error FROM b JOIN o USING (path)"""
+)
 def source_files(t):
-    files = {f"{r}/{n}.java": f"class {n} {{}}" for _, n, r in nations(t)} | {"AFRICA/readme.txt": "no source"}
-    base = put(t, files)
-    return readers.sources(t._spark, base, exclude=("/ASIA/", *[f"/{n}.java" for k, n, _ in nations(t) if k % 4 == 0])).select("ord", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), "text", "error")
+    """A file a class; some are not UTF-8, some are no sources, some lie in folders that are left out."""
+    body = F.when(F.col("k") % 11 == 0, F.unhex(F.lit("FFFE00"))).otherwise(F.encode(F.concat(F.lit("class "), "said", F.lit(" {}")), "UTF-8"))
+    name = F.concat("r", F.lit("/"), F.when(F.col("k") % 4 == 0, F.concat(F.lit("skipped/"), "n")).otherwise(F.col("n")))
+    files = parts(t).select(F.concat(name, F.lit(".java")).alias("name"), body.alias("body")).unionByName(parts(t).where("k % 5 = 0").select(F.concat(name, F.lit(".txt")).alias("name"), F.encode(F.lit("no source"), "UTF-8").alias("body")))
+    base = scratch(t._spark, "files")
+    writers.named_files(files, base)
+    return readers.sources(t._spark, base, exclude=("/skipped/", "/r7/")).select("ord", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), "text", "error")
+
 
+def shard_files(t, rows: DataFrame, more: int = 0) -> str:
+    told = "lpad(CAST(f AS STRING), 3, '0')"
+    head = f"""'{{"project_id": "p' || {told} || '", "commit_hash": "c' || {told} || '", "errors": [{{"message": "e' || {told} || '"}}, {{"message": "' || CAST(f * 7 AS STRING) || '"}}], "classes": [null'"""
+    return filed(t, rows, f"'analysis_' || {told} || '.json'", f"""', {{"fqn": "com.' || r || '.' || n || '", "loc": ' || CAST(k + {more} AS STRING) || '}}'""", head, "']}'")
 
-@query(f"SELECT 'p0' AS project_id, 'c0' AS commit_hash, 'com.' || r_name || '.' || n_name AS fqn, CAST(n_nationkey AS BIGINT) AS loc {JOINED}")
+
+@query(f"SELECT 'p' || lpad(CAST(m AS VARCHAR), 3, '0') AS project_id, 'c' || lpad(CAST(m AS VARCHAR), 3, '0') AS commit_hash, 'com.' || r || '.' || n AS fqn, CAST(k AS BIGINT) AS loc FROM {BASE}, (SELECT min(f) AS m FROM {BASE})")
 def analysis_shards(t):
-    classes = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = classes.groupBy("n_regionkey").agg(F.collect_list(F.struct(F.concat_ws(".", F.lit("com"), "r_name", "n_name").alias("fqn"), F.col("n_nationkey").cast("long").alias("loc"))).alias("classes")).collect()
-    files = {}
-    for r in rows:
-        body = t._spark.createDataFrame([r], "n_regionkey int, classes array<struct<fqn:string,loc:bigint>>").select(F.to_json(F.struct(F.lit(f"p{r['n_regionkey']}").alias("project_id"), F.lit(f"c{r['n_regionkey']}").alias("commit_hash"), F.array(F.struct(F.lit(f"e{r['n_regionkey']}").alias("message"))).alias("errors"), "classes"))).first()[0]
-        files[f"analysis_{r['n_regionkey']}.json"] = body
-    return readers.analysis(t._spark, put(t, files)).select("project_id", "commit_hash", "fqn", "loc")
+    return readers.analysis(t._spark, shard_files(t, parts(t))).where("fqn IS NOT NULL").select("project_id", "commit_hash", "fqn", "loc")
 
 
-@query(f"SELECT 'com.' || r_name || '.' || n_name AS fqn, CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 100 ELSE n_nationkey END AS BIGINT) AS loc, n_nationkey % 2 = 0 AS second {JOINED}")
+@query(f"SELECT 'com.' || r || '.' || n AS fqn, CAST(CASE WHEN k % 2 = 0 THEN k + 100 ELSE k END AS BIGINT) AS loc, k % 2 = 0 AS second FROM {BASE} WHERE k % 2 = 0 OR k % 3 = 0")
 def two_engines(t):
     """What a second engine found, in shards of its own, is merged into what the first one found."""
-    def shard(rows: list[tuple], more: int) -> dict[str, str]:
-        told = ", ".join(f'{{"fqn": "com.{r}.{n}", "loc": {k + more}}}' for k, n, r in rows)
-        return {"analysis.json": f'{{"project_id": "p", "commit_hash": "c", "classes": [{told}]}}'}
-
-    rows = nations(t)
-    first, second = (readers.analysis(t._spark, put(t, shard(x, more))).select("fqn", "loc", F.lit(more > 0).alias("second")) for x, more in ((rows, 0), ([r for r in rows if r[0] % 2 == 0], 100)))
+    first = readers.analysis(t._spark, shard_files(t, parts(t).where("k % 3 = 0"))).where("fqn IS NOT NULL").select("fqn", "loc", F.lit(False).alias("second"))
+    second = readers.analysis(t._spark, shard_files(t, parts(t).where("k % 2 = 0"), 100)).where("fqn IS NOT NULL").select("fqn", "loc", F.lit(True).alias("second"))
     return merge.full_merge(first, second, ["fqn"], {"loc": merge.prefer_second, "second": merge.either})
 
 
-@query("SELECT 'p0' AS project_id, 'e0' AS message")
+@query(f"SELECT 'p' || lpad(CAST(m AS VARCHAR), 3, '0') AS project_id, unnest(['e' || lpad(CAST(m AS VARCHAR), 3, '0'), CAST(m * 7 AS VARCHAR)]) AS message FROM (SELECT min(f) AS m FROM {BASE} WHERE r >= 'r3')")
 def analysis_errors(t):
     """Errors are those of the first shard alone."""
-    files = {f"analysis_{i}.json": f'{{"project_id": "p{i}", "commit_hash": "c{i}", "errors": [{{"message": "e{i}"}}], "classes": []}}' for i in range(3)}
-    return readers.analysis_errors(t._spark, put(t, files)).select("project_id", "message")
+    return readers.analysis_errors(t._spark, shard_files(t, parts(t).where("r >= 'r3'"))).select("project_id", "message")
 
 
 @query("SELECT CASE WHEN p_partkey % 5 = 0 THEN 'bad' WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 'both' WHEN p_partkey % 3 = 0 THEN 'result' ELSE 'task' END AS kind, count(*) AS n FROM part GROUP BY 1")
@@ -86,90 +92,117 @@ def task_lines(t):
     return read.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'N' || n_nationkey AS task_id, n_name AS method_name, n_regionkey > 2 AS selected, f AS format FROM nation, (VALUES ('json'), ('yaml')) AS x(f)")
+@query(f"SELECT n AS task_id, said AS method_name, length(said) > 10 AS selected, x.f AS format FROM {BASE}, (VALUES ('json'), ('yaml')) AS x(f)")
 def task_documents(t):
-    """The same tasks as one JSON document and as YAML."""
-    rows = nations(t)
-    regions = {r["n_nationkey"]: r["n_regionkey"] for r in t.nation.collect()}
-    as_json = "{\"tasks\": [" + ", ".join(f'{{"task_id": "N{k}", "method_name": "{n}", "selected": {str(regions[k] > 2).lower()}}}' for k, n, _ in rows) + "]}"
-    as_yaml = "# tasks\ntasks:\n" + "".join(f"  - task_id: N{k}\n    method_name: '{n}'  # name\n    selected: {str(regions[k] > 2).lower()}\n" for k, n, _ in rows)
-    base = put(t, {"tasks.json": as_json, "tasks.yaml": as_yaml})
+    """The same tasks in JSON documents and in YAML, many to a file."""
+    chosen, nl = "CASE WHEN length(said) > 10 THEN 'true' ELSE 'false' END", "chr(10)"
+    as_json = filed(t, parts(t).withColumn("first", F.col("k") == F.min("k").over(Window.partitionBy("f"))), "'tasks' || CAST(f AS STRING) || '.json'", f"""CASE WHEN first THEN '' ELSE ', ' END || '{{"task_id": "' || n || '", "method_name": "' || said || '", "selected": ' || {chosen} || '}}'""", """'{"tasks": ['""", "']}'")
+    as_yaml = filed(t, parts(t), "'tasks' || CAST(f AS STRING) || '.yaml'", f"'  - task_id: ' || n || {nl} || '    method_name: ' || chr(39) || said || chr(39) || '  # name' || {nl} || '    selected: ' || {chosen} || {nl}", f"'# tasks' || {nl} || 'tasks:' || {nl}")
     schema = "task_id string, method_name string, selected boolean"
-    both = [readers.task_file(t._spark, f"{base}/tasks.{x}", schema).select("*", F.lit(x).alias("format")) for x in ("json", "yaml")]
+    both = [readers.task_file(t._spark, f"{base}/*.{x}", schema).select("*", F.lit(x).alias("format")) for x, base in (("json", as_json), ("yaml", as_yaml))]
     return both[0].unionByName(both[1])
 
 
-def coverage_files(t) -> str:
-    counter = '<counter type="{}" missed="{}" covered="{}"/>'.format
-    classes = "".join(f'<package name="com/{r}"><class name="com/{r}/{n}"><method name="go" desc="()V" line="{k}">{counter("LINE", k % 3, k)}</method><method name="&lt;init&gt;" desc="(I)V">{counter("LINE", 0, 1)}</method>{counter("LINE", k % 3, k + 1)}{counter("BRANCH", k, 0)}</class></package>' for k, n, r in nations(t))
-    return put(t, {"jacoco.xml": f'<?xml version="1.0"?><report name="x">{classes}</report>'})
+def coverage_files(t, rows: DataFrame | None = None) -> str:
+    def counter(kind: str, missed: str, covered: str) -> str:
+        return f"""'<counter type="{kind}" missed="' || CAST({missed} AS STRING) || '" covered="' || CAST({covered} AS STRING) || '"/>'"""
+
+    methods = f"""'<method name="go" desc="(I)V" line="' || CAST(k AS STRING) || '">' || {counter("LINE", "k % 3", "k % 50")} || '</method><method name="&lt;init&gt;" desc="()V">' || {counter("LINE", "0", "1")} || '</method>'"""
+    piece = f"""'<package name="com/' || r || '"><class name="com/' || r || '/' || n || '">' || {methods} || {counter("LINE", "k % 3", "k + 1")} || {counter("BRANCH", "k", "f")} || '</class></package>'"""
+    return filed(t, parts(t) if rows is None else rows, "'m' || CAST(f AS STRING) || '/jacoco.xml'", piece, """'<?xml version="1.0"?><report name="x">'""", "'</report>'") + "/m*"
 
 
-@query("SELECT type, CAST(sum(missed) AS BIGINT) AS missed, CAST(sum(covered) AS BIGINT) AS covered, sum(covered) / nullif(sum(missed) + sum(covered), 0) AS rate FROM (SELECT 'LINE' AS type, n_nationkey % 3 AS missed, n_nationkey + 1 AS covered FROM nation UNION ALL SELECT 'BRANCH', n_nationkey, 0 FROM nation) GROUP BY 1")
+COVERAGE = f"SELECT type, CAST(sum(missed) AS BIGINT) AS missed, CAST(sum(covered) AS BIGINT) AS covered, sum(covered) / nullif(sum(missed) + sum(covered), 0) AS rate FROM (SELECT 'LINE' AS type, k % 3 AS missed, k + 1 AS covered FROM {BASE} UNION ALL SELECT 'BRANCH', k, f FROM {BASE}) GROUP BY 1"
+
+
+@query(COVERAGE)
 def coverage_totals(t):
     return readers.coverage_totals(readers.coverage(t._spark, coverage_files(t)))
 
 
-@query(f"SELECT 'com.' || r_name || '.' || n_name AS class, m AS method, CAST(CASE WHEN m = 'go' THEN n_nationkey % 3 ELSE 0 END AS BIGINT) AS missed, CAST(CASE WHEN m = 'go' THEN n_nationkey ELSE 1 END AS BIGINT) AS covered, CASE WHEN m = 'go' THEN n_nationkey / nullif(n_nationkey % 3 + n_nationkey, 0) ELSE 1.0 END AS rate {JOINED}, (VALUES ('go'), ('<init>')) AS x(m)")
+@query(f"SELECT 'com.' || r || '.' || n AS class, m AS method, CAST(CASE WHEN m = 'go' THEN k % 3 ELSE 0 END AS BIGINT) AS missed, CAST(CASE WHEN m = 'go' THEN k % 50 ELSE 1 END AS BIGINT) AS covered, CASE WHEN m = 'go' THEN (k % 50) / nullif(k % 3 + k % 50, 0) ELSE 1.0 END AS rate FROM {BASE}, (VALUES ('go'), ('<init>')) AS x(m)")
 def coverage_of_methods(t):
     return readers.method_coverage(t._spark, coverage_files(t)).where("type = 'LINE'").select("class", "method", "missed", "covered", "rate")
 
 
-@query("SELECT a.type, CAST(sum(missed) AS BIGINT) AS missed, CAST(sum(covered) AS BIGINT) AS covered, sum(covered) / nullif(sum(missed) + sum(covered), 0) AS rate FROM (SELECT 'LINE' AS type, 2 * (n_nationkey % 3) AS missed, 2 * (n_nationkey + 1) AS covered FROM nation UNION ALL SELECT 'BRANCH', 2 * n_nationkey, 0 FROM nation) a GROUP BY 1")
+@query(COVERAGE)
 def coverage_merged(t):
-    """Summaries of parts add up to the summary of all."""
-    rows = readers.coverage(t._spark, coverage_files(t))
-    return readers.coverage_totals(readers.coverage_totals(rows).unionByName(readers.coverage_totals(rows)))
-
+    """Summaries of two batches are stored, and merged without their reports: they come to the summary of all."""
+    stored = scratch(t._spark, "summaries")
+    for half in (0, 1):
+        readers.coverage_totals(readers.coverage(t._spark, coverage_files(t, parts(t).where(f"k % 2 = {half}")))).write.mode("append").parquet(stored)
+    return readers.coverage_totals(t._spark.read.parquet(stored))
 
-def junit(t) -> dict[str, str]:
-    def case(k: int, n: str) -> str:
-        inner = {0: '<failure message="no" type="E">x</failure>', 1: '<error message="bad"/>', 2: "<skipped/>"}.get(k % 6, "")
-        return f'<testcase classname="c.{n}" name="t{k}" time="0.5">{inner}</testcase>'
 
-    rows = nations(t)
-    suites = "".join(f'<testsuite name="{n}" tests="9" failures="9" errors="0" skipped="0"><testsuite name="in{n}">{case(k, n)}</testsuite></testsuite>' for k, n, _ in rows)
-    bare = "".join(f'<testsuite name="b{n}" tests="{k + 3}" failures="1" errors="{k % 2}" skipped="1"/>' for k, n, _ in rows)
-    return {"TEST-a.xml": f"<testsuites>{suites}</testsuites>", "TEST-b.xml": f"<testsuites>{bare}</testsuites>"}
+def junit(t) -> str:
+    """Reports with cases in nested suites, whose own figures are wrong, and reports with nothing but figures."""
+    inner = """CASE k % 6 WHEN 0 THEN '<failure message="no ' || said || '" type="E">x</failure>' WHEN 1 THEN '<error message="bad"/>' WHEN 2 THEN '<skipped/>' ELSE '' END"""
+    suite = f"""'<testsuite name="' || n || '" tests="9" failures="9" errors="0" skipped="0"><testsuite name="in' || n || '"><testcase classname="c.' || n || '" name="t' || CAST(k AS STRING) || '" time="0.5">' || {inner} || '</testcase></testsuite></testsuite>'"""
+    bare = """'<testsuite name="b' || n || '" tests="' || CAST(k + 3 AS STRING) || '" failures="1" errors="' || CAST(k % 2 AS STRING) || '" skipped="1"/>'"""
+    return filed(t, parts(t), "'TEST-' || CAST(f AS STRING) || '.xml'", f"CASE WHEN f % 2 = 0 THEN {suite} ELSE {bare} END", "'<testsuites>'", "'</testsuites>'")
 
 
-@query("SELECT 'c.' || n_name AS class, 't' || n_nationkey AS name, CASE n_nationkey % 6 WHEN 0 THEN 'failure' WHEN 1 THEN 'error' WHEN 2 THEN 'skipped' ELSE 'passed' END AS status, CASE n_nationkey % 6 WHEN 0 THEN 'no' WHEN 1 THEN 'bad' END AS message, 0.5::DOUBLE AS seconds FROM nation")
+@query(f"SELECT 'c.' || n AS class, 't' || k AS name, CASE k % 6 WHEN 0 THEN 'failure' WHEN 1 THEN 'error' WHEN 2 THEN 'skipped' ELSE 'passed' END AS status, CASE k % 6 WHEN 0 THEN 'no ' || said WHEN 1 THEN 'bad' END AS message, 0.5::DOUBLE AS seconds FROM {BASE} WHERE f % 2 = 0")
 def test_cases(t):
-    return readers.test_cases(t._spark, put(t, junit(t)))
+    return readers.test_cases(t._spark, junit(t))
 
 
 @query(
-    """SELECT 'TEST-a.xml' AS file, count(*) AS tests, count(*) FILTER (n_nationkey % 6 = 0) AS failures, count(*) FILTER (n_nationkey % 6 = 1) AS errors, count(*) FILTER (n_nationkey % 6 = 2) AS skipped, count(*) FILTER (n_nationkey % 6 > 2) AS passed FROM nation
-    UNION ALL SELECT 'TEST-b.xml', CAST(sum(n_nationkey + 3) AS BIGINT), count(*), CAST(sum(n_nationkey % 2) AS BIGINT), count(*), CAST(sum(n_nationkey + 3 - 2 - n_nationkey % 2) AS BIGINT) FROM nation"""
+    f"""SELECT 'TEST-' || f || '.xml' AS file, CAST(sum(CASE WHEN f % 2 = 0 THEN 1 ELSE k + 3 END) AS BIGINT) AS tests, CAST(sum(CASE WHEN f % 2 = 1 OR k % 6 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS failures,
+    CAST(sum(CASE WHEN f % 2 = 1 THEN k % 2 WHEN k % 6 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS errors, CAST(sum(CASE WHEN f % 2 = 1 OR k % 6 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS skipped,
+    CAST(sum(CASE WHEN f % 2 = 1 THEN k + 1 - k % 2 WHEN k % 6 > 2 THEN 1 ELSE 0 END) AS BIGINT) AS passed FROM {BASE} GROUP BY f"""
 )
 def test_totals(t):
     """Cases are counted; a report without cases is told by its suites' own figures."""
-    found = readers.test_summary(t._spark, put(t, junit(t)))
+    found = readers.test_summary(t._spark, junit(t))
     return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "tests", "failures", "errors", "skipped", "passed")
 
 
 @query(
-    """SELECT 'spotbugs' AS tool, CASE n_nationkey % 4 WHEN 0 THEN 'MEDIUM' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, 'R' || n_nationkey AS rule_id, 'said ' || n_name AS message, n_name || '.java' AS file_path, CAST(n_nationkey AS BIGINT) AS line_number, 'c.' || n_name AS class_name FROM nation
-    UNION ALL SELECT 'pmd', CASE n_nationkey % 4 WHEN 0 THEN 'MEDIUM' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END, 'R' || n_nationkey, 'said ' || n_name, n_name || '.java', CAST(n_nationkey AS BIGINT), n_name FROM nation
-    UNION ALL SELECT 'checkstyle', CASE n_nationkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END, 'R' || n_nationkey, 'said ' || n_name, n_name || '.java', CAST(n_nationkey AS BIGINT), NULL FROM nation"""
+    f"""SELECT 'spotbugs' AS tool, CASE k % 4 WHEN 0 THEN 'MEDIUM' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, 'R' || r AS rule_id, 'said ' || said AS message, n || '.java' AS file_path, CAST(k AS BIGINT) AS line_number, 'c.' || n AS class_name FROM {BASE}
+    UNION ALL SELECT 'pmd', CASE k % 4 WHEN 0 THEN 'MEDIUM' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END, 'R' || r, 'said ' || said, n || '.java', CAST(k AS BIGINT), n FROM {BASE}
+    UNION ALL SELECT 'checkstyle', CASE k % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END, 'R' || r, 'said ' || said, n || '.java', CAST(k AS BIGINT), NULL FROM {BASE}"""
 )
 def findings(t):
-    rows = nations(t)
-    bugs = "".join(f'<BugInstance type="R{k}" priority="{k % 4}"><Class classname="c.{n}"/><LongMessage>said {n}</LongMessage><SourceLine sourcepath="{n}.java" start="{k}"/></BugInstance>' for k, n, _ in rows)
-    pmd = "".join(f'<file name="{n}.java"><violation beginline="{k}" rule="R{k}" priority="{k % 4}" class="{n}">\nsaid {n}\n</violation></file>' for k, n, _ in rows)
-    style = "".join(f'<file name="{n}.java"><error line="{k}" severity="{["error", "warning", "ignore"][k % 3]}" message="said {n}" source="R{k}"/></file>' for k, n, _ in rows)
-    base = put(t, {"s/a.xml": f"<BugCollection>{bugs}</BugCollection>", "p/a.xml": f"<pmd>{pmd}</pmd>", "c/a.xml": f"<checkstyle>{style}</checkstyle>"})
-    out = readers.findings(t._spark, f"{base}/s", "spotbugs")
-    return out.unionByName(readers.findings(t._spark, f"{base}/p", "pmd")).unionByName(readers.findings(t._spark, f"{base}/c", "checkstyle"))
+    at, name = "CAST(k AS STRING)", "'f' || CAST(f AS STRING) || '.xml'"
+    bugs = f"""'<BugInstance type="R' || r || '" priority="' || CAST(k % 4 AS STRING) || '"><Class classname="c.' || n || '"/><LongMessage>said ' || said || '</LongMessage><SourceLine sourcepath="' || n || '.java" start="' || {at} || '"/></BugInstance>'"""
+    pmd = f"""'<file name="' || n || '.java"><violation beginline="' || {at} || '" rule="R' || r || '" priority="' || CAST(k % 4 AS STRING) || '" class="' || n || '">' || chr(10) || 'said ' || said || chr(10) || '</violation></file>'"""
+    style = f"""'<file name="' || n || '.java"><error line="' || {at} || '" severity="' || CASE k % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'ignore' END || '" message="said ' || said || '" source="R' || r || '"/></file>'"""
+    out = None
+    for tool, piece, root in (("spotbugs", bugs, "BugCollection"), ("pmd", pmd, "pmd"), ("checkstyle", style, "checkstyle")):
+        found = readers.findings(t._spark, filed(t, parts(t), name, piece, f"'<{root}>'", f"'</{root}>'"), tool)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-@query("SELECT 'nation.' || n_nationkey AS key, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'yaml ' || n_name END AS value FROM nation UNION ALL SELECT 'spring.list[' || i || ']', 'v' || i FROM range(3) r(i)")
+@query(f"SELECT r || '.' || k AS key, CASE WHEN k % 2 = 0 THEN said ELSE 'yaml ' || said END AS value FROM {BASE} UNION ALL SELECT 'spring.list[' || i || ']', 'v' || i FROM range(3) r(i)")
 def configuration(t):
     """Keys of .properties and YAML files; the first by path and line wins."""
-    rows = nations(t)
-    props = "# comment\n! too\n" + "".join(f"nation.{k} = {n}\n" for k, n, _ in rows if k % 2 == 0) + "".join(f"nation.{k}: again\n" for k, _, _ in rows if k % 2 == 0)
-    yaml = "nation:\n" + "".join(f'  {k}: "yaml {n}"\n' for k, n, _ in rows) + "spring:\n  list:\n" + "".join(f"    - v{i}\n" for i in range(3))
-    return readers.configuration(t._spark, put(t, {"a.properties": props, "b.yml": yaml}))
+    number, nl = "lpad(CAST(f AS STRING), 3, '0')", "chr(10)"
+    # Even numbers stand in the first files and once more in later ones, all of them in YAML files after these.
+    even = parts(t).where("k % 2 = 0")
+    made = [
+        bodies(even, f"'a' || {number} || '.properties'", f"r || '.' || CAST(k AS STRING) || ' = ' || said || {nl}", f"'# comment' || {nl} || '! too' || {nl}"),
+        bodies(even, f"'b' || {number} || '.properties'", f"r || '.' || CAST(k AS STRING) || ': again' || {nl}"),
+        bodies(parts(t), f"'c/' || {number} || '.yml'", f"r || ':' || {nl} || '  ' || CAST(k AS STRING) || ': \"yaml ' || said || '\"' || {nl}", "''", f"'spring:' || {nl} || '  list:' || {nl} || '    - v0' || {nl} || '    - v1' || {nl} || '    - v2' || {nl}"),
+    ]
+    base = scratch(t._spark, "files")
+    writers.named_files(made[0].unionByName(made[1]).unionByName(made[2]), base)
+    return readers.configuration(t._spark, base)
+
+
+@query(
+    f"""SELECT 'com/' || r || '/' || n || '.json' AS file, 'com.' || r || '.' || n AS fqn, CAST(k AS BIGINT) AS loc, 'p' || k % 5 AS project, array_to_string(e, ',') AS errors FROM {BASE}
+    LEFT JOIN (SELECT 'p' || s_nationkey % 5 AS p, list_sort(list(s_name)) AS e FROM supplier WHERE s_nationkey % 5 < 4 GROUP BY 1) ON p = 'p' || k % 5"""
+)
+def class_files(t):
+    """A file a class, with the errors of its project in each; read back, with its place."""
+    classes = parts(t).select(F.concat_ws(".", F.lit("com"), "r", "n").alias("fqn"), F.col("k").cast("long").alias("loc"), F.concat(F.lit("p"), F.col("k") % 5).alias("project"))
+    errors = t.supplier.where("s_nationkey % 5 < 4").select(F.concat(F.lit("p"), F.col("s_nationkey") % 5).alias("project"), F.col("s_name").alias("message"))
+    folder = scratch(t._spark, "classes")
+    writers.class_files(classes, folder, "fqn", errors, "project")
+    read = t._spark.read.option("recursiveFileLookup", True).schema("fqn string, loc long, project string, errors array<string>").json(folder)
+    return read.select(F.regexp_extract(F.input_file_name(), r"(com/.*)$", 1).alias("file"), "fqn", "loc", "project", F.when(F.col("errors").isNotNull(), F.array_join("errors", ",")).alias("errors"))
 
 
 @query("SELECT 'f' || p_size AS path, count(DISTINCT p_brand) AS commits FROM part GROUP BY 1")

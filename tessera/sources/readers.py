@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import durable
+
 # Severities of the tools, made one.
 SEVERITIES = {"1": "HIGH", "2": "MEDIUM", "3": "LOW", "4": "LOW", "5": "LOW", "error": "HIGH", "warning": "MEDIUM", "info": "LOW", "ignore": "LOW"}
 
@@ -38,7 +40,7 @@ def tasks(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def task_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tasks of a file of any of the formats, told by its ending: lines of JSON, one JSON document or YAML with a list ``tasks``."""
+    """Tasks of a file, or of the files of a pattern, of any of the formats, told by its ending: lines of JSON, one JSON document or YAML with a list ``tasks``."""
     if path.endswith(".jsonl"):
         return good_tasks(tasks(spark, path, schema)).drop("kind")
     if path.endswith(".json"):
@@ -47,13 +49,32 @@ def task_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
         raise ValueError(f"no format for {path}")
     lines = yaml_lines(spark, path)
     item = F.col("key").rlike(r"^tasks\[\d+\]\.[^.]+$")
-    cells = lines.where(item).select(F.regexp_extract("key", r"\[(\d+)\]", 1).cast("int").alias("at"), F.regexp_extract("key", r"([^.]+)$", 1).alias("name"), "value")
+    cells = lines.where(item).select("path", F.regexp_extract("key", r"\[(\d+)\]", 1).cast("int").alias("at"), F.regexp_extract("key", r"([^.]+)$", 1).alias("name"), "value")
     names = [c.split()[0] for c in schema.split(", ")]
-    wide = cells.groupBy("at").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
+    wide = cells.groupBy("path", "at").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
     return wide.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in schema.split(", ")])
 
 
-def yaml_lines(spark: SparkSession, path: str) -> DataFrame:
+def _texts(spark: SparkSession, path: str, include: str | None) -> DataFrame:
+    """Path and whole text of files, or of those of a folder, however deep, whose names fit a pattern."""
+    reader = spark.read.format("text").option("wholetext", True)
+    if include:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", include)
+    return reader.load(path).select(F.input_file_name().alias("path"), "value")
+
+
+def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The rows with their place from 1 in that order: places within ranges, and how many rows the ranges before hold. The driver is not asked, and no task gets all rows."""
+    order = [F.col(f"`{c}`") for c in by]
+    kept = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("__id", F.monotonically_increasing_id())
+    kept = kept.withColumn("__part", F.shiftright("__id", 33))
+    sizes = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row a partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("__before") + F.col("__id") - F.shiftleft("__part", 33) + 1
+    return kept.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part").withColumn(name, place.cast("int")).drop("__id", "__part", "__before")
+
+
+def yaml_lines(spark: SparkSession, path: str, include: str | None = None) -> DataFrame:
     """Leaves of YAML files: path, line, key (names joined by dots, places in lists in brackets) and value.
 
     The plain part of YAML is read: maps and lists by indentation, scalars with or without quotes, comments. A file is a row and is gone through once.
@@ -65,7 +86,7 @@ def yaml_lines(spark: SparkSession, path: str) -> DataFrame:
             found = [(p, *leaf) for p, text in zip(batch["path"], batch["value"]) for leaf in _leaves(text)]
             yield pd.DataFrame(found, columns=["path", "line", "key", "value"])
 
-    return spark.read.format("text").option("wholetext", True).load(path).select(F.input_file_name().alias("path"), "value").mapInPandas(read, "path string, line int, key string, value string")
+    return _texts(spark, path, include).mapInPandas(read, "path string, line int, key string, value string")
 
 
 def _leaves(text: str) -> list[tuple[int, str, str]]:
@@ -107,16 +128,7 @@ def _scalar(x: str) -> str:
 
 def configuration(spark: SparkSession, path: str) -> DataFrame:
     """Keys and values of the .properties and YAML files of a folder; the first by path and line wins."""
-    def of(*endings: str) -> list[str]:
-        return [f for f in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").where(" or ".join(f"endswith(path, '{e}')" for e in endings)).toPandas()["path"]]
-
-    props, yaml = of(".properties"), of(".yml", ".yaml")
-    parts = [f(spark, x) for f, x in ((_property_lines, props), (yaml_lines, yaml)) if x]
-    if not parts:
-        return spark.createDataFrame([], "key string, value string")
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows = _property_lines(spark, path, "*.properties").unionByName(yaml_lines(spark, path, "*.{yml,yaml}"))
     return rows.groupBy("key").agg(F.min_by("value", F.struct("path", "line")).alias("value"))
 
 
@@ -187,8 +199,8 @@ def findings(spark: SparkSession, path: str, tool: str) -> DataFrame:
     return rows.select(F.lit(tool).alias("tool"), F.coalesce(F.try_element_at(known, F.lower("s")), F.lit("MEDIUM")).alias("severity"), "rule_id", "message", "file_path", "line_number", "class_name")
 
 
-def _property_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    rows = spark.read.format("text").option("wholetext", True).load(path).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+def _property_lines(spark: SparkSession, path: str, include: str | None = None) -> DataFrame:
+    rows = _texts(spark, path, include).select("path", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     return rows.where(F.col("text").rlike(r"^\s*[^#!\s].*[=:]")).select("path", "line", F.trim(F.regexp_extract("text", r"^\s*([^=:\s]+)\s*[=:]", 1)).alias("key"), F.trim(F.regexp_extract("text", r"^[^=:]*[=:](.*)$", 1)).alias("value"))
 
 
@@ -206,7 +218,7 @@ def sources(spark: SparkSession, path: str, include: str = "*.java", exclude: tu
     for x in exclude:
         rows = rows.where(~F.col("path").contains(x))
     text = F.expr("try_validate_utf8(cast(content as string))")
-    places = rows.select("path", F.row_number().over(Window.orderBy("path")).alias("ord"))
+    places = numbered(rows.select("path"), ["path"], "ord")
     return rows.select("path", text.alias("text"), F.when(text.isNull(), "not UTF-8").alias("error")).join(places, "path").select("ord", "path", "text", "error")
 
 
@@ -232,4 +244,4 @@ def file_list(spark: SparkSession, path: str) -> DataFrame:
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of files in order, with their place from 1: files by path, lines as they stand."""
     rows = spark.read.text(path).select(F.input_file_name().alias("__path"), F.monotonically_increasing_id().alias("__at"), F.col("value").alias("line"))
-    return rows.select(F.row_number().over(Window.orderBy("__path", "__at")).alias("place"), "line")
+    return numbered(rows, ["__path", "__at"], "place").select("place", "line")

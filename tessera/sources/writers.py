@@ -2,12 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.rules import token_estimate
 
 
+def named_files(rows: DataFrame, folder: str) -> DataFrame:
+    """A file for each row (``name``, below the folder; ``body``, text or bytes), and the manifest of them: ``name``, ``bytes``, ``sha256``.
+
+    Tasks write below ``_temporary``, in a place of their attempt's; what the job's committed attempts wrote is then moved to its name, and the manifest, which Spark
+    commits as a table, says that all are there. A job that fails leaves no file under a name, and attempts that were lost or repeated leave none either. Names must differ.
+    The folder is a URI that Arrow's file systems open: ``file://`` (a folder that all machines share), ``hdfs://``, ``s3://``, ``gs://``.
+    """
+    spark, folder = rows.sparkSession, folder.rstrip("/")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+        from hashlib import sha256
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        base = f"{base}/_temporary/{uuid.uuid4().hex}"
+        for batch in batches:
+            told = []
+            for name, body in zip(batch.column("name").to_pylist(), batch.column("body").to_pylist()):
+                if not name or name.startswith(("/", "_", ".")) or ".." in name.split("/"):
+                    raise ValueError(f"no name for a file: {name!r}")
+                raw = body.encode() if isinstance(body, str) else body or b""
+                store.create_dir(f"{base}/{name}".rpartition("/")[0])
+                with store.open_output_stream(f"{base}/{name}") as out:
+                    out.write(raw)
+                told.append((name, f"{base}/{name}", len(raw), sha256(raw).hexdigest()))
+            if told:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*told)], names=["name", "at", "bytes", "sha256"])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, at in zip(batch.column("name").to_pylist(), batch.column("at").to_pylist()):
+                store.create_dir(f"{base}/{name}".rpartition("/")[0])
+                if store.get_file_info(at).type != fs.FileType.NotFound:  # else an earlier attempt has moved it
+                    store.move(at, f"{base}/{name}")
+            yield batch.select(["name", "bytes", "sha256"])
+
+    try:
+        rows.select("name", "body").mapInArrow(write, "name string, at string, bytes long, sha256 string").write.parquet(f"{folder}/_written")
+        made = spark.read.parquet(f"{folder}/_written")
+        twice = made.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+        if twice:
+            raise ValueError(f"{twice['n']} files have the name {twice['name']!r}")
+        made.mapInArrow(move, "name string, bytes long, sha256 string").write.parquet(f"{folder}/_manifest")
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for left in ("_temporary", "_written"):
+            at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{left}")
+            at.getFileSystem(conf).delete(at, True)
+    return spark.read.parquet(f"{folder}/_manifest")
+
+
+def class_files(classes: DataFrame, folder: str, fqn: str = "fqn", errors: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """A JSON file for each class, at its name with slashes for dots; each carries the ``errors`` of its project (``by``). Gives the manifest."""
+    rows = classes
+    if errors is not None:
+        rest = [c for c in errors.columns if c != by]
+        rows = rows.join(errors.groupBy(by).agg(F.sort_array(F.collect_list(rest[0])).alias("errors")), by, "left")
+    return named_files(rows.select(F.concat(F.replace(F.col(fqn), F.lit("."), F.lit("/")), F.lit(".json")).alias("name"), F.to_json(F.struct(*rows.columns)).alias("body")), folder)
+
+
 def shards(classes: DataFrame, path: str, package: str = "package") -> None:
     """JSON, a folder for each package."""
     classes.write.mode("overwrite").partitionBy(package).json(path)

@@ -340,3 +340,21 @@ def test_advice_on_parameters(spark):
         ("penalty_unresolved_each", 0.2, "unresolved"), ("penalty_external_each", 0.3, "external_not_found"), ("penalty_low_confidence", 0.5, "spi_low_conf"), ("penalty_low_confidence", 0.5, "x"), ("penalty_low_confidence", 0.5, "too_weak"),
     ]
     assert one(spark, code.is_sensitive("n", "a"), n="logoutAll", a=["x"]) and one(spark, code.is_sensitive("n", "a"), n="run", a=['@x.PreAuthorize("hasRole(\'a.b\')")'])
+
+
+def test_named_files_all_or_none(spark, tmp_path):
+    import os
+
+    def files(folder):
+        return sorted(os.path.relpath(os.path.join(d, f), folder) for d, _, names in os.walk(folder) for f in names if "/_" not in os.path.join(d, f)[len(str(folder)) :] and not f.startswith((".", "_")))
+
+    rows = spark.range(50).selectExpr("concat('d', id % 3, '/n', id, '.txt') AS name", "concat('é', id) AS body").repartition(4)
+    told = writers.named_files(rows, f"file://{tmp_path}/a").collect()
+    assert files(tmp_path / "a") == sorted(f"d{i % 3}/n{i}.txt" for i in range(50)) and {r["name"] for r in told} == set(files(tmp_path / "a"))
+    assert (tmp_path / "a/d1/n1.txt").read_bytes() == "é1".encode() and {r["sha256"] for r in told if r["name"] == "d1/n1.txt"} == {hashlib.sha256("é1".encode()).hexdigest()}
+    for bad in (spark.createDataFrame([("../x", "out")], "name string, body string"), spark.createDataFrame([("d1/n1.txt", "again")], "name string, body string")):
+        with pytest.raises(Exception, match="no name|have the name"):
+            writers.named_files(rows.unionByName(bad), f"file://{tmp_path}/b{bad.first()['body']}")
+    assert files(tmp_path / "bout") == files(tmp_path / "bagain") == []
+    assert writers.named_files(rows.where("false"), f"file://{tmp_path}/c").count() == 0
+    assert sorted((r["id"], r["at"]) for r in readers.numbered(spark.range(1000).repartition(7), ["id"], "at").collect()) == [(i, i + 1) for i in range(1000)]
