@@ -77,7 +77,8 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie.trie(trie.rebuilt(trie.turns(table(spark, sf_dir, "conversations"))))
+    found = trie.trie(trie.rebuilt(trie.turns(table(spark, sf_dir, "conversations"))))
+    return found.drop("preorder", "subtree_end")
 
 
 def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,5 +124,38 @@ def _license_sql() -> str:
     SELECT doc_id, license_id, unit, line FROM c JOIN d ON sha256(c) = digest WHERE c <> ''"""
 
 
+#: The CRC-32 of a number's digits, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295, [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST({0} AS VARCHAR), '')]), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+#: Levels of trees by recursion, each node's siblings left and right of it, and leaves folded along them.
+MANIFEST_SQL = f"""WITH RECURSIVE d AS (SELECT *, CASE WHEN {_CRC.format("doc_id")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS now FROM documents), l AS (SELECT doc_id, coalesce('s' || source, '') AS s, {_leaf_sql("text")} AS leaf, {_leaf_sql("now")} AS cur FROM d),
+    p AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY s) AS n FROM l),
+    t(level, s, i, h, n) AS (SELECT 0, s, i, leaf, n FROM p UNION ALL SELECT level + 1, s, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY level, s, i // 3, n),
+    r AS (SELECT s, h, row_number() OVER (ORDER BY s) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+    u(level, i, h, n) AS (SELECT 0, i, h, n FROM r UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY level, i // 3, n),
+    a AS (SELECT level, s, i, n, coalesce(string_agg(h, '') OVER (PARTITION BY level, s, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS x, coalesce(string_agg(h, '') OVER (PARTITION BY level, s, i // 3 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS y FROM t
+      UNION ALL SELECT level, NULL, i, n, coalesce(string_agg(h, '') OVER (PARTITION BY level, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), coalesce(string_agg(h, '') OVER (PARTITION BY level, i // 3 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') FROM u),
+    w AS (SELECT p.s, p.i, list({{'x': a.x, 'y': a.y}} ORDER BY a.level) AS w FROM p JOIN a ON a.s = p.s AND a.n > 1 AND a.i = p.i // CAST(pow(3, a.level) AS BIGINT) GROUP BY 1, 2),
+    v AS (SELECT r.s, list({{'x': a.x, 'y': a.y}} ORDER BY a.level) AS v FROM r JOIN a ON a.s IS NULL AND a.n > 1 AND a.i = r.i // CAST(pow(3, a.level) AS BIGINT) GROUP BY 1),
+    z AS (SELECT p.doc_id, p.leaf, p.cur, r.h AS subroot, list_concat(coalesce(w.w, []), coalesce(v.v, [])) AS path FROM p JOIN r USING (s) LEFT JOIN w ON w.s = p.s AND w.i = p.i LEFT JOIN v ON v.s = p.s),
+    f AS (SELECT *, list_reduce(list_prepend({{'x': cur, 'y': ''}}, path), lambda h, e: {{'x': sha256(e.x || h.x || e.y), 'y': ''}}).x AS folded_root FROM z), q AS (SELECT h AS root FROM u WHERE n = 1)
+    SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string([e.x || e.y FOR e IN path], ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f, q"""
+#: Prefixes as lists of digests; what is in a subtree by each node's prefixes.
+TRIE_SQL = f"""WITH o AS (SELECT conv_id AS c, length(coalesce(text, '')) AS chars, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
+    s AS (SELECT c, list({{'x': x, 'n': chars}} ORDER BY turn NULLS FIRST, x) AS own, {_CRC.format("c")} % 6 AS h FROM o GROUP BY c),
+    b AS (SELECT s.c, list_concat(coalesce(p.own[:s.h], []), s.own[s.h + 1:]) AS t FROM s LEFT JOIN s AS p ON p.c = s.c - s.c % 100),
+    m AS (SELECT c, t[:k] AS t, len(t) = k AS done FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS k FROM b)), y AS (SELECT c, [e.x FOR e IN t] AS key, done, coalesce(t[-1].n, 0) AS chars FROM m),
+    n AS (SELECT key, min(c) AS conv_id, count(*) AS n_convs, max(chars) AS chars, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (done), '') AS ends FROM y GROUP BY key),
+    k AS (SELECT key[:-2] AS key, count(*) AS n_children FROM n WHERE len(key) > 0 GROUP BY 1),
+    e AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.key = n.key),
+    g AS (SELECT key[:j] AS key, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(0, len(key) + 1)) AS j FROM e) GROUP BY 1)
+    SELECT e.conv_id, CAST(len(e.key) AS BIGINT) AS depth, p.conv_id AS parent_conv_id, e.n_convs, e.n_children, g.n_leaves, g.saved_tokens, sha256(e.ends) AS ends_sha256 FROM e JOIN g ON g.key = e.key LEFT JOIN e AS p ON len(e.key) > 0 AND p.key = e.key[:-2]"""
+
 #: The others need a library's tokenizer or hash, a trained model, offsets of matches or a search: they are tested by brute force.
-ORACLE_SQL: dict[str, str] = {"op10_license_scan": _license_sql()}
+ORACLE_SQL: dict[str, str] = {"op10_license_scan": _license_sql(), "op12_prefix_trie": TRIE_SQL, "op13_merkle_manifest": MANIFEST_SQL}
