@@ -9,7 +9,8 @@ size of the corpus; words that come less often are one unknown word, other pairs
 The model grows with the corpus and is never in one place. Texts are packed, compressed, into runs of about RUN
 code points, rows of a table in the shared folder. Each run asks for the counts of its distinct words and pairs, as
 sorted hashes that are cut into buckets by range; together with the question goes what the run itself
-adds. Whoever holds a bucket adds up all runs' counts and answers each run in the order of its question. The runs
+adds. Whoever holds a bucket adds up all runs' counts and answers each run in the order of its question; where there are many runs, parts of
+them are added up first and answered together. The runs
 then meet their answers and are scored. So a key crosses the network once for each run it stands in, however
 often it comes there, a hot word is one key of a run like any other, and no model is broadcast or joined. A run
 that does not get an answer for each of its keys raises an error.
@@ -41,6 +42,8 @@ LEAST = 2
 BIGRAM, ADDED = 0.7, 0.5
 #: Code points of a run, bytes of text to a bucket, and to a partition of the two shuffles.
 RUN, BUCKET, PARTITION = 12_000_000, 4_000_000, 64_000_000
+#: Rows of a bucket that are added up together in a task.
+GROUPED = 1024
 #: Target documents up to which their ids are broadcast, 8 bytes each; beyond, texts are joined to labels by a shuffle.
 BROADCAST = 4_000_000
 #: In place of a word before the first of a text.
@@ -255,38 +258,104 @@ def _by(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
+def _counted(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of what is asked of a bucket the numbers of words and pairs of each row, all keys and all counts, words first."""
+    sizes, keys, counts = [], ([], []), ([], [])
+    for row in rows:
+        read = _Reader(row["body"])
+        sizes.append(read.take("<u4", 2).astype(np.int64))
+        for k, columns in enumerate((4, 2)):
+            m = int(sizes[-1][k])
+            keys[k].append(read.keys(m))
+            counts[k].append(np.stack([read.small(m) for _ in range(columns)]))
+    return np.array(sizes), [np.concatenate(x) for x in keys], [np.concatenate(x, axis=1) for x in counts]
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``_distinct`` of the keys, and what each distinct one's counts add up to."""
+    order, at, distinct = _distinct(keys)
+    return order, at, distinct, np.add.reduceat(counts[:, order], at, axis=1) if len(order) else counts
+
+
+def _answers(sizes: np.ndarray, told: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[bytes]:
+    """What each row is answered: the totals (order, at, total) of its own keys, in their order."""
+    parts = []
+    for k, (order, at, total) in enumerate(told):
+        whole = np.empty((len(total), len(order)), np.int64)
+        whole[:, order] = np.repeat(total, np.diff(at, append=len(order)), axis=1)
+        parts.append(np.split(whole, np.cumsum(sizes[:, k])[:-1], axis=1))
+    return [b"".join([s.astype("<u4").tobytes(), *[_small(x) for x in w], *[_small(x) for x in p]]) for s, w, p in zip(sizes, *parts)]
+
+
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add up the counts of a bucket and answer each run; one more row, without a run, says what all words come to."""
     for rows in _by("bucket", batches):
-        sizes, keys, counts = [], ([], []), ([], [])
-        for row in rows:
-            read = _Reader(row["body"])
-            sizes.append(read.take("<u4", 2).astype(np.int64))
-            for k, columns in enumerate((4, 2)):
-                m = int(sizes[-1][k])
-                keys[k].append(read.keys(m))
-                counts[k].append(np.stack([read.small(m) for _ in range(columns)]))
-        answers, sums = [], []
+        sizes, keys, counts = _counted(rows)
+        told, sums = [], []
         for k in (0, 1):
-            all_keys, all_counts = np.concatenate(keys[k]), np.concatenate(counts[k], axis=1)
-            order, at, distinct = _distinct(all_keys)
-            total = np.add.reduceat(all_counts[:, order], at, axis=1) if len(order) else all_counts
+            order, at, distinct, total = _added(keys[k], counts[k])
+            known = total[0] >= LEAST
             if k == 0:
-                real, known = distinct != START, total[0] >= LEAST
+                real = distinct != START
                 sums = [int((real & known).sum()), *[int(total[c][real & who].sum()) for who in (known, ~known) for c in (0, 1)]]
                 known |= ~real
-            else:
-                known = total[0] >= LEAST
-            total = np.where(known, total, 0)
-            whole = np.empty_like(all_counts)
-            whole[:, order] = np.repeat(total, np.diff(at, append=len(order)), axis=1)
-            answers.append(np.split(whole, np.cumsum([s[k] for s in sizes])[:-1], axis=1))
-        body = [b"".join([s.astype("<u4").tobytes(), *[_small(x) for x in w], *[_small(x) for x in p]]) for s, w, p in zip(sizes, *answers)]
-        arrays = [pa.array([r["run"] for r in rows] + [None], pa.int64()), pa.array([r["bucket"] for r in rows] + [None], pa.int32()), pa.array([*body, None], pa.binary())]
+            told.append((order, at, np.where(known, total, 0)))
+        arrays = [pa.array([r["run"] for r in rows] + [None], pa.int64()), pa.array([r["bucket"] for r in rows] + [None], pa.int32()), pa.array([*_answers(sizes, told), None], pa.binary())]
         arrays += [pa.array([None] * len(rows) + [x], pa.int64()) for x in sums]
         yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in ANSWER.split(", ")])
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a part of a bucket to one that asks for all of their keys, with what all of them add."""
+    for rows in _by("key", batches):
+        sizes, keys, counts = _counted(rows)
+        (_, _, words, of_words), (_, _, pairs, of_pairs) = (_added(k, c) for k, c in zip(keys, counts))
+        body = [np.array([len(words), len(pairs)], "<u4").tobytes(), _packed_keys(words), *[_small(x) for x in of_words], _packed_keys(pairs), *[_small(x) for x in of_pairs]]
+        yield pa.RecordBatch.from_arrays([pa.array([rows[0]["key"]["part"]], pa.int64()), pa.array([rows[0]["key"]["bucket"]], pa.int32()), pa.array([b"".join(body)], pa.binary())], ["run", "bucket", "body"])
+
+
+def _handed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The answer to a part of a bucket, which comes first, handed to each of its rows."""
+    for first, *rows in _by("key", batches):
+        if first["run"] is not None or not rows:
+            raise RuntimeError("a part of a bucket did not get one answer")
+        sizes, keys, _ = _counted(rows)
+        read, told = _Reader(first["body"]), []
+        given = read.take("<u4", 2)
+        for k, columns in enumerate((4, 2)):
+            order, at, distinct = _distinct(keys[k])
+            if len(distinct) != given[k]:
+                raise RuntimeError("an answer is for other keys")
+            told.append((order, at, np.stack([read.small(len(distinct)) for _ in range(columns)])))
+        arrays = [pa.array([r["run"] for r in rows], pa.int64()), pa.array([first["key"]["bucket"]] * len(rows), pa.int32()), pa.array(_answers(sizes, told), pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["run", "bucket", "body"])
+
+
+def _ask(asked: DataFrame, rows: int, parts: int) -> DataFrame:
+    """Answers to (run, bucket, body), and the sums, from the shared folder. A bucket has at most ``rows`` rows.
+
+    Where that is over GROUPED, runs are dealt to parts of about so many, which ask as one, in the same way, and hand on what they are told: a word that stands
+    in every run meets GROUPED rows in a task, however many runs there are.
+    """
+    spark = asked.sparkSession
+
+    def stored(found: DataFrame, name: str) -> DataFrame:
+        path = scratch(spark, name)
+        found.write.option("compression", "zstd").parquet(path)
+        return spark.read.parquet(path)
+
+    if rows <= GROUPED:
+        return stored(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answered, ANSWER), "answers")
+    groups = -(-rows // GROUPED)
+    key = F.struct("bucket", "part").alias("key")
+    held = stored(asked, "asked").withColumn("part", F.pmod(F.xxhash64("run"), F.lit(groups)).cast("long"))
+    sums = held.repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "part").select(key, "body").mapInArrow(_summed, "run long, bucket int, body binary")
+    above = _ask(sums, groups, parts)
+    both = held.select("bucket", "part", "run", "body").union(above.where("run is not null").select("bucket", "run", F.lit(None).cast("long"), "body"))
+    told = both.repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "part", F.col("run").asc_nulls_first()).select(key, "run", "body").mapInArrow(_handed, "run long, bucket int, body binary")
+    return stored(told.unionByName(above.where("run is null"), allowMissingColumns=True), "answers")
+
+
 def _scoring(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by("run", batches):
@@ -326,10 +395,7 @@ def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -
     size = runs.agg(F.sum("size")).first()[0] or 0
     buckets = -(-size // BUCKET) or 1
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
-    path = scratch(spark, "answers")
-    asked = runs.mapInArrow(_asking(buckets), "run long, bucket int, body binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    asked.mapInArrow(_answered, ANSWER).write.option("compression", "zstd").parquet(path)
-    answers = spark.read.parquet(path)
+    answers = _ask(runs.mapInArrow(_asking(buckets), "run long, bucket int, body binary"), runs.count(), parts)
     sums = answers.where("run is null").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("known", "known_n", "known_target", "rare_n", "rare_target")]).first()
     model = {"size": sums["known"] + 2, "rare": (sums["rare_n"], sums["rare_target"]), "total": (sums["known_n"] + sums["rare_n"], sums["known_target"] + sums["rare_target"])}
     model["targets"] = model["total"][1] > 0

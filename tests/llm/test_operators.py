@@ -348,6 +348,21 @@ def test_scores_do_not_depend_on_runs_and_buckets(spark, docs, monkeypatch, size
             assert r[c] == x or math.isclose(r[c], x, abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("most", [10, 3])
+def test_a_word_in_every_run_is_added_up_in_parts(spark, docs, monkeypatch, most):
+    """Buckets of more rows than are added up together, in one level of parts and in several."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    table = docs.withColumn("text", F.concat(F.lit("everywhere and "), F.coalesce("text", F.lit(""))))
+    want = sorted(map(tuple, lm_score.score(table, labels).collect()))
+    monkeypatch.setattr(lm_score, "RUN", 20_000)
+    monkeypatch.setattr(lm_score, "BUCKET", 100_000)
+    monkeypatch.setattr(lm_score, "GROUPED", most)
+    got = sorted(map(tuple, lm_score.score(table, labels).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and len(want) > 100
+    for a, b in zip(got, want):
+        assert [x is None for x in a] == [x is None for x in b] and all(x == pytest.approx(y, abs=1e-9) for x, y in zip(a[2:], b[2:]) if x is not None)
+
+
 def test_other_documents_are_scored_by_the_corpus(spark, docs):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     some = docs.where("doc_id < 40")
