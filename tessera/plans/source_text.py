@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import lookup, syntax
+from tessera.operators import lookup, symbols, syntax
 from tessera.plans.catalog import query
 
 WORD, ASKED = "lower(split_part(p_name, ' ', 1))", "CAST(p_size AS STRING)"
@@ -87,3 +87,33 @@ SIMPLE = "list_transform({0}, lambda t: regexp_replace(t, '^.*[.$]', ''))"
 )
 def method_coverage_lookup(t):
     return lookup.coverage_of(t.lineitem.selectExpr(*ASKED_OF), "ref", t.lineitem.selectExpr(*COVERED))
+
+
+# --- symbols
+
+HOME = "'com.p' || CAST({0} % 40 AS STRING) || '.C' || CAST({1} AS STRING)"
+HOMES = (f"{HOME.format('p_partkey', 'p_size')} AS class_fqn",)
+DECLARED = (
+    f"{HOME.format('p_partkey', 'p_size')} AS class_fqn", "'m' || CAST(p_partkey % 6 AS STRING) AS name",
+    "CASE p_partkey % 3 WHEN 0 THEN 'm' || CAST(p_partkey % 6 AS STRING) || '(' || p_brand || ')' WHEN 1 THEN ' ' END AS signature", "CASE WHEN p_partkey % 7 > 0 THEN CAST(p_partkey % 5 AS INT) - 1 END AS arity",
+)
+HELD_IN = (f"{HOME.format('s_suppkey', 's_nationkey')} AS class_fqn", "'f' || CAST(s_suppkey % 4 AS STRING) AS name", "CASE WHEN s_nationkey % 3 > 0 THEN 'T' || CAST(s_suppkey % 7 AS STRING) END AS type")
+USED = (
+    "p_partkey AS ref", f"CASE p_partkey % 5 WHEN 0 THEN {HOME.format('p_partkey', 'p_size')} WHEN 1 THEN 'x.C' || CAST(p_size AS STRING) WHEN 2 THEN 'C' || CAST(p_size % 60 + p_partkey % 9 AS STRING) WHEN 3 THEN 'no.Such' END AS class_name",
+    "CASE WHEN p_size % 9 > 0 THEN 'm' || CAST(p_size % 8 AS STRING) END AS method", "CASE WHEN p_partkey % 8 > 0 THEN CAST(p_size % 6 AS INT) - 1 END AS arity", "'m' || CAST(p_partkey % 6 AS STRING) || '(' || p_brand || ')' AS signature", "'f' || CAST(p_size % 5 AS STRING) AS field",
+)
+
+
+@query(
+    f"""WITH m AS (SELECT {", ".join(DECLARED)} FROM part), f AS (SELECT {", ".join(HELD_IN)} FROM supplier), c AS (SELECT DISTINCT class_fqn AS c, string_split(class_fqn, '.')[-1] AS s FROM m), r AS (SELECT {", ".join(USED)} FROM part),
+    k AS (SELECT ref, c, TRUE AS own FROM r JOIN c ON c = class_name UNION ALL SELECT ref, c, FALSE FROM r JOIN c ON s = string_split(class_name, '.')[-1] WHERE class_name NOT IN (SELECT c FROM c)),
+    o AS (SELECT n.class_fqn, n.name, CASE WHEN count(DISTINCT s.signature) > 0 THEN count(DISTINCT s.signature) WHEN count(DISTINCT n.arity) FILTER (n.arity >= 0) > 0 THEN count(DISTINCT n.arity) FILTER (n.arity >= 0) ELSE 1 END AS overloads FROM m n LEFT JOIN m s ON s.class_fqn = n.class_fqn AND s.signature LIKE n.name || '(%' GROUP BY 1, 2),
+    q AS (SELECT ref, bool_or(c IS NOT NULL) AS has_class, bool_or(o.name IS NOT NULL) AS m, max(overloads) AS n FROM r LEFT JOIN k USING (ref) LEFT JOIN o ON o.class_fqn = c AND o.name = method GROUP BY 1),
+    a AS (SELECT DISTINCT ref FROM r JOIN k USING (ref) JOIN m ON m.class_fqn = c AND m.name = method AND m.arity = r.arity WHERE r.arity >= 0), g AS (SELECT DISTINCT ref FROM r JOIN k USING (ref) JOIN m ON m.class_fqn = c AND m.signature = r.signature),
+    h AS (SELECT ref, max(CASE WHEN own THEN t END) AS field_type FROM r JOIN k USING (ref) JOIN (SELECT class_fqn, name, CASE WHEN count(DISTINCT coalesce(type, '')) > 1 THEN 'ambiguous' ELSE max(coalesce(type, '')) END AS t FROM f GROUP BY 1, 2) x ON x.class_fqn = c AND x.name = field GROUP BY 1)
+    SELECT r.ref, has_class, w AS has_method, CASE WHEN r.arity >= 0 THEN a.ref IS NOT NULL ELSE w END AS has_arity, g.ref IS NOT NULL AS has_signature, h.ref IS NOT NULL OR (NOT has_class AND field IN (SELECT name FROM f)) AS has_field, coalesce(r.n, 0) AS overloads, field_type
+    FROM (SELECT r.*, has_class, q.n, coalesce(CASE WHEN has_class THEN m ELSE method IN (SELECT name FROM m) END, FALSE) AS w FROM r JOIN q USING (ref)) r LEFT JOIN a USING (ref) LEFT JOIN g USING (ref) LEFT JOIN h USING (ref)"""
+)
+def symbol_lookups(t):
+    known = symbols.index(t.part.selectExpr(*HOMES), t.part.selectExpr(*DECLARED), t.supplier.selectExpr(*HELD_IN))
+    return symbols.look_up(t.part.selectExpr(*USED), "ref", symbols.store(known))

@@ -358,3 +358,31 @@ def test_named_files_all_or_none(spark, tmp_path):
     assert files(tmp_path / "bout") == files(tmp_path / "bagain") == []
     assert writers.named_files(rows.where("false"), f"file://{tmp_path}/c").count() == 0
     assert sorted((r["id"], r["at"]) for r in readers.numbered(spark.range(1000).repartition(7), ["id"], "at").collect()) == [(i, i + 1) for i in range(1000)]
+
+
+def test_symbol_index(spark):
+    from tessera.operators import symbols
+
+    classes = spark.createDataFrame([("a.Foo",), ("b.Foo",), ("c.Bar",), ("",), (None,)], "class_fqn string")
+    methods = spark.createDataFrame(
+        [("a.Foo", "go", "go(int)", 1), ("a.Foo", "go", "go(int,int)", 2), ("a.Foo", "go", "go(int)", 1), ("b.Foo", "go", None, 3), ("b.Foo", "go", " ", 4), ("b.Foo", "go", None, 5), ("b.Foo", "run", None, -1), ("d.New", "made", None, None), ("a.Foo", None, "x()", 0)],
+        "class_fqn string, name string, signature string, arity int",
+    )
+    fields = spark.createDataFrame([("a.Foo", "x", "int"), ("a.Foo", "x", "int"), ("b.Foo", "x", "long"), ("b.Foo", "y", "A"), ("b.Foo", "y", None), ("e.Gone", "z", "B")], "class_fqn string, name string, type string")
+    stored = symbols.store(symbols.index(classes, methods, fields), 4)
+    asked = {
+        "a.Foo": ("go", 1, "go(int)", "x"), "b.Foo": ("go", 1, "go(int)", "y"), "z.Foo": ("run", 5, "go(int,int)", "y"), "Foo": ("go", None, "go()", "z"), "d.New": ("made", -1, None, None), "no.Such": ("run", 0, "go(int)", "z"), None: ("go", None, "go(int)", "q"), "c.Bar": ("go", None, " ", "x"),
+    }
+    refs = spark.createDataFrame([(i, c, *v) for i, (c, v) in enumerate(asked.items())], "id int, class_name string, method string, arity int, signature string, field string")
+    found = symbols.look_up(refs, "id", stored)
+    assert [tuple(r)[1:] for r in found.orderBy("id").collect()] == [
+        (True, True, True, True, True, 2, "int"), (True, True, False, False, True, 3, "ambiguous"), (True, True, False, True, True, 1, None), (True, True, True, False, False, 3, None),
+        (True, True, True, False, False, 1, None), (False, True, False, False, True, 0, None), (False, True, True, False, False, 0, None), (True, False, False, False, False, 0, None),
+    ]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = symbols.look_up(refs, "id", stored)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = plan[: plan.index("FileScan")].splitlines()
+    assert "Bucketed: true" in plan and not [x for x in scan[-4:] if "Exchange" in x], plan
