@@ -306,3 +306,64 @@ def branches(methods: DataFrame, key: str, body: str) -> DataFrame:
         listed("paths", "array<struct<id:string,description:string,condition:string,outcome:string>>"),
         F.when(parsed, F.lit(1) + F.coalesce("heads", F.lit(0)) + F.coalesce("labels", F.lit(0))).cast("long").alias("complexity"), F.when(parsed, F.coalesce("nesting", F.lit(0))).cast("long").alias("nesting"),
     )
+
+
+# --- calls
+
+#: Words before brackets, or before a name, that are no calls and no types.
+WORDS = ("if", "for", "while", "switch", "catch", "synchronized", "return", "throw", "new", "else", "case", "assert", "instanceof", "do", "try", "super", "this", "yield", "package", "import", "extends", "implements", "throws")
+LITERAL = r"^(?:[0-9\"'].*|true|false|null)$"
+#: Characters of a literal that is told, and what a longer one is cut to.
+LONG, CUT = 120, 117
+
+
+def calls(methods: DataFrame, key: str, owner: str, body: str, classes: DataFrame, declared: DataFrame) -> DataFrame:
+    """Calls in methods, in order: ``key``, ``at``, ``target`` (class#name(number of arguments), ``?`` for a method reference), ``status`` and ``literals``, the distinct literal arguments.
+
+    A call's class is told by its scope: none and ``this`` are the method's ``owner``, a name that is declared with a type is of that type, a capitalised name is a class, and any other text stands
+    for itself. It is RESOLVED if that class is one of ``classes`` (class_fqn), by its qualified name or as the only one of its simple name; without a scope, if the owner has such a method
+    (``declared``: class_fqn, name, arity). Types with arguments, and what chains of calls give, are not told.
+    """
+    every = tokens(methods, key, body)
+    given = methods.select(F.col(key).alias("key"), F.col(owner).alias("owner"), lexed(body).alias("all"))
+    begins = every.groupBy("key").agg(F.min(F.when((F.col("token") == "{") & (F.col("depth") == 1), F.col("at"))).alias("from"))
+    by = Window.partitionBy("key").orderBy("at")
+    every = every.withColumn("was2", F.lag("token", 2).over(by)).withColumn("was3", F.lag("token", 3).over(by)).withColumn("n_partner", F.lead("partner").over(by)).withColumn("n_depth", F.lead("depth").over(by)).withColumn("new_at", F.last(F.when(F.col("token") == "new", F.col("at")), True).over(by)).withColumn("break_at", F.last(F.when(~F.col("kind").isin("word") & (F.col("token") != "."), F.col("at")), True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    every = durable(every.join(begins, "key"))
+    # Variables: a name after a word that can be a type, where a declaration goes on or ends.
+    typed = every.where(F.expr("kind = 'word' AND next IN ('=', ';', ',', ')', ':')") & F.col("was").rlike("^[A-Za-z_$]") & ~F.col("was").isin(*WORDS))
+    types = typed.groupBy("key", F.col("token").alias("scope")).agg(F.max_by("was", "at").alias("type"))
+
+    inside = every.where("at > `from`")
+    # ``new`` and a name, with nothing but names and dots between, is a constructor.
+    made = F.coalesce((F.col("new_at") > F.coalesce("break_at", F.lit(-1))) & (F.col("new_at") < F.col("at")), F.lit(False))
+    called = inside.where((F.col("kind") == "word") & (F.col("next") == "(") & ~F.col("token").isin(*WORDS))
+    scoped = (F.col("was") == ".") & ~made
+    plain = F.col("was2").rlike("^[A-Za-z_$]") & (F.coalesce("was3", F.lit("")) != ".")
+    sites = called.select("key", "at", F.col("token").alias("name"), (F.col("at") + 1).alias("open"), F.col("n_partner").alias("close"), made.alias("made"), F.when(made, F.col("token")).when(scoped & plain, F.col("was2")).when(scoped, F.lit("")).alias("scope"), F.lit(False).alias("ref"))
+    refs = inside.where("token = '::'").select("key", "at", F.col("next").alias("name"), F.lit(None).cast("int").alias("open"), F.lit(None).cast("int").alias("close"), F.lit(False).alias("made"), F.col("was").alias("scope"), F.lit(True).alias("ref"))
+    commas = inside.where("token = ','").groupBy("key", F.col("region").alias("open")).agg(F.sort_array(F.collect_list("at")).alias("commas"))
+    sites = sites.join(commas, ["key", "open"], "left").unionByName(refs, allowMissingColumns=True).join(given, "key")
+    cuts = F.concat(F.array("open"), F.coalesce("commas", F.array().cast("array<int>")), F.array("close"))
+    arguments = F.when(F.col("ref") | (F.col("close") == F.col("open") + 1), F.array().cast("array<array<string>>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda i: F.slice("all", F.get(cuts, i - 1) + 2, F.get(cuts, i) - F.get(cuts, i - 1) - 1)))
+    sites = sites.withColumn("arguments", arguments)
+
+    def literal(x: Column) -> Column:
+        bare = F.when(F.size(x) == 1, x[0]).when((F.size(x) == 2) & x[0].isin("-", "+"), F.concat(x[0], x[1]))
+        told = F.regexp_replace(F.when(F.regexp_replace(bare, r"^[+-]", "").rlike(f"(?s){LITERAL}"), bare), r"\s+", " ")
+        return F.when(F.length(told) > LONG, F.concat(F.substring(told, 1, CUT), F.lit("..."))).otherwise(told)
+
+    sites = sites.withColumn("literals", F.array_distinct(F.array_compact(F.transform("arguments", literal)))).withColumn("arity", F.when(~F.col("ref"), F.size("arguments")))
+    # The text of a scope that is no single name, back to the operator or bracket that bounds it.
+    starts = inside.select("key", "at", (F.col("before") + 1).alias("first"))
+    sites = sites.join(starts, ["key", "at"], "left").withColumn("said", F.when(F.col("scope") == "", render(_part(F.col("first"), F.col("at") - 2))).otherwise(F.col("scope")))
+    sites = sites.join(types, ["key", "scope"], "left").withColumn("class_name", F.when(F.col("scope").isNull() | (F.col("scope") == "this"), F.col("owner")).otherwise(F.coalesce("type", "said")))
+
+    known = classes.select("class_fqn").distinct()
+    simple = known.groupBy(F.substring_index("class_fqn", ".", -1).alias("class_name")).agg(F.count(F.lit(1)).alias("n"), F.min("class_fqn").alias("by_simple")).where("n = 1").drop("n")
+    sites = sites.join(known.select(F.col("class_fqn").alias("class_name"), F.col("class_fqn").alias("by_name")), "class_name", "left").join(simple, "class_name", "left").withColumn("class_fqn", F.coalesce("by_name", "by_simple"))
+    own = declared.select("class_fqn", "name", F.col("arity").cast("int").alias("arity")).distinct().withColumn("has", F.lit(True))
+    sites = sites.join(own, ["class_fqn", "name", "arity"], "left")
+    resolved = F.when(F.col("scope").isNull(), F.coalesce("has", F.lit(False))).otherwise(F.col("class_fqn").isNotNull())
+    target = F.concat(F.coalesce("class_fqn", "class_name"), F.lit("#"), "name", F.lit("("), F.when(F.col("ref"), "?").otherwise(F.col("arity").cast("string")), F.lit(")"))
+    return sites.select(F.col("key").alias(key), "at", target.alias("target"), F.when(resolved, "RESOLVED").otherwise("UNRESOLVED").alias("status"), "literals")

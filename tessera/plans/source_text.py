@@ -117,3 +117,26 @@ USED = (
 def symbol_lookups(t):
     known = symbols.index(t.part.selectExpr(*HOMES), t.part.selectExpr(*DECLARED), t.supplier.selectExpr(*HELD_IN))
     return symbols.look_up(t.part.selectExpr(*USED), "ref", symbols.store(known))
+
+
+# --- calls
+
+K = "CAST(p_partkey % {} AS STRING)"
+CALLER = ("p_partkey AS id", f"'com.o.C' || {K.format(50)} AS owner", f"""'void m(Helper' || {K.format(5)} || ' helper, int n) {{ load(n, ' || CAST(p_size AS STRING) || '); helper.run("' || p_name || '", -3, "' || p_name || '"); this.put' || {WORD} || '(n); Missing' || {K.format(3)} ||
+ '.make(true); Helper' || {K.format(9)} || ' x = new Helper' || {K.format(9)} || '(null, n); x.close(); if (n > 1) {{ free.call(n, "' || p_type || '"); }} }}' AS body""")
+CLASSES_OF = (f"explode(array('com.h.Helper' || {K.format(6)}, 'com.o.C' || {K.format(50)})) AS class_fqn",)
+
+
+@query(
+    f"""WITH b AS (SELECT {", ".join(CALLER)} FROM part), c AS (SELECT DISTINCT unnest(['com.h.Helper' || {K.format(6)}, 'com.o.C' || {K.format(50)}]) AS fqn FROM part), d AS (SELECT DISTINCT 'com.o.C' || {K.format(50)} AS fqn FROM part WHERE p_size % 2 = 0),
+    x AS (SELECT id, owner, regexp_extract(body, '(Helper[0-9]) helper', 1) AS helper, regexp_extract(body, '(Helper[0-9]) x', 1) AS x, split_part(body, '{{ load', 2) AS rest FROM b), y AS (SELECT *, 'load' || rest AS said FROM x),
+    m AS (SELECT id, owner, helper, x, unnest(regexp_extract_all(said, '((?:[A-Za-z0-9]+\\.)?[A-Za-z0-9]+)\\([^()]*\\)', 1)) AS name, unnest(regexp_extract_all(said, '(?:[A-Za-z0-9]+\\.)?[A-Za-z0-9]+\\(([^()]*)\\)', 1)) AS args FROM y),
+    s AS (SELECT *, CASE WHEN contains(name, '.') THEN split_part(name, '.', 1) WHEN name LIKE 'Helper%' THEN name END AS scope, string_split(name, '.')[-1] AS method, list_filter(string_split(args, ', '), lambda a: a <> '') AS a FROM m),
+    t AS (SELECT *, CASE WHEN scope IS NULL OR scope = 'this' THEN owner WHEN scope = 'helper' THEN helper WHEN scope = 'x' THEN x ELSE scope END AS class FROM s), r AS (SELECT t.*, c.fqn FROM t LEFT JOIN c ON c.fqn = class OR string_split(c.fqn, '.')[-1] = class)
+    SELECT id, coalesce(r.fqn, class) || '#' || method || '(' || len(a) || ')' AS target, CASE WHEN scope IS NULL THEN method = 'load' AND d.fqn IS NOT NULL ELSE r.fqn IS NOT NULL END AS resolved,
+      array_to_string(list_sort(list_distinct(list_filter(a, lambda v: regexp_matches(v, '^([-+]?[0-9]|"|true|null)')))), ' ') AS literals, count(*) AS n FROM r LEFT JOIN d ON d.fqn = owner GROUP BY ALL"""
+)
+def call_edges(t):
+    declared = t.part.where("p_size % 2 = 0").selectExpr(f"'com.o.C' || {K.format(50)} AS class_fqn", "'load' AS name", "2 AS arity")
+    found = syntax.calls(t.part.selectExpr(*CALLER), "id", "owner", "body", t.part.selectExpr(*CLASSES_OF), declared)
+    return found.groupBy("id", "target", (F.col("status") == "RESOLVED").alias("resolved"), F.array_join(F.sort_array("literals"), " ").alias("literals")).agg(F.count(F.lit(1)).alias("n"))
