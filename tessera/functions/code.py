@@ -344,6 +344,48 @@ def mismatch(message: Column | str) -> Column:
     return F.when(pair.isNotNull(), F.struct(pair["expected"].alias("expected"), pair["actual"].alias("actual"), kind.alias("kind")))
 
 
+# What begins the names of frameworks' frames, and what is in those of tests.
+FRAMEWORKS, TESTS = ("org.junit.", "org.assertj.", "org.hamcrest.", "java.", "jdk.", "sun."), ("Test", "Spec", "IT", "Case")
+INTEGER, NUMBER = r"^[+-]?\d+$", r"^[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$"
+
+
+def mismatch_details(message: Column | str, trace: Column | str) -> Column:
+    """Struct (type, expected, actual, delta, location, line) of a failed assertion.
+
+    The type is told by nulls and exceptions in the message, then by the values, then by words of the message. The delta is of numbers only, of integers exactly, else to six places. The line is that of the
+    first frame; the location is the first frame of a test, or else the first that is no framework's.
+    """
+    said, at = _col(message), _col(trace)
+    pair = mismatch(said)
+    expected, actual = pair["expected"], pair["actual"]
+
+    def both(pattern: str) -> Column:
+        return expected.rlike(pattern) & actual.rlike(pattern)
+
+    def either(pattern: str) -> Column:
+        return expected.rlike(pattern) | actual.rlike(pattern)
+
+    def has(*words: str) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | said.contains(w)
+        return out
+
+    whole = both(INTEGER)
+    kind = (
+        F.when(said.isNull() | (said == ""), "UNKNOWN").when(said.rlike(r"(?i)\bnull\b"), "NULL_MISMATCH").when(has("exception", "Exception"), "EXCEPTION_MESSAGE")
+        .when(whole, "NUMERIC").when(both(NUMBER), "FLOAT_TOLERANCE").when(either(r"\[.*\]") & has("order", "sorted"), "ORDERING").when(either(r"\[.*\]"), "COLLECTION").when(either(r"\{.*\}"), "MAP").when(either("^[\"']"), "STRING")
+        .when(has("collection", "list", "size"), "COLLECTION").when(has("order", "sorted"), "ORDERING").when(has("string", "String"), "STRING").when(pair.isNotNull(), "OBJECT_EQUALS").otherwise("UNKNOWN")
+    )
+    exact = F.abs(F.try_subtract(expected.try_cast("long"), actual.try_cast("long"))).cast("string")
+    delta = F.when(kind.isin("NUMERIC", "FLOAT_TOLERANCE"), F.when(whole, exact).otherwise(F.format_string("%.6f", F.abs(expected.try_cast("double") - actual.try_cast("double")))))
+    frames = F.regexp_extract_all(at, F.lit(r"at\s+([\w.$]+\([\w$]+\.java:\d+\))"), F.lit(1))
+    own = F.filter(frames, lambda f: ~f.rlike(f"^(?:{'|'.join(x.replace('.', '[.]') for x in FRAMEWORKS)})"))
+    test = F.filter(own, lambda f: F.regexp_extract(f, r"^([^(]*)", 1).rlike("|".join(TESTS)))
+    line = F.regexp_extract(F.get(frames, F.lit(0)), r":(\d+)\)$", 1).try_cast("int")
+    return F.struct(kind.alias("type"), expected.alias("expected"), actual.alias("actual"), delta.alias("delta"), F.coalesce(F.get(test, F.lit(0)), F.get(own, F.lit(0))).alias("location"), line.alias("line"))
+
+
 # Rules of brittle tests, each with its severity and pattern.
 TEST_RULES = (
     ("SLEEP", "ERROR", r"\bThread\s*\.\s*(?:currentThread\s*\(\s*\)\s*\.\s*)?sleep\s*\(|\bTimeUnit\s*\.\s*\w+\s*\.\s*sleep\s*\(|\b(?:NANOSECONDS|MICROSECONDS|MILLISECONDS|SECONDS|MINUTES|HOURS|DAYS)\s*\.\s*sleep\s*\("),

@@ -250,6 +250,16 @@ def run_trend(t):
     return stats.trend(daily, "day", "success_rate")
 
 
+@query(
+    """WITH d AS (SELECT date_trunc('hour', ts) AS h, count(*) FILTER (event_type <> 'error') / count(*) AS success_rate FROM events GROUP BY 1), n AS (SELECT * FROM d ORDER BY h DESC LIMIT 100)
+    SELECT strftime(h, '%Y-%m-%d %H') AS run, success_rate, success_rate - lag(success_rate) OVER (ORDER BY h) AS delta FROM n"""
+)
+def run_trend_by_hour(t):
+    """More runs than are kept: the newest hundred."""
+    hourly = t.events.groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("run")).agg(rules.rate(F.count_if(F.col("event_type") != "error"), F.count(F.lit(1))).alias("success_rate"))
+    return stats.trend(hourly, "run", "success_rate")
+
+
 @query(
     """WITH x AS (SELECT event_id, value, unnest([CASE WHEN value < 10 THEN 'low_conf' END, CASE WHEN event_type = 'error' THEN 'unresolved' END, CASE WHEN event_type = 'signup' THEN 'external' END, CASE WHEN value < 1 THEN 'skip_low_conf' END, CASE WHEN value > 300 THEN 'branch_candidates' END]) AS reason FROM events)
     SELECT reason, count(*) AS tasks, count(*) FILTER (value < 1) AS excluded FROM x WHERE reason IS NOT NULL GROUP BY 1"""

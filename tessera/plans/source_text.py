@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import code
 from tessera.operators import lookup, symbols, syntax
 from tessera.plans.catalog import query
 
@@ -140,3 +141,27 @@ def call_edges(t):
     declared = t.part.where("p_size % 2 = 0").selectExpr(f"'com.o.C' || {K.format(50)} AS class_fqn", "'load' AS name", "2 AS arity")
     found = syntax.calls(t.part.selectExpr(*CALLER), "id", "owner", "body", t.part.selectExpr(*CLASSES_OF), declared)
     return found.groupBy("id", "target", (F.col("status") == "RESOLVED").alias("resolved"), F.array_join(F.sort_array("literals"), " ").alias("literals")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- failed assertions
+
+LEFT = "CASE p_size % 7 WHEN 0 THEN CAST(p_partkey AS STRING) WHEN 1 THEN CAST(p_partkey AS STRING) || '.5' WHEN 2 THEN '[1, ' || p_name || ']' WHEN 3 THEN '{{a=' || p_name || '}}' WHEN 4 THEN '\"' || p_name || '\"' WHEN 5 THEN 'NULL' ELSE p_name END".replace("{{", "{").replace("}}", "}")
+RIGHT = "CASE WHEN p_size % 7 < 2 THEN CAST(p_size - 20 AS STRING) ELSE p_type END"
+SAID = f"""CASE p_partkey % 6 WHEN 0 THEN 'expected: <' || {LEFT} || '> but was: <' || {RIGHT} || '>' WHEN 1 THEN 'values expected: ' || {LEFT} || ' but was: ' || {RIGHT} WHEN 2 THEN 'Expecting: ' || {LEFT} || ' to be equal to: ' || {RIGHT} || CASE WHEN p_size > 25 THEN chr(10) || 'in order' ELSE '' END
+ WHEN 3 THEN 'Expected: ' || {LEFT} || chr(10) || '     but: was ' || {RIGHT} WHEN 4 THEN CASE p_size % 6 WHEN 0 THEN 'wrong list' WHEN 1 THEN 'not sorted' WHEN 2 THEN 'a String' WHEN 3 THEN 'an Exception' WHEN 4 THEN '' ELSE 'it broke' END END"""
+TRACE = """'x' || chr(10) || CASE WHEN p_partkey % 5 > 0 THEN ' at org.junit.Assert.fail(Assert.java:' || CAST(p_size AS STRING) || ')' || chr(10) ELSE '' END || CASE WHEN p_partkey % 3 > 0 THEN ' at com.a.' || replace(p_name, ' ', '_') || '.run(Run.java:' || CAST(p_partkey AS STRING) || ')' || chr(10) ELSE '' END
+ || CASE WHEN p_partkey % 4 > 0 THEN ' at com.a.B' || CASE WHEN p_partkey % 4 = 1 THEN 'Test' ELSE 'x' END || '.go(B.java:7)' ELSE '' END"""
+NUMBERS = r"regexp_matches(e, '^[+-]?[0-9]+(\.[0-9]+)?$') AND regexp_matches(a, '^[+-]?[0-9]+(\.[0-9]+)?$')"
+
+
+@query(
+    f"""WITH b AS (SELECT p_partkey AS id, {SAID} AS m, {TRACE} AS t FROM part), p AS (SELECT *, CASE WHEN regexp_matches(m, 'expected: <[^>]*> but was: <[^>]*>') THEN regexp_extract(m, 'expected: <([^>]*)> but was: <([^>]*)>', ['e', 'a']) WHEN contains(m, 'expected: ') THEN regexp_extract(m, 'expected: (.*) but was: (.*)', ['e', 'a'])
+      WHEN starts_with(m, 'Expecting: ') THEN regexp_extract(m, 'Expecting: (.*) to be equal to: ([^\n]*)', ['e', 'a']) WHEN starts_with(m, 'Expected: ') THEN regexp_extract(m, 'Expected: ([^\n]*)\n +but: was ([^\n]*)', ['e', 'a']) END AS v, regexp_extract_all(t, 'at ([A-Za-z_.]+\\([A-Za-z]+\\.java:[0-9]+\\))', 1) AS f FROM b),
+    r AS (SELECT id, m, v.e AS e, v.a AS a, f, list_filter(f, lambda x: NOT starts_with(x, 'org.junit.')) AS o FROM p),
+    k AS (SELECT *, CASE WHEN m IS NULL OR m = '' THEN 'UNKNOWN' WHEN regexp_matches(m, '(?i)\\bnull\\b') THEN 'NULL_MISMATCH' WHEN contains(lower(m), 'exception') THEN 'EXCEPTION_MESSAGE' WHEN {NUMBERS} AND NOT contains(e || a, '.') THEN 'NUMERIC' WHEN {NUMBERS} THEN 'FLOAT_TOLERANCE'
+      WHEN e LIKE '[%' THEN CASE WHEN contains(m, 'order') THEN 'ORDERING' ELSE 'COLLECTION' END WHEN e LIKE '{{%' THEN 'MAP' WHEN e LIKE '"%' THEN 'STRING' WHEN contains(m, 'list') THEN 'COLLECTION' WHEN contains(m, 'order') OR contains(m, 'sorted') THEN 'ORDERING' WHEN contains(m, 'String') THEN 'STRING' WHEN e IS NOT NULL THEN 'OBJECT_EQUALS' ELSE 'UNKNOWN' END AS type FROM r)
+    SELECT id, type, e AS expected, a AS actual, CASE type WHEN 'NUMERIC' THEN CAST(abs(CAST(e AS BIGINT) - CAST(a AS BIGINT)) AS VARCHAR) WHEN 'FLOAT_TOLERANCE' THEN printf('%.6f', abs(CAST(e AS DOUBLE) - CAST(a AS DOUBLE))) END AS delta,
+      coalesce(list_filter(o, lambda x: contains(x, 'Test.'))[1], o[1]) AS location, TRY_CAST(regexp_extract(f[1], ':([0-9]+)\\)', 1) AS INT) AS line FROM k"""
+)
+def mismatch_details(t):
+    return t.part.selectExpr("p_partkey AS id", f"{SAID} AS m", f"{TRACE} AS t").select("id", code.mismatch_details("m", "t").alias("d")).select("id", "d.*")
