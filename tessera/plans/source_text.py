@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import code
-from tessera.operators import lookup, symbols, syntax
+from tessera.operators import classes, lookup, symbols, syntax
 from tessera.plans.catalog import query
 
 WORD, ASKED = "lower(split_part(p_name, ' ', 1))", "CAST(p_size AS STRING)"
@@ -165,3 +165,32 @@ NUMBERS = r"regexp_matches(e, '^[+-]?[0-9]+(\.[0-9]+)?$') AND regexp_matches(a,
 )
 def mismatch_details(t):
     return t.part.selectExpr("p_partkey AS id", f"{SAID} AS m", f"{TRACE} AS t").select("id", code.mismatch_details("m", "t").alias("d")).select("id", "d.*")
+
+
+# --- kinds of classes
+
+OWNER = "'com.k.C' || CAST(CAST(floor(p_partkey / 4) AS INT) AS STRING)"
+NTH = "CAST(floor(p_partkey / 4) AS INT)"
+KINDS_OF = (
+    f"{OWNER} AS class_fqn", f"CASE {NTH} % 12 WHEN 0 THEN ARR('@org.x.Service') WHEN 1 THEN ARR('Override', '@Entity') WHEN 2 THEN ARR('@Services') END AS annotations",
+    f"CASE {NTH} % 9 WHEN 3 THEN ARR('RuntimeException') WHEN 4 THEN ARR('Base') END AS extends", f"{NTH} % 4 AS fields",
+)
+MEMBERS = (
+    f"{OWNER} AS class_fqn", f"CASE (p_partkey * 7 + p_size) % 13 WHEN 0 THEN 'getName' WHEN 1 THEN 'isOpen' WHEN 2 THEN 'setName' WHEN 3 THEN 'withName' WHEN 4 THEN 'build' WHEN 5 THEN 'toString' WHEN 6 THEN '<init>' WHEN 7 THEN 'C' || CAST({NTH} AS STRING) WHEN 8 THEN 'hashCode' WHEN 9 THEN 'hasMore' WHEN 10 THEN 'run' WHEN 11 THEN NULL ELSE 'set' END AS name",
+    "CASE WHEN p_size % 2 = 0 THEN 'private' ELSE 'public' END AS visibility", f"{NTH} % 3 = 0 OR p_size % 5 = 0 AS is_static", f"CASE WHEN p_size % 3 > 0 THEN 'C' || CAST({NTH} AS STRING) || ' of(String)' END AS signature",
+)
+
+
+def listed(columns: tuple[str, ...], by: str) -> list[str]:
+    return [c.replace("ARR(", by) for c in columns]
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT {", ".join(listed(KINDS_OF, "list_value("))} FROM part), m AS (SELECT {", ".join(MEMBERS)} FROM part), s AS (SELECT *, string_split(class_fqn, '.')[-1] AS s, name IN ('<init>', string_split(class_fqn, '.')[-1]) AS made FROM m WHERE name IS NOT NULL),
+    a AS (SELECT class_fqn, sum(CASE WHEN made AND visibility = 'private' THEN 1 ELSE 0 END) AS private, sum(CASE WHEN NOT made AND is_static THEN 1 ELSE 0 END) AS st, sum(CASE WHEN NOT made AND NOT is_static THEN 1 ELSE 0 END) AS inst, sum(CASE WHEN name = 'build' THEN 1 ELSE 0 END) AS b, sum(CASE WHEN contains(signature, s) AND regexp_matches(name, '^(set|with)') THEN 1 ELSE 0 END) AS fl,
+      sum(CASE WHEN regexp_matches(name, '^(get|is)') THEN 1 ELSE 0 END) AS g, sum(CASE WHEN name LIKE 'set%' THEN 1 ELSE 0 END) AS w, sum(CASE WHEN name IN ('toString', 'hashCode') THEN 1 ELSE 0 END) AS o, sum(CASE WHEN name IN ('run', 'build', 'withName') THEN 1 ELSE 0 END) AS act FROM s GROUP BY 1)
+    SELECT c.class_fqn, CASE WHEN annotations[1] = '@org.x.Service' THEN 'SERVICE' WHEN annotations[2] = '@Entity' THEN 'DATA_CLASS' WHEN extends[1] = 'RuntimeException' THEN 'EXCEPTION' WHEN coalesce(inst, 0) = 0 AND (st >= 2 OR (private > 0 AND st > 0)) THEN 'UTILITY' WHEN b > 0 OR fl >= 2 THEN 'BUILDER'
+      WHEN fields >= 2 AND (g >= 2 OR w >= 2 OR o > 0) THEN CASE WHEN act > 0 THEN 'SERVICE' ELSE 'DATA_CLASS' END ELSE 'GENERAL' END AS class_type FROM c LEFT JOIN a USING (class_fqn)"""
+)
+def class_kinds(t):
+    return classes.class_types(t.part.selectExpr(*listed(KINDS_OF, "array(")).distinct(), t.part.selectExpr(*MEMBERS))
