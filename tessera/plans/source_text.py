@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import code
-from tessera.operators import classes, lookup, symbols, syntax
+from tessera.operators import classes, constants, lookup, symbols, syntax
 from tessera.plans.catalog import query
 
 WORD, ASKED = "lower(split_part(p_name, ' ', 1))", "CAST(p_size AS STRING)"
@@ -194,3 +194,35 @@ def listed(columns: tuple[str, ...], by: str) -> list[str]:
 )
 def class_kinds(t):
     return classes.class_types(t.part.selectExpr(*listed(KINDS_OF, "array(")).distinct(), t.part.selectExpr(*MEMBERS))
+
+
+# --- string constants
+
+#: Nodes of each part's expressions: number, kind, value, arguments, and which parts have them.
+EXPRESSIONS = [
+    (1, "literal", "p_name", [], "TRUE"), (2, "literal", "p_type", [], "TRUE"), (3, "literal", "p_brand", [], "TRUE"), (4, "concat", "NULL", [1, 2], "TRUE"), (5, "name", "'a'", [], "TRUE"),
+    (6, "format", "CASE p_size % 4 WHEN 0 THEN '%s-%s' WHEN 1 THEN '%s%%%s!' WHEN 2 THEN '%s%d' ELSE 'x%s' END", [3, 4], "TRUE"), (7, "join", "NULL", [3, 5, 1], "TRUE"), (8, "name", "'b'", [], "TRUE"), (9, "concat", "NULL", [8, 1], "TRUE"),
+    (10, "valueof", "NULL", [1], "TRUE"), (11, "valueof", "NULL", [4], "TRUE"), (12, "format", "'%s'", [1], "p_size > 10"), (13, "concat", "NULL", [13, 1], "TRUE"), (14, "name", "'free'", [], "TRUE"), (15, "config", "NULL", [1], "TRUE"), (16, "join", "NULL", [1], "TRUE"),
+    *[(20 + k, "literal", f"p_name || '{k % 7}' || CAST(p_size % {k + 2} AS STRING)", [], "p_partkey % 5 = 0") for k in range(9)], *[(30 + k, "concat", "NULL", [29 + k if k else 1, 3], "p_partkey % 10 = 0") for k in range(13)],
+]
+GIVEN = [("a", 1, 4, "TRUE"), ("a", 2, 3, "p_size % 3 = 0"), ("b", 1, 1, "p_partkey % 5 > 0"), ("b", 2, 6, "p_partkey % 5 = 1"), *[("b", k, 20 + k, "p_partkey % 5 = 0") for k in range(9)]]
+NODES = " UNION ALL ".join(f"SELECT p_partkey AS scope, p_partkey * 100 + {j} AS id, '{kind}' AS kind, {value} AS value, {'ARR(' + ', '.join(f'p_partkey * 100 + {a}' for a in args) + ')' if args else 'NULL'} AS args FROM part WHERE {when}" for j, kind, value, args, when in EXPRESSIONS)
+ASSIGNED = " UNION ALL ".join(f"SELECT p_partkey AS scope, '{name}' AS name, {at} AS ord, p_partkey * 100 + {j} AS id FROM part WHERE {when}" for name, at, j, when in GIVEN)
+OUTSIDE = "SELECT p_name AS key, max(CASE WHEN p_size % 2 = 0 THEN p_type ELSE ' ' END) AS value FROM part GROUP BY p_name"
+ROUND = """, w{n} AS MATERIALIZED (SELECT e.id, e.kind, e.value AS own, len(any_value(e.args)) AS wanted, list(k.value ORDER BY e.pos) AS v, bool_and(k.literal) AS literal, max(k.height) AS height FROM e JOIN k{m} k ON k.id = e.arg AND k.value IS NOT NULL WHERE e.id NOT IN (SELECT id FROM k{m}) GROUP BY 1, 2, 3 HAVING count(*) = len(any_value(e.args))),
+    k{n} AS MATERIALIZED (SELECT * FROM k{m} UNION ALL SELECT * FROM (SELECT w.id, CASE kind WHEN 'name' THEN CASE WHEN len(list_distinct(v)) = 1 THEN v[1] END WHEN 'concat' THEN array_to_string(v, '') WHEN 'join' THEN CASE WHEN len(v) > 1 THEN list_reduce(v[2:], lambda p, x: p || v[1] || x) END WHEN 'valueof' THEN CASE WHEN literal THEN v[1] END WHEN 'config' THEN CASE WHEN trim(c.value) <> '' THEN c.value END
+      WHEN 'format' THEN CASE own WHEN '%s-%s' THEN v[1] || '-' || v[2] WHEN '%s%%%s!' THEN v[1] || '%' || v[2] || '!' WHEN '%s' THEN v[1] END END AS value,
+      CASE WHEN kind = 'name' AND len(list_distinct(v)) > 1 THEN [x.v FOR x IN list_sort([{{'i': list_position(v, x), 'v': x}} FOR x IN list_distinct(v)])] END AS candidates, kind IN ('format', 'valueof') AND literal AS literal, height + CASE WHEN kind = 'name' THEN 0 ELSE 1 END AS height FROM w{n} w LEFT JOIN c ON kind = 'config' AND c.key = v[1]) WHERE height <= 10 AND (value IS NOT NULL OR candidates IS NOT NULL))"""
+
+
+@query(
+    f"""WITH n AS ({NODES.replace("ARR(", "list_value(")}), g AS ({ASSIGNED}), c AS ({OUTSIDE}), h AS (SELECT scope, name, list(id ORDER BY ord) AS ids FROM g GROUP BY 1, 2), q AS MATERIALIZED (SELECT n.id, n.kind, n.value, coalesce(h.ids, n.args) AS args FROM n LEFT JOIN h ON kind = 'name' AND h.scope = n.scope AND h.name = n.value),
+    e AS MATERIALIZED (SELECT id, kind, value, args, unnest(args) AS arg, unnest(range(len(args))) AS pos FROM q WHERE len(args) > 0), k0 AS MATERIALIZED (SELECT id, value, NULL::VARCHAR[] AS candidates, TRUE AS literal, 0 AS height FROM q WHERE kind = 'literal'){"".join(ROUND.format(n=i + 1, m=i) for i in range(14))}
+    SELECT id, value, array_to_string(candidates[:8], '|') AS candidates, coalesce(len(candidates) > 8, FALSE) AS truncated, CASE WHEN candidates IS NOT NULL THEN 0.6 WHEN literal THEN 1.0 ELSE 0.8 END::DOUBLE AS confidence FROM k14"""
+)
+def string_constants(t):
+    t.part.createOrReplaceTempView("part")
+    nodes, assigned, config = (t._spark.sql(x.replace("ARR(", "array(")) for x in (NODES, ASSIGNED, OUTSIDE))
+    t._spark.catalog.dropTempView("part")
+    found = constants.resolve(nodes, assigned, config)
+    return found.select("id", "value", F.array_join("candidates", "|").alias("candidates"), "truncated", "confidence")
