@@ -93,12 +93,6 @@ def trust_counts(resolutions: DataFrame, by: str, level: Column) -> DataFrame:
     return told.groupBy(by).agg(*[F.count_if(F.col("level") == x).alias(x.lower()) for x in ("HIGH", "MEDIUM", "LOW")], F.avg("confidence").alias("mean"))
 
 
-def test_totals(suites: DataFrame) -> DataFrame:
-    """Totals over suites; what neither failed, erred nor was skipped passed."""
-    s = {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("tests", "failures", "errors", "skipped")}
-    return suites.agg(*[v.alias(c) for c, v in s.items()], F.greatest(F.lit(0), s["tests"] - s["failures"] - s["errors"] - s["skipped"]).alias("passed"))
-
-
 def generation_stats(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Succeeded, failed and skipped results (``status``) and the succeeded ones' part of those that were not skipped."""
     status = F.col("status")

@@ -165,12 +165,6 @@ def test_cases(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_classname").alias("class"), F.col("_name").alias("name"), F.col("_time").alias("seconds"), status.alias("status"), F.coalesce("failure._message", "error._message").alias("message"))
 
 
-def test_suites(spark: SparkSession, path: str) -> DataFrame:
-    """Suites' own attributes, for reports without cases."""
-    rows = spark.read.format("xml").option("rowTag", "testsuite").schema("_name string, _tests long, _failures long, _errors long, _skipped long").load(path)
-    return rows.select(F.col("_name").alias("name"), *[F.coalesce(f"_{c}", F.lit(0)).alias(c) for c in ("tests", "failures", "errors", "skipped")])
-
-
 def test_summary(spark: SparkSession, path: str) -> DataFrame:
     """By report its path and totals: of its cases, or where it has none of its outermost suites' own figures."""
     problem = "struct<_message:string,_type:string,_VALUE:string>"

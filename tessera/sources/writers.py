@@ -135,12 +135,6 @@ def history(runs: DataFrame, path: str, keep: int = 100) -> None:
     runs.orderBy(F.desc("timestamp")).limit(keep).write.mode("overwrite").json(path)
 
 
-def mermaid(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """A class diagram of distinct edges, as lines in order."""
-    lines = edges.select(source, target).distinct().select(F.concat(F.lit("  "), F.col(source), F.lit(" --> "), F.col(target)).alias("line"))
-    return lines.agg(F.concat_ws("\n", F.lit("classDiagram"), F.array_join(F.sort_array(F.collect_list("line")), "\n")).alias("diagram"))
-
-
 def audit(exchanges: DataFrame, path: str) -> None:
     """Sizes, digests and estimated tokens of requests and responses, never their text, and whether there was an answer."""
     sizes = [F.length(c).alias(f"{c}_chars") for c in ("request", "response")] + [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("request", "response")]
