@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions import redaction
 from tessera.operators import dictionary
 from tessera.plans.catalog import query
+from tessera.sources import writers
+from tessera.sources.shared import scratch
 
 # The patterns of keys and of addresses, in the words of RE2.
 KEY = r"(?i)\b[A-Z0-9_-]*(?:api[_-]?key|token|secret|password)[A-Z0-9_-]*\b\s*[:=]\s*"
@@ -26,6 +28,18 @@ def redaction_counts(t):
     return t.documents.select("doc_id", redaction.counts(redaction.detect("text"), KINDS).alias("n")).select("doc_id", "n.*")
 
 
+@query(
+    f"""SELECT c.*, d.request_chars, d.request_sha256, d.outcome FROM ({COUNTS}) c JOIN (SELECT doc_id, length(text) AS request_chars, sha256(text) AS request_sha256, CASE WHEN lang IS NULL THEN 'failed' ELSE 'answered' END AS outcome FROM documents) d USING (doc_id)"""
+)
+def audit_with_redactions(t):
+    """Records of documents as requests: what was found in them, but not what it was."""
+    path = scratch(t._spark, "audit")
+    writers.audit(t.documents.select("doc_id", F.col("text").alias("request"), F.col("lang").alias("response")), path, KINDS)
+    kinds = ", ".join(f"n_{k.lower()} long" for k in KINDS)
+    read = t._spark.read.schema(f"doc_id long, request_chars long, request_sha256 string, outcome string, redactions struct<{kinds.replace(' long', ':bigint')}>").json(path)
+    return read.select("doc_id", "request_chars", "request_sha256", "outcome", "redactions.*")
+
+
 # --- every kind of secret, written into a text, so that each detector is looked at
 
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.redaction import counts, detect
 from tessera.functions.rules import token_estimate
 
 
@@ -135,8 +136,9 @@ def history(runs: DataFrame, path: str, keep: int = 100) -> None:
     runs.orderBy(F.desc("timestamp")).limit(keep).write.mode("overwrite").json(path)
 
 
-def audit(exchanges: DataFrame, path: str) -> None:
-    """Sizes, digests and estimated tokens of requests and responses, never their text, and whether there was an answer."""
+def audit(exchanges: DataFrame, path: str, kinds: tuple[str, ...] = ()) -> None:
+    """Sizes, digests and estimated tokens of requests and responses, never their text, whether there was an answer, and how many findings of these kinds the request has."""
     sizes = [F.length(c).alias(f"{c}_chars") for c in ("request", "response")] + [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("request", "response")]
     more = [token_estimate(c).alias(f"{c}_tokens") for c in ("request", "response")] + [F.when(F.col("response").isNull(), "failed").otherwise("answered").alias("outcome")]
-    exchanges.select(*[c for c in exchanges.columns if c not in ("request", "response")], *sizes, *more).write.mode("append").json(path)
+    told = [counts(detect("request"), kinds).alias("redactions")] if kinds else []
+    exchanges.select(*[c for c in exchanges.columns if c not in ("request", "response")], *sizes, *more, *told).write.mode("append").json(path)
