@@ -115,14 +115,15 @@ def coverage_of(refs: DataFrame, ref_id: str, covered: DataFrame) -> DataFrame:
     def share(kind: str) -> Column:
         return F.try_divide(F.col(f"{kind}_covered") * F.lit(100.0), F.col(f"{kind}_covered") + F.col(f"{kind}_missed"))
 
-    types = descriptor_types("descriptor")
-    known = covered.where("trim(method) <> '' AND trim(descriptor) <> ''").select(
+    # Types are told once a row: what is used twice is a column of its own.
+    types = F.col("__types")
+    known = covered.where("trim(method) <> '' AND trim(descriptor) <> ''").withColumn("__types", descriptor_types("descriptor")).select(
         F.col("class").alias("__c"), F.col("method").alias("__n"), F.posexplode(F.array(joined(types), joined(F.transform(types, unqualified)))).alias("__way", "__t"), "ord", F.coalesce(share("line"), share("branch"), F.lit(-1.0)).alias("percent")
     )
     known = known.groupBy("__c", "__n", "__way", "__t").agg(F.min_by("percent", "ord").alias("percent"))
-    asked = signature_types("signature")
-    ways = F.array(joined(asked), joined(F.transform(asked, unqualified)))
-    each = refs.select(ref_id, signature_name("signature").alias("__n"), ways.alias("__ways"), F.posexplode(class_candidates(F.col("class_name"))).alias("__at", "__c")).where("__n <> ''")
+    told = refs.select(ref_id, "class_name", signature_name("signature").alias("__n"), signature_types("signature").alias("__types")).where("__n <> ''")
+    ways = F.array(joined(types), joined(F.transform(types, unqualified)))
+    each = told.select(ref_id, "__n", ways.alias("__ways"), F.posexplode(class_candidates(F.col("class_name"))).alias("__at", "__c"))
     each = each.select(ref_id, "__n", "__at", "__c", F.posexplode("__ways").alias("__way", "__t"))
     found = each.join(known, ["__c", "__n", "__way", "__t"]).groupBy(ref_id).agg(F.min(F.struct((F.col("__at") * 2 + F.col("__way")).alias("tier"), "percent")).alias("best"))
     return refs.select(ref_id).join(found, ref_id, "left").select(ref_id, F.coalesce("best.percent", F.lit(-1.0)).alias("percent"), F.col("best.tier").alias("tier"))
