@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,3 +31,18 @@ def durable(df: DataFrame) -> DataFrame:
     """A checkpoint that survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """The same rows, read from a table below ``folder``, which whoever named it takes away."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def taken_away(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, and let Spark's cleaner find the shuffles that nothing names any more, whose files would stay until the driver needs memory."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
