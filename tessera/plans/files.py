@@ -23,6 +23,11 @@ def parts(t) -> DataFrame:
     return t.part.selectExpr("p_partkey AS k", "'N' || CAST(p_partkey AS STRING) AS n", "'r' || CAST(p_size AS STRING) AS r", "p_name AS said", "p_partkey % 199 AS f")
 
 
+def spread(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of files dealt out to tasks: a small table can be many files."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
 def bodies(rows: DataFrame, name: str, piece: str, head: str = "''", foot: str = "''") -> DataFrame:
     """Names and bodies of files of many pieces, in the order of their numbers, with what stands before and after them; all are SQL expressions, ``head`` and ``foot`` over ``f``."""
     made = rows.groupBy(F.expr(name).alias("name"), "f").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", F.expr(piece).alias("piece")))), lambda x: x["piece"]), "").alias("all"))
@@ -54,7 +59,7 @@ def source_files(t):
     name = F.concat("r", F.lit("/"), F.when(F.col("k") % 4 == 0, F.concat(F.lit("skipped/"), "n")).otherwise(F.col("n")))
     files = parts(t).select(F.concat(name, F.lit(".java")).alias("name"), body.alias("body")).unionByName(parts(t).where("k % 5 = 0").select(F.concat(name, F.lit(".txt")).alias("name"), F.encode(F.lit("no source"), "UTF-8").alias("body")))
     base = scratch(t._spark, "files")
-    writers.named_files(files, base)
+    writers.named_files(spread(files, "name"), base)
     return readers.sources(t._spark, base, exclude=("/skipped/", "/r7/")).select("ord", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), "text", "error")
 
 

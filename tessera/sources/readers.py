@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -203,17 +206,70 @@ def properties(spark: SparkSession, path: str) -> DataFrame:
     return _property_lines(spark, path).groupBy("key").agg(F.min_by("value", F.struct("path", "line")).alias("value"))
 
 
+def listed(spark: SparkSession, path: str, include: str = "*", exclude: tuple[str, ...] = ()) -> DataFrame:
+    """``path`` of every file below a folder whose name fits the pattern, but for those whose path holds a text of ``exclude``. Names that begin with ``_`` or ``.`` are left out.
+
+    Tasks list the folders, level by level; the driver gets neither files nor folders. The path is a URI that Arrow's file systems open.
+    """
+    fits = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(include).compiled().pattern()
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                store, base = fs.FileSystem.from_uri(folder)
+                found = [(f"{folder}/{x.base_name}", x.type == fs.FileType.Directory) for x in store.get_file_info(fs.FileSelector(base)) if not x.base_name.startswith(("_", "."))]
+                for at in range(0, len(found), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found[at : at + 10_000])], names=["path", "folder"])
+
+    folders, levels = spark.createDataFrame([(path.rstrip("/"),)], "path string"), []
+    while True:
+        level = durable(folders.mapInArrow(look, "path string, folder boolean"))
+        levels.append(level.where("NOT folder"))
+        inner = level.where("folder")
+        for x in exclude:
+            inner = inner.where(~F.concat("path", F.lit("/")).contains(x))
+        if inner.isEmpty():
+            break
+        folders = inner.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    files = levels[0]
+    for level in levels[1:]:
+        files = files.unionByName(level)
+    for x in exclude:
+        files = files.where(~F.col("path").contains(x))
+    return files.select("path").where(F.substring_index("path", "/", -1).rlike(f"^(?:{fits})$"))
+
+
+def contents(files: DataFrame) -> DataFrame:
+    """The rows with ``content``, the bytes of the file at ``path``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, told = batch.slice(at, 256), []
+                for path in part.column("path").to_pylist():
+                    if store is None or not path.startswith(root):
+                        store, base = fs.FileSystem.from_uri(path.rpartition("/")[0])
+                        root = path.rpartition("/")[0].removesuffix(base)
+                    with store.open_input_file(path.removeprefix(root)) as one:
+                        told.append(one.read())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(told, pa.binary())], names=[*part.schema.names, "content"])
+
+    return files.mapInArrow(read, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", content binary")
+
+
 def sources(spark: SparkSession, path: str, include: str = "*.java", exclude: tuple[str, ...] = ()) -> DataFrame:
     """Source files as path and text, filtered before they are read; ``ord`` numbers them by path. What is not UTF-8 has no text but an ``error``.
 
-    Only paths, not texts, meet in the task that numbers them.
+    Files are listed, numbered and read by tasks.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", include).load(path)
-    for x in exclude:
-        rows = rows.where(~F.col("path").contains(x))
+    rows = contents(numbered(listed(spark, path, include, exclude), ["path"], "ord"))
     text = F.expr("try_validate_utf8(cast(content as string))")
-    places = numbered(rows.select("path"), ["path"], "ord")
-    return rows.select("path", text.alias("text"), F.when(text.isNull(), "not UTF-8").alias("error")).join(places, "path").select("ord", "path", "text", "error")
+    return rows.select("ord", "path", text.alias("text"), F.when(text.isNull(), "not UTF-8").alias("error"))
 
 
 def commit_counts(log: DataFrame) -> DataFrame:

@@ -386,3 +386,11 @@ def test_symbol_index(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     scan = plan[: plan.index("FileScan")].splitlines()
     assert "Bucketed: true" in plan and not [x for x in scan[-4:] if "Exchange" in x], plan
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a/b/One.java", bytearray(b"class One {}")), ("a/Two.java", bytearray(b"\xff\xfe")), ("a/skip/Three.java", bytearray(b"x")), ("a/b/four.txt", bytearray(b"x")), ("Five # 5.java", bytearray(b""))], "name string, body binary")
+    writers.named_files(rows, f"file://{tmp_path}/s")
+    monkeypatch.setattr(type(spark.read), "format", None)  # Spark's own reader lists in the driver
+    found = readers.sources(spark, f"file://{tmp_path}/s", exclude=("/skip/",)).collect()
+    assert sorted((r["ord"], r["path"].rpartition("/s/")[2], r["text"], r["error"]) for r in found) == [(1, "Five # 5.java", "", None), (2, "a/Two.java", None, "not UTF-8"), (3, "a/b/One.java", "class One {}", None)]
