@@ -201,13 +201,13 @@ def configuration(t):
     LEFT JOIN (SELECT 'p' || s_nationkey % 5 AS p, list_sort(list(s_name)) AS e FROM supplier WHERE s_nationkey % 5 < 4 GROUP BY 1) ON p = 'p' || k % 5"""
 )
 def class_files(t):
-    """A file a class, with the errors of its project in each; read back, with its place."""
+    """A file a class, and the errors of projects once; read back, with its place and its project's errors."""
     classes = parts(t).select(F.concat_ws(".", F.lit("com"), "r", "n").alias("fqn"), F.col("k").cast("long").alias("loc"), F.concat(F.lit("p"), F.col("k") % 5).alias("project"))
     errors = t.supplier.where("s_nationkey % 5 < 4").select(F.concat(F.lit("p"), F.col("s_nationkey") % 5).alias("project"), F.col("s_name").alias("message"))
     folder = scratch(t._spark, "classes")
-    writers.class_files(classes, folder, "fqn", errors, "project")
-    read = t._spark.read.option("recursiveFileLookup", True).schema("fqn string, loc long, project string, errors array<string>").json(folder)
-    return read.select(F.regexp_extract(F.input_file_name(), r"(com/.*)$", 1).alias("file"), "fqn", "loc", "project", F.when(F.col("errors").isNotNull(), F.array_join("errors", ",")).alias("errors"))
+    writers.class_files(spread(classes, "fqn"), folder, "fqn", errors, "project")
+    read = readers.class_files(t._spark, folder, "fqn string, loc long, project string", "project")
+    return read.select(F.regexp_extract("path", r"(com/.*)$", 1).alias("file"), "fqn", "loc", "project", F.array_join("errors", ",").alias("errors"))
 
 
 @query("SELECT 'f' || p_size AS path, count(DISTINCT p_brand) AS commits FROM part GROUP BY 1")

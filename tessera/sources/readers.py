@@ -272,6 +272,15 @@ def sources(spark: SparkSession, path: str, include: str = "*.java", exclude: tu
     return rows.select("ord", "path", text.alias("text"), F.when(text.isNull(), "not UTF-8").alias("error"))
 
 
+def class_files(spark: SparkSession, path: str, schema: str, by: str | None = None) -> DataFrame:
+    """What ``writers.class_files`` wrote: ``path``, the columns of ``schema`` and, with ``by``, ``errors``, those of its project in order."""
+    rows = contents(listed(spark, path, "*.json")).select("path", F.from_json(F.col("content").cast("string"), schema).alias("c")).select("path", "c.*")
+    if by is None:
+        return rows
+    errors = spark.read.schema(f"`{by}` string, error string").json(f"{path.rstrip('/')}/_errors")
+    return rows.join(errors.groupBy(by).agg(F.sort_array(F.collect_list("error")).alias("errors")), by, "left")
+
+
 def commit_counts(log: DataFrame) -> DataFrame:
     """Commits by path, from an extracted log (commit, path)."""
     return log.groupBy("path").agg(F.count_distinct("commit").alias("commits"))

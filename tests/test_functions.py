@@ -394,3 +394,12 @@ def test_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(type(spark.read), "format", None)  # Spark's own reader lists in the driver
     found = readers.sources(spark, f"file://{tmp_path}/s", exclude=("/skip/",)).collect()
     assert sorted((r["ord"], r["path"].rpartition("/s/")[2], r["text"], r["error"]) for r in found) == [(1, "Five # 5.java", "", None), (2, "a/Two.java", None, "not UTF-8"), (3, "a/b/One.java", "class One {}", None)]
+
+
+def test_errors_of_projects_are_written_once(spark, tmp_path):
+    classes = spark.range(30).selectExpr("'p.C' || id AS fqn", "id AS loc", "'j' || id % 3 AS project")
+    errors = spark.range(400).selectExpr("'j' || id % 2 AS project", "'e' || lpad(id, 4, '0') AS message")
+    folder = f"file://{tmp_path}/c"
+    assert writers.class_files(classes, folder, "fqn", errors, "project").agg({"bytes": "max"}).first()[0] < 100
+    found = {r["fqn"]: r for r in readers.class_files(spark, folder, "fqn string, loc long, project string", "project").collect()}
+    assert len(found) == 30 and found["p.C2"]["errors"] is None and found["p.C4"]["errors"] == [f"e{i:04}" for i in range(1, 400, 2)] and found["p.C4"]["path"].endswith("/c/p/C4.json")
